@@ -64,46 +64,48 @@ def _pack(chunks: int):
 PACKED = "chunk int, ids array<long>, langs array<string>, sizes array<int>, texts binary"
 
 
-def _texts(packed: pd.DataFrame) -> Iterator[tuple[int | None, str | None, str]]:
-    for r in packed.itertuples():
-        raw, at = zstandard.decompress(r.texts) if sum(r.sizes) else b"", 0
-        for doc, lang, size in zip(r.ids, r.langs, r.sizes, strict=True):
-            yield (None if pd.isna(doc) else int(doc)), lang, raw[at : at + size].decode("utf-8", "surrogatepass")
+def _by_lang(packed: pa.Table) -> dict[str, list[tuple[int | None, str]]]:
+    """Documents and texts of a chunk by language."""
+    out: dict[str, list[tuple[int | None, str]]] = {}
+    for r in packed.to_pylist():
+        raw, at = zstandard.decompress(r["texts"]) if sum(r["sizes"]) else b"", 0
+        for doc, lang, size in zip(r["ids"], r["langs"], r["sizes"], strict=True):
+            out.setdefault(lang or "", []).append((doc, raw[at : at + size].decode("utf-8", "surrogatepass")))
             at += size
+    return out
 
 
-def _by_lang(packed: pd.DataFrame) -> dict[str, list[tuple[int | None, str]]]:
-    out: dict[str, list[tuple[int | None, str]]] = {}
-    for doc, lang, text in _texts(packed):
-        out.setdefault(lang or "", []).append((doc, text))
-    return out
+ASKED = pa.schema([("chunk", pa.int32()), ("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("surprise", pa.float64())])
 
 
-def _asked(packed: pd.DataFrame, trusted: pd.DataFrame) -> pd.DataFrame:
+def _asked(packed: pa.Table, trusted: pa.Table) -> pa.Table:
     """Distinct n-grams of a chunk by language, with their count in its trusted documents."""
-    good = set(trusted["doc_id"])
+    good = set(trusted["doc_id"].to_pylist())
     out = []
     for lang, docs in sorted(_by_lang(packed).items()):
         grams, counts = grams_of([t for _, t in docs])
         place, distinct = pd.factorize(grams)
-        weight = np.repeat([doc in good for doc, _ in docs], counts)
-        out.append(pd.DataFrame({"chunk": packed["chunk"].iloc[0], "lang": lang, "gram": distinct, "n": np.bincount(place[weight], minlength=len(distinct))}))
-    return pd.concat(out) if out else pd.DataFrame({"chunk": [], "lang": [], "gram": [], "n": []})
+        weight = np.repeat(np.array([doc in good for doc, _ in docs]), counts)
+        n = np.bincount(place[weight], minlength=len(distinct))
+        out.append(pa.table([pa.array(np.full(len(n), packed["chunk"][0].as_py(), np.int32)), pa.array([lang] * len(n), pa.string()), pa.array(distinct), pa.array(n)], schema=ASKED))
+    return pa.concat_tables(out) if out else ASKED.empty_table()
 
 
-def _scored(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+def _scored(packed: pa.Table, answers: pa.Table) -> pa.Table:
     """Each document's symbols and their surprise in nats, summed."""
-    found = {lang: rows.sort_values("gram") for lang, rows in answers.groupby("lang")}
+    answered = answers["lang"].to_numpy()
     out = []
     for lang, docs in _by_lang(packed).items():
         grams, counts = grams_of([t for _, t in docs])
         place, distinct = pd.factorize(grams)
-        known = found[lang]
-        surprise = known["surprise"].to_numpy()[np.searchsorted(known["gram"].to_numpy(), distinct)][place]
-        ends = np.cumsum(counts)
-        sums = np.add.reduceat(surprise, ends - counts)
-        out.append(pd.DataFrame({"doc_id": pd.array([d for d, _ in docs], "Int64"), "lang": lang, "n_symbols": counts, "surprise": sums}))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "lang": [], "n_symbols": [], "surprise": []})
+        own = answered == lang
+        known, surprise = answers["gram"].to_numpy()[own], answers["surprise"].to_numpy()[own]
+        order = np.argsort(known)
+        each = surprise[order][np.searchsorted(known[order], distinct)][place]
+        sums = np.add.reduceat(each, np.cumsum(counts) - counts)
+        out.append(pa.table([pa.array([d for d, _ in docs], pa.int64()), pa.array([lang] * len(docs), pa.string()), pa.array(counts), pa.array(sums)], schema=SCORED))
+    return pa.concat_tables(out) if out else SCORED.empty_table()
 
 
 def _low(gram: str, n: int) -> Column:
@@ -155,9 +157,9 @@ def classified(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     packed = read.select("*", chunk).mapInArrow(_pack(chunks), PACKED)
     names = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    asked = cut(packed.groupBy("chunk").cogroup(names.select("doc_id", chunk).groupBy("chunk")).applyInPandas(_asked, "chunk int, lang string, gram long, n long"))
+    asked = cut(packed.groupBy("chunk").cogroup(names.select("doc_id", chunk).groupBy("chunk")).applyInArrow(_asked, "chunk int, lang string, gram long, n long"))
     answers = asked.select("chunk", "lang", "gram").join(kneser_ney(asked), ["lang", "gram"])
-    scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scored, "doc_id long, lang string, n_symbols long, surprise double")
+    scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored, "doc_id long, lang string, n_symbols long, surprise double")
     scored = cut(scored.join(names.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
     middle = scored.groupBy("lang").agg(F.percentile_approx(F.col("surprise") / F.col("n_symbols"), 0.5, 10000).alias("middle"))
     rated = scored.join(middle, "lang").withColumn("rate", (F.col("surprise") + PRIOR * F.col("middle")) / (F.col("n_symbols") + PRIOR))

@@ -108,8 +108,10 @@ def _index(blocks: int):
 
 
 def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
-    begin = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(part) else []
+    begin = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
     for s, e in zip(begin, [*begin[1:], len(part)], strict=True):
         yield int(part[order[s]]), order[s:e]
 
