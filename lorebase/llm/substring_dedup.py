@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import STEP, hash_words, mix, shuffle_partitions, text_bytes, window_hashes, words_of
 
 WINDOW, GRAM = 13, 7
-BLOCK_BYTES = 32 << 20  #: of text whose windows one block indexes
+BLOCK_BYTES = 12 << 20  #: of text whose windows one block indexes
 LONGEST = 255  #: windows of one run, whose length travels as a byte
-CHUNK = 16384  #: documents that are looked at together before the shuffle; their numbers fit 16 bits
+CHUNK = 4096  #: documents that are looked at together before the shuffle; their numbers fit 16 bits
 
 
 def _windows(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
