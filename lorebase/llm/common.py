@@ -82,9 +82,9 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
 
 
 def numbered(df: DataFrame, group: str, order: list[str | Column], out: str, rows: int) -> DataFrame:
-    """Add `out`: numbers gapless from 0 within each group. A hot group is cut into salts of about 100,000 rows, which are numbered
+    """Add `out`: numbers gapless from 0 within each group. A hot group is cut into salts, more of them the more rows there are, which are numbered
     apart and then shifted by the counts before them, so no task sorts a whole group. `rows` is the row count of df, which must be cheap to read twice."""
-    salts = max(1, rows // 100_000)
+    salts = 1 + int(rows**0.5) // 16
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(group, "_salt").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

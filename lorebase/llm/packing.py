@@ -20,14 +20,16 @@ from .common import cut, numbered
 
 SEQUENCE = 2048
 END = 0  #: id that ends each document
-REMEMBERED = 1_000_000  #: words whose ids a worker remembers; only speed depends on it
+MARKS = ".,;:!?"  #: that may close a word
+REMEMBERED = 700_000  #: words whose ids a worker remembers; only speed depends on it
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers, equal to those of encoding the whole text.
 
     The vocabulary's pattern never joins a space with what stands before it, so a text falls into words at single spaces
-    between other characters, and each of them is encoded once for all texts. A text with any other space is encoded whole.
+    between other characters, and each of them is encoded once for all texts. New words fall further, at single line feeds and before closing marks. A text
+    with any other space is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -36,21 +38,37 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def learn(self, words: list[str]) -> None:
+        """Remember words by the parts that they are made of."""
+        made: list[list[str]] = []
+        for w in words:
+            lines = w.split("\n")
+            whole = any(not x or x[0].isspace() or x[-1].isspace() for x in lines)
+            parts = []
+            for x in [f" {w}"] if whole else [f" {lines[0]}", *(f"\n{x}" for x in lines[1:])]:
+                base = x.rstrip(MARKS)
+                parts += [base, x[len(base) :]] if len(base) < len(x) and base[-1:].isalpha() and "<" not in x else [x]
+            made.append(parts)
+        fresh = list({x for parts in made for x in parts} - self.parts.keys())
+        for k in range(0, len(fresh), 4096):
+            self.parts.update(zip(fresh[k : k + 4096], self.whole(fresh[k : k + 4096]), strict=True))
+        for w, parts in zip(words, made, strict=True):
+            self.words[w] = b"".join([self.parts[x] for x in parts])
+
     def batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         split = [t.split(" ") for t in texts]
         missing = {w for words in split for w in words[1:]} - self.words.keys()
         if len(self.words) + len(missing) > REMEMBERED:
             self.words.clear()
+            self.parts.clear()
             missing = {w for words in split for w in words[1:]}
-        missing = [w for w in missing if w and not w[0].isspace() and not w[-1].isspace()]
-        for k in range(0, len(missing), 4096):
-            part = missing[k : k + 4096]
-            self.words.update(zip(part, self.whole([f" {w}" for w in part]), strict=True))
+        self.learn([w for w in missing if w and not w[0].isspace() and not w[-1].isspace()])
         odd = []
         for k, words in enumerate(split):
             try:
@@ -59,9 +77,8 @@ class Encoder:
                 out[k] = b"".join(map(self.words.__getitem__, words[1:]))
             except KeyError:
                 odd.append(k)
-        firsts = [k for k in range(len(texts)) if split[k][0]]
         skip = set(odd)
-        firsts = [k for k in firsts if k not in skip]
+        firsts = [k for k in range(len(texts)) if split[k][0] and k not in skip]
         for k, ids in zip(firsts, self.whole([split[k][0] for k in firsts]), strict=True):
             out[k] = ids + out[k]
         for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
