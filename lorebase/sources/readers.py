@@ -38,7 +38,7 @@ def verbs(rows: DataFrame) -> DataFrame:
 
 def synonym_groups(rows: DataFrame) -> DataFrame:
     """Lines w1,w2,... -> words."""
-    words = F.filter(F.transform(F.split("value", ","), F.trim), lambda w: w != "")
+    words = F.filter(F.transform(F.split("value", ","), lambda w: F.trim(w)), lambda w: w != "")
     return rows.select(words.alias("words")).where(F.size("words") > 1)
 
 
@@ -61,7 +61,7 @@ def replay_updates(entries: DataFrame, updates: DataFrame) -> DataFrame:
 def templates(spark: SparkSession, path: str) -> DataFrame:
     """Template XML: <category> of patterns and one template, whose alternatives | splits -> pattern, origin, templates."""
     read = spark.read.format("xml").option("rowTag", "category").schema(TEMPLATE_XML).load(path)
-    alternatives = F.filter(F.transform(F.split("template", r"\|"), F.trim), lambda t: t != "")
+    alternatives = F.filter(F.transform(F.split("template", r"\|"), lambda t: F.trim(t)), lambda t: t != "")
     origin = F.concat(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), F.lit(" module"))
     return read.select(F.explode("pattern").alias("pattern"), origin.alias("origin"), alternatives.alias("templates"))
 
