@@ -21,7 +21,7 @@ ORDER = 5
 BITS = 12  #: of a symbol; n-grams of ORDER symbols fit 60 bits
 CHUNK_BYTES = 32 << 20
 PRIOR = 200  #: symbols at the language's median that are added to each document, so that short ones aren't judged by chance
-FENCE = 4.0  #: interquartile ranges above the upper quartile of trusted documents at which a language's threshold stands
+FENCE = 6.0  #: interquartile ranges above the upper quartile of trusted documents at which a language's threshold stands
 
 
 def symbols(text: str) -> np.ndarray:
