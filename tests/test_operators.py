@@ -309,7 +309,7 @@ def test_engine(spark, told, lexicon, tmp_path):
     state = engine.teach(engine.empty(spark), told.select("id", "topic", "tokenList"), lexicon)
     assert {r.id for r in state.sentences.collect()} == {"s1", "s2", "s3"}
     questions = spark.createDataFrame(
-        [(1, "a", "e@f.org", "does Peter give books?", [token(0, "does", "VBZ", "aux"), token(1, "Peter", "NNP"), token(2, "books", "NNS"), token(3, "?", ".")]), (2, "zz", "e@f.org", "is York in Peter?", [token(0, "York", "NNP"), token(1, "Peter", "NNP"), token(2, "?", ".")]), (3, "a", "e@f.org", "tell me all?", [token(0, "tell", "VB"), token(1, "?", ".")]), (4, "a", "e@f.org", "is x y?", [token(0, "xx", "NN"), token(1, "yy", "NN"), token(2, "?", ".")])],
+        [(1, "a", "e@f.org", "who gives books?", [token(0, "who", "WP"), token(1, "gives", "VBZ"), token(2, "books", "NNS"), token(3, "?", ".")]), (2, "zz", "e@f.org", "is York in Peter?", [token(0, "York", "NNP"), token(1, "Peter", "NNP"), token(2, "?", ".")]), (3, "a", "e@f.org", "tell me all?", [token(0, "tell", "VB"), token(1, "?", ".")]), (4, "a", "e@f.org", "is x y?", [token(0, "xx", "NN"), token(1, "yy", "NN"), token(2, "?", ".")])],
         f"query_id int, topic string, email string, text string, tokens array<{schema.TOKEN}>",
     )
     rules = templates.compile_templates(spark, [("tell me *", "f", ["all of {star} to {email}"])])
