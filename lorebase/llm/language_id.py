@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,14 @@ UNKNOWN = "und"
 SLICE = 256  #: documents that are counted at once
 
 
-@cache
+LETTERS: list[np.ndarray] = []  #: made once by each process
+
+
 def _letters() -> np.ndarray:
     """Whether each code point is a letter."""
-    return np.array([chr(k).isalpha() for k in range(0x110000)])
+    if not LETTERS:
+        LETTERS.append(np.array([chr(k).isalpha() for k in range(0x110000)]))
+    return LETTERS[0]
 
 
 def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
