@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, perplexity, quality_rules, secrets, sharding, substring_dedup, tool_calls
+from . import decontamination, language_id, near_dedup, packing, perplexity, quality_rules, secrets, sharding, sql, substring_dedup, tool_calls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.drop_repeats(_table(spark, sf_dir, "documents"))
+    return substring_dedup.drop_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_near_dedup": sql.NEAR_DEDUP, "op7_tool_calls": sql.TOOL_CALLS, "op9_substring_dedup": sql.SUBSTRING_DEDUP}
