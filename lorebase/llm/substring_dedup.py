@@ -121,11 +121,11 @@ def _row(block: int, ids: np.ndarray, versions: np.ndarray, doc: np.ndarray, at:
     return {"block": block, "ids": ids[used].astype("<i8").tobytes(), "versions": versions[used].astype("<i8").tobytes(), "doc": number.astype("<u2").tobytes(), "at": at.astype("<u4").tobytes(), "size": size.tobytes(), **more}
 
 
-FOUND = "doc_id long, version long, at array<int>, size array<int>, owner array<long>, owner_at array<int>"
+FOUND = "doc_id long, version long, at int, size int, owner long, owner_at int"
 
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """The factors of one block, a row for each document."""
+    """The factors of one block, a row for each, so that their number doesn't depend on that of the blocks."""
     out: list[list[np.ndarray]] = []
     index: list[list[np.ndarray]] = []
     for r in rows.itertuples():
@@ -150,11 +150,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         out.append([both[begin][d, 0], both[begin][d, 1], a, n, o, oa])
     if not out:
         return pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})
-    ids, versions, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((versions, ids))
-    ids, versions, rest = ids[order], versions[order], [x[order] for x in rest]
-    begin = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])]) if len(ids) else []
-    return pd.DataFrame({"doc_id": ids[begin], "version": versions[begin], **{k: np.split(x, begin[1:]) if len(ids) else [] for k, x in zip(("at", "size", "owner", "owner_at"), rest, strict=True)}})
+    return pd.DataFrame(dict(zip((c.split()[0] for c in FOUND.split(", ")), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
 
 
 def parse(n: int, factors: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -185,7 +181,8 @@ def factorise(docs: DataFrame) -> DataFrame:
     blocks = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs) // BLOCK_BYTES))
     read = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
     found = read.mapInArrow(_index(blocks), SENT).groupBy("block").applyInPandas(_answer, FOUND)
-    return found.groupBy("doc_id", "version").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("at", "size", "owner", "owner_at")))
+    factors = F.collect_list(F.struct("at", "size", "owner", "owner_at"))
+    return found.groupBy("doc_id", "version").agg(factors.alias("factors")).select("doc_id", "version", *(F.col(f"factors.{c}").alias(c) for c in ("at", "size", "owner", "owner_at")))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
