@@ -11,33 +11,34 @@ from ..functions.lexicon import STOP_WORDS, Lexicon, is_stop_word
 KEY = ["word", "shard", "topic", "sentence_id", "offset", "tag"]
 
 
-def emit_postings(sentences: DataFrame, lexicon: Lexicon, shard: int = 0, drop_off: float = 1.0, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """All postings of sentences (call_id, sentence_no, id, topic, tokenList), before the upsert, with their place in the order of emission.
+def build_postings(sentences: DataFrame, lexicon: Lexicon, shard: int = 0, drop_off: float = 1.0, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """Postings of sentences (call_id, sentence_no, id, topic, tokenList), one for each KEY.
 
     Offsets count every token of a call. A token gives its stem at the sentence's score, and at half of it the parts of a text with spaces or hyphens and
-    its semantic class. Stop words and auxiliaries give nothing.
+    its semantic class. Stop words and auxiliaries give nothing. Of postings with one key the last emitted stays; they come from one token, as the
+    sentence and offset are part of the key, so this is settled inside the token and nothing is shuffled for it. A sentence belongs to one call.
     """
     before = F.coalesce(F.sum(F.size("tokenList")).over(Window.partitionBy("call_id").orderBy("sentence_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sentences.withColumn("before", before).select("call_id", "sentence_no", "id", "topic", "before", F.posexplode("tokenList").alias("pos", "token"))
-    rows = placed.select("call_id", "sentence_no", F.col("id").alias("sentence_id"), "topic", (F.col("before") + F.col("pos")).cast("int").alias("offset"), "token.*")
-    stemmed = lexicon.with_stem(rows, "text").where(F.col("dep").isNull() | (F.col("dep") != "aux")).where((F.col("stem") != "") & ~is_stop_word(F.col("stem"), stop_words))
+    slim = sentences.select("call_id", "sentence_no", "id", "topic", F.transform("tokenList", lambda t: F.struct(t["text"].alias("text"), t["tag"].alias("tag"), t["dep"].alias("dep"), t["semantic"].alias("semantic"))).alias("tokenList"))
+    placed = slim.withColumn("before", before).select("sentence_no", "id", "topic", "before", F.posexplode("tokenList").alias("pos", "token"))
+    rows = placed.select("sentence_no", F.col("id").alias("sentence_id"), "topic", (F.col("before") + F.col("pos")).cast("int").alias("offset"), "token.*")
+    rows = rows.where((F.col("dep").isNull() | (F.col("dep") != "aux")))
+    stemmed = lexicon.with_stem(rows, "text").where((F.col("stem") != "") & ~is_stop_word(F.col("stem"), stop_words))
 
     def parts(mark: str):
-        split = F.split("text", mark)
-        return F.when(F.size(split) > 1, F.transform(split, lambda p: F.struct(F.lower(F.trim(p)).alias("word"), F.lit(0.5).alias("share")))).otherwise(F.array().cast("array<struct<word:string,share:double>>"))
+        return F.transform(F.split("text", mark), lambda p: F.struct(F.lower(F.trim(p)).alias("word"), F.lit(0.5).alias("share")))
 
+    whole = F.struct(F.col("stem").alias("word"), F.lit(1.0).alias("share"))
     semantic = F.lower(F.trim(F.coalesce("semantic", F.lit(""))))
-    emits = F.concat(F.array(F.struct(F.col("stem").alias("word"), F.lit(1.0).alias("share"))), parts(" "), parts("-"), F.array(F.struct(semantic.alias("word"), F.lit(0.5).alias("share"))))
-    out = stemmed.select("call_id", "sentence_no", "sentence_id", "topic", "offset", F.coalesce("tag", F.lit("")).alias("tag"), F.posexplode(emits).alias("seq", "emit"))
+    none = F.array().cast("array<struct<word:string,share:double>>")
+    split = F.concat(F.when(F.col("text").contains(" "), parts(" ")).otherwise(none), F.when(F.col("text").contains("-"), parts("-")).otherwise(none))
+    every = F.filter(F.concat(F.array(whole), split, F.array(F.struct(semantic.alias("word"), F.lit(0.5).alias("share")))), lambda e: (e["word"] != "") & ~is_stop_word(e["word"], stop_words))
+    later = lambda e, k: F.exists(F.slice(F.col("every"), k + 2, F.size("every")), lambda x: x["word"] == e["word"])
+    last = F.when(F.size("every") == 1, F.col("every")).otherwise(F.filter("every", lambda e, k: ~later(e, k)))
+    plain = (semantic == "") & ~F.col("text").contains(" ") & ~F.col("text").contains("-")
+    out = stemmed.withColumn("every", F.when(plain, F.array(whole)).otherwise(every)).select("sentence_no", "sentence_id", "topic", "offset", F.coalesce("tag", F.lit("")).alias("tag"), F.explode(F.when(plain, F.col("every")).otherwise(last)).alias("emit"))
     score = F.round(F.col("emit.share") * F.pow(F.lit(drop_off), F.col("sentence_no")), 6)
-    made = out.select(F.col("emit.word").alias("word"), "tag", F.lit(shard).alias("shard"), "sentence_id", "offset", "topic", score.alias("score"), "seq")
-    return made.where((F.col("word") != "") & ~is_stop_word(F.col("word"), stop_words))
-
-
-def build_postings(sentences: DataFrame, lexicon: Lexicon, shard: int = 0, drop_off: float = 1.0, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """Postings, one for each key: of those with one key the last emitted stays."""
-    emitted = emit_postings(sentences, lexicon, shard, drop_off, stop_words)
-    return emitted.groupBy(*KEY).agg(F.max_by("score", "seq").alias("score"))
+    return out.select(F.col("emit.word").alias("word"), "tag", F.lit(shard).alias("shard"), "sentence_id", "offset", "topic", score.alias("score"))
 
 
 def upsert_postings(postings: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -228,14 +228,14 @@ def sentence_fetch(spark, sf_dir):
     return found(spark, sf_dir, ["elle"]).join(texts, "sentence_id").select("sentence_id", "text")
 
 
-QUESTIONS = f"WITH {WORDS}, q AS (SELECT conv_id, turn, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_extract(text, '^[^.!?]+'), '[A-Za-z]+'), lambda x: lower(x)), lambda x: x NOT IN ({STOP})))) AS w FROM conversations WHERE role = 'user'), k AS (SELECT conv_id, turn, w[1:2] AS w FROM q WHERE len(w) >= 2), e AS (SELECT conv_id, turn, unnest(w) AS word FROM k), hits AS (SELECT DISTINCT conv_id, turn, e.word, sid FROM e JOIN posts ON e.word = posts.word)"
+QUESTIONS = f"WITH {WORDS}, q AS (SELECT conv_id, turn, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_extract(text, '^[^.!?]+'), '[A-Za-z]+'), lambda x: lower(x)), lambda x: length(x) >= 4 AND x NOT IN ({STOP})))) AS w FROM conversations WHERE role = 'user'), k AS (SELECT conv_id, turn, w[1:2] AS w FROM q WHERE len(w) >= 2), e AS (SELECT conv_id, turn, unnest(w) AS word FROM k), hits AS (SELECT DISTINCT conv_id, turn, e.word, sid FROM e JOIN posts ON e.word = posts.word)"
 
 
 @query(QUESTIONS + " SELECT conv_id, turn, sid AS sentence_id FROM hits GROUP BY conv_id, turn, sid HAVING count(*) = 2")
 def ask_questions(spark, sf_dir):
-    """All questions at once: sentences that have two searchable words of a user's first sentence."""
+    """All questions at once: sentences that have two longer searchable words of a user's first sentence."""
     first = F.regexp_extract("text", "^([^.!?]+)", 1)
-    wanted = F.sort_array(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(first, F.lit("[A-Za-z]+"), F.lit(0)), F.lower), lambda w: ~w.isin(L.STOP_WORDS))))
+    wanted = F.sort_array(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(first, F.lit("[A-Za-z]+"), F.lit(0)), F.lower), lambda w: (F.length(w) >= 4) & ~w.isin(L.STOP_WORDS))))
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("query_id"), F.slice(wanted, 1, 2).alias("w")).where(F.size("w") >= 2)
     keys = asked.select("query_id", F.posexplode("w").alias("keyword", "word"), F.lit(2).alias("n_keywords"), F.lit("").alias("tag_wanted"))
     # The frequent words of the corpus are searched by few questions: words that nobody asks for are dropped first.
