@@ -178,5 +178,35 @@ def render_tokens(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.when(role(t).isNotNull(), F.concat(t["text"], F.lit("{"), role(t), F.lit("}"))).otherwise(t["text"])), " ")
 
 
+def uuid_or_null(text: Column) -> Column:
+    """A uuid in lower case; the empty one, of zeros, and what is no uuid are null."""
+    lower = F.lower(F.trim(text))
+    return F.when(lower.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") & ~lower.rlike("^[0-]+$"), lower)
+
+
+def moment_text(now: Column) -> Column:
+    return F.date_format(now, "EEEE, dd-MMM-yy HH:mm:ss z")
+
+
+def drop_space_tokens(tokens: Column) -> Column:
+    """Structs of tokens without white space."""
+    return F.filter(tokens, lambda t: F.trim(t["text"]) != "")
+
+
+def drop_empty_sentences(sentences_: Column) -> Column:
+    """Arrays of tokens without white space, and without sentences that it leaves empty."""
+    return F.filter(F.transform(sentences_, drop_space_tokens), lambda s: F.size(s) > 0)
+
+
+def retokenize(token: Column) -> Column:
+    """A token's text tokenised again, each part with the token's other fields."""
+    return F.transform(raw_tokens(token["text"]), lambda t: token.withField("text", t))
+
+
+def countable(tokens: Column, stop_words: list[str]) -> Column:
+    """How many tokens are worth a search."""
+    return F.size(F.filter(tokens, lambda t: (t["text"] != "") & ~F.lower(t["text"]).isin(stop_words)))
+
+
 def any_of(tests: list[Column]) -> Column:
     return reduce(or_, tests, F.lit(False))

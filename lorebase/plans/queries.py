@@ -194,7 +194,7 @@ def keyword_all(spark, sf_dir):
 
 
 def searched(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return boolean.execute(boolean.parse(text), lambda leaf: found(spark, sf_dir, leaf.text.lower().split())).select("sentence_id", F.size("matches").alias("n_matches"))
+    return boolean.execute(boolean.parse(text), lambda leaf: found(spark, sf_dir, [w for w, _ in boolean.keywords_of(leaf)])).select("sentence_id", F.size("matches").alias("n_matches"))
 
 
 def _leaf(word: str) -> str:
@@ -449,6 +449,66 @@ def entity_email(spark, sf_dir):
     return grammar.entities(table(spark, sf_dir, "documents"), "doc_id", "text", ["email"]).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query("SELECT o_orderkey, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS total FROM orders")
+def thousands_format(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.thousands(F.floor("o_totalprice").cast("long")).alias("total"))
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z0-9]', '_', 'g') AS file FROM part")
+def file_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.file_name(F.col("p_name")).alias("file"))
+
+
+@query("SELECT DISTINCT p_name AS word, lower(p_type) AS semantic FROM part WHERE regexp_full_match(p_name, '[A-Za-z -]+') AND length(p_name) <= 255 AND regexp_full_match(p_type, '[A-Za-z -]+') AND length(p_type) <= 30")
+def entity_names(spark, sf_dir):
+    """Values of entries' fields that become lexicon words."""
+    kinds = [("s", "part", "u", [("p_name", "", ""), ("p_type", "", "")])]
+    kinds = spark.createDataFrame(kinds, "id string, name string, origin string, field_list array<struct<name:string,semantic:string,aiml:string>>")
+    rows = table(spark, sf_dir, "part").where(T.is_entity(F.col("p_name"), F.col("p_type")))
+    made = knowledge.fields(knowledge.entries(rows, "part", "p_partkey", ["p_name", "p_type"])).join(kinds.select(F.col("name").alias("topic")), "topic")
+    return made.select(F.col("fields")["p_name"].alias("word"), F.lower(F.col("fields")["p_type"]).alias("semantic")).distinct()
+
+
+@query("SELECT p_partkey, 'a|' || p_name || '|here' AS tokens FROM part")
+def compound_merge(spark, sf_dir):
+    """Names of two words are found in a text and merged to one token."""
+    from ..operators.annotate import surface_tokens
+    from ..operators.trees import merge_longest
+
+    parts = table(spark, sf_dir, "part")
+    rows = parts.select(F.col("p_partkey").alias("id"), surface_tokens(T.words(F.concat(F.lit("a "), F.col("p_name"), F.lit(" here")))).alias("tokenList"))
+    return merge_longest(rows, L.compound_keys(parts, "p_name")).select(F.col("id").alias("p_partkey"), F.array_join("tokenList.text", "|").alias("tokens"))
+
+
+@query("WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT l_orderkey AS id, l_linenumber AS child, max(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM l")
+def tree_parents(spark, sf_dir):
+    """Lines of an order as a tree, in which a line names all lower numbers as ancestors and hangs on the nearest that exists."""
+    from ..operators.trees import parents
+
+    over = F.when(F.col("l_linenumber") > 1, F.sequence(F.col("l_linenumber") - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    token = F.struct(F.col("l_linenumber").alias("index"), over.alias("list"), F.lit("").alias("text"), F.lit("").alias("dep"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    return parents(lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(token).alias("tokenList"))).select("id", "child", "parent")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, json_extract_string(props, '$.k') AS k FROM events WHERE user_id % 7 = 0")
+def kb_upload(spark, sf_dir):
+    """JSON lines of events as entries of a schema that knows their field."""
+    from ..sources.readers import json_lines
+
+    read = table(spark, sf_dir, "events").where("user_id % 7 = 0").select(F.col("event_id").cast("string").alias("id"), F.col("props").alias("value"))
+    with_id = read.select(F.concat(F.lit('{"event":"'), F.col("id"), F.lit('",'), F.expr("substring(value, 2)")).alias("value"))
+    kind = spark.createDataFrame([("s", "event", "u", [("event", "", ""), ("k", "", "")])], "id string, name string, origin string, field_list array<struct<name:string,semantic:string,aiml:string>>")
+    made = knowledge.fields(knowledge.uploaded(json_lines(with_id), kind, "event"))
+    return made.select(F.col("fields")["event"].alias("id"), F.col("fields")["k"].alias("k"))
+
+
+@query(f"WITH {WORDS}, q AS (SELECT DISTINCT sid, txt FROM sent WHERE lang = 'en') SELECT count(*) AS n_sentences, count(*) FILTER (regexp_matches(trim(txt), '[?]$')) AS n_asking FROM q")
+def question_counts(spark, sf_dir):
+    rows = sentences(spark, sf_dir).where("lang = 'en'")
+    return rows.agg(F.count("*").alias("n_sentences"), F.count_if(F.trim("txt").endswith("?")).alias("n_asking"))
+
+
 @query()
 def entities_all(spark, sf_dir):
     return grammar.entities(table(spark, sf_dir, "documents"), "doc_id", "text")
