@@ -20,7 +20,7 @@ from .common import cut, numbered
 
 SEQUENCE = 2048
 END = 0  #: id that ends each document
-MARKS = ".,;:!?"  #: that may close a word
+SPACE = "Ġ"  #: how the vocabulary writes a space
 REMEMBERED = 700_000  #: words whose ids a worker remembers; only speed depends on it
 
 
@@ -28,8 +28,8 @@ class Encoder:
     """Ids of texts as little-endian 32-bit numbers, equal to those of encoding the whole text.
 
     The vocabulary's pattern never joins a space with what stands before it, so a text falls into words at single spaces
-    between other characters, and each of them is encoded once for all texts. New words fall further, at single line feeds and before closing marks. A text
-    with any other space is encoded whole.
+    between other characters, and each of them is encoded once for all texts. New words are encoded in one go, and told apart by the tokens that begin with a
+    space. A text with any other space is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -38,27 +38,24 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[k for token, k in vocabulary.items() if token.startswith(SPACE)]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Remember words by the parts that they are made of."""
-        made: list[list[str]] = []
-        for w in words:
-            lines = w.split("\n")
-            whole = any(not x or x[0].isspace() or x[-1].isspace() for x in lines)
-            parts = []
-            for x in [f" {w}"] if whole else [f" {lines[0]}", *(f"\n{x}" for x in lines[1:])]:
-                base = x.rstrip(MARKS)
-                parts += [base, x[len(base) :]] if len(base) < len(x) and base[-1:].isalpha() and "<" not in x else [x]
-            made.append(parts)
-        fresh = list({x for parts in made for x in parts} - self.parts.keys())
-        for k in range(0, len(fresh), 4096):
-            self.parts.update(zip(fresh[k : k + 4096], self.whole(fresh[k : k + 4096]), strict=True))
-        for w, parts in zip(words, made, strict=True):
-            self.words[w] = b"".join([self.parts[x] for x in parts])
+        """Remember words, each as it is encoded behind a space."""
+        for k in range(0, len(words), 512):
+            part = words[k : k + 512]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(part):
+                raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
+                self.words.update(zip(part, [raw[s:e] for s, e in zip((starts * 4).tolist(), ends, strict=True)], strict=True))
+            else:
+                self.words.update(zip(part, self.whole([f" {w}" for w in part]), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
@@ -66,7 +63,6 @@ class Encoder:
         missing = {w for words in split for w in words[1:]} - self.words.keys()
         if len(self.words) + len(missing) > REMEMBERED:
             self.words.clear()
-            self.parts.clear()
             missing = {w for words in split for w in words[1:]}
         self.learn([w for w in missing if w and not w[0].isspace() and not w[-1].isspace()])
         odd = []
