@@ -1,25 +1,29 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character 5-grams, one for each language.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character 4-grams, one for each language.
 
-Documents travel once in compressed chunks. A chunk's distinct n-grams ask the model for their probabilities by joins that are sharded by n-gram, so
-nothing that grows with the corpus is broadcast; the answers return to the chunk, where every document's perplexity is added up from whole texts.
+Documents travel in compressed chunks. A chunk's distinct n-grams ask the model for their probabilities by joins that are sharded by n-gram, so
+nothing that grows with the corpus is broadcast; the answers return to the chunk, where every document's perplexity is added up from whole texts. For the
+counts, only documents travel whose ids fall on a bitmap of fixed size of the trusted ids; the exact test follows in the chunk.
 """
 
 from __future__ import annotations
 
+import bz2
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions, text_bytes
 
-ORDER = 5
-BITS = 12  #: of a symbol; n-grams of ORDER symbols fit 60 bits
-CHUNK_BYTES = 32 << 20
+ORDER = 4
+BITS = 12  #: of a symbol; n-grams of ORDER symbols fit 48 bits
+CHUNK_BYTES = 24 << 20
+SLICE = 1 << 21  #: symbols that are looked at together in a chunk
+MARKS = 24  #: bits of a hash, for each of which the bitmap of trusted ids has a bit
 PRIOR = 200  #: symbols at the language's median that are added to each document, so that short ones aren't judged by chance
 FENCE = 6.0  #: interquartile ranges above the upper quartile of trusted documents at which a language's threshold stands
 
@@ -43,11 +47,14 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return gram[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())], counts
 
 
-def _pack(chunks: int):
-    """Documents of a batch to their chunks, texts compressed together."""
+def _pack(marked: np.ndarray | None):
+    """Documents of a batch to their chunks, texts compressed together; with a bitmap only those whose mark is set."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            marks = batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
+            kept = np.arange(len(marks)) if marked is None else np.flatnonzero(marked[marks >> 6] >> (marks & 63).astype(np.uint64) & np.uint64(1))
+            batch = batch.take(pa.array(kept))
             ids, langs, numbers, texts = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "chunk", "text"))
             by: dict[int, list[int]] = {}
             for k, chunk in enumerate(numbers):
@@ -55,7 +62,7 @@ def _pack(chunks: int):
             rows = []
             for chunk, ks in by.items():
                 raw = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in ks]
-                rows.append({"chunk": chunk, "ids": [ids[k] for k in ks], "langs": [langs[k] for k in ks], "sizes": [len(x) for x in raw], "texts": zstandard.compress(b"".join(raw), 6)})
+                rows.append({"chunk": chunk, "ids": [ids[k] for k in ks], "langs": [langs[k] for k in ks], "sizes": [len(x) for x in raw], "texts": bz2.compress(b"".join(raw))})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())]))
 
     return pack
@@ -64,47 +71,65 @@ def _pack(chunks: int):
 PACKED = "chunk int, ids array<long>, langs array<string>, sizes array<int>, texts binary"
 
 
-def _by_lang(packed: pa.Table) -> dict[str, list[tuple[int | None, str]]]:
-    """Documents and texts of a chunk by language."""
-    out: dict[str, list[tuple[int | None, str]]] = {}
+def _slices(packed: pa.Table) -> Iterator[tuple[str, list[int | None], list[str]]]:
+    """language, ids and texts of a chunk, a slice at a time."""
+    by: dict[str, tuple[list[int | None], list[str]]] = {}
     for r in packed.to_pylist():
-        raw, at = zstandard.decompress(r["texts"]) if sum(r["sizes"]) else b"", 0
+        raw, at = bz2.decompress(r["texts"]), 0
         for doc, lang, size in zip(r["ids"], r["langs"], r["sizes"], strict=True):
-            out.setdefault(lang or "", []).append((doc, raw[at : at + size].decode("utf-8", "surrogatepass")))
+            ids, texts = by.setdefault(lang or "", ([], []))
+            ids.append(doc)
+            texts.append(raw[at : at + size].decode("utf-8", "surrogatepass"))
             at += size
-    return out
+    for lang, (ids, texts) in sorted(by.items()):
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(texts)]
+        for s, e in pairwise(cuts):
+            yield lang, ids[s:e], texts[s:e]
 
 
-ASKED = pa.schema([("chunk", pa.int32()), ("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+COUNTED = pa.schema([("chunk", pa.int32()), ("lang", pa.string()), ("grams", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("surprise", pa.float64())])
 
 
-def _asked(packed: pa.Table, trusted: pa.Table) -> pa.Table:
-    """Distinct n-grams of a chunk by language, with their count in its trusted documents."""
-    good = set(trusted["doc_id"].to_pylist())
-    out = []
-    for lang, docs in sorted(_by_lang(packed).items()):
-        grams, counts = grams_of([t for _, t in docs])
+def _gathered(packed: pa.Table, good: set[int] | None) -> pa.Table:
+    """Distinct n-grams of a chunk with their counts by language, of all documents or of the good ones."""
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for lang, ids, texts in _slices(packed):
+        grams, _ = grams_of([t for d, t in zip(ids, texts, strict=True) if good is None or d in good])
         place, distinct = pd.factorize(grams)
-        weight = np.repeat(np.array([doc in good for doc, _ in docs]), counts)
-        n = np.bincount(place[weight], minlength=len(distinct))
-        out.append(pa.table([pa.array(np.full(len(n), packed["chunk"][0].as_py(), np.int32)), pa.array([lang] * len(n), pa.string()), pa.array(distinct), pa.array(n)], schema=ASKED))
-    return pa.concat_tables(out) if out else ASKED.empty_table()
+        found.setdefault(lang, []).append((distinct, np.bincount(place, minlength=len(distinct))))
+    rows = []
+    for lang, parts in found.items():
+        distinct, place = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([n for _, n in parts]), len(distinct)).astype(np.int64)
+        rows.append({"chunk": packed["chunk"][0].as_py(), "lang": lang, "grams": distinct, "n": counts})
+    return pa.Table.from_pylist(rows, COUNTED)
+
+
+def _asked(packed: pa.Table) -> pa.Table:
+    return _gathered(packed, None)
+
+
+def _counted(packed: pa.Table, trusted: pa.Table) -> pa.Table:
+    return _gathered(packed, set(trusted["doc_id"].to_pylist())) if packed.num_rows else COUNTED.empty_table()
 
 
 def _scored(packed: pa.Table, answers: pa.Table) -> pa.Table:
     """Each document's symbols and their surprise in nats, summed."""
-    answered = answers["lang"].to_numpy()
+    langs = answers["lang"].to_numpy()
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     out = []
-    for lang, docs in _by_lang(packed).items():
-        grams, counts = grams_of([t for _, t in docs])
+    for lang, ids, texts in _slices(packed):
+        if lang not in known:
+            own = langs == lang
+            order = np.argsort(grams := answers["gram"].to_numpy()[own])
+            known[lang] = grams[order], answers["surprise"].to_numpy()[own][order]
+        grams, counts = grams_of(texts)
         place, distinct = pd.factorize(grams)
-        own = answered == lang
-        known, surprise = answers["gram"].to_numpy()[own], answers["surprise"].to_numpy()[own]
-        order = np.argsort(known)
-        each = surprise[order][np.searchsorted(known[order], distinct)][place]
+        each = known[lang][1][np.searchsorted(known[lang][0], distinct)][place]
         sums = np.add.reduceat(each, np.cumsum(counts) - counts)
-        out.append(pa.table([pa.array([d for d, _ in docs], pa.int64()), pa.array([lang] * len(docs), pa.string()), pa.array(counts), pa.array(sums)], schema=SCORED))
+        out.append(pa.table([pa.array(ids, pa.int64()), pa.array([lang] * len(ids), pa.string()), pa.array(counts), pa.array(sums)], schema=SCORED))
     return pa.concat_tables(out) if out else SCORED.empty_table()
 
 
@@ -113,19 +138,17 @@ def _low(gram: str, n: int) -> Column:
     return F.col(gram).bitwiseAND(F.lit((1 << BITS * n) - 1))
 
 
-def kneser_ney(asked: DataFrame) -> DataFrame:
-    """asked (lang, gram, n) with all n-grams that want a probability and their trusted counts -> lang, gram, surprise = -ln p.
+def kneser_ney(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """counts (lang, gram, n) of the trusted text, and asked (lang, gram, chunks): asked with surprise = -ln p.
 
     The highest order counts occurrences; a lower order counts the distinct symbols before. Each order's discounts come from its counts of counts in
     the language, and a context's free mass goes to the order below, the lowest to all symbols alike. An unseen context leaves all to the order below.
     """
-    now = asked.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = cut(now)
-    orders = {ORDER: counts.where("n > 0")}
+    orders = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):
         above = orders[order + 1]
         orders[order] = above.groupBy("lang", _low("gram", order).alias("gram")).agg(F.count("*").alias("n"))
-    out = counts.select("lang", "gram").withColumn("p", F.lit(1.0 / (1 << BITS)))
+    out = asked.withColumn("p", F.lit(1.0 / (1 << BITS)))
     for order in range(1, ORDER + 1):
         table = orders[order]
         of = [F.count_if(F.col("n") == k).cast("double") for k in (1, 2, 3, 4)]
@@ -140,8 +163,8 @@ def kneser_ney(asked: DataFrame) -> DataFrame:
         out = out.withColumn("part", _low("gram", order)).withColumn("context", F.shiftright("part", BITS))
         out = out.join(own, ["lang", "part"], "left").join(contexts, ["lang", "context"], "left")
         mixed = (F.coalesce("held", F.lit(0.0)) + F.col("free") * F.col("p")) / F.col("total")
-        out = out.select("lang", "gram", F.when(F.col("total").isNull(), F.col("p")).otherwise(mixed).alias("p"))
-    return out.select("lang", "gram", (-F.log("p")).alias("surprise"))
+        out = out.select("lang", "gram", "chunks", F.when(F.col("total").isNull(), F.col("p")).otherwise(mixed).alias("p"))
+    return out.select("lang", "gram", "chunks", (-F.log("p")).alias("surprise"))
 
 
 def classified(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -155,10 +178,20 @@ def classified(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     chunks = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs) // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    packed = read.select("*", chunk).mapInArrow(_pack(chunks), PACKED)
     names = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    asked = cut(packed.groupBy("chunk").cogroup(names.select("doc_id", chunk).groupBy("chunk")).applyInArrow(_asked, "chunk int, lang string, gram long, n long"))
-    answers = asked.select("chunk", "lang", "gram").join(kneser_ney(asked), ["lang", "gram"])
+    mark = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MARKS)
+    marked = np.zeros(1 << (MARKS - 6), np.uint64)
+    for r in names.groupBy(F.shiftright(mark, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - MARKS}) & 63 as int))")).alias("bits")).collect():
+        marked[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    dealt = read.select("*", chunk, mark.alias("mark"))
+    training = dealt.mapInArrow(_pack(marked), PACKED).groupBy("chunk").cogroup(names.select("doc_id", chunk).groupBy("chunk")).applyInArrow(_counted, "chunk int, lang string, grams array<long>, n array<long>")
+    each = training.select("lang", F.explode(F.arrays_zip("grams", "n")).alias("x")).select("lang", F.col("x.grams").alias("gram"), F.col("x.n").alias("n"))
+    counts = cut(each.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    # One exchange of the packed documents serves both: what the chunks ask, and the chunks that get the answers.
+    packed = dealt.mapInArrow(_pack(None), PACKED)
+    wanted = packed.groupBy("chunk").applyInArrow(_asked, "chunk int, lang string, grams array<long>, n array<long>")
+    asked = wanted.select("chunk", "lang", F.explode("grams").alias("gram")).groupBy("lang", "gram").agg(F.collect_list("chunk").alias("chunks"))
+    answers = kneser_ney(counts, asked).select("lang", "gram", "surprise", F.explode("chunks").alias("chunk"))
     scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored, "doc_id long, lang string, n_symbols long, surprise double")
     scored = cut(scored.join(names.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
     middle = scored.groupBy("lang").agg(F.percentile_approx(F.col("surprise") / F.col("n_symbols"), 0.5, 10000).alias("middle"))
