@@ -20,7 +20,7 @@ def _dimensions() -> list[Column]:
 
 
 def kd_leaves(rows: DataFrame, leaves: int, dimensions: int) -> DataFrame:
-    """Add the number of the leaf to rows (size, tie, d0 ...). A node of n leaves is cut at n // 2 : n - n // 2 of its bytes until each has one.
+    """Number the leaves of rows (size, tie, d0 ..., leaf), which are all in leaf 0 so far. A node of n leaves is cut at n // 2 : n - n // 2 of its bytes until each has one.
 
     A cut is found by narrowing: each round histograms the bin that holds it, for all nodes of a level at once, and only the bin of each node comes to
     the driver. The driver holds one row a node, at most one for each leaf.
@@ -28,9 +28,9 @@ def kd_leaves(rows: DataFrame, leaves: int, dimensions: int) -> DataFrame:
     spark = rows.sparkSession
     whole = rows.agg(*(F.min(f"d{i}").alias(f"a{i}") for i in range(dimensions)), *(F.max(f"d{i}").alias(f"b{i}") for i in range(dimensions))).first()
     if whole["a0"] is None:
-        return rows.withColumn("leaf", F.lit(0))
+        return rows
     spans = [max(1, whole[f"b{i}"] - whole[f"a{i}"]) for i in range(dimensions)]
-    now = rows.withColumn("leaf", F.lit(0))
+    now = rows
     nodes = {0: leaves}
     while open_ := {k: n for k, n in nodes.items() if n > 1}:
         width = [(F.max(f"d{i}") - F.min(f"d{i}")) / spans[i] for i in range(dimensions)]
@@ -59,7 +59,7 @@ def kd_leaves(rows: DataFrame, leaves: int, dimensions: int) -> DataFrame:
                     state[node] |= {"low": low, "wide": r["step"], "before": before}
         split = spark.createDataFrame([(k, axis[k], at, k + open_[k] // 2) for k, at in cuts.items()], "node int, axis int, cut long, upper int")
         at = F.shiftleft(value.cast("long"), TIE) + F.col("tie")
-        kept = [F.col(c) for c in rows.columns]
+        kept = [F.col(c) for c in rows.columns if c != "leaf"]
         now = cut(now.join(split, F.col("leaf") == F.col("node"), "left").select(*kept, F.when(at >= F.col("cut"), F.col("upper")).otherwise(F.col("leaf")).alias("leaf")))
         nodes = {k: n for k, n in nodes.items() if n == 1} | {k: n // 2 for k, n in open_.items()} | {k + n // 2: n - n // 2 for k, n in open_.items()}
     return now
@@ -69,16 +69,15 @@ def shards(docs: DataFrame, count: int | None = None, target_bytes: int = 1 << 3
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row, in `count` shards, or as many as reach target_bytes.
 
     The law is `bytes`: sizes are as near to equal as whole documents allow, in every shard. A document's size is the UTF-8 bytes of its text and 8; a null text has none.
-    Equal texts, however many, lie side by side in the dimensions and are split between shards only where a cut falls among them. Null languages
+    Equal texts aren't held together, as one may hold a third of all bytes. Null languages
     and sources count as empty strings, a null doc_id sorts first, rows that occur twice are placed twice, extra columns are ignored, an empty table gives an empty
     result. grown_shard is null, as the law isn't `key`.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
-    # Documents of one text have one order among themselves, so that they stay together along the dimension that is cut.
     tie = F.shiftrightunsigned(F.xxhash64("text_crc32", "doc_id"), 64 - TIE)
     dimensions = _dimensions()
-    rows = cut(read.select("doc_id", "size", "text_crc32", tie.alias("tie"), *(x.alias(f"d{i}") for i, x in enumerate(dimensions))))
+    rows = cut(read.select("doc_id", "size", "text_crc32", tie.alias("tie"), *(x.alias(f"d{i}") for i, x in enumerate(dimensions)), F.lit(0).alias("leaf")))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     leaves = count or max(1, -(-(total["bytes"] or 0) // target_bytes))
     placed = kd_leaves(rows, leaves, len(dimensions)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("leaf").cast("int").alias("shard"))
