@@ -51,7 +51,7 @@ def as_sentences(entries_: DataFrame, schemas_: DataFrame) -> DataFrame:
 def uploaded(lines: DataFrame, schemas_: DataFrame, schema: str) -> DataFrame:
     """Uploaded JSON lines (fields) as entries of a schema: only its fields stay, and an id that is no uuid gets a new one from the content."""
     uuid = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
-    known = lines.join(schemas_.where(F.col("name") == schema).select(F.col("field_list.name").alias("names")), on=F.lit(True))
+    known = lines.withColumn("topic", F.lit(schema)).join(schemas_.select(F.col("name").alias("topic"), F.col("field_list.name").alias("names")), "topic")
     kept = known.withColumn("kept", F.map_filter("fields", lambda k, _: F.array_contains("names", k)))
     digest = F.md5(F.to_json("fields"))
     fresh = F.concat_ws("-", *(F.substring(digest, s, n) for s, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))

@@ -326,7 +326,7 @@ def triple_page(spark, sf_dir):
     return triples.page(found_tuples(spark, sf_dir).select("id").distinct(), 2, 10)
 
 
-PAIR = "WITH q AS (SELECT vec_id AS q_id, embedding AS q_embedding FROM embeddings WHERE vec_id % 100 = 0)"
+PAIR = "WITH q AS (SELECT vec_id AS q_id, embedding AS q_embedding, label FROM embeddings WHERE vec_id % 100 = 0)"
 
 
 def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,10 +334,12 @@ def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
-@query(PAIR + " SELECT q_id AS query_id, vec_id, round(cosh(list_cosine_similarity(q_embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings WHERE label = 1")
+@query(PAIR + " SELECT q_id AS query_id, vec_id, round(cosh(list_cosine_similarity(q_embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q JOIN embeddings e ON q.label = e.label")
 def vec_similarity(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where("label = 1")
-    return rows.join(asked_vectors(spark, sf_dir), F.lit(True)).select("query_id", "vec_id", F.round(vectors.similarity(F.col("vector"), F.col("embedding")), 6).alias("score"))
+    """Query vectors with the vectors of their own label."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = asked_vectors(spark, sf_dir).join(rows.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    return rows.join(asked, "label").select("query_id", "vec_id", F.round(vectors.similarity(F.col("vector"), F.col("embedding")), 6).alias("score"))
 
 
 EIGHT = "SELECT vec_id, embedding[1:8]::DOUBLE[] AS v FROM embeddings"
@@ -360,8 +362,8 @@ def vec_related(spark, sf_dir):
 @query("WITH q AS (SELECT embedding AS w FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(cosh(list_cosine_similarity(w::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings ORDER BY score DESC, vec_id LIMIT 20")
 def vec_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("text"), F.col("embedding").alias("vector"))
-    wanted = table(spark, sf_dir, "embeddings").where("vec_id = 7").select(F.col("embedding").alias("w"))
-    scored = rows.join(wanted, F.lit(True)).select("text", F.round(vectors.similarity(F.col("w"), F.col("vector")), 6).alias("score"))
+    wanted = table(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"]
+    scored = rows.select("text", F.round(vectors.similarity(F.lit(wanted).cast("array<float>"), F.col("vector")), 6).alias("score"))
     return vectors.top(scored, 20).withColumnRenamed("text", "vec_id")
 
 
