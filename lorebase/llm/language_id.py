@@ -93,9 +93,10 @@ def _clustered(vectors: np.ndarray, k: int) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labelled (doc_id, text, lang): at most `sample` documents of each language, chosen by hash, counted on the executors. Null languages and texts teach nothing."""
     read = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text", F.xxhash64("doc_id", "text").alias("draw"))
-    sizes = read.groupBy("lang").agg(F.count("*").alias("n"))
-    # First all but about twice the sample by the hash alone, so that no window holds a whole language.
-    some = read.join(sizes, "lang").where(F.pmod("draw", F.lit(1 << 30)) * F.col("n") <= F.lit(2 * sample * (1 << 30)))
+    sizes = read.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    size = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], r["n"])))[F.col("lang")] if sizes else F.lit(1)
+    # First all but about twice the sample by the hash alone, so that no text of the rest is shuffled and no window holds a whole language.
+    some = read.where(F.pmod("draw", F.lit(1 << 30)) * size <= F.lit(2 * sample * (1 << 30)))
     few = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("place") <= sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
