@@ -1,4 +1,4 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character 4-grams, one for each language.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character 5-grams, one for each language.
 
 Documents travel in compressed chunks. A chunk's distinct n-grams ask the model for their probabilities by joins that are sharded by n-gram, so
 nothing that grows with the corpus is broadcast; the answers return to the chunk, where every document's perplexity is added up from whole texts. For the
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, shuffle_partitions, text_bytes
 
-ORDER = 4
-BITS = 12  #: of a symbol; n-grams of ORDER symbols fit 48 bits
+ORDER = 5
+BITS = 12  #: of a symbol; n-grams of ORDER symbols fit 60 bits
+POOL = "\x1fpool"  #: the model of all trusted text together, for languages that have none
 CHUNK_BYTES = 24 << 20
 SLICE = 1 << 21  #: symbols that are looked at together in a chunk
 MARKS = 24  #: bits of a hash, for each of which the bitmap of trusted ids has a bit
@@ -171,7 +172,8 @@ def classified(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, trusted, kept of every row of docs (doc_id, text, lang), trained on the documents that `trusted` names by doc_id.
 
     perplexity: of a symbol, smoothed by PRIOR symbols at the median of the language. threshold: the upper quartile of the trusted documents' log perplexities
-    and FENCE times their interquartile range, of each language; kept: not above it. A language without trusted text has no threshold, and keeps all. A null text
+    and FENCE times their interquartile range, of each language; kept: not above it. A language without trusted text is scored by the model of all trusted text
+    together, and its threshold comes from all its own documents, as none of them is trusted; without any trusted text there is no threshold, and all are kept. A null text
     counts as empty (its boundary alone is scored), a null language is one of its own, a null doc_id is never trusted; rows that occur twice count and come out twice; extra columns are
     ignored; an empty table gives an empty result.
     """
@@ -191,13 +193,26 @@ def classified(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     packed = dealt.mapInArrow(_pack(None), PACKED)
     wanted = packed.groupBy("chunk").applyInArrow(_asked, "chunk int, lang string, grams array<long>, n array<long>")
     asked = wanted.select("chunk", "lang", F.explode("grams").alias("gram")).groupBy("lang", "gram").agg(F.collect_list("chunk").alias("chunks"))
-    answers = kneser_ney(counts, asked).select("lang", "gram", "surprise", F.explode("chunks").alias("chunk"))
+    own = counts.select("lang").distinct()
+    bare = cut(read.select(F.coalesce("lang", F.lit("")).alias("lang")).distinct().join(own, "lang", "left_anti"))
+    pooled = not bare.isEmpty() and not own.isEmpty()
+    if pooled:
+        counts = cut(counts.union(counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "gram", "n")))
+        asked = asked.join(F.broadcast(bare.withColumn("bare", F.lit(True))), "lang", "left")
+    else:
+        asked = asked.withColumn("bare", F.lit(None).cast("boolean"))
+    model = F.when(F.col("bare"), F.lit(POOL)).otherwise(F.col("lang")).alias("lang")
+    told = kneser_ney(counts, asked.select(model, "gram", F.struct("lang", "chunks").alias("chunks")))
+    answers = told.select("chunks.lang", "gram", "surprise", F.explode("chunks.chunks").alias("chunk"))
     scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored, "doc_id long, lang string, n_symbols long, surprise double")
     scored = cut(scored.join(names.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
     middle = scored.groupBy("lang").agg(F.percentile_approx(F.col("surprise") / F.col("n_symbols"), 0.5, 10000).alias("middle"))
     rated = scored.join(middle, "lang").withColumn("rate", (F.col("surprise") + PRIOR * F.col("middle")) / (F.col("n_symbols") + PRIOR))
     quartile = F.percentile_approx("rate", [0.25, 0.75], 10000)
     fences = rated.where("trusted").groupBy("lang").agg(quartile.alias("q")).select("lang", (F.col("q")[1] + FENCE * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
+    if pooled:
+        whole = rated.join(F.broadcast(bare), "lang").groupBy("lang").agg(quartile.alias("q"))
+        fences = fences.union(whole.select("lang", (F.col("q")[1] + FENCE * (F.col("q")[1] - F.col("q")[0])).alias("fence")))
     out = rated.join(fences, "lang", "left")
     lang = F.when(F.col("lang") != "", F.col("lang")).alias("lang")
     return out.select("doc_id", lang, "n_symbols", F.exp("rate").alias("perplexity"), F.exp("fence").alias("threshold"), "trusted", F.coalesce(F.col("rate") <= F.col("fence"), F.lit(True)).alias("kept"))

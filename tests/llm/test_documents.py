@@ -431,3 +431,16 @@ def test_perplexity(spark, odd, empty):
     for k, r in packed.items():
         assert math.log(r.perplexity) == pytest.approx((want[k] + 200 * middle) / (r.n_symbols + 200), rel=1e-9)
     assert perplexity.classified(odd, trusted).count() == 13 and perplexity.classified(empty, trusted).count() == 0
+
+
+def test_perplexity_order_and_pooled_languages(spark):
+    draw = random.Random(7)
+    words = ["abc", "abd", "the", "and", "xyz"]
+    say = lambda: " ".join(draw.choice(words) for _ in range(60))
+    rows = [(k, say(), "en", "s", 1, 1, "x") for k in range(20)]
+    rows += [(100 + k, say(), "xx", "s", 1, 1, "x") for k in range(20)] + [(200, "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(300)), "xx", "s", 1, 1, "x")]
+    table, trusted = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(k,) for k in range(20)], "doc_id long")
+    got = {r.doc_id: r for r in perplexity.classified(table, trusted).collect()}
+    assert perplexity.ORDER == 5 and got[100].threshold is not None
+    assert not got[200].kept and all(got[k].kept for k in got if k != 200)
+    assert all(r.kept and r.threshold is None for r in perplexity.classified(table, trusted.limit(0)).collect())
