@@ -1,7 +1,8 @@
 """Substring dedup by relative Lempel-Ziv parsing of every document against the documents before it.
 
 The reference of a document is every document with a smaller id. It is indexed in blocks: a window of WINDOW words belongs to the block that its
-minimizer names, the least hash of its GRAM-word parts, so neighbouring windows mostly meet in one block and travel as one run. Each block finds the
+minimizer names, the least hash of its GRAM-word parts, so neighbouring windows mostly meet in one block and travel as one run. The windows of a hot
+minimizer are dealt over several blocks by their own hash; equal windows have equal hashes, so they still meet. Each block finds the
 first owner of each of its windows and answers every other document with factors: stretches that one earlier document holds without a break. The parse
 then goes over a document from left to right, takes the factor that reaches furthest, and at each factor's boundary looks at the factors that begin
 inside it, so that no window across a boundary is missed.
@@ -24,14 +25,16 @@ from .common import STEP, hash_words, mix, shuffle_partitions, text_bytes, windo
 WINDOW, GRAM = 13, 7
 BLOCK_BYTES = 12 << 20  #: of text whose windows one block indexes
 LONGEST = 255  #: windows of one run, whose length travels as a byte
+HOT_WINDOWS = 1 << 17  #: of one minimizer, in documents' windows as counted on the sample, for which it gets another block
+SAMPLE = 32  #: one of so many documents is counted to find hot minimizers; it only decides where windows meet, never whether
 CHUNK = 4096  #: documents that are looked at together before the shuffle; their numbers fit 16 bits
 
 
 def _windows(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of documents' word hashes end to end: document number, position, minimizer and 32 further bits of each window."""
+    """Of documents' word hashes end to end: document number, position, minimizer and the 64-bit hash of all words of each window."""
     empty = np.empty(0, np.int64)
     if len(words) < WINDOW:
-        return empty, empty, empty.view(np.uint64), empty.astype(np.uint32)
+        return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     whole = window_hashes(words, WINDOW)
     grams = window_hashes(words, GRAM)
     core = grams[: len(whole)].copy()
@@ -41,16 +44,16 @@ def _windows(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.arange(len(counts)), counts)[: len(whole)]
     at = np.arange(len(whole))
     inside = at + WINDOW <= ends[doc]
-    return doc[inside], (at - (ends - counts)[doc])[inside], core[inside], (whole[inside] >> np.uint64(32)).astype(np.uint32)
+    return doc[inside], (at - (ends - counts)[doc])[inside], core[inside], whole[inside]
 
 
 def _owners(core: np.ndarray, tail: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window the least document id that has it, and the first position there."""
-    key = mix(core + tail.astype(np.uint64) * STEP)
-    order = np.lexsort((at, ids, key))
-    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.empty(0, np.int64)
-    owner = np.empty(len(key), np.int64)
-    owner[order] = np.repeat(order[first], np.diff(np.r_[first, len(key)]))
+    order = np.lexsort((at, ids, core, tail))
+    c, t = core[order], tail[order]
+    first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]) if len(core) else np.empty(0, np.int64)
+    owner = np.empty(len(core), np.int64)
+    owner[order] = np.repeat(order[first], np.diff(np.r_[first, len(core)]))
     return ids[owner], at[owner]
 
 
@@ -76,7 +79,36 @@ def _factors(doc: np.ndarray, at: np.ndarray, owner: np.ndarray, owner_at: np.nd
 SENT = "block int, ids binary, versions binary, doc binary, at binary, size binary, core binary, tail binary, owner binary, owner_at binary"
 
 
-def _index(blocks: int):
+def hot_cores(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The minimizers of over HOT_WINDOWS windows, sorted, and among how many blocks each is dealt. There are no more of them than windows / HOT_WINDOWS."""
+    least = max(2, HOT_WINDOWS // SAMPLE)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hash_words(words_of(t)) for t in batch.column("text").to_pylist()]
+            _, _, core, _ = _windows(np.concatenate([np.empty(0, np.uint64), *found]), np.array([len(x) for x in found], np.int64))
+            cores, n = np.unique(core, return_counts=True)
+            often = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(cores[often].view(np.int64)), pa.array(n[often])], ["core", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(SAMPLE)) == 0).select("text")
+    rows = sample.mapInArrow(count, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("core").collect()
+    cores = np.array([r["core"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(cores)
+    return cores[order], np.array([1 + r["n"] // least for r in rows], np.uint64)[order]
+
+
+def _parts(core: np.ndarray, tail: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of each window the part of its minimizer, 0 if that isn't hot."""
+    part = np.zeros(len(core), np.uint64)
+    if len(hot[0]):
+        place = np.minimum(np.searchsorted(hot[0], core), len(hot[0]) - 1)
+        own = np.flatnonzero(hot[0][place] == core)
+        part[own] = tail[own] % hot[1][place[own]]
+    return part
+
+
+def _index(blocks: int, hot: tuple[np.ndarray, np.ndarray]):
     """Runs of windows to their blocks. Of the chunk's own repeats only the first owner's windows travel; the factors of the others pass along whole."""
 
     def chunk(ids: np.ndarray, versions: np.ndarray, texts: list[str | None]) -> Iterator[dict]:
@@ -88,14 +120,15 @@ def _index(blocks: int):
         for part, rows in _split(d % blocks):
             yield _row(part, ids, versions, d[rows], a[rows], n[rows].astype("<u4"), owner=o[rows].astype("<i8").tobytes(), owner_at=oa[rows].astype("<u4").tobytes())
         doc, at, core, tail = doc[~later], at[~later], core[~later], tail[~later]
-        begin = _runs(doc, core, step=(at,))
+        dealt = _parts(core, tail, hot)
+        begin = _runs(doc, core, dealt, step=(at,))
         size = np.diff(np.r_[begin, len(at)]) if len(at) else begin
         if len(size) and size.max() > LONGEST:
             begin = np.concatenate([np.arange(b, b + n, LONGEST) for b, n in zip(begin, size, strict=True)])
             size = np.diff(np.r_[begin, len(at)])
-        for part, rows in _split((mix(core[begin]) % np.uint64(blocks)).astype(np.int64)):
+        for part, rows in _split((mix(core[begin] + dealt[begin] * STEP) % np.uint64(blocks)).astype(np.int64)):
             picked = np.repeat(begin[rows] - np.r_[0, np.cumsum(size[rows])[:-1]], size[rows]) + np.arange(size[rows].sum())
-            yield _row(part, ids, versions, doc[begin[rows]], at[begin[rows]], size[rows].astype("u1"), core=core[begin[rows]].astype("<u8").tobytes(), tail=tail[picked].astype("<u4").tobytes())
+            yield _row(part, ids, versions, doc[begin[rows]], at[begin[rows]], size[rows].astype("u1"), core=core[begin[rows]].astype("<u8").tobytes(), tail=tail[picked].astype("<u8").tobytes())
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int32()), *((c.split()[0], pa.binary()) for c in SENT.split(", ")[1:])])
@@ -137,7 +170,7 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
         else:
             size = np.frombuffer(r.size, "u1").astype(np.int64)
             along = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            index.append([np.repeat(ids, size), np.repeat(versions, size), np.repeat(at, size) + along, np.repeat(np.frombuffer(r.core, "<u8"), size), np.frombuffer(r.tail, "<u4")])
+            index.append([np.repeat(ids, size), np.repeat(versions, size), np.repeat(at, size) + along, np.repeat(np.frombuffer(r.core, "<u8"), size), np.frombuffer(r.tail, "<u8")])
     if index:
         ids, versions, at, core, tail = (np.concatenate(x) for x in zip(*index, strict=True))
         owner, owner_at = _owners(core, tail, ids, at)
@@ -180,7 +213,7 @@ def factorise(docs: DataFrame) -> DataFrame:
     """doc_id, version (hash of the text) and the factors of WINDOW words or more that earlier documents hold, as the parallel arrays at, size, owner, owner_at; documents without any are left out."""
     blocks = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs) // BLOCK_BYTES))
     read = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")
-    found = read.mapInArrow(_index(blocks), SENT).groupBy("block").applyInPandas(_answer, FOUND)
+    found = read.mapInArrow(_index(blocks, hot_cores(read)), SENT).groupBy("block").applyInPandas(_answer, FOUND)
     factors = F.collect_list(F.struct("at", "size", "owner", "owner_at"))
     return found.groupBy("doc_id", "version").agg(factors.alias("factors")).select("doc_id", "version", *(F.col(f"factors.{c}").alias(c) for c in ("at", "size", "owner", "owner_at")))
 
@@ -190,7 +223,8 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     A word goes if a window of 13 words covers it that also starts in a document with a smaller doc_id; windows are judged on the input. Rows with
     the same doc_id don't remove each other's words. A null text has no words; a row with a null doc_id loses none and removes none. Rows that occur twice
-    come out twice; extra columns are ignored; an empty table gives an empty result. Windows are told apart by 96 bits of hashes.
+    come out twice; extra columns are ignored; an empty table gives an empty result. Windows are told apart by the 64-bit hash of all
+    their words, and by that of their minimizer where it differs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = factorise(docs).withColumnsRenamed({"doc_id": "f_id", "version": "f_version"})

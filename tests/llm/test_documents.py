@@ -444,3 +444,34 @@ def test_perplexity_order_and_pooled_languages(spark):
     assert perplexity.ORDER == 5 and got[100].threshold is not None
     assert not got[200].kept and all(got[k].kept for k in got if k != 200)
     assert all(r.kept and r.threshold is None for r in perplexity.classified(table, trusted.limit(0)).collect())
+
+
+def test_substring_dedup_tells_windows_of_a_hot_part_apart(spark):
+    """Two windows with the same minimizer and the same upper 32 bits of their hashes, but with other last words."""
+    import numpy as np
+
+    from lorebase.llm.common import hash_words, window_hashes
+
+    n, base = 400_000, [f"w{k}".encode() for k in range(12)]
+    rows = np.empty((n, 13), np.uint64)
+    rows[:, :12], rows[:, 12] = hash_words(base), hash_words([b"x%d" % k for k in range(n)])
+    high = window_hashes(rows.ravel(), 13)[::13] >> np.uint64(32)
+    cores = np.stack([window_hashes(rows.ravel(), 7)[k::13][:n - 1] for k in range(7)]).min(axis=0)
+    order = np.lexsort((high[:-1], cores))
+    same = np.flatnonzero((high[order][1:] == high[order][:-1]) & (cores[order][1:] == cores[order][:-1]))
+    assert len(same)
+    a, b = (" ".join([x.decode() for x in base] + [f"x{k}"]) for k in order[same[0] : same[0] + 2])
+    texts = [(1, a), (2, b), (3, a), (4, b)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.drop_repeats(table).collect()} == {1: 0, 2: 0, 3: 13, 4: 13}
+
+
+def test_substring_dedup_deals_hot_parts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
+    monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 20)
+    line = " ".join(f"licence{k}" for k in range(7))
+    texts = [(k, " ".join(f"a{k % 40}-{j}" for j in range(9)) + f" {line} " + " ".join(f"b{k % 30}-{j}" for j in range(9))) for k in range(200)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    hot = substring_dedup.hot_cores(table)
+    assert len(hot[0]) and (hot[1] > 1).all()
+    assert Counter(tuple(r)[:4] for r in substring_dedup.drop_repeats(table).collect()) == removed(texts)
