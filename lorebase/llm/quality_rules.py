@@ -2,7 +2,8 @@
 
 Every document's statistics are transformed to a vector. In each group the subset of SUPPORT of the documents whose covariance has the least determinant
 is approached by concentration steps over all documents: distances from the present centre, the group's quantile of them, then centre and covariance of
-the documents within it. A document is rejected if its Mahalanobis distance from the last estimate is beyond CUTOFF.
+the documents within it. A document is rejected if its Mahalanobis distance from the last estimate is beyond its group's fence: Tukey's, on the logarithms of
+the distances, first of the nearer half and then of the documents within the fence before, so that junk beyond a gap doesn't move it. No label takes part.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = bytes(range(65, 91))
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-SUPPORT = 0.75  #: share of a group that the estimate rests on
+SUPPORT = 0.5  #: share of a group that the estimate rests on; at half, up to nearly half of a group may be junk
 STEPS = 5  #: concentration steps
 SALTS = 64  #: parts of a group, so that no task meets a whole one
 LEAST = 200  #: documents of a group of its own; smaller ones are pooled by language, then all together
 #: Standard deviations below which a dimension isn't told apart: log words, word length, symbols, repeated lines, repeated words, capitals.
 FLOOR = (0.4, 0.25, 0.06, 0.1, 0.1, 0.06)
 SIZE = len(FLOOR)
-CUTOFF = 300.0  #: squared distance, scaled so that its median is that of chi squared with SIZE degrees of freedom
+#: Squared distances are scaled so that their median is that of chi squared with SIZE degrees of freedom. Fences stand at its 99.9 % point at least, and distances
+#: below its 1 % point aren't told apart.
+CUTOFF, NEAREST = 22.458, 0.872
+TUKEY = 1.5  #: interquartile ranges above the upper quartile; of chi squared this is about its 99.98 % point
+FENCES = 6  #: fences one after another
 MEDIAN = SIZE * (1 - 2 / (9 * SIZE)) ** 3
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
@@ -128,6 +133,17 @@ def robust_estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     return now
 
 
+def fences(distances: DataFrame) -> DataFrame:
+    """distances (group, salt, distance) -> group, fence."""
+    now = cut(distances.groupBy("group").agg(F.percentile_approx("distance", SUPPORT, 1000).alias("fence")))
+    low, high = (F.log(F.greatest(F.col("q")[k], F.lit(NEAREST))) for k in (0, 1))
+    for _ in range(FENCES):
+        inside = _beside(distances, now).where("distance <= fence")
+        quartiles = inside.groupBy("group").agg(F.percentile_approx("distance", [0.25, 0.75], 1000).alias("q"))
+        now = cut(quartiles.select("group", F.greatest(F.exp(high + TUKEY * (high - low)), F.lit(CUTOFF)).alias("fence")))
+    return now
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, group and distance of every row.
 
@@ -144,5 +160,7 @@ def judged(docs: DataFrame) -> DataFrame:
     fitted = robust_estimates(good.select("group", "salt", *(f"x{i}" for i in range(SIZE))))
     scale = _beside(good, fitted).groupBy("group").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("middle"), F.count("*").alias("fitted_on"))
     apart = _beside(named, fitted.join(scale, "group"), "left").withColumn("distance", _distance() * MEDIAN / F.greatest("middle", F.lit(MEDIAN / 4)))
-    outlier = F.coalesce((F.col("fitted_on") >= 2 * SIZE) & (F.col("distance") > CUTOFF), F.lit(False))
-    return apart.select("doc_id", *STATS[:5], "base_failed", (~F.col("base_failed") & ~outlier).alias("kept"), "group", "distance", *STATS[5:])
+    apart = cut(apart.drop("mean", "inverse", "log_det", *(f"x{i}" for i in range(SIZE))))
+    fenced = _beside(apart, fences(apart.where("not base_failed and distance is not null").select("group", "salt", "distance")), "left")
+    outlier = F.coalesce((F.col("fitted_on") >= 2 * SIZE) & (F.col("distance") > F.col("fence")), F.lit(False))
+    return fenced.select("doc_id", *STATS[:5], "base_failed", (~F.col("base_failed") & ~outlier).alias("kept"), "group", "distance", *STATS[5:])

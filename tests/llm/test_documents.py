@@ -475,3 +475,13 @@ def test_substring_dedup_deals_hot_parts(spark, monkeypatch):
     hot = substring_dedup.hot_cores(table)
     assert len(hot[0]) and (hot[1] > 1).all()
     assert Counter(tuple(r)[:4] for r in substring_dedup.drop_repeats(table).collect()) == removed(texts)
+
+
+@pytest.mark.parametrize("percent", [30, 45])
+def test_quality_rules_reject_much_junk(spark, percent):
+    draw = random.Random(5)
+    clean, junk = 1000 - 10 * percent, 10 * percent
+    rows = [(k, " ".join(draw.choice("abcdefgh") * draw.randrange(3, 9) + str(draw.randrange(999)) for _ in range(draw.randrange(80, 200))), "en", "s", 1, 1, "x") for k in range(clean)]
+    rows += [(5000 + k, " ".join("<|#|>" + str(draw.randrange(10**6)) for _ in range(100)), "en", "s", 1, 1, "x") for k in range(junk)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(kept[k] for k in range(clean)) and not any(kept[5000 + k] for k in range(junk))
