@@ -27,7 +27,13 @@ ASSIGNED = 6  #: characters at least of an assigned value
 PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-LAYER_BYTES = 1 << 26  #: of one unpacked layer; a larger one is refused and counted
+#: Lines of a wrapped run, the breaks themselves or as escapes.
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*[A-Za-z0-9+/_-]+)+={0,2}")
+BREAK = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t>]*")
+PACKED = re.compile(b"\x1f(?=\x8b\x08)|" + b"|".join(re.escape(bytes([x])) + b"(?=[" + b"".join(b"\\x%02x" % y for y in range(256) if not y & 32 and (x << 8 | y) % 31 == 0) + b"])" for x in range(8, 128, 16)))
+LAYER_BYTES = 1 << 26  #: of an unpacked layer that are looked at together; a larger layer is looked at in pieces
+OVERLAP = 1 << 16  #: characters of a piece that are looked at again with the next
+TOTAL_BYTES = 1 << 32  #: unpacked in all of one text; what goes beyond is a bomb, refused and counted
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -61,13 +67,10 @@ def _percent(run: str) -> tuple[str, list[int], list[int]]:
 
 
 def _characters(raw: bytes, lo: list[int], hi: list[int]) -> tuple[str, list[int], list[int]]:
-    """Places of bytes to places of the characters that they make; bytes that aren't UTF-8 become U+FFFD."""
-    text = raw.decode("utf-8", "replace")
+    """Places of bytes to places of the characters that they make; bytes that aren't UTF-8 are read as latin-1, so none is lost."""
+    text = _text(raw)
     if len(text) == len(raw):
         return text, lo, hi
-    if "�" in text:
-        text = raw.decode("latin-1")
-        return text, lo, hi
     sizes = [len(c.encode()) for c in text]
     ends = np.cumsum(sizes).tolist()
     return text, [lo[e - n] for e, n in zip(ends, sizes, strict=True)], [hi[e - 1] for e in ends]
@@ -108,47 +111,89 @@ def _escapes(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
         yield "".join(made), lo, hi
 
 
-def _unpacked(raw: bytes) -> tuple[bytes | None, bool]:
-    """A compressed layer unpacked, None if it isn't one; and whether it was refused as too large."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        try:
-            worker = zlib.decompressobj(47)
-            made = worker.decompress(raw, LAYER_BYTES)
-            return (None, True) if worker.unconsumed_tail else (made, False)
-        except zlib.error:
-            pass
-    return None, False
+def _members(raw: bytes, at: int, budget: list[int]) -> Iterator[bytes | None]:
+    """What unpacks at a place, all members end to end, in pieces of LAYER_BYTES; a damaged or short stream gives what comes out before. None: the budget is spent."""
+    rest = raw[at:]
+    while rest[:3] == b"\x1f\x8b\x08" or (len(rest) > 2 and rest[0] & 15 == 8 and (rest[0] << 8 | rest[1]) % 31 == 0):
+        worker = zlib.decompressobj(47)
+        while not worker.eof and rest:
+            if budget[0] <= 0:
+                yield None
+                return
+            try:
+                made = worker.decompress(rest, min(LAYER_BYTES, budget[0]))
+            except zlib.error:
+                # What stands before the damage comes out in small steps.
+                made = _before_damage(raw, at) if worker.unconsumed_tail == b"" and rest == raw[at:] else b""
+                if made:
+                    budget[0] -= len(made)
+                    yield made
+                return
+            budget[0] -= len(made)
+            rest = worker.unconsumed_tail
+            if made:
+                yield made
+            elif not rest:
+                break
+        rest = worker.unused_data if worker.eof else b""
+
+
+def _before_damage(raw: bytes, at: int) -> bytes:
+    worker, made = zlib.decompressobj(47), bytearray()
+    try:
+        for k in range(at, len(raw), 64):
+            if len(made) >= LAYER_BYTES or worker.eof:
+                break
+            made += worker.decompress(raw[k : k + 64], LAYER_BYTES)
+    except zlib.error:
+        pass
+    return bytes(made)
 
 
-def _base64(run: str) -> tuple[str, list[int], list[int], bool] | None:
-    """A base64 run, unpacked as often as it is compressed; None if no readable text comes out. The last: whether a layer was refused."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+def _text(raw: bytes) -> str:
     try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    lo = [k * 8 // 6 for k in range(len(raw))]
-    hi = [min((k * 8 + 7) // 6 + 1, len(run)) for k in range(len(raw))]
-    while True:
-        made, refused = _unpacked(raw)
-        if refused:
-            return "", [], [], True
-        if made is None or made == raw:
-            break
-        raw, lo, hi = made, [0] * len(made), [len(run)] * len(made)
-    try:
-        text = raw.decode("utf-8")
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\r\n" for c in text) < len(text):
-        return None
-    return *_characters(raw, lo, hi), False
+        return raw.decode("latin-1")
+
+
+def _unpacked(raw: bytes, budget: list[int]) -> Iterator[tuple[str | None, int]]:
+    """The texts of all compressed streams in some bytes, whole or in overlapping pieces, with the stream's place; None for one that is refused."""
+    for m in PACKED.finditer(raw):
+        at = m.start()
+        before = ""
+        for made in _members(raw, at, budget):
+            if made is None:
+                yield None, at
+                break
+            text = _text(made)
+            yield before + text, at
+            before = text[-OVERLAP:]
 
 
-def layers(text: str) -> Iterator[tuple[str, list[int], list[int], bool]]:
-    """What one layer unwraps to: text, starts and ends of its characters in the layer, and whether it was refused."""
+def _base64(run: str) -> Iterator[tuple[str, list[int], list[int], bytes]]:
+    """A base64 run read from each of four places: text, starts and ends of its characters in the run, and its bytes."""
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        part = body[skip:]
+        if len(part) % 4 == 1:
+            part = part[:-1]
+        if len(part) < 8:
+            continue
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        lo = [skip + k * 8 // 6 for k in range(len(raw))]
+        hi = [min(skip + (k * 8 + 7) // 6 + 1, len(run)) for k in range(len(raw))]
+        yield *_characters(raw, lo, hi), raw
+
+
+def layers(text: str, budget: list[int] | None = None) -> Iterator[tuple[str, list[int], list[int], bool]]:
+    """What one layer unwraps to: text, starts and ends of its characters in the layer, and whether it was refused. Whatever characters come out, they are a layer."""
+    budget = [TOTAL_BYTES] if budget is None else budget
+
+    def unpack(raw: bytes, start: int, end: int) -> Iterator[tuple[str, list[int], list[int], bool]]:
+        for made, _ in _unpacked(raw, budget):
+            yield (made, [start] * len(made), [end] * len(made), False) if made is not None else ("", [], [], True)
+
     if "%" in text:
         for start, end in _stretches(PERCENT, text):
             made, lo, hi = _percent(text[start:end])
@@ -156,10 +201,25 @@ def layers(text: str) -> Iterator[tuple[str, list[int], list[int], bool]]:
     if "\\" in text or "&#" in text:
         for made, lo, hi in _escapes(text):
             yield made, lo, hi, False
-    for m in BASE64.finditer(text):
-        if found := _base64(m[0]):
-            made, lo, hi, refused = found
-            yield made, [m.start() + x for x in lo], [m.start() + x for x in hi], refused
+    runs = [(m[0], range(m.start(), m.end())) for m in BASE64.finditer(text)]
+    for m in WRAPPED.finditer(text) if "\n" in text or "\\n" in text else ():
+        gaps = [m.start(), *(x for b in BREAK.finditer(text, m.start(), m.end()) for x in b.span()), m.end()]
+        places = [k for s, e in zip(gaps[::2], gaps[1::2], strict=True) for k in range(s, e)]
+        if len(places) >= 16:
+            runs.append(("".join(text[k] for k in places), places))
+    for run, places in runs:
+        for made, lo, hi, raw in _base64(run):
+            yield made, [places[x] for x in lo], [places[x - 1] + 1 for x in hi], False
+            yield from unpack(raw, places[0], places[-1] + 1)
+    # A layer of bytes stands here as latin-1, or, where they happened to be UTF-8, as characters.
+    if text and (not text.isascii() or "\x1f" in text or "x\x01" in text):
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            raw = b""
+        for other in {raw, text.encode("utf-8", "surrogatepass")}:
+            if other:
+                yield from unpack(other, 0, len(text))
 
 
 def find(text: str) -> tuple[list[Span], list[Span], int, int]:
@@ -169,13 +229,13 @@ def find(text: str) -> tuple[list[Span], list[Span], int, int]:
     already isn't looked at again, so decodings that lead back to each other end.
     """
     base = scan(text)
-    spans, refused = set(base), 0
+    spans, refused, budget = set(base), 0, [TOTAL_BYTES]
     seen: set[tuple[int, int, bytes]] = set()
     work: deque[tuple[str, list[int], list[int]]] = deque()
 
     def add(source: str, lo: list[int] | None, hi: list[int] | None) -> None:
         nonlocal refused
-        for made, starts, ends, too_large in layers(source):
+        for made, starts, ends, too_large in layers(source, budget):
             refused += too_large
             if not made or made == source:
                 continue
@@ -203,7 +263,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Places are code points of the text as it stands, ends exclusive; a secret that was found in an unwrapped layer has the place of the code that
     holds it. A null text counts as empty; doc_id may be null; repeated rows and extra columns do no harm; an empty table gives an empty result. A compressed
-    layer over LAYER_BYTES is a bomb: it stays packed and counts in n_refused.
+    layer is looked at in pieces of LAYER_BYTES. What unpacks beyond TOTAL_BYTES of one text is a bomb: it stays packed and counts in n_refused. Base64 is read
+    from each of four places of its run, so n_layers counts readings that make no sense, too.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

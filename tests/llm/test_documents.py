@@ -485,3 +485,34 @@ def test_quality_rules_reject_much_junk(spark, percent):
     rows += [(5000 + k, " ".join("<|#|>" + str(draw.randrange(10**6)) for _ in range(100)), "en", "s", 1, 1, "x") for k in range(junk)]
     kept = {r.doc_id: r.kept for r in quality_rules.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(kept[k] for k in range(clean)) and not any(kept[5000 + k] for k in range(junk))
+
+
+def _hidden(k):
+    """A secret in layers that hold odd characters, odd bytes, packed bytes, prefixes or line breaks."""
+    secret = "password=Zx81kqPL7"
+    b64 = lambda x: base64.b64encode(x).decode()
+    packed = gzip.compress(secret.encode(), mtime=0)
+    return [
+        b64(f"a\u00a0b\u00ad {secret}".encode()),
+        b64(b"\xff\xfe\x00 " + secret.encode()),
+        "".join(f"%{x:02x}" for x in packed),
+        "".join(f"\\x{x:02x}" for x in packed),
+        "host/path/" + b64(secret.encode()),
+        "key-x_" + b64(packed),
+        "\n".join(b64(b"some words before the " + secret.encode() + b" and after it")[j : j + 28] for j in range(0, 80, 28)),
+        b64(gzip.compress(b"first", mtime=0) + packed),
+    ][k]
+
+
+@pytest.mark.parametrize("k", range(8))
+def test_secrets_in_odd_layers(k):
+    code = _hidden(k)
+    text = f"Some text {code} and after"
+    _, spans, _, refused = secrets.find(text)
+    assert not refused and any(kind == 0 and 10 <= s < e <= 10 + len(code) for s, kind, e in spans)
+
+
+def test_secrets_in_large_layer(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    code = base64.b64encode(zlib.compress(b" " * 995 + b"password=Zx81kqPL7 " + b" " * 3000)).decode()
+    assert any(kind == 0 for _, kind, _ in secrets.find(code)[1])
