@@ -5,30 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm import decontamination, near_dedup, packing, quality_rules, secrets
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+def _key(*columns: str) -> Column:
+    """A hash of the columns in which nulls are values, too; rows with one key are alike in all of them."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return _only(docs, quality_rules.judged(docs).where("kept"))
+    """Rows that the rules keep. Each row is judged by its own text, whatever its doc_id, which may be null."""
+    keyed = docs.withColumn("_row", _key("doc_id", "text", "lang", "source"))
+    kept = quality_rules.judged(keyed.select(F.col("_row").alias("doc_id"), "lang", "source", "text")).where("kept")
+    return keyed.join(kept.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_semi").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the least doc_id."""
-    return _only(docs, near_dedup.near_duplicates(docs).where("kept")).dropDuplicates(["doc_id"])
+    """One document of each group, the one with the least doc_id; all its texts that differ stay, identical ones once. Rows with a null doc_id are linked with nothing and all stay."""
+    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
+    one = named.withColumn("_row", _key("doc_id", "text")).dropDuplicates(["_row"]).select(docs.columns)
+    return one.union(docs.where("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
-    found = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows into whose text no benchmark item leaks, whatever their doc_id, which may be null."""
+    keyed = docs.withColumn("_row", _key("text"))
+    found = decontamination.leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

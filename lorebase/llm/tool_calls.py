@@ -70,24 +70,38 @@ def levels(calls: DataFrame) -> DataFrame:
         done = done.union(fresh)
 
 
+def _numbered(rows: DataFrame, more: list[str]) -> DataFrame:
+    """rows (conv_id, turn, call_id and `more`) with first: whether it is the one row of its conversation and identifier that comes first by turn and `more`."""
+    key, order = ["conv_id", "call_id"], ["turn", *more]
+    counted = rows.groupBy(*key, *order).agg(F.count("*").alias("times"))
+    usable = counted.where("conv_id is not null and call_id is not null and turn is not null")
+    least = usable.groupBy(*key).agg(F.min(F.struct(*order)).alias("least"))
+    joined = counted.join(least, key, "left")
+    here = F.coalesce(F.struct(*order).eqNullSafe(F.col("least")), F.lit(False))
+    each = joined.withColumn("first", here).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return each.select(*rows.columns, (F.col("first") & (F.col("k") == 1)).alias("first"))
+
+
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """Link calls (conv_id, turn, call_id, name, arguments, depends_on) with results (conv_id, call_id, turn, content) by conversation and identifier.
 
     A row for each call, and for each result without one: conv_id, turn, call_id, name, level (its topological place; null on or behind a cycle), linked, valid,
     fault, message (canonical JSON). Reading a conversation's rows by (level, turn) puts each call behind what it depends on.
 
-    If an identifier is used twice, the call with the least turn has it, and the result with the least turn is its result; the others have their rows, not linked. Null
+    If an identifier is used twice, the call with the least turn has it, and the result with the least turn is its result; within a turn the least content, or the
+    least name, arguments and dependencies, and of equal rows one. The others have their rows, not linked. Null
     identifiers link with nothing. Arguments that aren't JSON, or break the schema of their name, or have no schema, are not valid and stand in the message as
     a string. Extra columns are ignored; empty tables give an empty result.
     """
     key = ["conv_id", "call_id"]
-    first_call = calls.where("call_id is not null").groupBy(*key).agg(F.min("turn").alias("turn")).withColumn("first", F.lit(True))
-    first_result = results.where("call_id is not null").groupBy(*key).agg(F.min_by(F.struct("content"), "turn").alias("got"))
+    calls = _numbered(calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on"), ["name", "arguments", "depends_on"])
+    results = _numbered(results.select("conv_id", "turn", "call_id", "content"), ["content"])
     place = levels(calls.where("call_id is not null").select(*key, F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")))
-    own = calls.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on").join(first_call, [*key, "turn"], "left").join(place, key, "left").join(first_result, key, "left")
+    taken = calls.where("first").select(*key)
+    got = results.where("first").select(*key, F.struct("content").alias("got")).join(taken, key, "left_semi")
+    own = calls.join(place, key, "left").join(got, key, "left")
     own = own.select("conv_id", "turn", "call_id", "name", "arguments", "depends_on", F.when(F.col("first"), F.col("level")).alias("level"), (F.col("first") & F.col("got").isNotNull()).alias("linked"), F.when(F.col("first"), F.col("got.content")).alias("content"))
-    firsts = results.where("call_id is not null").groupBy(*key).agg(F.min("turn").alias("turn")).join(first_call.select(*key), key, "left_semi")
-    orphans = results.join(firsts, [*key, "turn"], "left_anti")
+    orphans = results.where("not first").unionByName(results.where("first").join(taken, key, "left_anti"))
     blank = F.lit(None).cast("string")
     both = own.unionByName(orphans.select("conv_id", "turn", "call_id", blank.alias("name"), blank.alias("arguments"), F.lit(None).cast("array<string>").alias("depends_on"), F.lit(None).cast("int").alias("level"), F.lit(False).alias("linked"), "content"))
 

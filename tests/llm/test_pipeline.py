@@ -3,6 +3,7 @@
 import zlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -42,3 +43,24 @@ def test_stages(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DIR).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_decisions_are_by_row(spark):
+    """Null and repeated doc_ids: each row is kept or dropped by its own text."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(400)
+    good = quality_rules.judged(docs).where("kept").select("doc_id").limit(2)
+    rows = docs.join(good, "doc_id", "left_semi").collect()
+    at = docs.columns.index("doc_id")
+    text = docs.columns.index("text")
+    make = lambda r, doc, t=None: tuple(doc if k == at else (t if t is not None and k == text else x) for k, x in enumerate(r))
+    table = spark.createDataFrame([make(rows[0], None), make(rows[0], 7), make(rows[0], 7, "short"), make(rows[1], 7), make(rows[1], None, "short")], docs.schema)
+    kept = corpus_pipeline.apply_quality_rules(spark, table, DIR)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, rows[0].text), (7, rows[0].text), (7, rows[1].text)])
+    left = corpus_pipeline.drop_near_duplicates(spark, kept, DIR)
+    assert left.count() == 3
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    leaking = decontamination.leaks(docs, item).select("doc_id").limit(1)
+    bad = docs.join(leaking, "doc_id", "left_semi").collect()
+    mixed = spark.createDataFrame([make(rows[0], None), *(make(r, None) for r in bad)], docs.schema)
+    clean = decontamination.leaks(mixed.select(F.lit(1).cast("long").alias("doc_id"), "text").limit(1), item).count() == 0
+    assert corpus_pipeline.drop_leaks(spark, mixed, DIR).count() == (1 if clean else 0)

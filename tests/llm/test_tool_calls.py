@@ -65,3 +65,10 @@ def test_query(spark):
             want[conv, turn] = None, False, False, r.text
     got = {(r.conv_id, r.turn): (r.level, r.linked, r.valid, json.loads(r.message)["result"]) for r in op7_tool_calls(spark, sf_dir).collect()}
     assert got == want
+
+
+def test_ties_of_results_and_calls_keep_their_rows(spark):
+    calls = spark.createDataFrame([(1, 0, "a", "x", None, None), (1, 0, "a", "y", None, None)], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([(1, "a", 1, "p"), (1, "a", 1, "q"), (1, "a", 1, "p"), (1, "b", 2, "z")], "conv_id long, call_id string, turn long, content string")
+    got = tool_calls.linked(calls, results, {}).collect()
+    assert len(got) == 5 and sum(r.linked for r in got) == 1 and sorted(r.turn for r in got) == [0, 0, 1, 1, 2]
