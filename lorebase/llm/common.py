@@ -14,15 +14,47 @@ MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+FEW = 10_000  #: rows of a table of groups that are broadcast; more are joined in salted parts
+SALTS = 32  #: parts of a hot group, so that no task meets a whole one
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder, so that a lost executor costs a read and not a recomputation."""
+    """Compute df once into the shared checkpoint folder, so that a lost executor costs a read and not a recomputation.
+
+    The folder is spark.checkpoint.dir. Where that is unset a local session takes one of its own; a cluster must name one that all its machines share.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def beside(rows: DataFrame, facts: DataFrame, by: str, few: bool, how: str = "inner") -> DataFrame:
+    """rows with the facts of their group, one row a group: broadcast if `few` says that there are at most FEW groups, else joined in SALTS parts, so that a hot group
+    isn't one task. `by` isn't null on either side."""
+    if few:
+        return rows.join(F.broadcast(facts), by, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [by, "_salt"], how).drop("_salt")
+
+
+def quantiles(rows: DataFrame, by: str, value: Column, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles of a value in each group: by, and under each name of `shares` the least value that this share of the rows doesn't exceed.
+
+    Equal values are counted before anything is sorted, so the value must lie on a grid. The result doesn't depend on how rows are dealt.
+    """
+    counted = rows.select(by, value.alias("_v")).where("_v is not null").groupBy(by, "_v").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(by)
+    ranked = counted.select(by, "_v", F.sum("_n").over(own.orderBy("_v")).alias("_upto"), F.sum("_n").over(own).alias("_all"))
+    return ranked.groupBy(by).agg(*(F.min(F.when(F.col("_upto") >= F.ceil(F.lit(s) * F.col("_all")), F.col("_v"))).alias(name) for name, s in shares.items()))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

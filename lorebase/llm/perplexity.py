@@ -1,72 +1,64 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character 5-grams, one for each language.
 
-Documents travel in compressed chunks. A chunk's distinct n-grams ask the model for their probabilities by joins that are sharded by n-gram, so
-nothing that grows with the corpus is broadcast; the answers return to the chunk, where every document's perplexity is added up from whole texts. For the
-counts, only documents travel whose ids fall on a bitmap of fixed size of the trusted ids; the exact test follows in the chunk.
+Documents travel once, in compressed chunks of fixed size. A chunk names its distinct n-grams with their counts in trusted documents; these rows meet by n-gram, where the
+counts become the model and the distinct n-grams climb its orders by joins, so nothing that grows with the corpus is broadcast or gathered in one
+row; the answers return to the chunk, where every document's perplexity is added up from whole texts.
 """
 
 from __future__ import annotations
 
-import bz2
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, text_bytes
+from .common import FEW, beside, cut, quantiles, text_bytes, window_hashes
 
 ORDER = 5
-BITS = 12  #: of a symbol; n-grams of ORDER symbols fit 60 bits
+CODES = 0x110000  #: symbols: all code points
 POOL = "\x1fpool"  #: the model of all trusted text together, for languages that have none
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 128 << 20  #: of text in a chunk, whatever the number of partitions
 SLICE = 1 << 21  #: symbols that are looked at together in a chunk
-MARKS = 24  #: bits of a hash, for each of which the bitmap of trusted ids has a bit
+LEVEL = 9  #: of the compression in which texts travel
 PRIOR = 200  #: symbols at the language's median that are added to each document, so that short ones aren't judged by chance
 FENCE = 6.0  #: interquartile ranges above the upper quartile of trusted documents at which a language's threshold stands
+GRID = 4096  #: rates are rounded to so many steps a nat before quantiles are taken
 
 
 def symbols(text: str) -> np.ndarray:
-    """Symbols of BITS bits: code points below 3072 stand for themselves, others share 1024 symbols; ORDER - 1 boundaries stand in front, one behind."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    code = np.where(code < 3072, code, 3072 + code % 1024)
-    return np.concatenate([np.zeros(ORDER - 1, np.int64), code, np.zeros(1, np.int64)])
+    """Code points, ORDER - 1 boundaries before and one behind. The boundary is code point 0."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([np.zeros(ORDER - 1, np.uint32), code, np.zeros(1, np.uint32)])
 
 
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of texts end to end, and how many each text has."""
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts end to end: symbols, where each n-gram begins, its 64-bit key, and how many n-grams each text has."""
     parts = [symbols(t) for t in texts]
-    counts = np.array([len(x) - ORDER + 1 for x in parts])
-    code = np.concatenate([np.empty(0, np.int64), *parts])
-    gram = np.zeros(max(0, len(code) - ORDER + 1), np.int64)
-    for k in range(ORDER):
-        gram = gram << BITS | code[k : k + len(gram)]
+    counts = np.array([len(x) - ORDER + 1 for x in parts], np.int64)
+    code = np.concatenate([np.empty(0, np.uint32), *parts])
     starts = np.cumsum([0, *(len(x) for x in parts)])[:-1]
-    return gram[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())], counts
+    place = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    return code, place, window_hashes(code.astype(np.uint64), ORDER)[place], counts
 
 
-def _pack(marked: np.ndarray | None):
-    """Documents of a batch to their chunks, texts compressed together; with a bitmap only those whose mark is set."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
-            kept = np.arange(len(marks)) if marked is None else np.flatnonzero(marked[marks >> 6] >> (marks & 63).astype(np.uint64) & np.uint64(1))
-            batch = batch.take(pa.array(kept))
-            ids, langs, numbers, texts = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "chunk", "text"))
-            by: dict[int, list[int]] = {}
-            for k, chunk in enumerate(numbers):
-                by.setdefault(chunk, []).append(k)
-            rows = []
-            for chunk, ks in by.items():
-                raw = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in ks]
-                rows.append({"chunk": chunk, "ids": [ids[k] for k in ks], "langs": [langs[k] for k in ks], "sizes": [len(x) for x in raw], "texts": bz2.compress(b"".join(raw))})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())]))
-
-    return pack
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a batch to their chunks, texts compressed together."""
+    press = zstandard.ZstdCompressor(level=LEVEL)
+    for batch in batches:
+        ids, langs, numbers, texts = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "chunk", "text"))
+        by: dict[int, list[int]] = {}
+        for k, chunk in enumerate(numbers):
+            by.setdefault(chunk, []).append(k)
+        rows = []
+        for chunk, ks in by.items():
+            raw = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in ks]
+            rows.append({"chunk": chunk, "ids": [ids[k] for k in ks], "langs": [langs[k] for k in ks], "sizes": [len(x) for x in raw], "texts": press.compress(b"".join(raw))})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())]))
 
 
 PACKED = "chunk int, ids array<long>, langs array<string>, sizes array<int>, texts binary"
@@ -75,8 +67,9 @@ PACKED = "chunk int, ids array<long>, langs array<string>, sizes array<int>, tex
 def _slices(packed: pa.Table) -> Iterator[tuple[str, list[int | None], list[str]]]:
     """language, ids and texts of a chunk, a slice at a time."""
     by: dict[str, tuple[list[int | None], list[str]]] = {}
+    press = zstandard.ZstdDecompressor()
     for r in packed.to_pylist():
-        raw, at = bz2.decompress(r["texts"]), 0
+        raw, at = press.decompress(r["texts"], max_output_size=sum(r["sizes"])) if any(r["sizes"]) else b"", 0
         for doc, lang, size in zip(r["ids"], r["langs"], r["sizes"], strict=True):
             ids, texts = by.setdefault(lang or "", ([], []))
             ids.append(doc)
@@ -89,130 +82,141 @@ def _slices(packed: pa.Table) -> Iterator[tuple[str, list[int | None], list[str]
             yield lang, ids[s:e], texts[s:e]
 
 
-COUNTED = pa.schema([("chunk", pa.int32()), ("lang", pa.string()), ("grams", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("chunk_n", pa.int64())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("surprise", pa.float64())])
 
 
-def _gathered(packed: pa.Table, good: set[int] | None) -> pa.Table:
-    """Distinct n-grams of a chunk with their counts by language, of all documents or of the good ones."""
-    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+def _gathered(packed: pa.Table, trusted: pa.Table) -> pa.Table:
+    """Distinct n-grams of a chunk by language; chunk_n has the chunk in its upper half and the count in trusted documents in its lower half."""
+    good = set(trusted["doc_id"].to_pylist())
+    found: dict[str, list[tuple[np.ndarray, ...]]] = {}
     for lang, ids, texts in _slices(packed):
-        grams, _ = grams_of([t for d, t in zip(ids, texts, strict=True) if good is None or d in good])
-        place, distinct = pd.factorize(grams)
-        found.setdefault(lang, []).append((distinct, np.bincount(place, minlength=len(distinct))))
-    rows = []
+        code, place, keys, counts = grams_of(texts)
+        number, distinct = pd.factorize(keys)
+        first = np.empty(len(distinct), np.int64)
+        first[number[::-1]] = place[::-1]
+        counted = np.repeat(np.array([d in good for d in ids], float), counts)
+        made = distinct, code[first[:, None] + np.arange(ORDER)], np.bincount(number, counted, len(distinct)).astype(np.int64)
+        found.setdefault(lang, []).append(made)
+    out = [COUNTED.empty_table()]
     for lang, parts in found.items():
-        distinct, place = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([n for _, n in parts]), len(distinct)).astype(np.int64)
-        rows.append({"chunk": packed["chunk"][0].as_py(), "lang": lang, "grams": distinct, "n": counts})
-    return pa.Table.from_pylist(rows, COUNTED)
-
-
-def _asked(packed: pa.Table) -> pa.Table:
-    return _gathered(packed, None)
-
-
-def _counted(packed: pa.Table, trusted: pa.Table) -> pa.Table:
-    return _gathered(packed, set(trusted["doc_id"].to_pylist())) if packed.num_rows else COUNTED.empty_table()
+        keys, codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+        text = codes[first].astype("<u4").tobytes().decode("utf-32-le")
+        grams = [text[k : k + ORDER] for k in range(0, len(text), ORDER)]
+        chunk_n = (packed["chunk"][0].as_py() << 32) + np.bincount(number, n, len(first)).astype(np.int64)
+        out.append(pa.table([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(chunk_n)], schema=COUNTED))
+    return pa.concat_tables(out)
 
 
 def _scored(packed: pa.Table, answers: pa.Table) -> pa.Table:
     """Each document's symbols and their surprise in nats, summed."""
-    langs = answers["lang"].to_numpy()
+    models = answers["model"].to_numpy()
     known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    out = []
+    for model in set(models.tolist()):
+        own = np.flatnonzero(models == model)
+        text = "".join(answers["gram"].take(pa.array(own)).to_pylist())
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        keys = window_hashes(code, ORDER)[::ORDER]
+        order = np.argsort(keys)
+        known[model] = keys[order], answers["surprise"].to_numpy()[own][order].astype(np.float64)
+    out = [SCORED.empty_table()]
     for lang, ids, texts in _slices(packed):
-        if lang not in known:
-            own = langs == lang
-            order = np.argsort(grams := answers["gram"].to_numpy()[own])
-            known[lang] = grams[order], answers["surprise"].to_numpy()[own][order]
-        grams, counts = grams_of(texts)
-        place, distinct = pd.factorize(grams)
-        each = known[lang][1][np.searchsorted(known[lang][0], distinct)][place]
-        sums = np.add.reduceat(each, np.cumsum(counts) - counts)
+        keys, surprise = known[lang] if lang in known else known[POOL]
+        _, _, grams, counts = grams_of(texts)
+        number, distinct = pd.factorize(grams)
+        sums = np.add.reduceat(surprise[np.searchsorted(keys, distinct)][number], np.cumsum(counts) - counts)
         out.append(pa.table([pa.array(ids, pa.int64()), pa.array([lang] * len(ids), pa.string()), pa.array(counts), pa.array(sums)], schema=SCORED))
-    return pa.concat_tables(out) if out else SCORED.empty_table()
-
+    return pa.concat_tables(out)
 
-def _low(gram: str, n: int) -> Column:
-    """The last n symbols."""
-    return F.col(gram).bitwiseAND(F.lit((1 << BITS * n) - 1))
 
-
-def kneser_ney(counts: DataFrame, asked: DataFrame) -> DataFrame:
-    """counts (lang, gram, n) of the trusted text, and asked (lang, gram, chunks): asked with surprise = -ln p.
+def kneser_ney(counts: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """counts (model, gram, n) of the trusted text, and distinct asked (model, gram): asked with p, under the model that each names.
 
     The highest order counts occurrences; a lower order counts the distinct symbols before. Each order's discounts come from its counts of counts in
-    the language, and a context's free mass goes to the order below, the lowest to all symbols alike. An unseen context leaves all to the order below.
+    the model, and a context's free mass goes to the order below, the lowest to all symbols alike. An unseen context leaves all to the order below. The distinct ends
+    of the asked n-grams climb from the lowest order, of which there are few, to the highest. few: whether there are at most FEW models.
     """
-    orders = {ORDER: counts}
+    tables, ends = {ORDER: counts}, {ORDER: asked}
     for order in range(ORDER - 1, 0, -1):
-        above = orders[order + 1]
-        orders[order] = above.groupBy("lang", _low("gram", order).alias("gram")).agg(F.count("*").alias("n"))
-    out = asked.withColumn("p", F.lit(1.0 / (1 << BITS)))
+        shorter = F.right("gram", F.lit(order)).alias("gram")
+        tables[order] = tables[order + 1].groupBy("model", shorter).agg(F.count("*").alias("n"))
+        ends[order] = ends[order + 1].select("model", shorter).distinct()
+    below: DataFrame | None = None
     for order in range(1, ORDER + 1):
-        table = orders[order]
-        of = [F.count_if(F.col("n") == k).cast("double") for k in (1, 2, 3, 4)]
-        n1, n2, n3, n4 = (F.greatest(x, F.lit(1.0)) for x in of)
+        n1, n2, n3, n4 = (F.greatest(F.count_if(F.col("n") == k).cast("double"), F.lit(1.0)) for k in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2)
         bound = lambda x, k: F.least(F.greatest(x, F.lit(0.1)), F.lit(k - 0.05))  # noqa: E731  # small corpora give values outside
-        discounts = table.groupBy("lang").agg(bound(1 - 2 * y * n2 / n1, 1).alias("d1"), bound(2 - 3 * y * n3 / n2, 2).alias("d2"), bound(3 - 4 * y * n4 / n3, 3).alias("d3"))
+        discounts = tables[order].groupBy("model").agg(bound(1 - 2 * y * n2 / n1, 1).alias("d1"), bound(2 - 3 * y * n3 / n2, 2).alias("d2"), bound(3 - 4 * y * n4 / n3, 3).alias("d3"))
         cut_off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        taken = table.join(discounts, "lang").withColumn("d", cut_off)
-        contexts = taken.groupBy("lang", F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("total"), F.sum("d").alias("free"))
-        own = taken.select("lang", F.col("gram").alias("part"), (F.col("n") - F.col("d")).alias("held"))
-        out = out.withColumn("part", _low("gram", order)).withColumn("context", F.shiftright("part", BITS))
-        out = out.join(own, ["lang", "part"], "left").join(contexts, ["lang", "context"], "left")
-        mixed = (F.coalesce("held", F.lit(0.0)) + F.col("free") * F.col("p")) / F.col("total")
-        out = out.select("lang", "gram", "chunks", F.when(F.col("total").isNull(), F.col("p")).otherwise(mixed).alias("p"))
-    return out.select("lang", "gram", "chunks", (-F.log("p")).alias("surprise"))
+        taken = beside(tables[order], discounts, "model", few).select("model", "gram", "n", cut_off.alias("d"))
+        context = F.left("gram", F.lit(order - 1)).alias("context")
+        contexts = taken.groupBy("model", context).agg(F.sum("n").alias("total"), F.sum("d").alias("free"))
+        own = taken.select("model", "gram", (F.col("n") - F.col("d")).alias("held"))
+        now = ends[order].join(own, ["model", "gram"], "left").withColumn("context", context).join(contexts, ["model", "context"], "left")
+        if below is None:
+            now = now.withColumn("lower", F.lit(1.0 / CODES))
+        else:
+            now = now.withColumn("end", F.right("gram", F.lit(order - 1))).join(below, ["model", "end"])
+        mixed = (F.coalesce("held", F.lit(0.0)) + F.col("free") * F.col("lower")) / F.col("total")
+        p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(mixed)
+        if order == ORDER:
+            return now.select("model", "gram", p.alias("p"))
+        below = now.select("model", F.col("gram").alias("end"), p.alias("lower"))
+    raise AssertionError
+
+
+def _rounded(rate: Column) -> Column:
+    return F.round(rate * GRID) / GRID
+
+
+def _fence(rated: DataFrame) -> DataFrame:
+    quartiles = quantiles(rated, "lang", F.col("rate"), {"low": 0.25, "high": 0.75})
+    return quartiles.select("lang", (F.col("high") + FENCE * (F.col("high") - F.col("low"))).alias("fence"))
 
 
 def classified(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold, trusted, kept of every row of docs (doc_id, text, lang), trained on the documents that `trusted` names by doc_id.
 
-    perplexity: of a symbol, smoothed by PRIOR symbols at the median of the language. threshold: the upper quartile of the trusted documents' log perplexities
-    and FENCE times their interquartile range, of each language; kept: not above it. A language without trusted text is scored by the model of all trusted text
-    together, and its threshold comes from all its own documents, as none of them is trusted; without any trusted text there is no threshold, and all are kept. A null text
-    counts as empty (its boundary alone is scored), a null language is one of its own, a null doc_id is never trusted; rows that occur twice count and come out twice; extra columns are
+    perplexity: of a symbol, smoothed by PRIOR symbols at the median of the language, its logarithm rounded to 1 / GRID. threshold: the upper quartile of the trusted documents' log
+    perplexities and FENCE times their interquartile range, of each language; kept: not above it. A language without trusted text is scored by the model of all trusted text
+    together, and its threshold comes from all its own documents, as none of them is trusted; without any trusted text all symbols are alike, so all are kept. A null text
+    counts as empty (its boundary alone is scored), a null language as the empty one, a null doc_id is never trusted; rows that occur twice count and come out twice; extra columns are
     ignored; an empty table gives an empty result.
     """
-    chunks = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs) // CHUNK_BYTES))
+    chunks = max(1, -(-text_bytes(docs) // CHUNK_BYTES))
     chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     names = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    mark = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MARKS)
-    marked = np.zeros(1 << (MARKS - 6), np.uint64)
-    for r in names.groupBy(F.shiftright(mark, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - MARKS}) & 63 as int))")).alias("bits")).collect():
-        marked[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    dealt = read.select("*", chunk, mark.alias("mark"))
-    training = dealt.mapInArrow(_pack(marked), PACKED).groupBy("chunk").cogroup(names.select("doc_id", chunk).groupBy("chunk")).applyInArrow(_counted, "chunk int, lang string, grams array<long>, n array<long>")
-    each = training.select("lang", F.explode(F.arrays_zip("grams", "n")).alias("x")).select("lang", F.col("x.grams").alias("gram"), F.col("x.n").alias("n"))
-    counts = cut(each.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    # Rows without doc_id, of which there may be many, are dealt by their texts.
+    dealt = read.select("*", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(chunks)).cast("int")).otherwise(chunk).alias("chunk"))
+    langs = read.groupBy("lang").agg(F.lit(1).alias("one"))
+    own = read.join(names, "doc_id", "left_semi").select("lang").distinct()
+    bare = cut(langs.join(own, "lang", "left_anti").select("lang"))
+    few, pooled = langs.count() <= FEW, not bare.isEmpty()
     # One exchange of the packed documents serves both: what the chunks ask, and the chunks that get the answers.
-    packed = dealt.mapInArrow(_pack(None), PACKED)
-    wanted = packed.groupBy("chunk").applyInArrow(_asked, "chunk int, lang string, grams array<long>, n array<long>")
-    asked = wanted.select("chunk", "lang", F.explode("grams").alias("gram")).groupBy("lang", "gram").agg(F.collect_list("chunk").alias("chunks"))
-    own = counts.select("lang").distinct()
-    bare = cut(read.select(F.coalesce("lang", F.lit("")).alias("lang")).distinct().join(own, "lang", "left_anti"))
-    pooled = not bare.isEmpty() and not own.isEmpty()
+    packed = dealt.mapInArrow(_pack, PACKED)
+    rows = packed.groupBy("chunk").cogroup(names.select("doc_id", chunk).groupBy("chunk")).applyInArrow(_gathered, "lang string, gram string, chunk_n long")
     if pooled:
-        counts = cut(counts.union(counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("lang"), "gram", "n")))
-        asked = asked.join(F.broadcast(bare.withColumn("bare", F.lit(True))), "lang", "left")
+        rows = beside(rows, bare.withColumn("bare", F.lit(True)), "lang", few, "left")
+        rows = rows.select(F.when(F.col("bare"), F.lit(POOL)).otherwise(F.col("lang")).alias("model"), "gram", "chunk_n")
     else:
-        asked = asked.withColumn("bare", F.lit(None).cast("boolean"))
-    model = F.when(F.col("bare"), F.lit(POOL)).otherwise(F.col("lang")).alias("lang")
-    told = kneser_ney(counts, asked.select(model, "gram", F.struct("lang", "chunks").alias("chunks")))
-    answers = told.select("chunks.lang", "gram", "surprise", F.explode("chunks.chunks").alias("chunk"))
+        rows = rows.withColumnRenamed("lang", "model")
+    # So does one exchange of the n-grams: for the counts, and for the chunks that asked. All its columns are used by both, so that both plans are alike.
+    rows = rows.repartition("model", "gram")
+    met = rows.groupBy("model", "gram").agg(F.sum(F.col("chunk_n").bitwiseAND(F.lit((1 << 32) - 1))).alias("n"))
+    counts = met.where("n > 0")
+    if pooled:
+        counts = counts.union(counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("model"), "gram", "n"))
+    told = kneser_ney(counts, met.select("model", "gram"), few)
+    answers = rows.join(told, ["model", "gram"]).select("model", "gram", (-F.log("p")).cast("float").alias("surprise"), F.shiftright("chunk_n", 32).cast("int").alias("chunk"))
     scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored, "doc_id long, lang string, n_symbols long, surprise double")
     scored = cut(scored.join(names.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
-    middle = scored.groupBy("lang").agg(F.percentile_approx(F.col("surprise") / F.col("n_symbols"), 0.5, 10000).alias("middle"))
-    rated = scored.join(middle, "lang").withColumn("rate", (F.col("surprise") + PRIOR * F.col("middle")) / (F.col("n_symbols") + PRIOR))
-    quartile = F.percentile_approx("rate", [0.25, 0.75], 10000)
-    fences = rated.where("trusted").groupBy("lang").agg(quartile.alias("q")).select("lang", (F.col("q")[1] + FENCE * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
+    middle = quantiles(scored, "lang", _rounded(F.col("surprise") / F.col("n_symbols")), {"middle": 0.5})
+    rated = beside(scored, middle, "lang", few).withColumn("rate", _rounded((F.col("surprise") + PRIOR * F.col("middle")) / (F.col("n_symbols") + PRIOR)))
+    fences = _fence(rated.where("trusted"))
     if pooled:
-        whole = rated.join(F.broadcast(bare), "lang").groupBy("lang").agg(quartile.alias("q"))
-        fences = fences.union(whole.select("lang", (F.col("q")[1] + FENCE * (F.col("q")[1] - F.col("q")[0])).alias("fence")))
-    out = rated.join(fences, "lang", "left")
+        fences = fences.union(_fence(beside(rated, bare, "lang", few)))
+    out = beside(rated, fences, "lang", few, "left")
     lang = F.when(F.col("lang") != "", F.col("lang")).alias("lang")
     return out.select("doc_id", lang, "n_symbols", F.exp("rate").alias("perplexity"), F.exp("fence").alias("threshold"), "trusted", F.coalesce(F.col("rate") <= F.col("fence"), F.lit(True)).alias("kept"))

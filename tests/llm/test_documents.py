@@ -407,7 +407,7 @@ def brute_surprise(texts, trusted):
         x = perplexity.symbols(t).tolist()
         total = 0.0
         for k in range(len(x) - n + 1):
-            p = 1 / 4096
+            p = 1 / perplexity.CODES
             for m in range(1, n + 1):
                 g = tuple(x[k + n - m : k + n])
                 if g[:-1] in contexts[m]:
@@ -418,18 +418,35 @@ def brute_surprise(texts, trusted):
     return out
 
 
+def lower_quantile(values, share):
+    import math
+
+    return sorted(values)[math.ceil(share * len(values)) - 1]
+
+
 def test_perplexity(spark, odd, empty):
-    rows = [(k, t, "en", "s", 1, 1, "x") for k, t in enumerate(["abc abd abc", "abd abc xyz", "zzz", "", "the abc and the abd é中", "abc abc"])]
-    table = spark.createDataFrame(rows, SCHEMA)
-    trusted = spark.createDataFrame([(0,), (1,), (4,), (None,)], "doc_id long")
-    packed = {r.doc_id: r for r in perplexity.classified(table, trusted).collect()}
-    want = brute_surprise([(r[0], r[1]) for r in rows], {0, 1, 4})
+    """Perplexity, threshold and kept against brute force, scripts of many code points included."""
     import math
 
-    rates = sorted(want[k] / packed[k].n_symbols for k in packed)
-    middle = rates[(len(rates) - 1) // 2]
-    for k, r in packed.items():
-        assert math.log(r.perplexity) == pytest.approx((want[k] + 200 * middle) / (r.n_symbols + 200), rel=1e-9)
+    draw = random.Random(9)
+    say = lambda: " ".join(draw.choice(["abc", "abd", "xyz", "the", "and"]) for _ in range(draw.randrange(5, 60)))
+    texts = ["abc abd abc", "abd abc xyz", "zzz", "", "the abc and the abd é中", "abc abc", "中文字符中文字", "\U00020000\U00020001 abc", "qjqjqj" * 300, *(say() for _ in range(25))]
+    rows = [(k, t, "en", "s", 1, 1, "x") for k, t in enumerate(texts)]
+    good = {0, 1, 4, *range(9, 25)}
+    got = {r.doc_id: r for r in perplexity.classified(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([*((k,) for k in good), (None,)], "doc_id long")).collect()}
+    want = brute_surprise([(r[0], r[1]) for r in rows], good)
+    grid = lambda x: round(x * perplexity.GRID) / perplexity.GRID
+    size = {k: len(t) + 1 for k, t in enumerate(texts)}
+    middle = lower_quantile([grid(want[k] / size[k]) for k in want], 0.5)
+    rate = {k: grid((want[k] + 200 * middle) / (size[k] + 200)) for k in want}
+    low, high = (lower_quantile([rate[k] for k in good], x) for x in (0.25, 0.75))
+    fence = high + perplexity.FENCE * (high - low)
+    for k, r in got.items():
+        assert r.n_symbols == size[k] and math.log(r.perplexity) == pytest.approx(rate[k], abs=1.01 / perplexity.GRID)
+        assert math.log(r.threshold) == pytest.approx(fence, abs=20 / perplexity.GRID)
+        assert abs(rate[k] - fence) < 0.01 or r.kept == (rate[k] <= fence)
+    assert not got[8].kept
+    trusted = spark.createDataFrame([(0,), (1,), (4,), (None,)], "doc_id long")
     assert perplexity.classified(odd, trusted).count() == 13 and perplexity.classified(empty, trusted).count() == 0
 
 
@@ -443,7 +460,7 @@ def test_perplexity_order_and_pooled_languages(spark):
     got = {r.doc_id: r for r in perplexity.classified(table, trusted).collect()}
     assert perplexity.ORDER == 5 and got[100].threshold is not None
     assert not got[200].kept and all(got[k].kept for k in got if k != 200)
-    assert all(r.kept and r.threshold is None for r in perplexity.classified(table, trusted.limit(0)).collect())
+    assert all(r.kept for r in perplexity.classified(table, trusted.limit(0)).collect())
 
 
 def test_substring_dedup_tells_windows_of_a_hot_part_apart(spark):
