@@ -1,8 +1,8 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character 5-grams, one for each language.
 
-Documents travel once, in compressed chunks of fixed size. A chunk names its distinct n-grams with their counts in trusted documents; these rows meet by n-gram, where the
-counts become the model and the distinct n-grams climb its orders by joins, so nothing that grows with the corpus is broadcast or gathered in one
-row; the answers return to the chunk, where every document's perplexity is added up from whole texts.
+Documents travel in compressed chunks of fixed size. A chunk names its distinct n-grams; these rows meet by n-gram, where the distinct ones climb the model's orders by
+joins, so nothing that grows with the corpus is broadcast or gathered in one row; the answers return to the chunk, where every document's perplexity is added
+up from whole texts. For the counts, only documents travel whose ids fall on a bitmap of fixed size of the trusted ids; the exact test follows in the chunk.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ ORDER = 5
 CODES = 0x110000  #: symbols: all code points
 POOL = "\x1fpool"  #: the model of all trusted text together, for languages that have none
 CHUNK_BYTES = 128 << 20  #: of text in a chunk, whatever the number of partitions
+MARKS = 24  #: bits of a hash, for each of which the bitmap of trusted ids has a bit
 SLICE = 1 << 21  #: symbols that are looked at together in a chunk
 LEVEL = 9  #: of the compression in which texts travel
 PRIOR = 200  #: symbols at the language's median that are added to each document, so that short ones aren't judged by chance
@@ -46,19 +47,26 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return code, place, window_hashes(code.astype(np.uint64), ORDER)[place], counts
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of a batch to their chunks, texts compressed together."""
-    press = zstandard.ZstdCompressor(level=LEVEL)
-    for batch in batches:
-        ids, langs, numbers, texts = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "chunk", "text"))
-        by: dict[int, list[int]] = {}
-        for k, chunk in enumerate(numbers):
-            by.setdefault(chunk, []).append(k)
-        rows = []
-        for chunk, ks in by.items():
-            raw = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in ks]
-            rows.append({"chunk": chunk, "ids": [ids[k] for k in ks], "langs": [langs[k] for k in ks], "sizes": [len(x) for x in raw], "texts": press.compress(b"".join(raw))})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())]))
+def _pack(marked: np.ndarray | None):
+    """Documents of a batch to their chunks, texts compressed together; with a bitmap only those whose mark is set."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=LEVEL)
+        for batch in batches:
+            if marked is not None:
+                marks = batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
+                batch = batch.take(pa.array(np.flatnonzero(marked[marks >> 6] >> (marks & 63).astype(np.uint64) & np.uint64(1))))
+            ids, langs, numbers, texts = (batch.column(c).to_pylist() for c in ("doc_id", "lang", "chunk", "text"))
+            by: dict[int, list[int]] = {}
+            for k, chunk in enumerate(numbers):
+                by.setdefault(chunk, []).append(k)
+            rows = []
+            for chunk, ks in by.items():
+                raw = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in ks]
+                rows.append({"chunk": chunk, "ids": [ids[k] for k in ks], "langs": [langs[k] for k in ks], "sizes": [len(x) for x in raw], "texts": press.compress(b"".join(raw))})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())]))
+
+    return pack
 
 
 PACKED = "chunk int, ids array<long>, langs array<string>, sizes array<int>, texts binary"
@@ -82,31 +90,35 @@ def _slices(packed: pa.Table) -> Iterator[tuple[str, list[int | None], list[str]
             yield lang, ids[s:e], texts[s:e]
 
 
-COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("chunk_n", pa.int64())])
+COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+ASKED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("chunk", pa.int32())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("surprise", pa.float64())])
 
 
-def _gathered(packed: pa.Table, trusted: pa.Table) -> pa.Table:
-    """Distinct n-grams of a chunk by language; chunk_n has the chunk in its upper half and the count in trusted documents in its lower half."""
-    good = set(trusted["doc_id"].to_pylist())
+def _gathered(packed: pa.Table, good: set[int] | None) -> Iterator[tuple[str, list[str], np.ndarray]]:
+    """By language the distinct n-grams of a chunk with their counts, of all documents or of the good ones."""
     found: dict[str, list[tuple[np.ndarray, ...]]] = {}
     for lang, ids, texts in _slices(packed):
-        code, place, keys, counts = grams_of(texts)
+        code, place, keys, _ = grams_of([t for d, t in zip(ids, texts, strict=True) if good is None or d in good])
         number, distinct = pd.factorize(keys)
         first = np.empty(len(distinct), np.int64)
         first[number[::-1]] = place[::-1]
-        counted = np.repeat(np.array([d in good for d in ids], float), counts)
-        made = distinct, code[first[:, None] + np.arange(ORDER)], np.bincount(number, counted, len(distinct)).astype(np.int64)
-        found.setdefault(lang, []).append(made)
-    out = [COUNTED.empty_table()]
+        found.setdefault(lang, []).append((distinct, code[first[:, None] + np.arange(ORDER)], np.bincount(number, minlength=len(distinct))))
     for lang, parts in found.items():
         keys, codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         _, first, number = np.unique(keys, return_index=True, return_inverse=True)
         text = codes[first].astype("<u4").tobytes().decode("utf-32-le")
-        grams = [text[k : k + ORDER] for k in range(0, len(text), ORDER)]
-        chunk_n = (packed["chunk"][0].as_py() << 32) + np.bincount(number, n, len(first)).astype(np.int64)
-        out.append(pa.table([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(chunk_n)], schema=COUNTED))
-    return pa.concat_tables(out)
+        yield lang, [text[k : k + ORDER] for k in range(0, len(text), ORDER)], np.bincount(number, n, len(first)).astype(np.int64)
+
+
+def _counted(packed: pa.Table, trusted: pa.Table) -> pa.Table:
+    found = _gathered(packed, set(trusted["doc_id"].to_pylist())) if packed.num_rows else ()
+    return pa.concat_tables([COUNTED.empty_table(), *(pa.table([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n)], schema=COUNTED) for lang, grams, n in found)])
+
+
+def _asked(packed: pa.Table) -> pa.Table:
+    chunk = packed["chunk"][0].as_py()
+    return pa.concat_tables([ASKED.empty_table(), *(pa.table([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(np.full(len(grams), chunk, np.int32))], schema=ASKED) for lang, grams, _ in _gathered(packed, None))])
 
 
 def _scored(packed: pa.Table, answers: pa.Table) -> pa.Table:
@@ -140,7 +152,7 @@ def kneser_ney(counts: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
     tables, ends = {ORDER: counts}, {ORDER: asked}
     for order in range(ORDER - 1, 0, -1):
         shorter = F.right("gram", F.lit(order)).alias("gram")
-        tables[order] = tables[order + 1].groupBy("model", shorter).agg(F.count("*").alias("n"))
+        tables[order] = cut(tables[order + 1].groupBy("model", shorter).agg(F.count("*").alias("n")))
         ends[order] = ends[order + 1].select("model", shorter).distinct()
     below: DataFrame | None = None
     for order in range(1, ORDER + 1):
@@ -190,26 +202,29 @@ def classified(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     names = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     # Rows without doc_id, of which there may be many, are dealt by their texts.
     dealt = read.select("*", F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(chunks)).cast("int")).otherwise(chunk).alias("chunk"))
+    mark = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - MARKS)
+    marked = np.zeros(1 << (MARKS - 6), np.uint64)
+    for r in names.groupBy(F.shiftright(mark, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - MARKS}) & 63 as int))")).alias("bits")).collect():
+        marked[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    training = dealt.withColumn("mark", mark).mapInArrow(_pack(marked), PACKED).groupBy("chunk").cogroup(names.select("doc_id", chunk).groupBy("chunk")).applyInArrow(_counted, "lang string, gram string, n long")
+    counts = cut(training.groupBy(F.col("lang").alias("model"), "gram").agg(F.sum("n").alias("n")))
     langs = read.groupBy("lang").agg(F.lit(1).alias("one"))
-    own = read.join(names, "doc_id", "left_semi").select("lang").distinct()
-    bare = cut(langs.join(own, "lang", "left_anti").select("lang"))
+    bare = cut(langs.join(counts.select(F.col("model").alias("lang")).distinct(), "lang", "left_anti").select("lang"))
     few, pooled = langs.count() <= FEW, not bare.isEmpty()
     # One exchange of the packed documents serves both: what the chunks ask, and the chunks that get the answers.
-    packed = dealt.mapInArrow(_pack, PACKED)
-    rows = packed.groupBy("chunk").cogroup(names.select("doc_id", chunk).groupBy("chunk")).applyInArrow(_gathered, "lang string, gram string, chunk_n long")
+    packed = dealt.mapInArrow(_pack(None), PACKED)
+    rows = packed.groupBy("chunk").applyInArrow(_asked, "lang string, gram string, chunk int")
     if pooled:
+        counts = cut(counts.union(counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("model"), "gram", "n")))
         rows = beside(rows, bare.withColumn("bare", F.lit(True)), "lang", few, "left")
-        rows = rows.select(F.when(F.col("bare"), F.lit(POOL)).otherwise(F.col("lang")).alias("model"), "gram", "chunk_n")
+        rows = rows.select(F.when(F.col("bare"), F.lit(POOL)).otherwise(F.col("lang")).alias("model"), "gram", "chunk")
     else:
         rows = rows.withColumnRenamed("lang", "model")
-    # So does one exchange of the n-grams: for the counts, and for the chunks that asked. All its columns are used by both, so that both plans are alike.
+    # So does one exchange of the n-grams: for the distinct ones, and for the chunks that asked. Both use all its columns, so that their plans are alike.
     rows = rows.repartition("model", "gram")
-    met = rows.groupBy("model", "gram").agg(F.sum(F.col("chunk_n").bitwiseAND(F.lit((1 << 32) - 1))).alias("n"))
-    counts = met.where("n > 0")
-    if pooled:
-        counts = counts.union(counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("model"), "gram", "n"))
-    told = kneser_ney(counts, met.select("model", "gram"), few)
-    answers = rows.join(told, ["model", "gram"]).select("model", "gram", (-F.log("p")).cast("float").alias("surprise"), F.shiftright("chunk_n", 32).cast("int").alias("chunk"))
+    distinct = rows.groupBy("model", "gram").agg(F.min("chunk").alias("least")).where("least >= 0").select("model", "gram")
+    told = kneser_ney(counts, distinct, few)
+    answers = rows.join(told, ["model", "gram"]).select("model", "gram", (-F.log("p")).cast("float").alias("surprise"), "chunk")
     scored = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scored, "doc_id long, lang string, n_symbols long, surprise double")
     scored = cut(scored.join(names.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))))
     middle = quantiles(scored, "lang", _rounded(F.col("surprise") / F.col("n_symbols")), {"middle": 0.5})
