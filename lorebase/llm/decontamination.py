@@ -1,63 +1,67 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH.
 
-A benchmark item of n words leaks into a document if a stretch of it is within n // 5 word edits of the item. Item-sized windows and items are
-embedded by CGK random walks, under which a small edit distance becomes a small Hamming distance; windows and items that agree in all sampled places
-of one of TABLES samples are compared exactly. Windows are looked at wherever one can match at all: of k + 1 disjoint parts of an item, k edits leave one whole.
+A benchmark item of n words leaks into a document if a stretch of it is within n // SHARE word edits of the item. Items, and windows of documents as long as they, are
+embedded by CGK random walks, under which a small edit distance becomes a small Hamming distance. Each of TABLES hash tables keys them by a sample of
+places of one walk; items and windows that share a key are joined, and each pair is verified by its exact edit distance. Windows are embedded
+only where enough parts of items stand close together for any leak (parts() says how many survive the edits), which loses none.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, lower_words_of, mix, window_hashes
+from .common import cut, hash_words, lower_words_of, mix, signed, window_hashes
 
 SHARE = 5  #: words of an item for each edit that is allowed
-LEAST = 5  #: words of an item; a shorter one says nothing
 RECALL = 0.999
 SAMPLED = 3  #: places in each sample
-AGREE = 0.4  #: share of places that agree, at the most edits that are allowed; tests measure it
+AGREE = 0.4  #: share of places that agree, at the most edits that are allowed; tests measure the recall that follows
 TABLES = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
 WALKS = 16  #: random walks among which the tables are divided
 STRETCH = 3  #: length of an embedding for each word
-ITEMS = 20_000  #: items that go to the executors at once; more are taken in blocks
-FILTER = 20  #: bits of the table that is asked first
+PARTS = (3, 2, 1)  #: words of the parts by which windows are found that are worth an embedding
+PART_BITS, KEY_BITS = 22, 24  #: of the hashes for which the two bitmaps have a bit; a full bitmap only lets more through
+SALTS = 16  #: parts of a key that very many windows have
+WINDOWS = 512  #: that are embedded at once
 
 
-def _coins(words: np.ndarray, walk: np.ndarray, step: int) -> np.ndarray:
-    """Whether each walk goes on to its next word, by word and step."""
-    return (mix(words + (walk * 100003 + step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.int64)
+def bucket_keys(texts: np.ndarray) -> np.ndarray:
+    """texts (count, words) -> (count, TABLES) of 64-bit keys: of the length, the table, and the sampled places of the table's walk.
 
-
-def embed(texts: np.ndarray) -> np.ndarray:
-    """texts (count, words) -> (walks, count, STRETCH * words) of word hashes; 0 where a walk has passed the end."""
+    A walk writes the word where it stands at each of STRETCH * words places, 0 behind the last, and goes on to the next word by a coin of word, walk and place.
+    """
     count, n = texts.shape
     padded = np.concatenate([texts, np.zeros((count, 1), np.uint64)], axis=1)
+    draw = np.random.default_rng(n)
+    asked: dict[int, list[tuple[int, int]]] = {}
+    for table in range(TABLES):
+        for k, place in enumerate(draw.integers(0, STRETCH * n, SAMPLED).tolist()):
+            asked.setdefault(place, []).append((table, k))
     at = np.zeros((WALKS, count), np.int64)
-    row, walk = np.arange(count)[None, :], np.arange(WALKS)[:, None]
-    out = np.empty((WALKS, count, STRETCH * n), np.uint64)
-    for step in range(STRETCH * n):
+    row, seed = np.arange(count)[None, :], np.arange(WALKS, dtype=np.uint64)[:, None] * np.uint64(100003)
+    sampled = np.empty((TABLES, SAMPLED, count), np.uint64)
+    for place in range(max(asked) + 1):
         words = padded[row, at]
-        out[:, :, step] = words
-        at = np.minimum(at + _coins(words, walk, step), n)
-    return out
+        for table, k in asked.get(place, ()):
+            sampled[table, k] = words[table % WALKS]
+        coins = mix(words + (seed + np.uint64(place)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+        at = np.minimum(at + coins.astype(np.int64), n)
+    keys = np.repeat((np.uint64(n << 32) + np.arange(TABLES, dtype=np.uint64))[:, None], count, axis=1)
+    for k in range(SAMPLED):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + sampled[:, k])
+    return keys.T
 
 
-def collide(item: np.ndarray, windows: np.ndarray) -> bool:
-    """Whether the embedded item (walks, places) agrees with any embedded window (walks, count, places) in a whole sample."""
-    agree = windows == item[:, None, :]
-    draw = np.random.default_rng(7)
-    for table in range(TABLES):
-        places = draw.integers(0, item.shape[1], SAMPLED)
-        if agree[table % WALKS][:, places].all(axis=1).any():
-            return True
-    return False
+def parts(n: int) -> tuple[int, int]:
+    """Words of a part, and how many parts of an item of n words are left whole, at least, in a stretch within its edits: the longest parts of which any is."""
+    edits = n // SHARE
+    return next((size, left) for size in PARTS if size <= n and (left := n - size + 1 - size * edits) > 0)
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -79,93 +83,137 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end - int(back.argmin()), end
 
 
-class Items:
-    """Items of one block, with the parts of which one survives in every leak."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words, parts = [], [], {}
-        for item_id, text in items:
-            words = hash_words(lower_words_of(text))
-            if len(words) < LEAST:
-                continue
-            edits = len(words) // SHARE
-            size = len(words) // (edits + 1)
-            for k in range(edits + 1):
-                parts.setdefault(size, []).append((int(window_hashes(words[k * size : (k + 1) * size], size)[0]), len(self.ids), k * size))
-            self.ids.append(item_id)
-            self.words.append(words)
-        self.parts = {}
-        for size, found in parts.items():
-            found.sort()
-            hashes = np.array([x[0] for x in found], np.uint64)
-            asked = np.zeros(1 << FILTER, bool)
-            asked[(hashes >> np.uint64(64 - FILTER)).astype(np.int64)] = True
-            self.parts[size] = hashes, np.array([x[1] for x in found]), np.array([x[2] for x in found]), asked
-
-    def leaks(self, words: np.ndarray, ends: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """Of documents' words end to end: (document number, item number) -> least distance, start, end."""
+def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+    """rows (key) -> words of a bitmap in which the upper `bits` bits of each key are set. At most 2 ** (bits - 6) rows come to the driver."""
+    place = F.shiftrightunsigned("key", 64 - bits)
+    # A bit as a power of two: shiftleft() by a column, which it takes in SQL only.
+    words = rows.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - bits}) & 63 as int))").alias("bit"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set."""
+    place = keys >> np.uint64(64 - (len(bitmap) * 64).bit_length() + 1)
+    return bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) == 1
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items with words: their number of words, word hashes, part hashes and bucket keys."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            rows = []
+            for ref, item_id, text in zip(*(x.to_pylist() for x in batch.slice(k, 64).columns), strict=True):
+                words = hash_words(lower_words_of(text))
+                if n := len(words):
+                    size, _ = parts(n)
+                    rows.append((ref, item_id, n, words.tobytes(), size, signed(window_hashes(words, size)), signed(bucket_keys(words[None, :])[0])))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["ref", "item_id", "n", "words", "size", "parts", "keys"])
+
+
+ITEMS = "ref long, item_id long, n int, words binary, size int, parts array<long>, keys array<long>"
+
+
+DOCUMENT = 1 << 32  #: between the places of one document and the next
+
+
+def _near(hits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places of parts, sorted: the stretches (first, last) of starts at which a window of n words can lie that holds enough of them."""
+    size, left = parts(n)
+    reach = n + n // SHARE - size
+    close = np.flatnonzero(hits[left - 1 :] - hits[: max(0, len(hits) - left + 1)] <= reach)
+    # These parts lie inside the stretch that is like the item, so it starts no earlier than `reach` before the last, and no later than the first.
+    high = hits[close]
+    low = np.maximum(hits[close + left - 1] - reach, high // DOCUMENT * DOCUMENT)
+    if not len(close):
+        return low, high
+    begin = np.flatnonzero(np.r_[True, low[1:] > high[:-1] + 1])
+    return np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
+
+
+def _regions(lengths: list[int], part_bits: dict[int, np.ndarray], key_bits: np.ndarray):
+    """Of each document the regions where windows share keys with items: the region's place and words, and the keys. lengths: of items, in words."""
+
+    def of_documents(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, bytes, np.ndarray]]:
         begins = np.r_[0, ends[:-1]]
-        tried: set[tuple[int, int, int]] = set()
-        for size, (hashes, item, offset, asked) in self.parts.items():
-            grams = window_hashes(words, size)
-            hits = np.flatnonzero(asked[(grams >> np.uint64(64 - FILTER)).astype(np.int64)])
-            low, high = np.searchsorted(hashes, grams[hits], "left"), np.searchsorted(hashes, grams[hits], "right")
-            hits, low, n = hits[high > low], low[high > low], (high - low)[high > low]
-            part = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            hits = np.repeat(hits, n)
-            doc = np.searchsorted(ends, hits, "right")
-            whole = hits + size <= ends[doc]
-            tried.update(zip(doc[whole].tolist(), item[part[whole]].tolist(), (hits - offset[part])[whole].tolist(), strict=True))
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        embedded: dict[int, np.ndarray] = {}
-        for doc, j, start in sorted(tried):
-            item = self.words[j]
-            n, edits = len(item), len(item) // SHARE
-            low, high = max(begins[doc], start - edits), min(ends[doc], start + n + edits)
-            text = words[low:high]
-            if np.isin(item, text).sum() < n - edits:
-                continue
-            if j not in embedded:
-                embedded[j] = embed(item[None, :])[:, 0]
-            padded = np.concatenate([text, np.zeros(max(0, n - len(text)), np.uint64)])
-            if not collide(embedded[j], embed(np.lib.stride_tricks.sliding_window_view(padded, n))):
-                continue
-            distance, s, e = best_stretch(item, text)
-            if distance <= edits:
-                best = distance, int(low + s - begins[doc]), int(low + e - begins[doc])
-                found[doc, j] = min(found.get((doc, j), best), best)
-        return found
+        hits = {}
+        for size, bitmap in part_bits.items():
+            at = np.flatnonzero(_marked(bitmap, window_hashes(words, size)))
+            doc = np.searchsorted(ends, at, "right")
+            inside = at + size <= ends[doc]
+            hits[size] = (at - begins[doc] + doc * DOCUMENT)[inside]
+        for n in lengths:
+            edits = n // SHARE
+            for first, last in zip(*(x.tolist() for x in _near(hits[parts(n)[0]], n)), strict=True):
+                doc, first, last = first // DOCUMENT, first % DOCUMENT, last % DOCUMENT
+                own = words[begins[doc] : ends[doc]]
+                for block in range(first, last + 1, WINDOWS):
+                    until = min(last, block + WINDOWS - 1)
+                    text = np.zeros(until - block + n, np.uint64)
+                    text[: max(0, len(own) - block)] = own[block : until + n]
+                    keys = np.unique(bucket_keys(np.lib.stride_tricks.sliding_window_view(text, n)))
+                    keys = keys[_marked(key_bits, keys)]
+                    if len(keys):
+                        low = max(0, block - edits)
+                        yield doc, n, low, own[low : until + n + edits].tobytes(), keys
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                found = [hash_words(lower_words_of(t)) for t in part.column("text").to_pylist()]
+                rows = list(of_documents(np.concatenate(found), np.cumsum([len(x) for x in found])))
+                doc, n, at, raw, keys = zip(*rows, strict=True) if rows else [()] * 5
+                picked = part.take(pa.array(doc, pa.int64()))
+                made = [pa.array(n, pa.int32()), pa.array(at, pa.int32()), pa.array(raw, pa.binary()), pa.array([signed(x) for x in keys], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([picked.column("row"), picked.column("doc_id"), *made], ["row", "doc_id", "n", "at", "text", "keys"])
+
+    return regions
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of regions and items, of which those stay that are within the edits."""
+    for batch in batches:
+        kept, found = [], []
+        for k, (n, at, text, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "at", "text", "words")), strict=True)):
+            distance, start, end = best_stretch(np.frombuffer(words, np.uint64), np.frombuffer(text, np.uint64))
+            if distance <= n // SHARE:
+                kept.append(k)
+                found.append((distance, at + start, at + end))
+        columns = list(zip(*found, strict=True)) if found else [()] * 3
+        rows = batch.take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), rows.column("ref"), rows.column("item_id"), *(pa.array(c, pa.int32()) for c in columns), rows.column("n")], ["row", "doc_id", "ref", "item_id", "distance", "start", "end", "n_words"])
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, distance, start, end, n_words: every pair of a document and a benchmark item that leaks into it, with its nearest stretch.
 
-    Words [^\\x20\\x09-\\x0D]+, lower-cased A-Z, of whole texts; start and end count words. Items of fewer than LEAST words, null and empty ones are left
+    Words [^\\x20\\x09-\\x0D]+, lower-cased A-Z, of whole texts; start and end count words. Items of under SHARE words must stand word for word. Null, empty and blank items are left
     out. A null text has no words; a null doc_id stays null; a row that occurs twice gives its pairs twice, an item that occurs twice likewise; extra columns are ignored;
-    an empty table on either side gives an empty result. Items go to the executors in blocks of ITEMS, each against all documents.
+    an empty table on either side gives an empty result. A leak is missed by all tables with probability 1 - RECALL at the most edits. What goes to all executors are two bitmaps of fixed
+    size and the lengths of items, of which there are at most as many as the longest item has words.
     """
-    read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, item_id long, distance int, start int, end int, n_words int"
-
-    def against(block: Items):
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(0, batch.num_rows, 1024):
-                    part = batch.slice(k, 1024)
-                    ids = part.column("doc_id").to_pylist()
-                    found = [hash_words(lower_words_of(t)) for t in part.column("text").to_pylist()]
-                    pairs = block.leaks(np.concatenate(found), np.cumsum([len(x) for x in found]))
-                    rows = [(ids[d], block.ids[j], *best, len(block.words[j])) for (d, j), best in pairs.items()]
-                    columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.int32()] * 4, strict=True)], ["doc_id", "item_id", "distance", "start", "end", "n_words"])
-
-        return search
-
-    blocks, now = [], []
-    for row in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
-        now.append((row[0], row[1]))
-        if len(now) == ITEMS:
-            blocks.append(Items(now))
-            now = []
-    blocks.append(Items(now))
-    return reduce(DataFrame.unionByName, [read.mapInArrow(against(b), schema) for b in blocks])
+    numbered = items.select(F.monotonically_increasing_id().alias("ref"), F.col("item_id").cast("long"), F.col("text").cast("string"))
+    known = cut(numbered.mapInArrow(_items, ITEMS))
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())
+    each_part = known.select("size", F.explode("parts").alias("key"))
+    part_bits = {size: _bitmap(each_part.where(F.col("size") == size), PART_BITS) for size in {parts(n)[0] for n in lengths}}
+    keyed = known.select("ref", F.explode("keys").alias("key"))
+    search = _regions(lengths, part_bits, _bitmap(keyed, KEY_BITS))
+    # The numbers of rows and regions are made before they are cut, so they stay when executors are lost.
+    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = read.mapInArrow(search, "row long, doc_id long, n int, at int, text binary, keys array<long>")
+    regions = cut(found.withColumn("region", F.monotonically_increasing_id()))
+    salt, every = F.pmod("region", F.lit(SALTS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    asked = regions.select("region", F.explode("keys").alias("key")).withColumn("salt", salt)
+    pairs = asked.join(keyed.withColumn("salt", every), ["key", "salt"]).select("region", "ref").distinct()
+    whole = pairs.join(regions.drop("keys"), "region").withColumn("salt", salt)
+    both = whole.join(known.select("ref", "item_id", "words").withColumn("salt", every), ["ref", "salt"])
+    pair = ["row", "doc_id", "ref", "item_id"]
+    kept = both.select(*pair, "n", "at", "text", "words").mapInArrow(_verify, "row long, doc_id long, ref long, item_id long, distance int, start int, end int, n_words int")
+    best = kept.groupBy(*pair, "n_words").agg(F.min(F.struct("distance", "start", "end")).alias("best"))
+    return best.select("doc_id", "item_id", "best.*", "n_words")
