@@ -40,8 +40,21 @@ def faults(value: object, schema: dict, at: str = "$") -> list[str]:
 
 
 def canonical(value: object) -> str:
-    """JSON with sorted keys and without white space."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    """JSON with sorted keys and without white space. Numbers that aren't finite, and surrogates without their other half, are ValueErrors."""
+    out = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    out.encode()
+    return out
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def parsed(text: str) -> object:
+    """The value of a JSON text that canonical() can write again; else a ValueError or RecursionError."""
+    value = json.loads(text, parse_constant=_no_number)
+    canonical(value)
+    return value
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -90,7 +103,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
 
     If an identifier is used twice, the call with the least turn has it, and the result with the least turn is its result; within a turn the least content, or the
     least name, arguments and dependencies, and of equal rows one. The others have their rows, not linked. Null
-    identifiers link with nothing. Arguments that aren't JSON, or break the schema of their name, or have no schema, are not valid and stand in the message as
+    identifiers link with nothing. Arguments that aren't JSON (NaN, numbers beyond a double and lone surrogates aren't), or break the schema of their name, or have no schema, are not valid and stand in the message as
     a string. Extra columns are ignored; empty tables give an empty result.
     """
     key = ["conv_id", "call_id"]
@@ -110,11 +123,11 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
             rows = []
             for r in batch.to_pylist():
                 try:
-                    value = json.loads(r["arguments"]) if r["arguments"] is not None else None
+                    value = parsed(r["arguments"]) if r["arguments"] is not None else None
                     found = faults(value, schemas[r["name"]]) if r["name"] in schemas else ["$: no schema"]
                 except (ValueError, RecursionError):
                     value, found = None, ["$: not JSON"]
-                message = {"arguments": r["arguments"] if found else value, "depends_on": sorted(r["depends_on"] or []), "id": r["call_id"], "name": r["name"], "result": r["content"]}
+                message = {"arguments": r["arguments"] if found else value, "depends_on": sorted(r["depends_on"] or [], key=lambda x: (x is not None, x)), "id": r["call_id"], "name": r["name"], "result": r["content"]}
                 rows.append((bool(r["linked"]), not found, found[0] if found else None, canonical(message)))
             linked_, valid, fault, message = zip(*rows, strict=True) if rows else [()] * 4
             made = [pa.array(linked_, pa.bool_()), pa.array(valid, pa.bool_()), pa.array(fault, pa.string()), pa.array(message, pa.string())]

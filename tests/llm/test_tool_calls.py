@@ -72,3 +72,23 @@ def test_ties_of_results_and_calls_keep_their_rows(spark):
     results = spark.createDataFrame([(1, "a", 1, "p"), (1, "a", 1, "q"), (1, "a", 1, "p"), (1, "b", 2, "z")], "conv_id long, call_id string, turn long, content string")
     got = tool_calls.linked(calls, results, {}).collect()
     assert len(got) == 5 and sum(r.linked for r in got) == 1 and sorted(r.turn for r in got) == [0, 0, 1, 1, 2]
+
+
+def test_arguments_that_are_no_json(spark):
+    odd = ['{"n": NaN}', '{"n": 1e999}', '{"n": -Infinity}', '"\\ud800"', "[" * 100_000, '{"n": 1', "1" * 6000, "", '{"\\udfff": 1}']
+    schema = {"f": {"type": "object", "properties": {"n": {"type": "number"}}}, "g": {}}
+    rows = [(k, 0, f"c{k}", name, x, [None, "b", "a"]) for k, x in enumerate(odd) for name in ("f", "g")]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    none = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    got = tool_calls.linked(calls, none, schema).collect()
+    assert len(got) == len(rows) and all(not r.valid and r.fault == "$: not JSON" for r in got)
+    assert {r.conv_id: json.loads(r.message)["arguments"] for r in got} == dict(enumerate(odd))
+
+
+def test_deep_chains_and_hot_dependencies(spark):
+    """A chain of calls, a call on which all others of a conversation depend, and a cycle of three with one behind it."""
+    rows = [(1, k, f"c{k}", [f"c{k - 1}"] if k else []) for k in range(8)]
+    rows += [(2, k, f"c{k}", ["c0", "c0"] if k else None) for k in range(200)]
+    rows += [(3, k, f"c{k}", [f"c{(k + 1) % 3}"]) for k in range(3)] + [(3, 3, "c3", ["c0"]), (None, 0, "x", ["x"]), (4, 0, "self", ["self"])]
+    got = tool_calls.levels(spark.createDataFrame(rows, "conv_id long, turn long, call_id string, depends_on array<string>")).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got if r.conv_id} == {**{(1, f"c{k}"): k for k in range(8)}, **{(2, f"c{k}"): min(k, 1) for k in range(200)}}
