@@ -7,8 +7,8 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,15 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*[A-Za-z0-9+/_-]+)+={0,2}")
 BREAK = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t>]*")
 PACKED = re.compile(b"\x1f(?=\x8b\x08)|" + b"|".join(re.escape(bytes([x])) + b"(?=[" + b"".join(b"\\x%02x" % y for y in range(256) if not y & 32 and (x << 8 | y) % 31 == 0) + b"])" for x in range(8, 128, 16)))
-LAYER_BYTES = 1 << 26  #: of an unpacked layer that are looked at together; a larger layer is looked at in pieces
+#: ASCII as 16-bit characters, either byte first.
+WIDE = re.compile(r"(?:[\t\n\r -~]\x00){6,}")
+LAYER_BYTES = 1 << 24  #: of an unpacked layer that are looked at together; a larger layer is looked at in pieces
+FED = 1 << 12  #: compressed bytes at a time, of which no more than 4 MB come out
 OVERLAP = 1 << 16  #: characters of a piece that are looked at again with the next
 TOTAL_BYTES = 1 << 32  #: unpacked in all of one text; what goes beyond is a bomb, refused and counted
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
+Places = np.ndarray | int  # of each character, rising; or one for all characters, as of what unpacks from one place
 
 
 def scan(text: str) -> list[Span]:
@@ -47,33 +51,31 @@ def scan(text: str) -> list[Span]:
     return sorted(out)
 
 
-def _percent(run: str) -> tuple[str, list[int], list[int]]:
+def _sizes(text: str) -> np.ndarray:
+    """UTF-8 bytes of each character."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
+
+
+def _percent(run: str) -> tuple[str, np.ndarray, np.ndarray]:
     """Percent-decoded text with the start and end in the run of each character."""
-    raw, lo, hi = bytearray(), [], []
-    k = 0
-    while k < len(run):
-        if run[k] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", run[k + 1 : k + 3]):
-            raw.append(int(run[k + 1 : k + 3], 16))
-            lo.append(k)
-            hi.append(k + 3)
-            k += 3
-        else:
-            part = run[k].encode("utf-8", "surrogatepass")
-            raw += part
-            lo += [k] * len(part)
-            hi += [k + 1] * len(part)
-            k += 1
-    return _characters(bytes(raw), lo, hi)
-
-
-def _characters(raw: bytes, lo: list[int], hi: list[int]) -> tuple[str, list[int], list[int]]:
+    sizes = np.ones(len(run), np.int8) if run.isascii() else _sizes(run)
+    ends = np.arange(1, len(run) + 1, dtype=np.int32)
+    codes = np.fromiter((m.start() for m in PERCENT.finditer(run)), np.int64)
+    sizes[codes + 1] = sizes[codes + 2] = 0
+    ends[codes] += 2
+    lo = np.repeat(np.arange(len(run), dtype=np.int32), sizes)
+    return _characters(unquote_to_bytes(run.encode("utf-8", "surrogatepass")), lo, np.repeat(ends, sizes))
+
+
+def _characters(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
     """Places of bytes to places of the characters that they make; bytes that aren't UTF-8 are read as latin-1, so none is lost."""
     text = _text(raw)
     if len(text) == len(raw):
         return text, lo, hi
-    sizes = [len(c.encode()) for c in text]
-    ends = np.cumsum(sizes).tolist()
-    return text, [lo[e - n] for e, n in zip(ends, sizes, strict=True)], [hi[e - 1] for e in ends]
+    sizes = _sizes(text)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return text, lo[ends - sizes], hi[ends - 1]
 
 
 def _stretches(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
@@ -91,60 +93,56 @@ def _stretches(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def _escapes(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
+def _escapes(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Each stretch with Unicode escapes or character references, unescaped."""
     for start, end in _stretches(ESCAPED, text):
         made, lo, hi, k = [], [], [], start
-        while k < end:
-            if e := ESCAPED.match(text, k, end):
-                digits = re.sub(r"[^0-9A-Fa-f]", "", e[0][3:] if e[0][:3] in ("&#x", "&#X") else e[0][2:])
-                code = int(digits, 10 if e[0][0] == "&" and e[0][2] not in "xX" else 16)
-                made.append(chr(code) if code < 0x110000 else "�")
-                lo.append(k)
-                hi.append(e.end())
-                k = e.end()
-            else:
-                made.append(text[k])
-                lo.append(k)
-                hi.append(k + 1)
-                k += 1
-        yield "".join(made), lo, hi
+        for e in ESCAPED.finditer(text, start, end):
+            digits = re.sub(r"[^0-9A-Fa-f]", "", e[0][3:] if e[0][:3] in ("&#x", "&#X") else e[0][2:])
+            code = int(digits, 10 if e[0][0] == "&" and e[0][2] not in "xX" else 16)
+            made += [text[k : e.start()], chr(code) if code < 0x110000 else "\ufffd"]
+            lo.append(np.arange(k, e.start() + 1, dtype=np.int32))
+            hi += [np.arange(k + 1, e.start() + 1, dtype=np.int32), np.array([e.end()], np.int32)]
+            k = e.end()
+        made.append(text[k:end])
+        lo.append(np.arange(k, end, dtype=np.int32))
+        hi.append(np.arange(k + 1, end + 1, dtype=np.int32))
+        yield "".join(made), np.concatenate(lo), np.concatenate(hi)
 
 
 def _members(raw: bytes, at: int, budget: list[int]) -> Iterator[bytes | None]:
-    """What unpacks at a place, all members end to end, in pieces of LAYER_BYTES; a damaged or short stream gives what comes out before. None: the budget is spent."""
-    rest = raw[at:]
-    while rest[:3] == b"\x1f\x8b\x08" or (len(rest) > 2 and rest[0] & 15 == 8 and (rest[0] << 8 | rest[1]) % 31 == 0):
-        worker = zlib.decompressobj(47)
-        while not worker.eof and rest:
-            if budget[0] <= 0:
-                yield None
-                return
+    """What unpacks at a place, all members end to end, in pieces of about LAYER_BYTES; a damaged or short stream gives what comes out before. None: the budget is spent."""
+    view = memoryview(raw)
+    while raw[at : at + 3] == b"\x1f\x8b\x08" or (len(raw) > at + 1 and raw[at] & 15 == 8 and (raw[at] << 8 | raw[at + 1]) % 31 == 0):
+        worker, made, whole = zlib.decompressobj(47), bytearray(), True
+        while whole and not worker.eof and at < len(raw):
+            before = worker.copy()
             try:
-                made = worker.decompress(rest, min(LAYER_BYTES, budget[0]))
+                out = worker.decompress(view[at : at + FED])
             except zlib.error:
-                # What stands before the damage comes out in small steps.
-                made = _before_damage(raw, at) if worker.unconsumed_tail == b"" and rest == raw[at:] else b""
-                if made:
-                    budget[0] -= len(made)
-                    yield made
+                out, whole = _before_damage(before, view[at : at + FED]), False
+            made += out
+            at += FED
+            budget[0] -= len(out)
+            if len(made) >= LAYER_BYTES or budget[0] < 0:
+                yield bytes(made)
+                made = bytearray()
+            if budget[0] < 0:
+                yield None
                 return
-            budget[0] -= len(made)
-            rest = worker.unconsumed_tail
-            if made:
-                yield made
-            elif not rest:
-                break
-        rest = worker.unused_data if worker.eof else b""
+        if made:
+            yield bytes(made)
+        if not whole or not worker.eof:
+            return
+        at = min(at, len(raw)) - len(worker.unused_data)
 
 
-def _before_damage(raw: bytes, at: int) -> bytes:
-    worker, made = zlib.decompressobj(47), bytearray()
+def _before_damage(worker, view: memoryview) -> bytes:
+    """What comes out of the damaged bytes before the damage, in small steps."""
+    made = bytearray()
     try:
-        for k in range(at, len(raw), 64):
-            if len(made) >= LAYER_BYTES or worker.eof:
-                break
-            made += worker.decompress(raw[k : k + 64], LAYER_BYTES)
+        for k in range(0, len(view), 16):
+            made += worker.decompress(view[k : k + 16])
     except zlib.error:
         pass
     return bytes(made)
@@ -171,7 +169,7 @@ def _unpacked(raw: bytes, budget: list[int]) -> Iterator[tuple[str | None, int]]
             before = text[-OVERLAP:]
 
 
-def _base64(run: str) -> Iterator[tuple[str, list[int], list[int], bytes]]:
+def _base64(run: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, bytes]]:
     """A base64 run read from each of four places: text, starts and ends of its characters in the run, and its bytes."""
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     for skip in range(4):
@@ -181,36 +179,43 @@ def _base64(run: str) -> Iterator[tuple[str, list[int], list[int], bytes]]:
         if len(part) < 8:
             continue
         raw = base64.b64decode(part + "=" * (-len(part) % 4))
-        lo = [skip + k * 8 // 6 for k in range(len(raw))]
-        hi = [min(skip + (k * 8 + 7) // 6 + 1, len(run)) for k in range(len(raw))]
+        lo = np.arange(skip * 6, skip * 6 + 8 * len(raw), 8, dtype=np.int32)
+        hi = np.minimum((lo + 7) // 6 + 1, len(run))
+        lo //= 6
         yield *_characters(raw, lo, hi), raw
 
 
-def layers(text: str, budget: list[int] | None = None) -> Iterator[tuple[str, list[int], list[int], bool]]:
+def layers(text: str, budget: list[int] | None = None) -> Iterator[tuple[str, Places, Places, bool]]:
     """What one layer unwraps to: text, starts and ends of its characters in the layer, and whether it was refused. Whatever characters come out, they are a layer."""
     budget = [TOTAL_BYTES] if budget is None else budget
 
-    def unpack(raw: bytes, start: int, end: int) -> Iterator[tuple[str, list[int], list[int], bool]]:
+    def unpack(raw: bytes, start: int, end: int) -> Iterator[tuple[str, Places, Places, bool]]:
         for made, _ in _unpacked(raw, budget):
-            yield (made, [start] * len(made), [end] * len(made), False) if made is not None else ("", [], [], True)
+            yield made or "", start, end, made is None
 
     if "%" in text:
         for start, end in _stretches(PERCENT, text):
             made, lo, hi = _percent(text[start:end])
-            yield made, [start + x for x in lo], [start + x for x in hi], False
+            yield made, lo + start, hi + start, False
     if "\\" in text or "&#" in text:
         for made, lo, hi in _escapes(text):
             yield made, lo, hi, False
-    runs = [(m[0], range(m.start(), m.end())) for m in BASE64.finditer(text)]
+    if "\x00" in text:
+        for m in WIDE.finditer(text):
+            lo = np.arange(m.start(), m.end(), 2, dtype=np.int32)
+            yield m[0][::2], lo, lo + 2, False
+    for m in BASE64.finditer(text):
+        for made, lo, hi, raw in _base64(m[0]):
+            yield made, lo + m.start(), hi + m.start(), False
+            yield from unpack(raw, m.start(), m.end())
     for m in WRAPPED.finditer(text) if "\n" in text or "\\n" in text else ():
         gaps = [m.start(), *(x for b in BREAK.finditer(text, m.start(), m.end()) for x in b.span()), m.end()]
-        places = [k for s, e in zip(gaps[::2], gaps[1::2], strict=True) for k in range(s, e)]
+        lines = list(zip(gaps[::2], gaps[1::2], strict=True))
+        places = np.concatenate([np.arange(s, e, dtype=np.int32) for s, e in lines])
         if len(places) >= 16:
-            runs.append(("".join(text[k] for k in places), places))
-    for run, places in runs:
-        for made, lo, hi, raw in _base64(run):
-            yield made, [places[x] for x in lo], [places[x - 1] + 1 for x in hi], False
-            yield from unpack(raw, places[0], places[-1] + 1)
+            for made, lo, hi, raw in _base64("".join(text[s:e] for s, e in lines)):
+                yield made, places[lo], places[hi - 1] + 1, False
+                yield from unpack(raw, m.start(), m.end())
     # A layer of bytes stands here as latin-1, or, where they happened to be UTF-8, as characters.
     if text and (not text.isascii() or "\x1f" in text or "x\x01" in text):
         try:
@@ -222,35 +227,39 @@ def layers(text: str, budget: list[int] | None = None) -> Iterator[tuple[str, li
                 yield from unpack(other, 0, len(text))
 
 
+def _outside(inner: Places, outer: Places | None, last: int) -> Places:
+    """Places in a layer (or ends, whose last character is one before) as places in what the layer came from."""
+    if outer is None:
+        return inner
+    return outer if isinstance(outer, int) else outer[inner - last] if isinstance(inner, np.ndarray) else int(outer[inner - last])
+
+
 def find(text: str) -> tuple[list[Span], list[Span], int, int]:
     """Base spans; all spans, in places of the text; layers unwrapped; layers refused.
 
-    Worklist: each layer is scanned, and what it unwraps to is added, until nothing new comes. A layer that stood at the same place
-    already isn't looked at again, so decodings that lead back to each other end.
+    Worklist: each layer is scanned, and what it unwraps to is added, until nothing new comes; the newest is looked at first, so only the layers around one
+    place are held at once. A layer that stood at the same place already isn't looked at again, so decodings that lead back to each other end.
     """
     base = scan(text)
     spans, refused, budget = set(base), 0, [TOTAL_BYTES]
     seen: set[tuple[int, int, bytes]] = set()
-    work: deque[tuple[str, list[int], list[int]]] = deque()
-
-    def add(source: str, lo: list[int] | None, hi: list[int] | None) -> None:
-        nonlocal refused
-        for made, starts, ends, too_large in layers(source, budget):
-            refused += too_large
-            if not made or made == source:
-                continue
-            if lo is not None:
-                starts, ends = [lo[k] for k in starts], [hi[k - 1] for k in ends]
-            key = min(starts), max(ends), hashlib.sha256(made.encode("utf-8", "surrogatepass")).digest()
-            if key not in seen:
-                seen.add(key)
-                work.append((made, starts, ends))
-
-    add(text, None, None)
+    work: list[tuple[str, Iterator, Places | None, Places | None]] = [(text, layers(text, budget), None, None)]
     while work:
-        layer, lo, hi = work.popleft()
-        spans.update((min(lo[s:e]), kind, max(hi[s:e])) for s, kind, e in scan(layer))
-        add(layer, lo, hi)
+        source, found, lo, hi = work[-1]
+        if (step := next(found, None)) is None:
+            work.pop()
+            continue
+        made, starts, ends, too_large = step
+        refused += too_large
+        if not made or made == source:
+            continue
+        starts, ends = _outside(starts, lo, 0), _outside(ends, hi, 1)
+        at = lambda k, places: places if isinstance(places, int) else int(places[k])
+        key = at(0, starts), at(-1, ends), hashlib.sha256(made.encode("utf-8", "surrogatepass")).digest()
+        if key not in seen:
+            seen.add(key)
+            spans.update((at(s, starts), kind, at(e - 1, ends)) for s, kind, e in scan(made))
+            work.append((made, layers(made, budget), starts, ends))
     return base, sorted(spans), len(seen), refused
 
 

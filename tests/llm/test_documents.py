@@ -333,12 +333,26 @@ def test_leaks(spark, docs):
         item = low(i.text)
         some = set(item)
         for d, words in texts:
-            if len(item) >= 5 and sum(w in some for w in words) >= len(item) - len(item) // 5 and edit_distance(item, words) <= len(item) // 5:
+            if item and sum(w in some for w in words) >= len(item) - len(item) // 5 and edit_distance(item, words) <= len(item) // 5:
                 want.add((d, i.item_id))
     got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, items).collect()}
     assert want and got == want
 
 
+def test_leaks_of_short_and_long_items(spark):
+    """Items of under five words must stand word for word, at any place; long ones are found through their edits."""
+    draw = random.Random(8)
+    long = [f"q{draw.randrange(400)}" for _ in range(700)]
+    edited = long.copy()
+    for k in range(0, 650, 5):
+        edited[k + draw.randrange(5)] = "other"
+    texts = ["one two three", "x one two", "One TWO three four", "two one", "", None, "a " * 50 + "solo", " ".join(["y"] * 3000 + edited), " ".join(edited[:500])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "one two"), (2, "solo"), (3, "one two three four"), (4, " ".join(long)), (5, None), (6, " ")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.end) for r in decontamination.leaks(table, bench).collect()}
+    assert got == {(0, 1): (0, 2), (1, 1): (0, 3), (2, 1): (0, 2), (2, 3): (0, 4), (6, 2): (0, 51), (7, 4): (130, 3700)}
+
+
 def test_leaks_recall_and_odd_rows(spark, odd, empty):
     draw = random.Random(6)
     items = [(k, " ".join(draw.choice("abcdefghijkl") + str(draw.randrange(40)) for _ in range(draw.randrange(15, 60)))) for k in range(60)]
@@ -518,10 +532,13 @@ def _hidden(k):
         "key-x_" + b64(packed),
         "\n".join(b64(b"some words before the " + secret.encode() + b" and after it")[j : j + 28] for j in range(0, 80, 28)),
         b64(gzip.compress(b"first", mtime=0) + packed),
+        b64(secret.encode("utf-16-le")),
+        b64(b"\xff\xfe" + ("wide " + secret).encode("utf-16-be")),
+        "".join(f"%{x:02X}" for x in zlib.compress(b64(secret.encode()).encode())),
     ][k]
 
 
-@pytest.mark.parametrize("k", range(8))
+@pytest.mark.parametrize("k", range(11))
 def test_secrets_in_odd_layers(k):
     code = _hidden(k)
     text = f"Some text {code} and after"
@@ -529,6 +546,36 @@ def test_secrets_in_odd_layers(k):
     assert not refused and any(kind == 0 and 10 <= s < e <= 10 + len(code) for s, kind, e in spans)
 
 
+def test_secrets_of_many_layers_keep_their_places():
+    inner = "é password=Zx81kqPL7 ß"
+    for wrap in (lambda x: quote(x, safe=""), lambda x: base64.b64encode(x.encode()).decode(), lambda x: "".join(f"\\u{ord(c):04x}" for c in x)):
+        code = wrap(wrap(inner))
+        text = f"ü {code} end"
+        spans = [(s, e) for s, k, e in secrets.find(text)[1] if k == 0]
+        assert spans and all(text.index(code) <= s < e <= text.index(code) + len(code) for s, e in spans)
+    assert (10, 0, 28) in secrets.find("some text password=Zx81kqPL7 %41")[1]
+    # 18 characters behind 2 bytes of é and a space, each written with three.
+    assert (9 + 3 * 3, 0, 9 + 3 * 21) in secrets.find("one two: " + "".join(f"%{x:02x}" for x in "é password=Zx81kqPL7 ".encode()))[1]
+
+
+def test_secrets_of_a_bomb_take_little_memory():
+    """60 MB from some KB of text, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import base64, random, resource, sys, zlib
+from lorebase.llm import secrets
+filling = " ".join("".join(random.Random(k).choices("abcdefghijklm", k=5)) for k in range(600))
+text = base64.b64encode(zlib.compress((filling * 17000 + " password=Zx81kqPL7").encode(), 9)).decode()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert any(kind == 0 for _, kind, _ in secrets.find(text)[1])
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 500_000
+
+
 def test_secrets_in_large_layer(monkeypatch):
     monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
     code = base64.b64encode(zlib.compress(b" " * 995 + b"password=Zx81kqPL7 " + b" " * 3000)).decode()
