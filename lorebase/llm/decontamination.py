@@ -24,9 +24,9 @@ SAMPLED = 3  #: places in each sample
 AGREE = 0.4  #: share of places that agree, at the most edits that are allowed; tests measure the recall that follows
 TABLES = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
 WALKS = 16  #: random walks among which the tables are divided
-STRETCH = 3  #: length of an embedding for each word
+STRETCH = 1.8  #: places of an embedding for each word; a walk takes about two for a word, so few pass the end
 PARTS = (3, 2, 1)  #: words of the parts by which windows are found that are worth an embedding
-PART_BITS, KEY_BITS = 22, 24  #: of the hashes for which the two bitmaps have a bit; a full bitmap only lets more through
+PART_BITS, KEY_BITS = 22, 24  #: of the hashes for which the bitmaps have a bit; a full bitmap only lets more through
 SALTS = 16  #: parts of a key that very many windows have
 WINDOWS = 512  #: that are embedded at once
 
@@ -34,14 +34,14 @@ WINDOWS = 512  #: that are embedded at once
 def bucket_keys(texts: np.ndarray) -> np.ndarray:
     """texts (count, words) -> (count, TABLES) of 64-bit keys: of the length, the table, and the sampled places of the table's walk.
 
-    A walk writes the word where it stands at each of STRETCH * words places, 0 behind the last, and goes on to the next word by a coin of word, walk and place.
+    A walk writes the word where it stands at each of STRETCH * words places, 0 behind the last word, and goes on to the next one by a coin of word, walk and place.
     """
     count, n = texts.shape
     padded = np.concatenate([texts, np.zeros((count, 1), np.uint64)], axis=1)
     draw = np.random.default_rng(n)
     asked: dict[int, list[tuple[int, int]]] = {}
     for table in range(TABLES):
-        for k, place in enumerate(draw.integers(0, STRETCH * n, SAMPLED).tolist()):
+        for k, place in enumerate(draw.integers(0, max(1, int(STRETCH * n)), SAMPLED).tolist()):
             asked.setdefault(place, []).append((table, k))
     at = np.zeros((WALKS, count), np.int64)
     row, seed = np.arange(count)[None, :], np.arange(WALKS, dtype=np.uint64)[:, None] * np.uint64(100003)
@@ -83,6 +83,11 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end - int(back.argmin()), end
 
 
+def of_length(keys: np.ndarray, n: int) -> np.ndarray:
+    """Part hashes bound to the length of the items that have them."""
+    return mix(keys + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _bitmap(rows: DataFrame, bits: int) -> np.ndarray:
     """rows (key) -> words of a bitmap in which the upper `bits` bits of each key are set. At most 2 ** (bits - 6) rows come to the driver."""
     place = F.shiftrightunsigned("key", 64 - bits)
@@ -101,7 +106,7 @@ def _marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Items with words: their number of words, word hashes, part hashes and bucket keys."""
+    """Items with words: their number of words, word hashes, part hashes, bare and of the item's length, and bucket keys."""
     for batch in batches:
         for k in range(0, batch.num_rows, 64):
             rows = []
@@ -109,13 +114,14 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = hash_words(lower_words_of(text))
                 if n := len(words):
                     size, _ = parts(n)
-                    rows.append((ref, item_id, n, words.tobytes(), size, signed(window_hashes(words, size)), signed(bucket_keys(words[None, :])[0])))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["ref", "item_id", "n", "words", "size", "parts", "keys"])
+                    found = window_hashes(words, size)
+                    rows.append((ref, item_id, n, words.tobytes(), size, signed(found), signed(of_length(found, n)), signed(bucket_keys(words[None, :])[0])))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["ref", "item_id", "n", "words", "size", "parts", "own_parts", "keys"])
 
 
-ITEMS = "ref long, item_id long, n int, words binary, size int, parts array<long>, keys array<long>"
+ITEMS = "ref long, item_id long, n int, words binary, size int, parts array<long>, own_parts array<long>, keys array<long>"
 
 
 DOCUMENT = 1 << 32  #: between the places of one document and the next
@@ -135,31 +141,46 @@ def _near(hits: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
 
 
-def _regions(lengths: list[int], part_bits: dict[int, np.ndarray], key_bits: np.ndarray):
+def _regions(lengths: list[int], part_bits: dict[int, np.ndarray], own_bits: np.ndarray, key_bits: np.ndarray):
     """Of each document the regions where windows share keys with items: the region's place and words, and the keys. lengths: of items, in words."""
 
+    def keyed(n: int, blocks: list[tuple[int, int, int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int, int, bytes, np.ndarray]]:
+        keys = bucket_keys(np.concatenate([np.lib.stride_tricks.sliding_window_view(text, n) for *_, text, _ in blocks]))
+        at = 0
+        for doc, block, until, _, own in blocks:
+            found = np.unique(keys[at : at + until - block + 1])
+            at += until - block + 1
+            found = found[_marked(key_bits, found)]
+            if len(found):
+                low = max(0, block - n // SHARE)
+                yield doc, n, low, own[low : until + n + n // SHARE].tobytes(), found
+
     def of_documents(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, bytes, np.ndarray]]:
         begins = np.r_[0, ends[:-1]]
         hits = {}
         for size, bitmap in part_bits.items():
-            at = np.flatnonzero(_marked(bitmap, window_hashes(words, size)))
+            grams = window_hashes(words, size)
+            at = np.flatnonzero(_marked(bitmap, grams))
             doc = np.searchsorted(ends, at, "right")
             inside = at + size <= ends[doc]
-            hits[size] = (at - begins[doc] + doc * DOCUMENT)[inside]
+            hits[size] = (at - begins[doc] + doc * DOCUMENT)[inside], grams[at][inside]
         for n in lengths:
-            edits = n // SHARE
-            for first, last in zip(*(x.tolist() for x in _near(hits[parts(n)[0]], n)), strict=True):
+            places, grams = hits[parts(n)[0]]
+            waiting, count = [], 0
+            for first, last in zip(*(x.tolist() for x in _near(places[_marked(own_bits, of_length(grams, n))], n)), strict=True):
                 doc, first, last = first // DOCUMENT, first % DOCUMENT, last % DOCUMENT
                 own = words[begins[doc] : ends[doc]]
                 for block in range(first, last + 1, WINDOWS):
                     until = min(last, block + WINDOWS - 1)
                     text = np.zeros(until - block + n, np.uint64)
                     text[: max(0, len(own) - block)] = own[block : until + n]
-                    keys = np.unique(bucket_keys(np.lib.stride_tricks.sliding_window_view(text, n)))
-                    keys = keys[_marked(key_bits, keys)]
-                    if len(keys):
-                        low = max(0, block - edits)
-                        yield doc, n, low, own[low : until + n + edits].tobytes(), keys
+                    waiting.append((doc, block, until, text, own))
+                    count += until - block + 1
+                    if count >= WINDOWS:
+                        yield from keyed(n, waiting)
+                        waiting, count = [], 0
+            if waiting:
+                yield from keyed(n, waiting)
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +215,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Words [^\\x20\\x09-\\x0D]+, lower-cased A-Z, of whole texts; start and end count words. Items of under SHARE words must stand word for word. Null, empty and blank items are left
     out. A null text has no words; a null doc_id stays null; a row that occurs twice gives its pairs twice, an item that occurs twice likewise; extra columns are ignored;
-    an empty table on either side gives an empty result. A leak is missed by all tables with probability 1 - RECALL at the most edits. What goes to all executors are two bitmaps of fixed
+    an empty table on either side gives an empty result. A leak is missed by all tables with probability 1 - RECALL at the most edits. What goes to all executors are bitmaps of fixed
     size and the lengths of items, of which there are at most as many as the longest item has words.
     """
     numbered = items.select(F.monotonically_increasing_id().alias("ref"), F.col("item_id").cast("long"), F.col("text").cast("string"))
@@ -203,7 +224,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     each_part = known.select("size", F.explode("parts").alias("key"))
     part_bits = {size: _bitmap(each_part.where(F.col("size") == size), PART_BITS) for size in {parts(n)[0] for n in lengths}}
     keyed = known.select("ref", F.explode("keys").alias("key"))
-    search = _regions(lengths, part_bits, _bitmap(keyed, KEY_BITS))
+    own_parts = _bitmap(known.select(F.explode("own_parts").alias("key")), PART_BITS)
+    search = _regions(lengths, part_bits, own_parts, _bitmap(keyed, KEY_BITS))
     # The numbers of rows and regions are made before they are cut, so they stay when executors are lost.
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = read.mapInArrow(search, "row long, doc_id long, n int, at int, text binary, keys array<long>")
