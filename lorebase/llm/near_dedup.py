@@ -9,17 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lists, lower_words_of, mix, shingles, shuffle_partitions, signed
+from .common import cut, lists, lower_words_of, mix, shingles, signed
 from .components import components
 
 BITS = 2048  #: of the parity bitmap of a shingle set
 BLOCK = 8192  #: shingles that are permuted at once
+SALTS = 8  #: parts of a bucket or of a hub's pairs, so that no task meets all of a large one
 TILE = 256  #: documents on each side of a tile of a bucket
 
 
@@ -96,7 +96,10 @@ def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     right = marks.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bitmap").alias("mb"))
     apart = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (apart * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))
-    return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b")
+    # The first of a pair may be in very many of them.
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    copies = left.join(pairs.select("a").distinct(), "a", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["a", "salt"]).join(right, "b").where(fits).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -107,7 +110,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * union).select("a", "b").distinct()
 
 
-def _rest(members: DataFrame, marks: DataFrame, percent: int, groups: int) -> DataFrame:
+def _rest(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Possible pairs between different components of one bucket. The hub's component is the bucket's core, whose members needn't meet each other;
     all others meet each other and the core, in tiles of bounded size, and only pairs that sizes and bitmaps leave possible come out."""
     bucket = ["band", "key"]
@@ -125,14 +128,12 @@ def _rest(members: DataFrame, marks: DataFrame, percent: int, groups: int) -> Da
     left = F.col("other") & (~inner | (block <= meets))
     right = ~F.col("other") | (inner & (block >= meets))
     tiles = dealt.select("doc_id", "component", F.xxhash64("band", "key", one, two).alias("tile"), left.alias("left"), right.alias("right"))
-    tiles = tiles.join(marks.select("doc_id", "n_shingles", "bitmap"), "doc_id").withColumn("part", F.pmod("tile", F.lit(groups)).cast("int"))
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("tile", kind="stable")
-        ids, comps, sizes = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles"))
-        maps = np.stack(rows["bitmap"].to_numpy()).astype(np.int64).view(np.uint64) if len(rows) else np.empty((0, BITS // 64), np.uint64)
-        sides = rows["left"].to_numpy(bool), rows["right"].to_numpy(bool)
-        tile = rows["tile"].to_numpy()
+    tiles = tiles.join(marks.select("doc_id", "n_shingles", "bitmap"), "doc_id").select("tile", "doc_id", "component", "n_shingles", "left", "right", "bitmap")
+
+    def pairs(rows: pa.Table) -> np.ndarray:
+        tile, ids, comps, sizes, left, right = (rows[c].to_numpy() for c in ("tile", "doc_id", "component", "n_shingles", "left", "right"))
+        maps = rows["bitmap"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(tile), BITS // 64)
+        sides = left.astype(bool), right.astype(bool)
         starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
         found = [np.empty((0, 2), np.int64)]
         for s, e in zip(starts, np.r_[starts[1:], len(tile)], strict=True):
@@ -144,9 +145,25 @@ def _rest(members: DataFrame, marks: DataFrame, percent: int, groups: int) -> Da
                     js = js[apart * (100 + percent) <= (100 - percent) * (sizes[js] + sizes[i])]
                     if len(js):
                         found.append(np.stack([np.minimum(ids[js], ids[i]), np.maximum(ids[js], ids[i])], axis=1))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+        return np.unique(np.concatenate(found), axis=0)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches in order of tiles; the last tile of a batch waits for the next one, so no more is held than a batch and a tile."""
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            tile = rows["tile"].to_numpy()
+            last = int(np.searchsorted(tile, tile[-1]))
+            held = rows.slice(last).combine_chunks()
+            if last:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(rows.slice(0, last)).T], ["a", "b"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(held).T], ["a", "b"])
 
-    return tiles.groupBy("part").applyInPandas(meet, "a long, b long").distinct()
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -160,7 +177,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     A null, empty or blank text has no shingles and is linked with nothing. Rows with a null doc_id are returned with a null component_id and
     kept. Rows that repeat a doc_id are one document. Extra columns are ignored. An empty table gives an empty result.
     """
-    parts = shuffle_partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed_docs = cut(signatures(docs, words, bands, rows))
     linkable = signed_docs.where("doc_id is not null and n_shingles > 0")
@@ -170,8 +186,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     heads = cut(heads.select("doc_id", "n_shingles", "bands", "bitmap"))
 
     keys = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    # The members of a bucket are dealt over SALTS parts, each of which gets a copy of the bucket's row.
+    salted = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     buckets = keys.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
-    members = cut(keys.join(buckets, ["band", "key"]).select("band", "key", "doc_id", "hub"))
+    copies = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = cut(salted.join(copies, ["band", "key", "salt"]).select("band", "key", "doc_id", "hub"))
     ids = members.select("doc_id").distinct()
     marks = cut(heads.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "bitmap"))
     sets = cut(shingle_sets(docs.join(ids, "doc_id", "left_semi"), words))
@@ -180,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     links = cut(_verified(_possible(stars, marks, percent), sets, percent))
     known = members.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = known.withColumn("component", F.coalesce("component", "doc_id"))
-    more = _verified(_rest(known, marks, percent, parts), sets, percent)
+    more = _verified(_rest(known, marks, percent), sets, percent)
     # A document that occurs with several texts is in several classes; then its class links join them.
     found = components(links.union(more).union(_bridges(of_class)))
     by_class = of_class.join(found.select(F.col("node").alias("class_id"), F.col("component")), "class_id", "left")

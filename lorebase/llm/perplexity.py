@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character 5-grams, one for each language.
 
-Documents travel in compressed chunks of fixed size. A chunk names its distinct n-grams; these rows meet by n-gram, where the distinct ones climb the model's orders by
-joins, so nothing that grows with the corpus is broadcast or gathered in one row; the answers return to the chunk, where every document's perplexity is added
+Documents travel in compressed chunks of fixed size. A chunk names its distinct n-grams; these rows meet by n-gram, the distinct ones meet the model's counts in
+shards, so nothing that grows with the corpus is broadcast or gathered in one row; the answers return to the chunk, where every document's perplexity is added
 up from whole texts. For the counts, only documents travel whose ids fall on a bitmap of fixed size of the trusted ids; the exact test follows in the chunk.
 """
 
@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, beside, cut, quantiles, text_bytes, window_hashes
+from .common import FEW, STEP, beside, cut, hash_words, mix, quantiles, text_bytes, window_hashes
 
 ORDER = 5
 CODES = 0x110000  #: symbols: all code points
@@ -25,6 +25,7 @@ POOL = "\x1fpool"  #: the model of all trusted text together, for languages that
 CHUNK_BYTES = 128 << 20  #: of text in a chunk, whatever the number of partitions
 MARKS = 24  #: bits of a hash, for each of which the bitmap of trusted ids has a bit
 SLICE = 1 << 21  #: symbols that are looked at together in a chunk
+SHARD = 200_000  #: distinct n-grams in a shard of the model
 LEVEL = 9  #: of the compression in which texts travel
 PRIOR = 200  #: symbols at the language's median that are added to each document, so that short ones aren't judged by chance
 FENCE = 6.0  #: interquartile ranges above the upper quartile of trusted documents at which a language's threshold stands
@@ -91,7 +92,7 @@ def _slices(packed: pa.Table) -> Iterator[tuple[str, list[int | None], list[str]
 
 
 COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
-ASKED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("chunk", pa.int32())])
+ASKED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("chunk", pa.int32())])  # none of them is null, else joins would push tests of that below the exchange, each its own
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("surprise", pa.float64())])
 
 
@@ -142,40 +143,108 @@ def _scored(packed: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _keyed(models: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """64-bit keys of rows of symbols under their models."""
+    key = models.copy()
+    for column in codes.T:
+        key = mix(key * STEP + column.astype(np.uint64))
+    return key
+
+
+def _codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the models, and the symbols (rows, ORDER) of the n-grams."""
+    text = "".join(table["gram"].to_pylist())
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+    place, names = pd.factorize(table["model"].to_numpy())
+    return hash_words([x.encode() for x in names])[place] if len(place) else np.empty(0, np.uint64), codes
+
+
+def _tables(models: np.ndarray, codes: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """From the highest order to 2: order, the rows of one n-gram each, their last symbols, and counts: of occurrences in the highest order, of distinct symbols before in the lower ones."""
+    rows = np.arange(len(codes))
+    yield ORDER, rows, codes, n
+    for order in range(ORDER - 1, 1, -1):
+        ends = codes[rows][:, ORDER - order :]
+        _, first, counts = np.unique(_keyed(models[rows], ends), return_index=True, return_counts=True)
+        rows = rows[first]
+        yield order, rows, ends[first], counts
+
+
+FACTS = pa.schema([("model", pa.string()), ("order", pa.int32()), ("symbol", pa.int32()), *((f"n{k}", pa.int64()) for k in range(1, 5)), ("n", pa.int64())])
+
+
+def _facts(counts: pa.Table) -> pa.Table:
+    """Of a shard: how many n-grams of each order and model have counts of 1 to 4; and of each last symbol the distinct symbols before it."""
+    models, codes = _codes(counts)
+    names = counts["model"].to_numpy()
+    rows = []
+    for order, at, ends, n in _tables(models, codes, counts["n"].to_numpy()):
+        for model in pd.unique(names[at]):
+            own = n[names[at] == model]
+            rows.append((model, order, None, *(int((own == k).sum()) for k in range(1, 5)), 0))
+    for (model, symbol), n in zip(*np.unique(np.rec.fromarrays([names[at].astype("U"), ends[:, -1]]), return_counts=True), strict=True):
+        rows.append((str(model), 1, int(symbol), 0, 0, 0, 0, int(n)))
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), FACTS, strict=True)], schema=FACTS)
+
+
+def _told(counts: pa.Table, asked: pa.Table) -> pa.Table:
+    """The asked n-grams of a shard with their p, from the lowest order up: held mass of the n-gram, and the context's free mass for the order below."""
+    models, codes = _codes(counts)
+    wanted, sought = _codes(asked)
+    p = asked["lower"].to_numpy()
+    taken = np.stack(counts["taken"].to_numpy()) if counts.num_rows else np.empty((0, 3 * (ORDER - 1)))
+    for order, at, ends, n in reversed(list(_tables(models, codes, counts["n"].to_numpy()))):
+        d = taken[at, 3 * (order - 2) + np.minimum(n, 3) - 1]
+        keys, contexts = _keyed(models[at], ends), _keyed(models[at], ends[:, :-1])
+        sort = np.argsort(keys)
+        known, place = np.unique(contexts, return_inverse=True)
+        total, free = (np.bincount(place, x, len(known)) for x in (n, d))
+        mine = sought[:, ORDER - order :]
+        own, context = _keyed(wanted, mine), _keyed(wanted, mine[:, :-1])
+        if not len(known):
+            continue
+        k = sort[np.minimum(np.searchsorted(keys, own, sorter=sort), len(sort) - 1)]
+        c = np.minimum(np.searchsorted(known, context), len(known) - 1)
+        held = np.where(keys[k] == own, n[k] - d[k], 0)
+        p = np.where(known[c] == context, (held + free[c] * p) / total[c], p)
+    return pa.table([asked["model"], asked["gram"], pa.array(p)], names=["model", "gram", "p"])
+
+
+def _discounts(n1: Column, n2: Column, n3: Column, n4: Column) -> list[Column]:
+    """The three discounts from the counts of counts, within bounds that only small corpora reach."""
+    n1, n2, n3, n4 = (F.greatest(x.cast("double"), F.lit(1.0)) for x in (n1, n2, n3, n4))
+    y = n1 / (n1 + 2 * n2)
+    bound = lambda x, k: F.least(F.greatest(x, F.lit(0.1)), F.lit(k - 0.05))
+    return [bound(1 - 2 * y * n2 / n1, 1), bound(2 - 3 * y * n3 / n2, 2), bound(3 - 4 * y * n4 / n3, 3)]
+
+
 def kneser_ney(counts: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
     """counts (model, gram, n) of the trusted text, and distinct asked (model, gram): asked with p, under the model that each names.
 
     The highest order counts occurrences; a lower order counts the distinct symbols before. Each order's discounts come from its counts of counts in
-    the model, and a context's free mass goes to the order below, the lowest to all symbols alike. An unseen context leaves all to the order below. The distinct ends
-    of the asked n-grams climb from the lowest order, of which there are few, to the highest. few: whether there are at most FEW models.
+    the model, and a context's free mass goes to the order below, the lowest to all symbols alike. An unseen context leaves all to the order below. All orders but the lowest of
+    an n-gram, with their contexts, have its last symbol but one, so they meet in one shard by that symbol, of counts and questions alike; distinct n-grams are few, whatever the
+    corpus holds. The lowest order is a table of symbols. few: whether there are at most FEW models.
     """
-    tables, ends = {ORDER: counts}, {ORDER: asked}
-    for order in range(ORDER - 1, 0, -1):
-        shorter = F.right("gram", F.lit(order)).alias("gram")
-        tables[order] = cut(tables[order + 1].groupBy("model", shorter).agg(F.count("*").alias("n")))
-        ends[order] = ends[order + 1].select("model", shorter).distinct()
-    below: DataFrame | None = None
-    for order in range(1, ORDER + 1):
-        n1, n2, n3, n4 = (F.greatest(F.count_if(F.col("n") == k).cast("double"), F.lit(1.0)) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        bound = lambda x, k: F.least(F.greatest(x, F.lit(0.1)), F.lit(k - 0.05))  # noqa: E731  # small corpora give values outside
-        discounts = tables[order].groupBy("model").agg(bound(1 - 2 * y * n2 / n1, 1).alias("d1"), bound(2 - 3 * y * n3 / n2, 2).alias("d2"), bound(3 - 4 * y * n4 / n3, 3).alias("d3"))
-        cut_off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        taken = beside(tables[order], discounts, "model", few).select("model", "gram", "n", cut_off.alias("d"))
-        context = F.left("gram", F.lit(order - 1)).alias("context")
-        contexts = taken.groupBy("model", context).agg(F.sum("n").alias("total"), F.sum("d").alias("free"))
-        own = taken.select("model", "gram", (F.col("n") - F.col("d")).alias("held"))
-        now = ends[order].join(own, ["model", "gram"], "left").withColumn("context", context).join(contexts, ["model", "context"], "left")
-        if below is None:
-            now = now.withColumn("lower", F.lit(1.0 / CODES))
-        else:
-            now = now.withColumn("end", F.right("gram", F.lit(order - 1))).join(below, ["model", "end"])
-        mixed = (F.coalesce("held", F.lit(0.0)) + F.col("free") * F.col("lower")) / F.col("total")
-        p = F.when(F.col("total").isNull(), F.col("lower")).otherwise(mixed)
-        if order == ORDER:
-            return now.select("model", "gram", p.alias("p"))
-        below = now.select("model", F.col("gram").alias("end"), p.alias("lower"))
-    raise AssertionError
+    shards = 32 + counts.count() // SHARD
+    shard = F.pmod(F.xxhash64("model", F.substring("gram", ORDER - 1, 1)), F.lit(shards)).cast("int").alias("shard")
+    columns = ", ".join(f"{f.name} {'string' if f.name == 'model' else 'int' if f.name in ('order', 'symbol') else 'long'}" for f in FACTS)
+    facts = counts.select("*", shard).groupBy("shard").applyInArrow(_facts, columns)
+    facts = cut(facts.groupBy("model", "order", "symbol").agg(*(F.sum(f.name).alias(f.name) for f in list(FACTS)[3:])))
+    each = facts.where("order > 1").select("model", "order", F.array(*_discounts(*(F.col(f"n{k}") for k in range(1, 5)))).alias("d"))
+    taken = each.groupBy("model").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("order", "d"))), lambda x: x["d"])).alias("taken"))
+    lowest = facts.where("order = 1").select("model", "symbol", "n")
+    d1, d2, d3 = _discounts(*(F.count_if(F.col("n") == k) for k in range(1, 5)))
+    several = [F.count_if(F.col("n") == k).cast("double") for k in (1, 2)] + [F.count_if(F.col("n") > 2).cast("double")]
+    free = several[0] * d1 + several[1] * d2 + several[2] * d3
+    whole = lowest.groupBy("model").agg(d1.alias("d1"), d2.alias("d2"), d3.alias("d3"), F.sum("n").alias("total"), free.alias("free"))
+    held = F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    seen = beside(lowest, whole.select("model", "d1", "d2", "d3"), "model", few).select("model", F.col("symbol").alias("last"), held.alias("held"))
+    met = beside(asked, whole.select("model", "total", "free"), "model", few, "left").withColumn("last", F.ascii(F.right("gram", F.lit(1)))).join(seen, ["model", "last"], "left")
+    lower = F.when(F.col("total").isNull(), F.lit(1.0 / CODES)).otherwise((F.coalesce("held", F.lit(0.0)) + F.col("free") / CODES) / F.col("total"))
+    questions = met.select("model", "gram", lower.alias("lower"), shard)
+    table = beside(counts, taken, "model", few).select("model", "gram", "n", "taken", shard)
+    return table.groupBy("shard").cogroup(questions.groupBy("shard")).applyInArrow(_told, "model string not null, gram string not null, p double")
 
 
 def _rounded(rate: Column) -> Column:
@@ -206,21 +275,21 @@ def classified(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     marked = np.zeros(1 << (MARKS - 6), np.uint64)
     for r in names.groupBy(F.shiftright(mark, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(doc_id), {64 - MARKS}) & 63 as int))")).alias("bits")).collect():
         marked[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    training = dealt.withColumn("mark", mark).mapInArrow(_pack(marked), PACKED).groupBy("chunk").cogroup(names.select("doc_id", chunk).groupBy("chunk")).applyInArrow(_counted, "lang string, gram string, n long")
+    training = dealt.withColumn("mark", mark).mapInArrow(_pack(marked), PACKED).groupBy("chunk").cogroup(names.select("doc_id", chunk).groupBy("chunk")).applyInArrow(_counted, "lang string not null, gram string not null, n long")
     counts = cut(training.groupBy(F.col("lang").alias("model"), "gram").agg(F.sum("n").alias("n")))
     langs = read.groupBy("lang").agg(F.lit(1).alias("one"))
     bare = cut(langs.join(counts.select(F.col("model").alias("lang")).distinct(), "lang", "left_anti").select("lang"))
     few, pooled = langs.count() <= FEW, not bare.isEmpty()
     # One exchange of the packed documents serves both: what the chunks ask, and the chunks that get the answers.
     packed = dealt.mapInArrow(_pack(None), PACKED)
-    rows = packed.groupBy("chunk").applyInArrow(_asked, "lang string, gram string, chunk int")
+    rows = packed.groupBy("chunk").applyInArrow(_asked, "lang string not null, gram string not null, chunk int not null")
     if pooled:
         counts = cut(counts.union(counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOL).alias("model"), "gram", "n")))
         rows = beside(rows, bare.withColumn("bare", F.lit(True)), "lang", few, "left")
         rows = rows.select(F.when(F.col("bare"), F.lit(POOL)).otherwise(F.col("lang")).alias("model"), "gram", "chunk")
     else:
         rows = rows.withColumnRenamed("lang", "model")
-    # So does one exchange of the n-grams: for the distinct ones, and for the chunks that asked. Both use all its columns, so that their plans are alike.
+    # So does one exchange of the n-grams: for the distinct ones, and for the chunks that asked. Both use all its columns, none of which can be null, so their plans are alike.
     rows = rows.repartition("model", "gram")
     distinct = rows.groupBy("model", "gram").agg(F.min("chunk").alias("least")).where("least >= 0").select("model", "gram")
     told = kneser_ney(counts, distinct, few)

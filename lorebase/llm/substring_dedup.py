@@ -117,7 +117,8 @@ def _index(blocks: int, hot: tuple[np.ndarray, np.ndarray]):
         owner, owner_at = _owners(core, tail, ids[doc], at)
         later = owner < ids[doc]
         d, a, n, o, oa = _factors(doc[later], at[later], owner[later], owner_at[later])
-        for part, rows in _split(d % blocks):
+        # These are answers already; they pass through any block, so they are dealt evenly.
+        for part, rows in _split((mix(ids[d].view(np.uint64)) % np.uint64(blocks)).astype(np.int64)):
             yield _row(part, ids, versions, d[rows], a[rows], n[rows].astype("<u4"), owner=o[rows].astype("<i8").tobytes(), owner_at=oa[rows].astype("<u4").tobytes())
         doc, at, core, tail = doc[~later], at[~later], core[~later], tail[~later]
         dealt = _parts(core, tail, hot)
