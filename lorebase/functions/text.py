@@ -19,7 +19,12 @@ PUNCTUATION = ["!", "?", ",", ":", ";", *FULL_STOPS]
 NO_SPACE_BEFORE = [";", "n't", "'s", "'ll", ".", ",", "?", "!", ":", "'m", "'re", ")", "]", "}", "'ve"]
 NO_SPACE_AFTER = ["(", "[", "{"]
 QUESTION_VERBS = ["do", "did", "does", "are", "is", "was", "were", "have", "had"]
-PENN_TAGS = "CC CD DT EX FW IN JJ JJR JJS LS MD NN NNS NNP NNPS PDT POS PRP PRP$ RB RBR RBS RP SYM TO UH VB VBD VBG VBN VBP VBZ WDT WP WP$ WRB".split()
+PENN_TAGS = """cc cd dt ex fw in jj jjr jjs ls md nn nns nnp nnps pdt pos prp prp$
+prps rb rbr rbs rp sym to intj uh vb vbd vbg vbn vbp vbz wdt wp wp$ wps
+wrb rsb -rsb- rcb -rcb- rrb -rrb- -lsb- lsb -lcb- lcb lrb -lrb- np-tmp
+pun hyph . sqt eqt x xx sp
+adjp advp conjp np vp pp qp s sq sbarq sbar sinv ucp whadjp whadvp whnp whpp root prn
+frag prt rrc nx nac lst add afx gw bes hvs nfp""".split()
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 NAME = r"^[A-Za-z -]+$"
 
@@ -117,7 +122,7 @@ def is_number(tag: Column) -> Column:
 
 def is_tag(tag: Column) -> Column:
     """Whether a tag is a Penn tag, in either case."""
-    return F.upper(tag).isin(*PENN_TAGS, ".", " ")
+    return F.lower(tag).isin(*PENN_TAGS, " ")
 
 
 def is_question(tokens: Column) -> Column:

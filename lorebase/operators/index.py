@@ -73,12 +73,16 @@ def keywords(questions: DataFrame, lexicon: Lexicon, stop_words: list[str] = STO
 def search(postings: DataFrame, words: DataFrame, topic: str | None = None, shard: int = 0) -> DataFrame:
     """Conjunctive search of all questions at once: query_id, sentence_id, matches for each sentence that has all of a question's keywords under fitting tags.
 
-    Of a keyword's matches in a sentence one stays: the first for keyword 0, the last for the others.
+    The rarest word of each question names the sentences that can answer it; the others are looked up there by word and sentence, so that a frequent word
+    is no hot key. Of a keyword's matches in a sentence one stays: the first for keyword 0, the last for the others.
     """
     within = postings.where(F.col("shard") == shard)
     if topic is not None:
         within = within.where(F.col("topic") == topic)
-    hits = within.join(words, "word").where(T.tags_compatible(F.col("tag_wanted"), F.col("tag")))
+    counted = within.groupBy("word").agg(F.count("*").alias("n_postings"))
+    rarest = words.join(counted, "word").groupBy("query_id").agg(F.min_by("word", F.struct("n_postings", "word")).alias("word"))
+    named = within.select("word", "sentence_id").distinct().join(rarest, "word").select("query_id", "sentence_id")
+    hits = named.join(words, "query_id").join(within, ["word", "sentence_id"]).where(T.tags_compatible(F.col("tag_wanted"), F.col("tag")))
     match = F.struct("keyword", "offset", "tag", "word", "score")
     place = F.struct("offset", "tag")
     each = hits.groupBy("query_id", "sentence_id", "keyword", "n_keywords").agg(F.min_by(match, place).alias("first"), F.max_by(match, place).alias("last"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.readers import upsert
 
 SCHEMA_FIELDS = "struct<id:string,name:string,origin:string,field_list:array<struct<name:string,semantic:string,aiml:string>>>"
 
@@ -77,6 +78,27 @@ def sign_in(users: DataFrame, attempts: DataFrame) -> DataFrame:
     return joined.select("email", "first_name", "surname", "session")
 
 
+def sign_out(sessions: DataFrame, gone: DataFrame) -> DataFrame:
+    """sessions without those that end (session)."""
+    return sessions.join(gone.select("session").distinct(), "session", "left_anti").select(sessions.columns)
+
+
+def remove_users(users: DataFrame, sessions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """users and sessions without those of the addresses (email)."""
+    names = gone.select("email").distinct()
+    return users.join(names, "email", "left_anti").select(users.columns), sessions.join(names, "email", "left_anti").select(sessions.columns)
+
+
+def save_schemas(entries_: DataFrame, fresh: DataFrame) -> DataFrame:
+    """entries with schemas (id, name, origin, field_list) in place of those of the same id."""
+    made = fresh.select("id", F.lit("schema").alias("topic"), F.to_json(F.struct("id", "name", "origin", "field_list")).alias("json_data"))
+    return upsert(entries_, made, ["topic", "id"])
+
+
+def remove_schemas(entries_: DataFrame, ids: list[str]) -> DataFrame:
+    return entries_.where(~((F.col("topic") == "schema") & F.col("id").isin(ids)))
+
+
 def valid_requests(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     """Requests with a session that exists, and the topic of its user."""
     names = sessions.select("session", "email", T.display_name(F.col("first_name"), F.col("surname")).alias("user_topic"))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+STARS = 8  #: wildcards of a pattern whose texts are bound
+
+
 def expand(pattern: str) -> list[str]:
     """All forms of a pattern with alternatives (a|b|); an empty alternative may stand anywhere in the brackets."""
     parts = re.split(r"\(([^()]*)\)", pattern)
@@ -45,13 +48,20 @@ def schema_patterns(schemas: DataFrame) -> DataFrame:
 
 
 def match(questions: DataFrame, rules: DataFrame) -> DataFrame:
-    """questions (query_id, text) -> query_id, rank, origin, template, star: a row for each template that matches, with the text of its first *."""
+    """questions (query_id, text) -> query_id, rank, origin, template, star: a row for each template that matches, with the texts of all its * (up to STARS) in their order."""
     tokens = F.transform(T.drop_punctuation(T.drop_spaces(T.tokenize(F.col("text")))), F.lower)
     asked = questions.select("query_id", tokens.alias("tokens")).where(F.size("tokens") > 0)
     asked = asked.select("query_id", F.col("tokens")[0].alias("start"), F.concat(F.lit(" "), F.array_join("tokens", " ")).alias("line"))
     met = asked.join(rules, "start").where(F.expr("line rlike regex"))
-    star = F.when(F.col("stars") > 0, F.trim(F.expr("regexp_extract(line, regex, 1)"))).otherwise("")
-    return met.select("query_id", "rank", "origin", "template", star.alias("star"))
+    star = F.concat_ws("", *(F.when(F.col("stars") >= k, F.expr(f"regexp_extract(line, regex, {k})")) for k in range(1, STARS + 1)))
+    return met.select("query_id", "rank", "origin", "template", F.trim(star).alias("star"))
+
+
+def searched_text(template: Column, star: Column) -> Column:
+    """What a template {search:a,*,b} looks for: its parts in their order, * standing for the question's own words; null for other templates."""
+    inner = F.regexp_extract(template, r"^\{search:(.*)\}$", 1)
+    said = F.array_join(F.transform(F.split(inner, ","), lambda p: F.when(F.trim(p) == "*", star).otherwise(F.trim(p))), " ")
+    return F.when(inner != "", F.trim(said))
 
 
 def pick(matches: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def dot(tokens: Column) -> Column:
 
 
 def merge_longest(sentences: DataFrame, compounds: DataFrame, most: int = 5) -> DataFrame:
-    """Merge compounds: id, tokenList with each longest run of two to `most` tokens whose text is a compound as one token, headed by its first noun.
+    """Merge compounds: id, tokenList with each longest run of two to `most` tokens whose text is a compound as one token, headed by its first noun. Ancestors that
+    went into a compound are replaced by its head; a token is no ancestor of its own.
 
     Candidates are joined with the compounds; of those that overlap, the one that begins first stays, and of those with one beginning the longest.
     """
@@ -49,11 +50,24 @@ def merge_longest(sentences: DataFrame, compounds: DataFrame, most: int = 5) ->
     chosen = spans.select("id", F.aggregate("spans", start, step, lambda s: s["out"]).alias("spans"))
     joined = sentences.join(chosen, "id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<pos:int,n:int>>")))
 
+    def part_of(span: Column) -> Column:
+        return F.slice(F.col("tokenList"), span["pos"] + 1, span["n"])
+
+    def head_of(span: Column) -> Column:
+        part = part_of(span)
+        return F.coalesce(F.try_element_at(F.filter(part, lambda x: x["tag"].startswith("NN")), F.lit(1)), F.try_element_at(part, F.lit(1)))
+
     def merged(t: Column, k: Column) -> Column:
         own = F.filter(F.col("spans"), lambda s: (s["pos"] <= k) & (k < s["pos"] + s["n"]))
         span = F.try_element_at(own, F.lit(1))
-        part = F.slice(F.col("tokenList"), span["pos"] + 1, span["n"])
-        head = F.coalesce(F.try_element_at(F.filter(part, lambda x: x["tag"].startswith("NN")), F.lit(1)), F.try_element_at(part, F.lit(1)))
-        return F.when(F.size(own) == 0, F.array(t)).when(span["pos"] == k, F.array(head.withField("text", F.array_join(F.transform(part, lambda x: x["text"]), " ")))).otherwise(F.slice(F.array(t), 1, 0))
+        one = head_of(span).withField("text", F.array_join(F.transform(part_of(span), lambda x: x["text"]), " "))
+        return F.when(F.size(own) == 0, F.array(t)).when(span["pos"] == k, F.array(one)).otherwise(F.slice(F.array(t), 1, 0))
+
+    def mapped(t: Column) -> Column:
+        over = F.transform(t["list"], lambda a: F.coalesce(F.element_at("heads", a), a))
+        return t.withField("list", F.filter(F.array_distinct(over), lambda a: a != t["index"]))
 
-    return joined.withColumn("tokenList", F.flatten(F.transform("tokenList", merged))).drop("spans")
+    pairs = F.flatten(F.transform("spans", lambda s: F.transform(part_of(s), lambda x: F.struct(x["index"].alias("key"), head_of(s)["index"].alias("value")))))
+    heads = F.map_from_entries(F.array_distinct(pairs))
+    out = joined.withColumn("heads", heads).withColumn("tokenList", F.flatten(F.transform("tokenList", merged)))
+    return out.withColumn("tokenList", F.when(F.size("spans") > 0, F.transform("tokenList", mapped)).otherwise(F.col("tokenList"))).drop("spans", "heads")

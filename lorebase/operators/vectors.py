@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,19 @@ def related(vectors: DataFrame, queries: DataFrame, buckets: int, distance: int)
     return scored
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, block: int = 256) -> DataFrame:
+    """The n nearest of all vectors (text, vector) for each of queries (query_id, vector): by score, ties by text.
+
+    Queries travel in blocks of `block`, each a row, and every vector meets every block; each partition keeps its own n before anything is shuffled.
+    """
+    numbered = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(block)))
+    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", F.col("vector").alias("wanted"))).alias("asked"))
+    met = vectors.join(blocks.select("asked"), how="cross").select("text", "vector", F.explode("asked").alias("q"))
+    scored = met.select("q.query_id", "text", F.round(similarity(F.col("q.wanted"), F.col("vector")), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "text"))
+    return scored.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+
 def top(scored: DataFrame, n: int) -> DataFrame:
     """The n nearest of one query: by score, ties by text."""
     return scored.orderBy(F.desc("score"), "text").limit(n)

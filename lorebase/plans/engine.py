@@ -127,17 +127,21 @@ def ask(state: State, questions: DataFrame, lexicon: Lexicon, rules: DataFrame,
     good = questions.where(T.askable(F.col("text")) & (T.is_question(F.col("tokens")) | T.is_imperative(F.col("tokens"))))
     picked = templates.pick(templates.match(good.select("query_id", "text"), rules)).join(good.select("query_id", "topic", "email", "text"), "query_id")
     searching = F.col("template").startswith("db_search:")
-    filled = picked.where(~searching).select("query_id", F.lit(0).alias("place"), templates.fill(F.col("template"), F.col("star"), now, F.col("email")).alias("text"))
+    said = templates.searched_text(F.col("template"), F.col("star"))
+    filled = picked.where(~searching & said.isNull()).select("query_id", F.lit(0).alias("place"), templates.fill(F.col("template"), F.col("star"), now, F.col("email")).alias("text"))
     parts = F.split("template", ":")
     lookups = picked.where(searching).select("query_id", parts[1].alias("topic"), F.transform(T.drop_spaces(T.tokenize("star")), lambda t: F.struct(t.alias("text"), F.lit("").alias("tag"))).alias("tokens"))
     words = index.keywords(lookups.select("query_id", "tokens"), lexicon).join(lookups.select("query_id", F.col("topic").alias("own")), "query_id")
     rows = _search_own(state, words).select("query_id", F.col("sentence_id").alias("id"))
     found = rows.join(knowledge.rendered(state.entries, knowledge.schemas(state.entries)), "id").select("query_id", F.lit(0).alias("place"), "text")
     told = search_sentences(state, good, lexicon).select("query_id", F.lit(1).alias("place"), "text")
+    rephrased = picked.where(said.isNotNull()).select("query_id", "topic", F.transform(T.drop_spaces(T.tokenize(said)), lambda t: F.struct(t.alias("text"), F.lit("").alias("tag"))).alias("tokens"))
+    looked = index.keywords(rephrased.select("query_id", "tokens"), lexicon).join(rephrased.select("query_id", F.col("topic").alias("own")), "query_id")
+    retold = index.fetch(_search_own(state, looked), state.sentences).select("query_id", F.lit(0).alias("place"), "text")
     terms = triples.match_access(good.select("query_id", "tokens"), access, lexicon)
     hits = triples.find(terms, state.vocabulary, triples.build_index(state.tuples))
     first = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where(F.col("n") <= page_size).drop("n")
     facts = first.join(triples.decode(state.tuples.join(first.select("id").distinct(), "id", "left_semi"), state.vocabulary), "id").select("query_id", F.lit(2).alias("place"), "text")
-    answers = filled.unionByName(found).unionByName(told).unionByName(facts)
+    answers = filled.unionByName(found).unionByName(retold).unionByName(told).unionByName(facts)
     silent = good.join(answers.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(3).alias("place"), F.lit(UNKNOWN).alias("text"))
     return answers.unionByName(silent)

@@ -228,16 +228,16 @@ def sentence_fetch(spark, sf_dir):
     return found(spark, sf_dir, ["elle"]).join(texts, "sentence_id").select("sentence_id", "text")
 
 
-QUESTIONS = f"WITH {WORDS}, q AS (SELECT conv_id, turn, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_extract(text, '^[^.!?]+'), '[A-Za-z]+'), lambda x: lower(x)), lambda x: length(x) >= 4 AND x NOT IN ({STOP})))) AS w FROM conversations WHERE role = 'user'), k AS (SELECT conv_id, turn, w[1:2] AS w FROM q WHERE len(w) >= 2), e AS (SELECT conv_id, turn, unnest(w) AS word FROM k), hits AS (SELECT DISTINCT conv_id, turn, e.word, sid FROM e JOIN posts ON e.word = posts.word)"
+QUESTIONS = f"WITH {WORDS}, t AS (SELECT conv_id, turn, unnest(generate_series(0, len(a) - 1)) AS s, unnest(a) AS txt FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?]+[.!?]*') AS a FROM conversations WHERE role = 'user')), q AS (SELECT conv_id, turn, s, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(txt, '[A-Za-z]+|[0-9]+'), lambda x: lower(x)), lambda x: x NOT IN ({STOP})))) AS w FROM t), k AS (SELECT * FROM q WHERE len(w) >= 2), e AS (SELECT conv_id, turn, s, len(w) AS n, unnest(w) AS word FROM k), once AS (SELECT DISTINCT word, sid FROM posts), f AS (SELECT word, count(*) AS n FROM once GROUP BY word), rare AS (SELECT conv_id, turn, s, arg_min(e.word, coalesce(f.n, 0)) AS word FROM e LEFT JOIN f ON e.word = f.word GROUP BY ALL), near AS (SELECT conv_id, turn, s, sid FROM rare JOIN once ON rare.word = once.word), hits AS (SELECT e.conv_id, e.turn, e.s, e.n, near.sid FROM near JOIN e ON near.conv_id = e.conv_id AND near.turn = e.turn AND near.s = e.s JOIN once ON once.word = e.word AND once.sid = near.sid)"
 
 
-@query(QUESTIONS + " SELECT conv_id, turn, sid AS sentence_id FROM hits GROUP BY conv_id, turn, sid HAVING count(*) = 2")
+@query(QUESTIONS + " SELECT conv_id, turn, s, sid AS sentence_id FROM hits GROUP BY conv_id, turn, s, sid, n HAVING count(*) = n")
 def ask_questions(spark, sf_dir):
-    """All questions at once: sentences that have two longer searchable words of a user's first sentence."""
-    first = F.regexp_extract("text", "^([^.!?]+)", 1)
-    wanted = F.sort_array(F.array_distinct(F.filter(F.transform(F.regexp_extract_all(first, F.lit("[A-Za-z]+"), F.lit(0)), F.lower), lambda w: (F.length(w) >= 4) & ~w.isin(L.STOP_WORDS))))
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("query_id"), F.slice(wanted, 1, 2).alias("w")).where(F.size("w") >= 2)
-    keys = asked.select("query_id", F.posexplode("w").alias("keyword", "word"), F.lit(2).alias("n_keywords"), F.lit("").alias("tag_wanted"))
+    """All questions at once, each sentence that a user says being one of two searchable words or more: the sentences of documents that have all of its words."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(T.sentences("text")).alias("s", "txt"))
+    wanted = F.sort_array(F.array_distinct(F.filter(F.transform(T.words("txt"), F.lower), lambda w: ~w.isin(L.STOP_WORDS))))
+    asked = said.select(F.struct("conv_id", "turn", "s").alias("query_id"), wanted.alias("w")).where(F.size("w") >= 2)
+    keys = asked.select("query_id", F.posexplode("w").alias("keyword", "word"), F.size("w").alias("n_keywords"), F.lit("").alias("tag_wanted"))
     # The frequent words of the corpus are searched by few questions: words that nobody asks for are dropped first.
     rows = posts(spark, sf_dir).join(keys.select("word").distinct(), "word", "left_semi").groupBy("word", "sid").agg(F.min("pos").alias("offset"))
     postings = rows.select("word", F.lit("").alias("tag"), F.lit(0).alias("shard"), F.col("sid").alias("sentence_id"), "offset", F.lit("global").alias("topic"), F.lit(1.0).alias("score"))
@@ -251,22 +251,22 @@ def topic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words(spark, sf_dir).select("word", F.lit("NN").alias("tag"), F.col("source").alias("topic"), F.col("sid").alias("sentence_id"), F.col("s").alias("sentence_no"))
 
 
-@query(TOPICS + " SELECT word, topic, score FROM idx WHERE length(word) > 6")
+@query(TOPICS + " SELECT word, topic, score FROM idx")
 def topic_index(spark, sf_dir):
-    return topics.build_topic_index(topic_rows(spark, sf_dir).where("length(word) > 6")).select("word", "topic", "score")
+    return topics.build_topic_index(topic_rows(spark, sf_dir)).select("word", "topic", "score")
 
 
-@query(f"WITH {WORDS} SELECT word, topic, round(round(CAST(CAST(sum(0.98 ** s) AS FLOAT) AS DOUBLE), 6), 3) AS score FROM (SELECT DISTINCT word, source AS topic, s FROM words WHERE length(word) > 6) GROUP BY ALL")
+@query(f"WITH {WORDS} SELECT word, topic, round(round(CAST(CAST(sum(0.98 ** s) AS FLOAT) AS DOUBLE), 6), 3) AS score FROM (SELECT DISTINCT word, source AS topic, s FROM words) GROUP BY ALL")
 def topic_index_sum(spark, sf_dir):
-    built = topics.build_topic_index(topic_rows(spark, sf_dir).where("length(word) > 6"), "sum")
+    built = topics.build_topic_index(topic_rows(spark, sf_dir), "sum")
     return built.select("word", "topic", F.round("score", 3).alias("score"))
 
 
-@query(TOPICS + ", t AS (SELECT conv_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+|[0-9]+'), lambda x: lower(x))) AS word FROM conversations WHERE role = 'user') SELECT conv_id, topic, round(sum(score), 3) AS score FROM t JOIN idx ON t.word = idx.word WHERE length(t.word) > 6 GROUP BY conv_id, topic")
+@query(TOPICS + ", t AS (SELECT conv_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+|[0-9]+'), lambda x: lower(x))) AS word FROM conversations WHERE role = 'user') SELECT conv_id, topic, round(sum(score), 3) AS score FROM t JOIN idx ON t.word = idx.word GROUP BY conv_id, topic")
 def topic_ranked(spark, sf_dir):
-    built = topics.build_topic_index(topic_rows(spark, sf_dir).where("length(word) > 6"))
+    built = topics.build_topic_index(topic_rows(spark, sf_dir))
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("query_id"), F.explode(T.words("text")).alias("word"))
-    asked = turns.select("query_id", F.lower("word").alias("word"), F.lit("NN").alias("tag")).where("length(word) > 6")
+    asked = turns.select("query_id", F.lower("word").alias("word"), F.lit("NN").alias("tag"))
     return topics.rank_topics(asked, built).select(F.col("query_id").alias("conv_id"), "topic", F.round("score", 3).alias("score"))
 
 
@@ -342,29 +342,27 @@ def vec_similarity(spark, sf_dir):
     return rows.join(asked, "label").select("query_id", "vec_id", F.round(vectors.similarity(F.col("vector"), F.col("embedding")), 6).alias("score"))
 
 
-EIGHT = "SELECT vec_id, embedding[1:8]::DOUBLE[] AS v FROM embeddings"
-BUCKET = f"WITH e AS ({EIGHT}), b AS (SELECT vec_id, v, CAST(floor(sqrt(list_dot_product(v, v)) / 8 * 1000) AS BIGINT) AS bucket FROM e)"
+WHOLE = "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings"
+BUCKET = f"WITH e AS ({WHOLE}), b AS (SELECT vec_id, v, CAST(floor(sqrt(list_dot_product(v, v)) / 64 * 10000) AS BIGINT) AS bucket FROM e)"
 
 
-@query(BUCKET + " SELECT bucket, count(*) AS n FROM b WHERE bucket < 1000 GROUP BY bucket")
+@query(BUCKET + " SELECT bucket, count(*) AS n FROM b WHERE bucket < 10000 GROUP BY bucket")
 def vec_bucket(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(vectors.bucket(F.slice("embedding", 1, 8), 1000).alias("bucket"))
+    rows = table(spark, sf_dir, "embeddings").select(vectors.bucket(F.col("embedding"), 10000).alias("bucket"))
     return rows.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
 @query(BUCKET + " SELECT q.vec_id AS query_id, b.vec_id, round(cosh(list_cosine_similarity(q.v, b.v)), 6) AS score FROM b AS q JOIN b ON abs(q.bucket - b.bucket) <= 2 WHERE q.vec_id % 100 = 0")
 def vec_related(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("text"), F.slice("embedding", 1, 8).alias("vector"))
-    asked = asked_vectors(spark, sf_dir).withColumn("vector", F.slice("vector", 1, 8))
-    return vectors.related(rows, asked, 1000, 2).withColumnRenamed("text", "vec_id")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("text"), F.col("embedding").alias("vector"))
+    return vectors.related(rows, asked_vectors(spark, sf_dir), 10000, 2).withColumnRenamed("text", "vec_id")
 
 
-@query("WITH q AS (SELECT embedding AS w FROM embeddings WHERE vec_id = 7) SELECT vec_id, round(cosh(list_cosine_similarity(w::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings ORDER BY score DESC, vec_id LIMIT 20")
+@query(PAIR + " SELECT query_id, vec_id, score FROM (SELECT q_id AS query_id, vec_id, round(cosh(list_cosine_similarity(q_embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20")
 def vec_topk(spark, sf_dir):
+    """The 20 nearest of all vectors for each query vector."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("text"), F.col("embedding").alias("vector"))
-    wanted = table(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"]
-    scored = rows.select("text", F.round(vectors.similarity(F.lit(wanted).cast("array<float>"), F.col("vector")), 6).alias("score"))
-    return vectors.top(scored, 20).withColumnRenamed("text", "vec_id")
+    return vectors.nearest(rows, asked_vectors(spark, sf_dir), 20).withColumnRenamed("text", "vec_id")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,13 +424,13 @@ def request_guard(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where(T.askable(F.col("text"))).select("conv_id", "turn")
 
 
-@query("SELECT role, count(*) AS n FROM conversations WHERE regexp_matches(trim(text), '\\?$') OR regexp_matches(lower(text), '^(do|did|does|are|is|was|were|have|had)[^a-z]') GROUP BY role")
+@query("SELECT role, count(*) AS n FROM conversations WHERE regexp_matches(trim(text), '\\?$') OR regexp_matches(lower(text), '^(do|did|does|are|is|was|were|have|had)[^a-z]') OR regexp_matches(lower(text), '(^|[^a-z])(who|what|whom|which)([^a-z]|$)') GROUP BY role")
 def is_question(spark, sf_dir):
-    """Surface tests: ends with a question mark or begins with a verb that asks."""
+    """Ends with a question mark, begins with a verb that asks, or holds a question word."""
     from ..operators.annotate import annotate_tokens
 
     tokens = annotate_tokens(T.drop_spaces(T.raw_tokens("text")))
-    return table(spark, sf_dir, "conversations").select("role", tokens.alias("t")).where(T.is_question(F.transform("t", lambda x: F.struct(x["text"].alias("text"), F.when(x["tag"].isin("WDT", "WP"), "NN").otherwise(x["tag"]).alias("tag"))))).groupBy("role").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "conversations").select("role", tokens.alias("t")).where(T.is_question(F.col("t"))).groupBy("role").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(url, 'https?://[%!#@/;&_$.?+=^*(){}A-Za-z0-9-]+')) AS entity, 'url.1' AS kind FROM pages")
@@ -493,12 +491,12 @@ def tree_parents(spark, sf_dir):
     return parents(lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(token).alias("tokenList"))).select("id", "child", "parent")
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS id, json_extract_string(props, '$.k') AS k FROM events WHERE user_id % 7 = 0")
+@query("SELECT CAST(event_id AS VARCHAR) AS id, json_extract_string(props, '$.k') AS k FROM events")
 def kb_upload(spark, sf_dir):
     """JSON lines of events as entries of a schema that knows their field."""
     from ..sources.readers import json_lines
 
-    read = table(spark, sf_dir, "events").where("user_id % 7 = 0").select(F.col("event_id").cast("string").alias("id"), F.col("props").alias("value"))
+    read = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("props").alias("value"))
     with_id = read.select(F.concat(F.lit('{"event":"'), F.col("id"), F.lit('",'), F.expr("substring(value, 2)")).alias("value"))
     kind = spark.createDataFrame([("s", "event", "u", [("event", "", ""), ("k", "", "")])], "id string, name string, origin string, field_list array<struct<name:string,semantic:string,aiml:string>>")
     made = knowledge.fields(knowledge.uploaded(json_lines(with_id), kind, "event"))
@@ -541,3 +539,6 @@ def person_resolve(spark, sf_dir):
     tokens = annotate_tokens(T.drop_spaces(T.raw_tokens("text")))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", anaphora.name_persons(tokens, F.lit("the user"), F.lit("the assistant")).alias("t"))
     return rows.select("conv_id", "turn", T.detokenize(F.col("t.text")).alias("text"))
+
+
+from . import more_queries  # noqa: E402, F401  # registers its own

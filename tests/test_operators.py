@@ -85,7 +85,7 @@ def test_sentence_tests(spark):
     assert column(spark, T.has_verb(tokens(("it", "PRP"), ("runs", "VBZ"))))
     assert column(spark, T.thousands(F.lit(1234567))) == "1,234,567"
     assert column(spark, T.file_name(F.lit("My File.txt"))) == "my_file_txt"
-    assert column(spark, T.is_tag(F.lit("nnp"))) and not column(spark, T.is_tag(F.lit("XX")))
+    assert column(spark, T.is_tag(F.lit("nnp"))) and column(spark, T.is_tag(F.lit("HYPH"))) and column(spark, T.is_tag(F.lit("-lrb-"))) and not column(spark, T.is_tag(F.lit("QQ")))
 
 
 def test_lexicon(spark, lexicon):
