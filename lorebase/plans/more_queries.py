@@ -119,8 +119,10 @@ SELECT p.doc_id, p.s AS sentence_no, CAST(p.pos AS INT) AS pos, p.w AS text, coa
 
 @query(ANAPHORA)
 def anaphora_documents(spark, sf_dir):
-    """Pronouns of all documents, resolved over tokens that the rule annotator tags."""
-    rows = sentences(spark, sf_dir).select("doc_id", F.col("s").alias("sentence_no"), annotate_tokens(T.drop_spaces(T.raw_tokens("txt"))).alias("tokenList"))
+    """Pronouns of all documents, resolved over tokens that the rule annotator tags. A document without the letters of any pronoun isn't tokenised."""
+    some = "(?i)(^|[^A-Za-z])(" + "|".join([*anaphora.SINGULAR, *anaphora.PLURAL]) + ")([^A-Za-z]|$)"
+    named = table(spark, sf_dir, "documents").where(F.col("text").rlike(some)).select("doc_id")
+    rows = sentences(spark, sf_dir).join(named, "doc_id", "left_semi").select("doc_id", F.col("s").alias("sentence_no"), annotate_tokens(T.drop_spaces(T.raw_tokens("txt"))).alias("tokenList"))
     return anaphora.resolve(rows)
 
 
