@@ -343,3 +343,35 @@ def test_streaming(spark, lexicon, tmp_path):
     ingest.index_stream(read(), *args).awaitTermination()
     made = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.word, r.sentence_id) for r in made.collect()} == {("alpha", "1-0"), ("beta", "1-0"), ("gamma", "1-1"), ("beta", "2-0"), ("delta", "2-0")} and made.count() == 5
+
+
+def test_all_stars_and_search_templates(spark):
+    rules = templates.compile_templates(spark, [("who * by the *", "o", ["{search:found,*}"]), ("what is *", "o", ["about {star}"])])
+    asked = spark.createDataFrame([(1, "Who wrote it by the old river?"), (2, "what is this")], "query_id long, text string")
+    rows = templates.match(asked, rules).select("query_id", "star", templates.searched_text(F.col("template"), F.col("star")).alias("said")).collect()
+    assert {r.query_id: (r.star, r.said) for r in rows} == {1: ("wrote it old river", "found wrote it old river"), 2: ("this", None)}
+
+
+def test_compounds_take_over_ancestors(spark):
+    token = "struct<index:int,list:array<int>,tag:string,text:string,dep:string>"
+    rows = spark.createDataFrame([(1, [(0, [2, 3], "DT", "the", ""), (1, [2, 3], "JJ", "red", ""), (2, [3], "NN", "cross", ""), (3, [], "VBZ", "helps", "ROOT"), (4, [1, 3], "RB", "well", "")])], f"id long, tokenList array<{token}>")
+    made = trees.merge_longest(rows, spark.createDataFrame([("red cross",)], "compound string")).first()["tokenList"]
+    assert [(t["index"], t["list"], t["text"]) for t in made] == [(0, [2, 3], "the"), (2, [3], "red cross"), (3, [], "helps"), (4, [2, 3], "well")]
+
+
+@pytest.mark.parametrize("text", ["March 5,2012", "March5,2012", "2012-03-05 10:20:30pm", "(123) 456-7890", "(123)456-7890", "http://a.org/x[1]/y"])
+def test_modifiers_and_brackets(spark, text):
+    found = [r.entity for r in grammar.entities(spark.createDataFrame([(1, f"see {text} there")], "k long, t string"), "k", "t").collect()]
+    assert text in found
+
+
+def test_schemas_and_users_come_and_go(spark):
+    none = spark.createDataFrame([], "id string, topic string, json_data string")
+    kinds = spark.createDataFrame([("s1", "part", "u", [("name", "", "")])], "id string, name string, origin string, field_list array<struct<name:string,semantic:string,aiml:string>>")
+    held = knowledge.save_schemas(none, kinds)
+    assert [r.name for r in knowledge.schemas(held).collect()] == ["part"] and knowledge.remove_schemas(held, ["s1"]).count() == 0
+    users = spark.createDataFrame([("a@b.org", "x"), ("c@d.org", "y")], "email string, first_name string")
+    sessions = spark.createDataFrame([("a@b.org", "1"), ("c@d.org", "2"), ("c@d.org", "3")], "email string, session string")
+    left, open_ = knowledge.remove_users(users, sessions, spark.createDataFrame([("c@d.org",)], "email string"))
+    assert left.count() == 1 and open_.count() == 1
+    assert {r.session for r in knowledge.sign_out(sessions, spark.createDataFrame([("2",)], "session string")).collect()} == {"1", "3"}
