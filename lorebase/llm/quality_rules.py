@@ -15,10 +15,10 @@ from operator import add
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_words, window_hashes, words_of
+from .common import FEW, beside, cut, hash_words, quantiles, window_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -26,7 +26,7 @@ UPPER = bytes(range(65, 91))
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SUPPORT = 0.5  #: share of a group that the estimate rests on; at half, up to nearly half of a group may be junk
 STEPS = 5  #: concentration steps
-SALTS = 64  #: parts of a group, so that no task meets a whole one
+GRID = 1024  #: logarithms of distances are told apart to 1 / GRID, so that their quantiles are exact counts
 LEAST = 200  #: documents of a group of its own; smaller ones are pooled by language, then all together
 #: Standard deviations below which a dimension isn't told apart: log words, word length, symbols, repeated lines, repeated words, capitals.
 FLOOR = (0.4, 0.25, 0.06, 0.1, 0.1, 0.06)
@@ -78,20 +78,21 @@ def _vector() -> list[Column]:
     return [F.round(x * 1024) / 1024 for x in made]
 
 
-def _grouped(stats: DataFrame) -> DataFrame:
-    """Name the group of each document: language and source, or a pool where they have too few documents."""
+def _grouped(stats: DataFrame) -> tuple[DataFrame, bool]:
+    """Name the group of each document: language and source, or a pool where they have too few documents. Also whether the groups are few enough to be broadcast."""
     lang, source = (F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in ("lang", "source"))
     named = stats.withColumn("own", F.concat_ws("\x1f", lang, source)).withColumn("wide", F.concat(F.lit("*\x1f"), lang))
     good = F.count_if(~F.col("base_failed"))
-    sizes = named.groupBy("own", "wide").agg(good.alias("n"))
+    sizes = cut(named.groupBy("own", "wide").agg(good.alias("n")))
     pools = sizes.where(F.col("n") < LEAST).groupBy("wide").agg(F.sum("n").alias("n_wide"))
     to = sizes.join(pools, "wide", "left").select("own", F.when(F.col("n") >= LEAST, F.col("own")).when(F.col("n_wide") >= LEAST, F.col("wide")).otherwise("*").alias("group"))
-    return named.join(to, "own").drop("own", "wide")
+    few = sizes.count() <= FEW
+    return beside(named, to, "own", few).drop("own", "wide"), few
 
 
-def _beside(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-    """rows (group, salt ...) with the facts of their group. There is a copy of the facts for each salt, so a hot group is joined in parts."""
-    return rows.join(facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["group", "salt"], how)
+def _logged(distance: Column, least: float) -> Column:
+    """The logarithm of a distance on the grid; what is nearer than `least` counts as that far."""
+    return F.round(F.log(F.greatest(distance, F.lit(least))) * GRID) / GRID
 
 
 def _distance() -> Column:
@@ -114,34 +115,48 @@ def _inverted(sums: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"group": rows["group"], "mean": list(mean), "inverse": list(np.linalg.inv(cov).reshape(len(rows), SIZE * SIZE)), "log_det": np.linalg.slogdet(cov)[1]})
 
 
-def robust_estimates(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
-    """vectors (group, salt, x0 ...) -> group, mean, inverse, log_det of each group's minimum covariance determinant.
+def _start(vectors: DataFrame) -> DataFrame:
+    """Centre and inverse covariance from the median and the quartile range of each dimension."""
+    each = F.explode(F.array(*(F.struct("group", F.lit(i).alias("i"), F.col(f"x{i}").alias("x")) for i in range(SIZE))))
+    values = vectors.select(each.alias("v")).select(F.struct("v.group", "v.i").alias("part"), F.col("v.x").alias("x"))
+    quartiles = quantiles(values, "part", F.col("x"), {"low": 0.25, "middle": 0.5, "high": 0.75})
+    pick = lambda i, x: F.max(F.when(F.col("part.i") == i, x))
+    spread = [F.lit(FLOOR[i] ** 2) + F.pow(pick(i, F.col("high") - F.col("low")) / 1.349, 2) for i in range(SIZE)]
+    flat = [1 / spread[i] if i == j else F.lit(0.0) for i in range(SIZE) for j in range(SIZE)]
+    return quartiles.groupBy(F.col("part.group").alias("group")).agg(F.array(*(pick(i, F.col("middle")) for i in range(SIZE))).alias("mean"), F.array(*flat).alias("inverse"), F.lit(0.0).alias("log_det"))
+
+
+def robust_estimates(vectors: DataFrame, few: bool, steps: int = STEPS) -> DataFrame:
+    """vectors (group, x0 ...) -> group, mean, inverse, log_det of each group's minimum covariance determinant. few: there are at most FEW groups.
 
     Starts at the medians and quartile ranges of each dimension, so it needs no random subsets. Each step can only lessen the determinant.
     """
-    quartiles = vectors.groupBy("group").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(SIZE)))
-    spread = [F.lit(FLOOR[i] ** 2) + F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) for i in range(SIZE)]
-    flat = [1 / spread[i] if i == j else F.lit(0.0) for i in range(SIZE) for j in range(SIZE)]
-    now = cut(quartiles.select("group", F.array(*(F.col(f"q{i}")[1] for i in range(SIZE))).alias("mean"), F.array(*flat).alias("inverse"), F.lit(0.0).alias("log_det")))
+    now = cut(_start(vectors))
     products = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
     for _ in range(steps):
-        measured_ = _beside(vectors, now).withColumn("d2", _distance())
-        near = measured_.groupBy("group").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("bound"))
-        core = _beside(measured_, near).where("d2 <= bound")
+        apart = beside(vectors, now, "group", few).withColumn("apart", _logged(_distance(), 1e-9)).drop("mean", "inverse", "log_det")
+        near = quantiles(apart, "group", F.col("apart"), {"bound": SUPPORT})
+        core = beside(apart, near, "group", few).where("apart <= bound")
         sums = core.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(SIZE)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in products))
         now = cut(sums.mapInPandas(_inverted, "group string, mean array<double>, inverse array<double>, log_det double"))
     return now
 
 
-def fences(distances: DataFrame) -> DataFrame:
-    """distances (group, salt, distance) -> group, fence."""
-    now = cut(distances.groupBy("group").agg(F.percentile_approx("distance", SUPPORT, 1000).alias("fence")))
-    low, high = (F.log(F.greatest(F.col("q")[k], F.lit(NEAREST))) for k in (0, 1))
+def fences(distances: DataFrame, few: bool) -> DataFrame:
+    """distances (group, distance) -> group, fence."""
+    counted = cut(distances.groupBy("group", _logged(F.col("distance"), NEAREST).alias("apart")).agg(F.count("*").alias("n")))
+    own = Window.partitionBy("group")
+
+    def quartiles(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
+        ranked = rows.select("group", "apart", F.sum("n").over(own.orderBy("apart")).alias("upto"), F.sum("n").over(own).alias("all"))
+        return ranked.groupBy("group").agg(*(F.min(F.when(F.col("upto") >= F.ceil(F.lit(s) * F.col("all")), F.col("apart"))).alias(name) for name, s in shares.items()))
+
+    now = cut(quartiles(counted, {"fence": SUPPORT}))
     for _ in range(FENCES):
-        inside = _beside(distances, now).where("distance <= fence")
-        quartiles = inside.groupBy("group").agg(F.percentile_approx("distance", [0.25, 0.75], 1000).alias("q"))
-        now = cut(quartiles.select("group", F.greatest(F.exp(high + TUKEY * (high - low)), F.lit(CUTOFF)).alias("fence")))
-    return now
+        inside = beside(counted, now, "group", few).where("apart <= fence")
+        reach = F.col("high") + TUKEY * (F.col("high") - F.col("low"))
+        now = cut(quartiles(inside, {"low": 0.25, "high": 0.75}).select("group", F.greatest(reach, F.lit(float(np.log(CUTOFF)))).alias("fence")))
+    return now.select("group", F.exp("fence").alias("fence"))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -153,14 +168,16 @@ def judged(docs: DataFrame) -> DataFrame:
     fewer documents than twice the dimensions reject nothing.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    salt = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")
-    stats = cut(measured(docs).withColumn("base_failed", failed).withColumn("salt", salt).withColumns({f"x{i}": x for i, x in enumerate(_vector())}))
-    named = cut(_grouped(stats))
+    stats = cut(measured(docs).withColumn("base_failed", failed).withColumns({f"x{i}": x for i, x in enumerate(_vector())}))
+    grouped, few = _grouped(stats)
+    named = cut(grouped)
     good = named.where("not base_failed")
-    fitted = robust_estimates(good.select("group", "salt", *(f"x{i}" for i in range(SIZE))))
-    scale = _beside(good, fitted).groupBy("group").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("middle"), F.count("*").alias("fitted_on"))
-    apart = _beside(named, fitted.join(scale, "group"), "left").withColumn("distance", _distance() * MEDIAN / F.greatest("middle", F.lit(MEDIAN / 4)))
-    apart = cut(apart.drop("mean", "inverse", "log_det", *(f"x{i}" for i in range(SIZE))))
-    fenced = _beside(apart, fences(apart.where("not base_failed and distance is not null").select("group", "salt", "distance")), "left")
+    fitted = robust_estimates(good.select("group", *(f"x{i}" for i in range(SIZE))), few)
+    apart = beside(good, fitted, "group", few).select("group", _logged(_distance(), 1e-9).alias("apart"))
+    scale = quantiles(apart, "group", F.col("apart"), {"middle": 0.5}).join(apart.groupBy("group").agg(F.count("*").alias("fitted_on")), "group")
+    facts = cut(fitted.join(scale, "group").withColumn("middle", F.exp("middle")))
+    far = beside(named, facts, "group", few, "left").withColumn("distance", _distance() * MEDIAN / F.greatest("middle", F.lit(MEDIAN / 4)))
+    far = cut(far.drop("mean", "inverse", "log_det", "middle", *(f"x{i}" for i in range(SIZE))))
+    fenced = beside(far, fences(far.where("not base_failed and distance is not null").select("group", "distance"), few), "group", few, "left")
     outlier = F.coalesce((F.col("fitted_on") >= 2 * SIZE) & (F.col("distance") > F.col("fence")), F.lit(False))
     return fenced.select("doc_id", *STATS[:5], "base_failed", (~F.col("base_failed") & ~outlier).alias("kept"), "group", "distance", *STATS[5:])

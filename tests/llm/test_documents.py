@@ -580,3 +580,15 @@ def test_secrets_in_large_layer(monkeypatch):
     monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
     code = base64.b64encode(zlib.compress(b" " * 995 + b"password=Zx81kqPL7 " + b" " * 3000)).decode()
     assert any(kind == 0 for _, kind, _ in secrets.find(code)[1])
+
+
+def test_quality_rules_do_not_depend_on_how_rows_are_dealt(docs):
+    first, second = (Counter((r.doc_id, r.kept, r.group) for r in quality_rules.judged(t).collect()) for t in (docs.repartition(2), docs.repartition(7, "text")))
+    assert first == second
+
+
+def test_quality_rules_of_many_groups(docs, monkeypatch):
+    """Beyond FEW groups the facts are joined in salted parts instead of broadcast, with the same result."""
+    broadcast = Counter((r.doc_id, r.kept, r.group) for r in quality_rules.judged(docs).collect())
+    monkeypatch.setattr(quality_rules, "FEW", 0)
+    assert Counter((r.doc_id, r.kept, r.group) for r in quality_rules.judged(docs).collect()) == broadcast
