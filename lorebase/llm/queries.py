@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, perplexity, quality_rules, secrets, sharding, sql, substring_dedup, tool_calls
+from . import decontamination, language_id, near_dedup, packing, perplexity, quality_rules, secrets, sharding, sql, substring_dedup, tool_calls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"), 24)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_perplexity, op3_language_id, op4_quality_rules, op5_secrets, op6_packing, op7_tool_calls, op8_decontamination, op9_substring_dedup, op10_sharding, pipeline)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_perplexity, op3_language_id, op4_quality_rules, op5_secrets, op6_packing, op7_tool_calls, op8_decontamination, op9_substring_dedup, op10_sharding, op13_whitening, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
