@@ -50,7 +50,10 @@ def _refine(matrix: np.ndarray, at: float, found: np.ndarray, size: float) -> tu
     x, shift, best = rng.standard_normal(len(matrix)), at, (np.inf, at, np.zeros(len(matrix)))
     for step in range(60):
         x -= found.T @ (found @ x)
-        x /= np.linalg.norm(x)
+        norm = np.linalg.norm(x)
+        if not 0 < norm < np.inf:
+            break
+        x /= norm
         value = float(x @ matrix @ x)
         left = float(np.linalg.norm(matrix @ x - value * x))
         if left < best[0]:
@@ -111,12 +114,15 @@ def _largest(x: np.ndarray) -> float:
     return float(np.abs(x.astype(np.float64)).max(initial=0))
 
 
-def _summed(vectors: DataFrame, length: int, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Sums over all vectors of the entries of the array that `of` makes of each batch: place and total."""
+def _summed(vectors: DataFrame, length: int, size: int, of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Sums over all vectors of the entries of the array of `size` entries that `of` makes of each batch: place and total."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum((of(_fixed(batch, length)).reshape(-1) for batch in batches if batch.num_rows), np.zeros(0, object))
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([float(x) for x in total], pa.float64())], ["place", "part"])
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(_fixed(batch, length)).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], ["place", "part"])
 
     return vectors.select("vector").mapInArrow(add, "place int, part double").groupBy("place").agg(F.sum("part").alias("total"))
 
@@ -171,7 +177,7 @@ def whitened(embeddings: DataFrame, components: int = 8) -> DataFrame:
         centred = x - mean
         return centred.T @ centred
 
-    covariance = _matrix(_summed(vectors, length, products).collect(), length) / n
+    covariance = _matrix(_summed(vectors, length, length**2, products).collect(), length) / n
     covariance = (covariance + covariance.T) / 2
     values, axes = leading_eigenpairs(covariance, components)
     if not len(values):
@@ -183,7 +189,7 @@ def whitened(embeddings: DataFrame, components: int = 8) -> DataFrame:
         out = np.hstack([(x - mean) @ turn, np.ones((len(x), 1))])
         return out.T @ out
 
-    check = _matrix(_summed(vectors, length, checked).collect(), k + 1) / n
+    check = _matrix(_summed(vectors, length, (k + 1) ** 2, checked).collect(), k + 1) / n
     error = float(np.abs(check[:k, :k] - np.outer(check[k, :k], check[k, :k]) - np.eye(k)).max())
     long_sums = np.array(sums, object)
     largest = max(abs(s) for s in sums)
