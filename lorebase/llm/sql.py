@@ -39,6 +39,27 @@ WITH w AS (
 SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t ON w.doc_id = t.doc_id
 """
 
+PARITY_JOIN = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(a[i:i + 2], ' ') AS g FROM (SELECT doc_id, a, unnest(generate_series(1, greatest(len(a) - 2, 1))) AS i FROM w WHERE len(a) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), e AS (
+    SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)
+), pairs AS (
+    SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+    SELECT doc_id, doc_id AS c FROM w UNION SELECT pairs.b, r.c FROM r JOIN pairs ON r.doc_id = pairs.a
+), m AS (
+    SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM m LEFT JOIN n USING (doc_id)
+"""
+
 TOOL_CALLS = r"""
 WITH RECURSIVE u AS (
     SELECT conv_id, turn, 'c' || conv_id || '-' || turn AS call_id, text, length(text) AS n_chars FROM conversations WHERE role = 'user'
