@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_dedup, packing, parity_join, perplexity, quality_rules, secrets, sharding, sql, substring_dedup, tool_calls, whitening
+from . import alignment, decontamination, language_id, near_dedup, packing, parity_join, perplexity, quality_rules, secrets, sharding, sql, substring_dedup, tool_calls, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"), 24)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -87,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_perplexity, op3_language_id, op4_quality_rules, op5_secrets, op6_packing, op7_tool_calls, op8_decontamination, op9_substring_dedup, op10_sharding, op12_parity_join, op13_whitening, pipeline)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_perplexity, op3_language_id, op4_quality_rules, op5_secrets, op6_packing, op7_tool_calls, op8_decontamination, op9_substring_dedup, op10_sharding, op11_alignment, op12_parity_join, op13_whitening, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
