@@ -164,7 +164,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     heads = cut(heads.select("head.*"))
     keys = heads.select("doc_id", F.explode("keys").alias("key"))
     total = heads.agg(F.sum(F.size("keys"))).first()[0] or 0
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("hub < last").drop("last")
+    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = cut(beside_counted(keys, buckets, ["key"], total))
 
     ids = members.select("doc_id").distinct()
