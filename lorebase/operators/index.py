@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,16 +14,31 @@ KEY = ["word", "shard", "topic", "sentence_id", "offset", "tag"]
 
 
 def build_postings(sentences: DataFrame, lexicon: Lexicon, shard: int = 0, drop_off: float = 1.0, stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """Postings of sentences (call_id, sentence_no, id, topic, tokenList), one for each KEY.
-
-    Offsets count every token of a call. A token gives its stem at the sentence's score, and at half of it the parts of a text with spaces or hyphens and
-    its semantic class. Stop words and auxiliaries give nothing. Of postings with one key the last emitted stays; they come from one token, as the
-    sentence and offset are part of the key, so this is settled inside the token and nothing is shuffled for it. A sentence belongs to one call.
-    """
+    """Postings of sentences (call_id, sentence_no, id, topic, tokenList), one for each KEY. Offsets count every token of a call."""
     before = F.coalesce(F.sum(F.size("tokenList")).over(Window.partitionBy("call_id").orderBy("sentence_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slim = sentences.select("call_id", "sentence_no", "id", "topic", F.transform("tokenList", lambda t: F.struct(t["text"].alias("text"), t["tag"].alias("tag"), t["dep"].alias("dep"), t["semantic"].alias("semantic"))).alias("tokenList"))
     placed = slim.withColumn("before", before).select("sentence_no", "id", "topic", "before", F.posexplode("tokenList").alias("pos", "token"))
     rows = placed.select("sentence_no", F.col("id").alias("sentence_id"), "topic", (F.col("before") + F.col("pos")).cast("int").alias("offset"), "token.*")
+    return _postings(rows, lexicon, shard, drop_off, stop_words)
+
+
+def build_call_postings(calls: DataFrame, lexicon: Lexicon, shard: int = 0, drop_off: float = 1.0, stop_words: list[str] = STOP_WORDS, tagger: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Postings of whole calls (topic, sentences: array of structs with id and words), whose tokens are plain words: numbered in their row, so nothing is shuffled.
+    `tagger` gives the tag of a word."""
+    each = F.flatten(F.transform("sentences", lambda s, k: F.transform(s["words"], lambda w: F.struct(k.alias("sentence_no"), s["id"].alias("sentence_id"), w.alias("text")))))
+    rows = calls.select("topic", F.posexplode(each).alias("offset", "token")).select("topic", "offset", "token.*")
+    none = F.lit(None).cast("string")
+    tag = tagger(F.col("text")) if tagger else F.lit("")
+    return _postings(rows.select("sentence_no", "sentence_id", "topic", "offset", "text", tag.alias("tag"), none.alias("dep"), none.alias("semantic")), lexicon, shard, drop_off, stop_words)
+
+
+def _postings(rows: DataFrame, lexicon: Lexicon, shard: int, drop_off: float, stop_words: list[str]) -> DataFrame:
+    """Postings of numbered tokens.
+
+    A token gives its stem at the sentence's score, and at half of it the parts of a text with spaces or hyphens and
+    its semantic class. Stop words and auxiliaries give nothing. Of postings with one key the last emitted stays; they come from one token, as the
+    sentence and offset are part of the key, so this is settled inside the token and nothing is shuffled for it. A sentence belongs to one call.
+    """
     rows = rows.where((F.col("dep").isNull() | (F.col("dep") != "aux")))
     stemmed = lexicon.with_stem(rows, "text").where((F.col("stem") != "") & ~is_stop_word(F.col("stem"), stop_words))
 
@@ -79,7 +96,8 @@ def search(postings: DataFrame, words: DataFrame, topic: str | None = None, shar
     within = postings.where(F.col("shard") == shard)
     if topic is not None:
         within = within.where(F.col("topic") == topic)
-    counted = within.groupBy("word").agg(F.count("*").alias("n_postings"))
+    asked = words.select("word").distinct()
+    counted = within.join(asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n_postings"))
     rarest = words.join(counted, "word").groupBy("query_id").agg(F.min_by("word", F.struct("n_postings", "word")).alias("word"))
     named = within.select("word", "sentence_id").distinct().join(rarest, "word").select("query_id", "sentence_id")
     hits = named.join(words, "query_id").join(within, ["word", "sentence_id"]).where(T.tags_compatible(F.col("tag_wanted"), F.col("tag")))
@@ -91,6 +109,20 @@ def search(postings: DataFrame, words: DataFrame, topic: str | None = None, shar
     return found.where("n = n_keywords").select("query_id", "sentence_id", "matches")
 
 
+def search_read(postings: DataFrame, words: DataFrame) -> DataFrame:
+    """The same as search(), for postings that were read for these words and hold few others: everything meets by sentence, in one exchange.
+
+    `words` (query_id, keyword, n_keywords, word, tag_wanted) must be small, as the words of one query or a few are.
+    """
+    hits = postings.join(F.broadcast(words), "word").where(T.tags_compatible(F.col("tag_wanted"), F.col("tag"))).repartition("sentence_id")
+    match = F.struct("keyword", "offset", "tag", "word", "score")
+    place = F.struct("offset", "tag")
+    each = hits.groupBy("query_id", "sentence_id", "keyword", "n_keywords").agg(F.min_by(match, place).alias("first"), F.max_by(match, place).alias("last"))
+    one = F.when(F.col("keyword") == 0, F.col("first")).otherwise(F.col("last"))
+    found = each.groupBy("query_id", "sentence_id", "n_keywords").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(one)).alias("matches"))
+    return found.where("n = n_keywords").select("query_id", "sentence_id", "matches")
+
+
 def fetch(found: DataFrame, sentences: DataFrame) -> DataFrame:
     """Matches with the text of their sentences; those without text are dropped."""
     texts = sentences.select(F.col("id").alias("sentence_id"), T.detokenize(F.col("tokenList.text")).alias("text")).where("text <> ''")

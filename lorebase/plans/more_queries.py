@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import anaphora, grammar, index, knowledge, topics, trees
 from ..operators.annotate import annotate_tokens, surface_tokens
 from ..sources import readers
-from .queries import STOP, TOKENS, WORDS, annotated, no_lexicon, query, sentences, table, topic_rows
+from .queries import SENT, STOP, TOKENS, WORDS, annotated, no_lexicon, query, saved_index, sentences, table, topic_rows
 
 FIELDS = "id string, name string, origin string, field_list array<struct<name:string,semantic:string,aiml:string>>"
 
@@ -207,16 +207,15 @@ def semantic_lines(spark, sf_dir):
 
 @query(f"WITH {WORDS} SELECT CAST(sid AS VARCHAR) AS sentence_id, word, off AS \"offset\" FROM (SELECT source, word, sid, row_number() OVER (PARTITION BY doc_id ORDER BY s, pos) - 1 AS off FROM words) WHERE word = 'tion' AND source = 'src3'")
 def posting_read(spark, sf_dir):
-    """One word of one topic out of the index."""
-    found = index.read_postings(index.build_postings(annotated(spark, sf_dir), no_lexicon(spark)), "Tion", "src3")
+    """One word of one topic out of the stored index."""
+    found = index.read_postings(saved_index(spark, sf_dir).read(["Tion"], "src3"), "Tion", "src3")
     return found.select("sentence_id", "word", F.col("offset").cast("long").alias("offset"))
 
 
 @query(f"WITH {WORDS} SELECT CAST(sid AS VARCHAR) AS sentence_id, count(DISTINCT word) AS n_words FROM posts GROUP BY sid")
 def posting_words(spark, sf_dir):
-    """The words by which each sentence stands in the index."""
-    made = index.words_of_sentences(index.build_postings(annotated(spark, sf_dir), no_lexicon(spark)))
-    return made.groupBy("sentence_id").agg(F.count("*").alias("n_words"))
+    """The words by which each sentence stands in the stored index."""
+    return saved_index(spark, sf_dir).words.read().groupBy("sentence_id").agg(F.count("*").alias("n_words"))
 
 
 @query(f"WITH {WORDS}, p AS (SELECT source AS topic, word, sid, s, row_number() OVER (PARTITION BY doc_id ORDER BY s, pos) - 1 AS off FROM words) SELECT topic, count(*) AS n, round(sum(CASE WHEN topic = 'src3' THEN round(0.5 ** s, 6) ELSE 1.0 END), 3) AS score FROM p WHERE word NOT IN ({STOP}) GROUP BY topic")
@@ -230,11 +229,21 @@ def posting_replaced(spark, sf_dir):
 
 @query(f"WITH {WORDS} SELECT CAST(sid AS VARCHAR) AS sentence_id, array_to_string(regexp_extract_all(txt, '[A-Za-z]+|[0-9]+'), ' ') AS text FROM sent WHERE sid IN (SELECT sid FROM posts WHERE word = 'elle') AND sid IN (SELECT sid FROM posts WHERE word = 'une')")
 def searched_sentences(spark, sf_dir):
-    """The sentences with both words, searched in the index and fetched."""
-    rows = annotated(spark, sf_dir)
-    asked = spark.createDataFrame([(0, 0, 2, "elle", "NN"), (0, 1, 2, "une", "")], "query_id int, keyword int, n_keywords int, word string, tag_wanted string")
-    found = index.search(index.build_postings(rows, no_lexicon(spark)), asked)
-    return index.fetch(found, rows).select("sentence_id", "text")
+    """The sentences with both words, the first one as a noun, searched in the stored index and fetched from the stored sentences."""
+    saved = saved_index(spark, sf_dir)
+    return saved.texts(saved.search([[("elle", "NN"), ("une", "")]])).select("sentence_id", "text")
+
+
+TAGGED = f"WITH {SENT}, tagged AS (SELECT sid, lower(w) AS word, {tag_sql('w')} AS tag FROM (SELECT sid, unnest(regexp_extract_all(txt, '[A-Za-z]+|[0-9]+')) AS w FROM sent))"
+FITS_NOUN = "(starts_with(tag, 'NN') OR tag = 'JJ')"
+FITS_NAME = FITS_NOUN
+
+
+@query(f"{TAGGED} SELECT a.sid AS sentence_id, CAST(1 + coalesce(b.n, 0) AS INT) AS n_matches FROM (SELECT DISTINCT sid FROM tagged WHERE word = 'que' AND {FITS_NAME}) AS a LEFT JOIN (SELECT sid, 1 AS n FROM tagged WHERE word = 'des' AND (starts_with(tag, 'VB') OR NOT starts_with(tag, 'NN')) GROUP BY sid) AS b ON a.sid = b.sid WHERE b.sid IS NULL")
+def bool_tagged(spark, sf_dir):
+    """Leaves with tags that are put to use: a noun, and no verb or other word that isn't a noun."""
+    found = saved_index(spark, sf_dir).query("any(que, noun) and not any(des, verb)", honor_modifiers=True)
+    return found.select(F.col("sentence_id").cast("long").alias("sentence_id"), F.size("matches").alias("n_matches"))
 
 
 @query(f"WITH {WORDS} SELECT source AS topic, count(DISTINCT (word, s)) AS n, count(DISTINCT word) AS n_words FROM words WHERE source <> 'src3' GROUP BY source")

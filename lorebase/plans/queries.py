@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import anaphora, boolean, grammar, index, knowledge, templates, topics, triples, vectors
+from ..operators.annotate import surface_tokens, tag_of
 from ..sources.readers import delete, select_page, table, upsert
+from ..sources.store import shared_folder
+from .saved import SavedIndex, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,8 +53,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def no_lexicon(spark: SparkSession) -> L.Lexicon:
-    empty = lambda schema: spark.createDataFrame([], schema)
-    return L.Lexicon(empty("word string, stem string"), empty("word string, semantic string"), empty("word string, synonym string"), empty("compound string"))
+    """A lexicon that the planner sees to be empty, so that joins with it vanish."""
+    empty = lambda *names: spark.range(1).where("false").select(*(F.lit("").alias(n) for n in names))
+    return L.Lexicon(empty("word", "stem"), empty("word", "semantic"), empty("word", "synonym"), empty("compound"))
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +158,7 @@ def lexicon_replay(spark, sf_dir):
 
 @query(f"WITH {WORDS} SELECT topic, count(*) AS n_postings, sum(off) AS sum_offset, round(sum(score), 2) AS sum_score FROM (SELECT source AS topic, word, sid, row_number() OVER (PARTITION BY doc_id ORDER BY s, pos) - 1 AS off, round(0.98 ** s, 6) AS score FROM words) WHERE word NOT IN ({STOP}) GROUP BY topic")
 def posting_build(spark, sf_dir):
-    made = index.build_postings(annotated(spark, sf_dir), no_lexicon(spark), drop_off=0.98)
+    made = index.build_call_postings(calls(spark, sf_dir), no_lexicon(spark), drop_off=0.98)
     return made.groupBy("topic").agg(F.count("*").alias("n_postings"), F.sum("offset").alias("sum_offset"), F.round(F.sum("score"), 2).alias("sum_score"))
 
 
@@ -163,38 +168,43 @@ def posting_upsert_last_wins(spark, sf_dir):
     return upsert(rows.limit(0), rows, ["word"], "kept")
 
 
-@query(f"WITH {WORDS} SELECT sid, s, pos, word FROM posts WHERE word = 'tion' AND source = 'src3'")
-def posting_scan(spark, sf_dir):
-    return words(spark, sf_dir).where("word = 'tion' AND source = 'src3'").select("sid", "s", "pos", "word")
-
-
 @query(f"WITH {WORDS} SELECT source AS topic, count(*) AS n FROM posts WHERE sid NOT IN (SELECT sid FROM posts WHERE word = 'ment') GROUP BY source")
 def posting_remove(spark, sf_dir):
     rows = posts(spark, sf_dir).select(F.col("sid").alias("sentence_id"), "word", F.col("source").alias("topic"))
     return index.remove_sentences(rows, rows.where("word = 'ment'").select("sentence_id")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-def found(spark: SparkSession, sf_dir: str, terms: list[str]) -> DataFrame:
-    """Conjunctive search straight from the texts: sentences without any of the words never become postings."""
-    asked = spark.createDataFrame([(0, k, len(terms), w, "") for k, w in enumerate(terms)], "query_id int, keyword int, n_keywords int, word string, tag_wanted string")
-    near = sentences(spark, sf_dir).where(T.any_of([F.contains(F.lower("txt"), F.lit(w)) for w in terms]))
-    rows = near.select("sid", F.posexplode(T.words("txt")).alias("offset", "word")).withColumn("word", F.lower("word")).where(F.col("word").isin(terms))
-    postings = rows.select("word", F.lit("").alias("tag"), F.lit(0).alias("shard"), F.col("sid").alias("sentence_id"), "offset", F.lit("global").alias("topic"), F.lit(1.0).alias("score"))
-    return index.search(postings, asked).drop("query_id")
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a call: call_id, topic, sentences (id, words)."""
+    named = lambda txt, s: F.struct((F.col("doc_id") * 100000 + s).cast("string").alias("id"), T.words(txt).alias("words"))
+    return table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("call_id"), F.col("source").alias("topic"), F.transform(T.sentences("text"), named).alias("sentences"))
+
+
+def saved_index(spark: SparkSession, sf_dir: str) -> SavedIndex:
+    """The index of the documents, words tagged by rule, as stored tables. The first query of an application writes it; the others read what they need."""
+    path = f"{shared_folder(spark)}/index-{spark.sparkContext.applicationId}-{crc32(sf_dir.encode()):08x}"
 
+    def make() -> tuple[DataFrame, DataFrame]:
+        rows = calls(spark, sf_dir).select("topic", F.explode("sentences").alias("s")).select(F.col("s.id").alias("id"), "topic", surface_tokens(F.col("s.words")).alias("tokenList"))
+        return index.build_call_postings(calls(spark, sf_dir), no_lexicon(spark), drop_off=0.98, tagger=tag_of), rows
 
-AND_SQL = f"WITH {WORDS} SELECT sid AS sentence_id, min(pos) FILTER (word = 'tion') AS first_offset, max(pos) FILTER (word = 'ment') AS last_offset FROM posts WHERE word IN ('tion', 'ment') GROUP BY sid HAVING count(DISTINCT word) = 2"
+    return once(SavedIndex(spark, path), make)
+
+
+PLACED = WORDS + ", placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, pos) - 1 AS INT) AS off FROM words)"
+AND_SQL = f"WITH {PLACED} SELECT sid AS sentence_id, min(off) FILTER (word = 'tion') AS first_offset, max(off) FILTER (word = 'ment') AS last_offset FROM placed WHERE word IN ('tion', 'ment') GROUP BY sid HAVING count(DISTINCT word) = 2"
 
 
 @query(AND_SQL)
 def keyword_all(spark, sf_dir):
-    """The first match of the first keyword and the last of the second, of sentences with both."""
+    """The first match of the first keyword and the last of the second, of sentences with both; offsets count the words of the document."""
+    found = saved_index(spark, sf_dir).search([[("tion", ""), ("ment", "")]])
     matches = F.col("matches")
-    return found(spark, sf_dir, ["tion", "ment"]).select("sentence_id", matches[0]["offset"].alias("first_offset"), matches[1]["offset"].alias("last_offset"))
+    return found.select(F.col("sentence_id").cast("long").alias("sentence_id"), matches[0]["offset"].alias("first_offset"), matches[1]["offset"].alias("last_offset"))
 
 
 def searched(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return boolean.execute(boolean.parse(text), lambda leaf: found(spark, sf_dir, [w for w, _ in boolean.keywords_of(leaf)])).select("sentence_id", F.size("matches").alias("n_matches"))
+    return saved_index(spark, sf_dir).query(text).select(F.col("sentence_id").cast("long").alias("sentence_id"), F.size("matches").alias("n_matches"))
 
 
 def _leaf(word: str) -> str:
@@ -222,12 +232,6 @@ def bool_nested(spark, sf_dir):
     return searched(spark, sf_dir, "exact any(tion, noun) and not any(ther) or any(ment)")
 
 
-@query(f"WITH {WORDS} SELECT sid AS sentence_id, txt AS text FROM sent WHERE sid IN (SELECT sid FROM posts WHERE word = 'elle')")
-def sentence_fetch(spark, sf_dir):
-    texts = sentences(spark, sf_dir).select(F.col("sid").alias("sentence_id"), F.col("txt").alias("text"))
-    return found(spark, sf_dir, ["elle"]).join(texts, "sentence_id").select("sentence_id", "text")
-
-
 QUESTIONS = f"WITH {WORDS}, t AS (SELECT conv_id, turn, unnest(generate_series(0, len(a) - 1)) AS s, unnest(a) AS txt FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?]+[.!?]*') AS a FROM conversations WHERE role = 'user')), q AS (SELECT conv_id, turn, s, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(txt, '[A-Za-z]+|[0-9]+'), lambda x: lower(x)), lambda x: x NOT IN ({STOP})))) AS w FROM t), k AS (SELECT * FROM q WHERE len(w) >= 2), e AS (SELECT conv_id, turn, s, len(w) AS n, unnest(w) AS word FROM k), once AS (SELECT DISTINCT word, sid FROM posts), f AS (SELECT word, count(*) AS n FROM once GROUP BY word), rare AS (SELECT conv_id, turn, s, arg_min(e.word, coalesce(f.n, 0)) AS word FROM e LEFT JOIN f ON e.word = f.word GROUP BY ALL), near AS (SELECT conv_id, turn, s, sid FROM rare JOIN once ON rare.word = once.word), hits AS (SELECT e.conv_id, e.turn, e.s, e.n, near.sid FROM near JOIN e ON near.conv_id = e.conv_id AND near.turn = e.turn AND near.s = e.s JOIN once ON once.word = e.word AND once.sid = near.sid)"
 
 
@@ -259,22 +263,22 @@ def topic_index(spark, sf_dir):
 @query(f"WITH {WORDS} SELECT word, topic, round(round(CAST(CAST(sum(0.98 ** s) AS FLOAT) AS DOUBLE), 6), 3) AS score FROM (SELECT DISTINCT word, source AS topic, s FROM words) GROUP BY ALL")
 def topic_index_sum(spark, sf_dir):
     built = topics.build_topic_index(topic_rows(spark, sf_dir), "sum")
-    return built.select("word", "topic", F.round("score", 3).alias("score"))
+    return built.select("word", "topic", F.round("score", 6).alias("score"))
 
 
-@query(TOPICS + ", t AS (SELECT conv_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+|[0-9]+'), lambda x: lower(x))) AS word FROM conversations WHERE role = 'user') SELECT conv_id, topic, round(sum(score), 3) AS score FROM t JOIN idx ON t.word = idx.word GROUP BY conv_id, topic")
+@query(TOPICS + ", t AS (SELECT conv_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+|[0-9]+'), lambda x: lower(x))) AS word FROM conversations WHERE role = 'user') SELECT conv_id, topic, round(sum(score), 6) AS score FROM t JOIN idx ON t.word = idx.word GROUP BY conv_id, topic")
 def topic_ranked(spark, sf_dir):
     built = topics.build_topic_index(topic_rows(spark, sf_dir))
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("query_id"), F.explode(T.words("text")).alias("word"))
     asked = turns.select("query_id", F.lower("word").alias("word"), F.lit("NN").alias("tag"))
-    return topics.rank_topics(asked, built).select(F.col("query_id").alias("conv_id"), "topic", F.round("score", 3).alias("score"))
+    return topics.rank_topics(asked, built).select(F.col("query_id").alias("conv_id"), "topic", F.round("score", 6).alias("score"))
 
 
-@query(TOPICS + ", t AS (SELECT unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+|[0-9]+'), lambda x: lower(x))) AS word FROM conversations) SELECT topic, round(sum(score), 2) AS score FROM t JOIN idx ON t.word = idx.word GROUP BY topic ORDER BY score DESC, topic LIMIT 5")
+@query(TOPICS + ", t AS (SELECT unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+|[0-9]+'), lambda x: lower(x))) AS word FROM conversations) SELECT topic, round(sum(score), 6) AS score FROM t JOIN idx ON t.word = idx.word GROUP BY topic ORDER BY score DESC, topic LIMIT 5")
 def top_topics(spark, sf_dir):
     built = topics.build_topic_index(topic_rows(spark, sf_dir))
     asked = table(spark, sf_dir, "conversations").select(F.lit(0).alias("query_id"), F.explode(T.words("text")).alias("word")).select("query_id", F.lower("word").alias("word"), F.lit("NN").alias("tag"))
-    return topics.rank_topics(asked, built).orderBy(F.desc("score"), "topic").limit(5).select("topic", F.round("score", 2).alias("score"))
+    return topics.rank_topics(asked, built).orderBy(F.desc("score"), "topic").limit(5).select("topic", F.round("score", 6).alias("score"))
 
 
 FACTS = "f AS (SELECT s_suppkey AS id, 'located' AS predicate, regexp_extract_all(lower(s_name), '[a-z0-9]+') AS lhs, regexp_extract_all(lower(n_name), '[a-z0-9]+') AS rhs FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT 1000000000 + p_partkey, 'described', regexp_extract_all(lower(p_name), '[a-z0-9]+'), regexp_extract_all(lower(p_type), '[a-z0-9]+') FROM part)"
