@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -50,6 +51,7 @@ class Aligner:
             self.bytes_a[k] = bytes(table.get(c, 0) for c in token)
         names = [self.pieces.id_to_piece(k) for k in range(self.pieces.get_piece_size())]
         self.bytes_b = [bytes([int(n[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace(SPACE, " ").encode() for n in names]
+        self.long_a, self.long_b = [*map(len, self.bytes_a)], [*map(len, self.bytes_b)]
         self.words: dict[str, tuple | None] = {}
         self.odd: dict[str, tuple | None] = {}
 
@@ -64,11 +66,16 @@ class Aligner:
 
     def groups(self, a: Ids, b: Ids) -> Iterator[tuple[Ids, Ids]]:
         """The groups of two token lists that cover the same bytes."""
+        if len(a) == 1 or len(b) == 1:
+            if a and b:
+                yield a, b
+            return
+        long_a, long_b = self.long_a, self.long_b
         j = at_a = at_b = from_a = from_b = 0
         for i, k in enumerate(a, 1):
-            at_a += len(self.bytes_a[k])
+            at_a += long_a[k]
             while at_b < at_a:
-                at_b += len(self.bytes_b[b[j]])
+                at_b += long_b[b[j]]
                 j += 1
             if at_a == at_b:
                 yield a[from_a:i], b[from_b:j]
@@ -76,10 +83,17 @@ class Aligner:
 
     def closed(self, groups: Iterable[tuple[Ids, Ids]]) -> tuple[bytes, bytes, bytes]:
         """What counts of closed groups: their text, the id pairs of all links, and the numbers of tokens, groups and links."""
-        groups, size = list(groups), len(self.bytes_b)
-        pairs = [x * size + y for a, b in groups for x in a for y in b]
-        counts = [sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), len(pairs)]
-        return groups_text(groups), np.array(pairs, np.int64).tobytes(), np.array(counts, np.int64).tobytes()
+        size, n_a, n_b, texts, pairs = len(self.bytes_b), 0, 0, [], []
+        for a, b in groups:
+            n_a += len(a)
+            n_b += len(b)
+            if len(a) == len(b) == 1:
+                texts.append(f"{a[0]}|{b[0]}")
+                pairs.append(a[0] * size + b[0])
+            else:
+                texts.append(f"{','.join(map(str, a))}|{','.join(map(str, b))}")
+                pairs += [x * size + y for x in a for y in b]
+        return ";".join(texts).encode(), array("q", pairs).tobytes(), array("q", (n_a, n_b, len(texts), len(pairs))).tobytes()
 
     def learn(self, words: list[str]) -> None:
         """Remember the fragments of words that stand behind a single space and don't begin or end with white space."""
@@ -115,10 +129,6 @@ class Aligner:
                 yield self.fragments(text)
 
 
-def groups_text(groups: Iterable[tuple[Ids, Ids]]) -> bytes:
-    return ";".join([f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups]).encode()
-
-
 #: doc_id, how many rows are alike in it and their text, the counts, the digest, distinct id pairs and how many links each has
 Document = tuple[int | None, int, list[int], str, np.ndarray, np.ndarray]
 NOTHING = ([0] * 4, "", np.empty(0, np.int64), np.empty(0, np.int64))
