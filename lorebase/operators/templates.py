@@ -1,8 +1,9 @@
-"""Question templates with wildcards, matched by a join on the first word."""
+"""Question templates with wildcards: patterns as a trie, whose edges are a table that questions walk by joins."""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-
-STARS = 8  #: wildcards of a pattern whose texts are bound
+ROOT = "\x1f"  #: path of the trie's root; a node is the hash of its path
+SMALL = 1_000_000  #: edges of a trie that are broadcast; a larger one is met by shuffles
 
 
 def expand(pattern: str) -> list[str]:
@@ -23,21 +24,41 @@ def expand(pattern: str) -> list[str]:
     return [" ".join("".join(c).split()) for c in product(*choices)]
 
 
-def compile_templates(spark: SparkSession, categories: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """(pattern, origin, templates) -> rules (rank, start, regex, stars, origin, template).
+@dataclass(frozen=True)
+class Rules:
+    """A trie: edges (parent, token, child, star, final) with the child that * leads to from there, or null, and whether it has templates; templates (node, rank,
+    origin, template)."""
+
+    edges: DataFrame
+    templates: DataFrame
+    depth: int  #: tokens of the longest pattern
+    small: bool
+
+
+def compile_templates(spark: SparkSession, categories: list[tuple[str, str, list[str]]]) -> Rules:
+    """Categories (pattern, origin, templates) as rules. The rank of a template is its place among all of them."""
+    return compile_rules(spark.createDataFrame([(k, *c) for k, c in enumerate(categories)], "place long, pattern string, origin string, templates array<string>"))
+
 
-    A pattern has two tokens or more and doesn't begin with *. A * takes tokens up to the next word of the pattern, and may be empty at the end; each * is a
-    group of the expression, which runs over tokens in lower case with one space before each.
+def compile_rules(categories: DataFrame) -> Rules:
+    """Rules of a table (place, pattern, origin, templates) of any size.
+
+    A pattern has two tokens or more and doesn't begin with *. Patterns that are alike after expansion share a node, and all their templates count. A node's id is a hash of its path, so the
+    trie is built without counting nodes, by one row for each prefix of each pattern.
     """
-    rows = []
-    for pattern, origin, templates in categories:
-        for form in expand(pattern):
-            words = [w for w in re.findall(T.TOKEN_PATTERN, form.lower()) if w.strip() and w not in T.PUNCTUATION]
-            if len(words) < 2 or words[0] == "*":
-                continue
-            regex = "".join("((?: [^ ]+)*?)" if w == "*" and k == len(words) - 1 else "((?: [^ ]+)+?)" if w == "*" else " " + re.escape(w) for k, w in enumerate(words))
-            rows += [(len(rows) + k, words[0], f"^{regex}$", words.count("*"), origin, t) for k, t in enumerate(templates)]
-    return spark.createDataFrame(rows, "rank int, start string, regex string, stars int, origin string, template string")
+    forms = categories.select("place", "origin", "templates", F.posexplode(F.udf(expand, "array<string>")("pattern")).alias("form", "text"))
+    tokens = T.drop_punctuation(T.drop_spaces(T.raw_tokens(F.lower("text"))))
+    words = forms.select("place", "form", "origin", "templates", tokens.alias("words")).where((F.size("words") > 1) & (F.col("words")[0] != "*"))
+    path = lambda upto: F.xxhash64(F.array_join(F.slice("words", F.lit(1), upto), " ")) if not isinstance(upto, int) else F.xxhash64(F.lit(ROOT))
+    steps = words.select(F.posexplode("words").alias("at", "token"), "words", F.size("words").alias("n"))
+    steps = steps.select(F.when(F.col("at") == 0, path(0)).otherwise(path(F.col("at"))).alias("parent"), "token", path(F.col("at") + 1).alias("child"), (F.col("at") + 1 == F.col("n")).alias("final"), "n")
+    nodes = steps.groupBy("parent", "token", "child").agg(F.max("final").alias("final"), F.max("n").alias("n"))
+    stars = nodes.where("token = '*'").select(F.col("parent").alias("child"), F.col("child").alias("star"))
+    edges = nodes.join(stars, "child", "left").select("parent", "token", "child", "star", "final", "n")
+    ends = words.select(path(F.size("words")).alias("node"), "place", "form", "origin", F.posexplode("templates").alias("k", "template"))
+    facts = edges.agg(F.max("n"), F.count("*")).first()
+    rank = F.struct("place", "form", "k").alias("rank")
+    return Rules(edges.drop("n"), ends.select("node", rank, "origin", "template"), facts[0] or 0, facts[1] <= SMALL)
 
 
 def schema_patterns(schemas: DataFrame) -> DataFrame:
@@ -47,14 +68,47 @@ def schema_patterns(schemas: DataFrame) -> DataFrame:
     return lines.where(F.trim("line") != "").select(F.trim("line").alias("pattern"), "origin", F.array(F.concat_ws(":", F.lit("db_search"), "name", "field")).alias("templates"))
 
 
-def match(questions: DataFrame, rules: DataFrame) -> DataFrame:
-    """questions (query_id, text) -> query_id, rank, origin, template, star: a row for each template that matches, with the texts of all its * (up to STARS) in their order."""
+def match(questions: DataFrame, rules: Rules) -> DataFrame:
+    """questions (query_id, text) -> query_id, rank, origin, template, star: a row for each template that matches, with the texts of all its * in their order.
+
+    The first token must be a word of a pattern. From a node, both ways are taken: the next token's own edge, and *. A * takes tokens, maybe none, up to the first one with which
+    a pattern goes on behind it, and from there only that way is left; if there is none it takes all that is left. Where tokens end at a node, its templates match, or else, if it has none,
+    those of * behind it, which is then empty; a word that a * has led to must have templates of its own.
+
+    Each round takes all states one node on: one join with the edges, and one grouping within the question. Questions are dealt once; a trie of at most SMALL edges is broadcast.
+    """
     tokens = F.transform(T.drop_punctuation(T.drop_spaces(T.tokenize(F.col("text")))), F.lower)
-    asked = questions.select("query_id", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    asked = asked.select("query_id", F.col("tokens")[0].alias("start"), F.concat(F.lit(" "), F.array_join("tokens", " ")).alias("line"))
-    met = asked.join(rules, "start").where(F.expr("line rlike regex"))
-    star = F.concat_ws("", *(F.when(F.col("stars") >= k, F.expr(f"regexp_extract(line, regex, {k})")) for k in range(1, STARS + 1)))
-    return met.select("query_id", "rank", "origin", "template", F.trim(star).alias("star"))
+    asked = questions.select("query_id", tokens.alias("tokens")).where(F.size("tokens") > 0).distinct()
+    edges = F.broadcast(rules.edges) if rules.small else rules.edges
+    first = rules.edges.where(F.col("parent") == F.xxhash64(F.lit(ROOT)))
+    rows = asked.withColumn("token", F.col("tokens")[0]).join(F.broadcast(first) if rules.small else first, "token")
+    rows = rows.select("query_id", "tokens", F.col("child").alias("node"), "star", "final", F.lit(1).alias("at"), F.array().cast("array<string>").alias("said"), F.lit(None).cast("long").alias("end"))
+    rows = rows.repartition("query_id")
+    rest = F.size("tokens") - F.col("at")
+    nothing = F.lit(None).cast("long")
+    ways = F.array(F.struct(F.col("node").alias("parent"), F.lit(False).alias("wild")), F.struct(F.col("star").alias("parent"), F.lit(True).alias("wild")))
+    for _ in range(rules.depth):
+        # What has ended goes through as it is; an end that says nothing is dropped.
+        closed = F.when((rest == 0) & F.col("end").isNull(), F.when(F.col("final"), F.col("node")).otherwise(F.col("star"))).otherwise(F.col("end"))
+        rows = rows.withColumn("end", closed).where(F.col("end").isNotNull() | (rest > 0))
+        ways_on = F.when(F.col("end").isNotNull(), F.array(F.struct(nothing.alias("parent"), F.lit(False).alias("wild")))).otherwise(F.filter(ways, lambda w: w["parent"].isNotNull()))
+        moved = rows.select("query_id", "tokens", "at", "said", "end", F.explode(ways_on).alias("way")).select("query_id", "tokens", "at", "said", "end", "way.*")
+        ahead = F.when(F.col("wild"), F.slice("tokens", F.col("at") + 1, rest)).when(F.col("end").isNull(), F.slice("tokens", F.col("at") + 1, F.lit(1))).otherwise(F.array(F.lit(None).cast("string")))
+        each = moved.select("*", F.posexplode(ahead).alias("k", "token"))
+        met = each.join(edges, ["parent", "token"], "left")
+        hit = F.struct("k", "child", "star", "final")
+        met = met.groupBy("query_id", "tokens", "at", "said", "end", "parent", "wild").agg(F.min(F.when(F.col("child").isNotNull(), hit)).alias("hit"))
+        last = F.col("hit.k") + F.col("at") + 1
+        taken = F.array_join(F.slice("tokens", F.col("at") + 1, F.coalesce(F.col("hit.k"), rest)), " ")
+        said = F.when(F.col("wild"), F.concat("said", F.array(taken))).otherwise(F.col("said"))
+        through = F.col("wild") & (last == F.size("tokens"))
+        end = F.when(F.col("end").isNotNull(), F.col("end")).when(F.col("wild") & F.col("hit").isNull(), F.col("parent")).when(through & F.col("hit.final"), F.col("hit.child"))
+        # A literal way without an edge, and a * that ends on a word without templates, lead nowhere.
+        alive = F.col("end").isNotNull() | F.when(F.col("wild"), F.col("hit").isNull() | ~through | F.col("hit.final")).otherwise(F.col("hit").isNotNull())
+        rows = met.where(alive).select("query_id", "tokens", F.col("hit.child").alias("node"), F.col("hit.star").alias("star"), F.coalesce("hit.final", F.lit(False)).alias("final"), F.coalesce(last, F.col("at")).alias("at"), said.alias("said"), end.alias("end"))
+    closed = F.when((rest == 0) & F.col("end").isNull(), F.when(F.col("final"), F.col("node")).otherwise(F.col("star"))).otherwise(F.col("end"))
+    ended = rows.select("query_id", closed.alias("node"), F.trim(F.array_join(F.filter("said", lambda x: x != ""), " ")).alias("star")).where("node is not null")
+    return ended.join(rules.templates, "node").select("query_id", "rank", "origin", "template", "star")
 
 
 def searched_text(template: Column, star: Column) -> Column:

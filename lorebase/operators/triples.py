@@ -1,8 +1,8 @@
-"""The triple store: dictionary-encoded tuples, posting lists, and search by terms."""
+"""The triple store: dictionary-encoded tuples, posting lists in compressed blocks, and search by terms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,9 +21,25 @@ def encode(facts: DataFrame) -> DataFrame:
     return facts.select("id", F.transform("lhs", code).alias("lhs"), F.xxhash64(F.lower("predicate"), F.lit(True)).alias("predicate"), F.transform("rhs", code).alias("rhs"))
 
 
-def build_index(tuples: DataFrame) -> DataFrame:
-    """predicate, word, id: one row for each word of each tuple. Lists would gather a frequent word in one row."""
-    return tuples.select("predicate", F.explode(F.concat("lhs", "rhs")).alias("word"), "id").distinct()
+BLOCK_BITS = 16  #: of an id that stand in a block; the others name it
+
+
+def build_blocks(tuples: DataFrame) -> DataFrame:
+    """Posting lists in blocks: predicate, word, block, n, least, greatest, offsets.
+
+    A block has the ids that agree in all but their last BLOCK_BITS bits, as rising offsets from the first that it could hold. So blocks of one number of different words can be
+    intersected as they are, and the list of a frequent word is many rows of bounded size. The tuples are read once.
+    """
+    rows = tuples.select("predicate", "id", F.explode(F.array_distinct(F.concat("lhs", "rhs"))).alias("word")).where("id is not null")
+    block, offset = F.shiftright("id", BLOCK_BITS), F.col("id").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    made = rows.groupBy("predicate", "word", block.alias("block")).agg(F.sort_array(F.collect_set(offset)).alias("offsets"))
+    base = F.shiftleft("block", BLOCK_BITS)
+    return made.select("predicate", "word", "block", F.size("offsets").alias("n"), (base + F.col("offsets")[0]).alias("least"), (base + F.element_at("offsets", -1)).alias("greatest"), "offsets")
+
+
+def list_sizes(blocks: DataFrame) -> DataFrame:
+    """predicate, word, n: how many tuples each posting list has."""
+    return blocks.groupBy("predicate", "word").agg(F.sum("n").alias("n"))
 
 
 def look_up(terms: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -31,18 +47,32 @@ def look_up(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return terms.select("query_id", F.lower("term").alias("word")).distinct().join(vocab, "word").select("query_id", "id", "is_predicate")
 
 
-def find(terms: DataFrame, vocab: DataFrame, index: DataFrame) -> DataFrame:
-    """query_id, id of the tuples that have all known words of a query under its predicate.
+def wanted_lists(terms: DataFrame, sizes: DataFrame) -> DataFrame:
+    """terms (query_id, term) and list_sizes() -> query_id, predicate, word, place: the posting lists that a query's ids must stand in, the shortest with place 1.
+
+    A query needs exactly one predicate and one other known term; one that hasn't has no lists. Words without postings under the predicate are ignored. Ids are hashes, so
+    no dictionary is read.
+    """
+    lower = F.lower("term")
+    coded = terms.select("query_id", F.xxhash64(lower, F.lit(False)).alias("word"), F.xxhash64(lower, F.lit(True)).alias("predicate")).distinct()
+    one = coded.join(sizes.select("predicate").distinct(), "predicate").groupBy("query_id").agg(F.count("*").alias("k"), F.min("predicate").alias("predicate")).where("k = 1").drop("k")
+    lists = coded.select("query_id", "word").join(one, "query_id").join(sizes, ["predicate", "word"])
+    return lists.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("n", "word"))).select("query_id", "predicate", "word", "place")
+
+
+def find(lists: DataFrame, blocks: DataFrame) -> DataFrame:
+    """query_id, id of the tuples that stand in all posting lists of a query, by wanted_lists().
 
-    A query needs exactly one predicate and one other known term; one that hasn't finds nothing. Words without postings under the predicate are ignored.
+    Blocks of the shortest list say which blocks can hold an answer; the others are dropped before they are met. What is left of a block is intersected from the
+    shortest part on.
     """
-    known = look_up(terms, vocab)
-    predicate = known.where("is_predicate").groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("predicate")).where("n = 1").drop("n")
-    words = known.where("not is_predicate").select("query_id", F.col("id").alias("word")).join(predicate, "query_id")
-    hits = words.join(index, ["predicate", "word"])
-    wanted = hits.groupBy("query_id").agg(F.count_distinct("word").alias("wanted"))
-    got = hits.groupBy("query_id", "id").agg(F.count_distinct("word").alias("got"))
-    return got.join(wanted, "query_id").where("got = wanted").select("query_id", "id")
+    hits = lists.join(blocks, ["predicate", "word"])
+    numbers = hits.where("place = 1").select("query_id", "block", F.col("least").alias("_from"), F.col("greatest").alias("_to"))
+    near = hits.join(numbers, ["query_id", "block"]).where("least <= _to and greatest >= _from")
+    wanted = lists.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    met = near.groupBy("query_id", "block").agg(F.sort_array(F.collect_list(F.struct("n", "word", "offsets"))).alias("parts")).join(wanted, "query_id").where("size(parts) = wanted")
+    common = F.aggregate(F.slice("parts", 2, F.size("parts")), F.col("parts")[0]["offsets"], lambda x, part: F.array_intersect(x, part["offsets"]))
+    return met.select("query_id", "block", F.explode(common).alias("offset")).select("query_id", (F.shiftleft("block", BLOCK_BITS) + F.col("offset")).alias("id"))
 
 
 def page(found: DataFrame, number: int, size: int) -> DataFrame:

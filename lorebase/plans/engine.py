@@ -119,7 +119,7 @@ def _search_own(state: State, named: DataFrame) -> DataFrame:
     return index.search(state.postings.withColumn("word", key("topic")), named.withColumn("word", key("own")).drop("own"))
 
 
-def ask(state: State, questions: DataFrame, lexicon: Lexicon, rules: DataFrame, access: DataFrame, now, page_size: int = 10) -> DataFrame:
+def ask(state: State, questions: DataFrame, lexicon: Lexicon, rules: templates.Rules, access: DataFrame, now, page_size: int = 10) -> DataFrame:
     """questions (query_id, topic, email, text, tokens) -> query_id, place, text: answers of templates, sentences and tuples in this order, or that nothing is known.
 
     Only texts of 1 to 254 bytes that ask or order something are answered.
@@ -139,7 +139,8 @@ def ask(state: State, questions: DataFrame, lexicon: Lexicon, rules: DataFrame,
     looked = index.keywords(rephrased.select("query_id", "tokens"), lexicon).join(rephrased.select("query_id", F.col("topic").alias("own")), "query_id")
     retold = index.fetch(_search_own(state, looked), state.sentences).select("query_id", F.lit(0).alias("place"), "text")
     terms = triples.match_access(good.select("query_id", "tokens"), access, lexicon)
-    hits = triples.find(terms, state.vocabulary, triples.build_index(state.tuples))
+    blocks = triples.build_blocks(state.tuples)
+    hits = triples.find(triples.wanted_lists(terms, triples.list_sizes(blocks)), blocks)
     first = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where(F.col("n") <= page_size).drop("n")
     facts = first.join(triples.decode(state.tuples.join(first.select("id").distinct(), "id", "left_semi"), state.vocabulary), "id").select("query_id", F.lit(2).alias("place"), "text")
     answers = filled.unionByName(found).unionByName(retold).unionByName(told).unionByName(facts)

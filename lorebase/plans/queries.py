@@ -14,7 +14,7 @@ from ..operators import anaphora, boolean, grammar, index, knowledge, templates,
 from ..operators.annotate import surface_tokens, tag_of
 from ..sources.readers import delete, select_page, table, upsert
 from ..sources.store import shared_folder
-from .saved import SavedIndex, once
+from .saved import SavedIndex, SavedTriples, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -182,13 +182,12 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def saved_index(spark: SparkSession, sf_dir: str) -> SavedIndex:
     """The index of the documents, words tagged by rule, as stored tables. The first query of an application writes it; the others read what they need."""
-    path = f"{shared_folder(spark)}/index-{spark.sparkContext.applicationId}-{crc32(sf_dir.encode()):08x}"
 
     def make() -> tuple[DataFrame, DataFrame]:
         rows = calls(spark, sf_dir).select("topic", F.explode("sentences").alias("s")).select(F.col("s.id").alias("id"), "topic", surface_tokens(F.col("s.words")).alias("tokenList"))
         return index.build_call_postings(calls(spark, sf_dir), no_lexicon(spark), drop_off=0.98, tagger=tag_of), rows
 
-    return once(SavedIndex(spark, path), make)
+    return once(SavedIndex(spark, saved_place(spark, sf_dir, "index")), make)
 
 
 PLACED = WORDS + ", placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, pos) - 1 AS INT) AS off FROM words)"
@@ -309,9 +308,28 @@ def two_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIND = f"WITH {FACTS}, q AS (SELECT p_brand, regexp_extract_all(lower(arg_min(p_type, p_partkey)), '[a-z0-9]+') AS w FROM part GROUP BY p_brand), hit AS (SELECT p_brand, id FROM q, f WHERE predicate = 'described' AND list_contains(list_concat(lhs, rhs), w[1]) AND list_contains(list_concat(lhs, rhs), w[-1]))"
 
 
+def saved_place(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder of this application for what is derived from the tables of a place."""
+    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{crc32(sf_dir.encode()):08x}"
+
+
+def saved_triples(spark: SparkSession, sf_dir: str) -> SavedTriples:
+    """The posting lists of the facts as stored tables, written by the first query of an application."""
+    return once(SavedTriples(spark, saved_place(spark, sf_dir, "triples")), lambda: (triples.encode(facts(spark, sf_dir)),))
+
+
 def found_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tuples = facts(spark, sf_dir)
-    return triples.find(two_words(spark, sf_dir), triples.vocabulary(tuples), triples.build_index(triples.encode(tuples)))
+    return saved_triples(spark, sf_dir).find(two_words(spark, sf_dir))
+
+
+@query(f"WITH {FACTS}, w AS (SELECT DISTINCT id, predicate, unnest(list_concat(lhs, rhs)) AS word FROM f) SELECT predicate, word, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM w GROUP BY predicate, word")
+def triple_lists(spark, sf_dir):
+    """The posting list of each predicate and word: its length and its ends, out of the blocks."""
+    blocks = saved_triples(spark, sf_dir).blocks.read()
+    lists = blocks.groupBy("predicate", "word").agg(F.sum("n").alias("n"), F.min("least").alias("first_id"), F.max("greatest").alias("last_id"))
+    names = triples.vocabulary(facts(spark, sf_dir))
+    named = lists.join(names.where("not is_predicate").select(F.col("id").alias("word"), F.col("word").alias("name")), "word")
+    return named.join(F.broadcast(names.where("is_predicate").select(F.col("id").alias("predicate"), F.col("word").alias("said"))), "predicate").select(F.col("said").alias("predicate"), F.col("name").alias("word"), "n", "first_id", "last_id")
 
 
 @query(FIND + " SELECT p_brand AS query_id, id FROM hit")

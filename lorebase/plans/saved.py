@@ -1,4 +1,4 @@
-"""The engine's index as stored tables: written once, read by word, and changed by increments."""
+"""The engine's indexes as stored tables: written once, read by word, and changed by increments."""
 
 from __future__ import annotations
 
@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.lexicon import Lexicon
-from ..operators import boolean, index
+from ..operators import boolean, index, triples
 from ..sources.store import Layout, Table
 from .engine import GLOBAL, teachable
 
+BLOCKS = Layout("predicate long, word long, block long, n int, least long, greatest long, offsets array<int>", ["word", "predicate", "block"], ["word"], ["word", "predicate"], sort=["word", "predicate", "block"])
+SIZES = Layout("predicate long, word long, n long", ["word", "predicate"], ["word"], ["word", "predicate"])
 POSTINGS = Layout(schema.POSTING, index.KEY, ["word"], ["word", "shard", "sentence_id"], sort=["word", "topic", "sentence_id", "offset"])
 WORDS = Layout("sentence_id string, word string, shard int", ["sentence_id", "word", "shard"], ["sentence_id"], ["sentence_id"])
 SENTENCES = Layout(schema.SENTENCE, ["id"], ["id"], ["id"])
@@ -78,8 +80,29 @@ class SavedIndex:
         return index.fetch(found, self.sentences.read_for(found.select(F.col("sentence_id").alias("id"))))
 
 
-def once(saved: SavedIndex, make: Callable[[], tuple[DataFrame, DataFrame]]) -> SavedIndex:
-    """The index, made if it isn't there."""
+class SavedTriples:
+    """The posting lists of a triple store in blocks, and how long they are, laid out by word under one path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.blocks, self.sizes = Table(spark, f"{path}/blocks", BLOCKS), Table(spark, f"{path}/sizes", SIZES)
+
+    def exists(self) -> bool:
+        return self.sizes.version()[0] > 0
+
+    def create(self, tuples: DataFrame) -> None:
+        """Write the blocks of tuples; their sizes are read back from them."""
+        if not self.blocks.version()[0]:
+            self.blocks.create(triples.build_blocks(tuples))
+        self.sizes.create(triples.list_sizes(self.blocks.read()))
+
+    def find(self, terms: DataFrame) -> DataFrame:
+        """terms (query_id, term) -> query_id, id; blocks are read out of the partitions that hold a wanted word."""
+        lists = triples.wanted_lists(terms, self.sizes.read())
+        return triples.find(lists, self.blocks.read_for(lists))
+
+
+def once(saved: SavedIndex | SavedTriples, make: Callable[[], tuple[DataFrame, ...]]) -> SavedIndex | SavedTriples:
+    """What is saved, made if it isn't there."""
     if not saved.exists():
         saved.create(*make())
     return saved

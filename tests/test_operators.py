@@ -174,8 +174,9 @@ def test_boolean_algebra(spark):
 def test_triples(spark, lexicon):
     facts = spark.createDataFrame([(1, ["peter", "pan"], "born", ["paris"]), (2, ["peter", "fox"], "born", ["rome"]), (3, ["peter", "pan"], "likes", ["paris"])], "id long, lhs array<string>, predicate string, rhs array<string>")
     vocab, tuples = triples.vocabulary(facts), triples.encode(facts)
+    blocks = triples.build_blocks(tuples)
     terms = spark.createDataFrame([("q1", t) for t in ("born", "Peter", "pan", "zzz")] + [("q2", "peter"), ("q2", "paris")] + [("q3", t) for t in ("born", "likes", "peter")] + [("q4", "born"), ("q4", "peter")], "query_id string, term string")
-    got = {(r.query_id, r.id) for r in triples.find(terms, vocab, triples.build_index(tuples)).collect()}
+    got = {(r.query_id, r.id) for r in triples.find(triples.wanted_lists(terms, triples.list_sizes(blocks)), blocks).collect()}
     assert got == {("q1", 1), ("q4", 1), ("q4", 2)}
     assert {r.text for r in triples.decode(tuples, vocab).collect()} == {"peter pan born paris ", "peter fox born rome ", "peter pan likes paris "}
     known = spark.createDataFrame([(9, [tuples.where("id = 1").first().lhs[0]], 0, [5])], "id long, lhs array<long>, predicate long, rhs array<long>")
