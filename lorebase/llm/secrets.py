@@ -28,7 +28,9 @@ PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of a wrapped run, the breaks themselves or as escapes.
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{4,}(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*[A-Za-z0-9+/_-]+)+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:(?:\r?\n|\\r\\n|\\n)[ \t>]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: Codes of the character that codes begin with, nested straight in each other: a whole nest is taken as one level, so that depth costs no layers.
+NESTED = re.compile(r"(%25)(?:25)++|(\\(?:u005[cC]|x5[cC]|u\{0*5[cC]\}|U0000005[cC]))(?:u005[cC]|x5[cC]|u\{0*5[cC]\}|U0000005[cC])++|(&#(?:38|[xX]26);)(?:#(?:38|[xX]26);)++")
 BREAK = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t>]*")
 PACKED = re.compile(b"\x1f(?=\x8b\x08)|" + b"|".join(re.escape(bytes([x])) + b"(?=[" + b"".join(b"\\x%02x" % y for y in range(256) if not y & 32 and (x << 8 | y) % 31 == 0) + b"])" for x in range(8, 128, 16)))
 #: ASCII as 16-bit characters, either byte first.
@@ -93,6 +95,22 @@ def _stretches(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def _shortened(text: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """The text with each nest of codes as its first code, with the start and end of each character; the last character of that code stands for the whole nest."""
+    made, lo, hi, k = [], [], [], 0
+    for m in NESTED.finditer(text):
+        first = m[m.lastindex]
+        upto = m.start() + len(first)
+        made.append(text[k:upto])
+        lo.append(np.arange(k, upto, dtype=np.int32))
+        hi += [np.arange(k + 1, upto, dtype=np.int32), np.array([m.end()], np.int32)]
+        k = m.end()
+    made.append(text[k:])
+    lo.append(np.arange(k, len(text), dtype=np.int32))
+    hi.append(np.arange(k + 1, len(text) + 1, dtype=np.int32))
+    return "".join(made), np.concatenate(lo), np.concatenate(hi)
+
+
 def _escapes(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """Each stretch with Unicode escapes or character references, unescaped."""
     for start, end in _stretches(ESCAPED, text):
@@ -159,14 +177,28 @@ def _unpacked(raw: bytes, budget: list[int]) -> Iterator[tuple[str | None, int]]
     """The texts of all compressed streams in some bytes, whole or in overlapping pieces, with the stream's place; None for one that is refused."""
     for m in PACKED.finditer(raw):
         at = m.start()
-        before = ""
+        before, rest = "", b""
         for made in _members(raw, at, budget):
             if made is None:
                 yield None, at
                 break
-            text = _text(made)
+            made = rest + made
+            whole = len(made) - _unfinished(made)
+            text, rest = _text(made[:whole]), made[whole:]
             yield before + text, at
             before = text[-OVERLAP:]
+        if rest:
+            yield before + _text(rest), at
+
+
+def _unfinished(raw: bytes) -> int:
+    """Bytes at the end that begin a character of UTF-8 and don't end it; they belong to the next piece."""
+    for k in range(1, min(3, len(raw)) + 1):
+        if raw[-k] >= 0xC0:
+            return k if k < 2 + (raw[-k] >= 0xE0) + (raw[-k] >= 0xF0) else 0
+        if raw[-k] < 0x80:
+            return 0
+    return 0
 
 
 def _base64(run: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, bytes]]:
@@ -193,11 +225,14 @@ def layers(text: str, budget: list[int] | None = None) -> Iterator[tuple[str, Pl
         for made, _ in _unpacked(raw, budget):
             yield made or "", start, end, made is None
 
-    if "%" in text:
+    nested = NESTED.search(text)
+    if nested:  # codes are decoded in that layer
+        yield *_shortened(text), False
+    if "%" in text and not nested:
         for start, end in _stretches(PERCENT, text):
             made, lo, hi = _percent(text[start:end])
             yield made, lo + start, hi + start, False
-    if "\\" in text or "&#" in text:
+    if not nested and ("\\" in text or "&#" in text):
         for made, lo, hi in _escapes(text):
             yield made, lo, hi, False
     if "\x00" in text:
