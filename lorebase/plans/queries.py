@@ -531,9 +531,33 @@ def question_counts(spark, sf_dir):
     return rows.agg(F.count("*").alias("n_sentences"), F.count_if(F.trim("txt").endswith("?")).alias("n_asking"))
 
 
-@query()
-def entities_all(spark, sf_dir):
-    return grammar.entities(table(spark, sf_dir, "documents"), "doc_id", "text")
+@query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[ \t\r\n\x08]+|[.''"_%$#@^&*()\[\]{}<>/\\=+|!?,:;-]|[0-9]+|[A-Za-z]+'), lambda x: true) AS w FROM documents),
+j AS (SELECT doc_id, array_to_string(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[ \t\r\n\x08]') THEN chr(1) || ' ' ELSE chr(1) || x END), '') || chr(1) AS s FROM t),
+m AS (SELECT doc_id, unnest(regexp_extract_all(s, '(\x01([._-]|[A-Za-z]+|[0-9]+))+\x01@(\x01([._-]|[A-Za-z]+|[0-9]+))+')) AS e FROM j)
+SELECT doc_id, replace(e, chr(1), '') AS entity, 'email.1' AS kind FROM m""")
+def entity_emails(spark, sf_dir):
+    """E-mail addresses in the documents, as the machine over their tokens finds them."""
+    return grammar.longest(table(spark, sf_dir, "documents"), "doc_id", "text", ["email"])
+
+
+@query(r"""WITH t AS (SELECT page_id, list_transform(regexp_extract_all(html, '[ \t\r\n\x08]+|[.''"_%$#@^&*()\[\]{}<>/\\=+|!?,:;-]|[0-9]+|[A-Za-z]+'), lambda x: CASE WHEN regexp_matches(x, '^[ \t\r\n\x08]') THEN ' ' ELSE x END) AS w FROM pages),
+j AS (SELECT page_id, chr(1) || array_to_string(w, chr(1)) || chr(1) AS s FROM t),
+m AS (SELECT page_id, unnest(regexp_extract_all(s, '\x01((http|https|ftp|mailto)\x01:\x01/\x01/(\x01([%!#@/\\;&_$.?+=^*()\[\]{}-]|[A-Za-z]+|[0-9]+))+|www\x01[.](\x01([%!#@/\\;&_$.?+=^*()\[\]{}-]|[A-Za-z]+|[0-9]+))+)')) AS e FROM j)
+SELECT page_id, replace(e, chr(1), '') AS entity, CASE WHEN starts_with(e, chr(1) || 'www') THEN 'url.2' ELSE 'url.1' END AS kind FROM m""")
+def entity_links(spark, sf_dir):
+    """Addresses in the whole source of the pages, as the machine over their tokens finds them."""
+    return grammar.longest(table(spark, sf_dir, "pages"), "page_id", "html", ["url"])
+
+
+@query(r"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[ \t\r\n\x08]+|[.''"_%$#@^&*()\[\]{}<>/\\=+|!?,:;-]|[0-9]+|[A-Za-z]+'), lambda x: CASE WHEN regexp_matches(x, '^[ \t\r\n\x08]') THEN ' ' ELSE x END) AS w FROM documents),
+j AS (SELECT doc_id, chr(1) || array_to_string(w, chr(1)) || chr(1) AS s FROM t),
+m AS (SELECT doc_id, unnest(regexp_extract_all(s, '\x01(-\x01)?[0-9]+(\x01[.]\x01[0-9]+)?\x01%|\x01(-\x01)?[0-9]+\x01[.]\x01[0-9]+')) AS e FROM j)
+SELECT doc_id, count(*) AS n, count(*) FILTER (ends_with(e, '%')) AS n_percent FROM m WHERE NOT (starts_with(e, chr(1) || '-') AND ends_with(e, '%') AND NOT contains(e, '.')) GROUP BY doc_id""")
+def merged_numbers(spark, sf_dir):
+    """Sentences' tokens merged by the rules for decimals and percents, and what came of it in each document."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", grammar.merge_tokens(surface_tokens(T.raw_tokens("text")), kinds=["decimal", "percent"]).alias("t"))
+    made = rows.select("doc_id", F.filter("t", lambda t: t["tag"] == "CD").alias("t")).where("size(t) > 0")
+    return made.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.filter("t", lambda t: t["semantic"].startswith("percent"))).cast("long").alias("n_percent"))
 
 
 #: The distinct token lists of the sentences of each turn, without white space and punctuation.
