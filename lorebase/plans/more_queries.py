@@ -13,7 +13,8 @@ from ..functions import text as T
 from ..operators import anaphora, grammar, index, knowledge, topics, trees
 from ..operators.annotate import annotate_tokens, surface_tokens
 from ..sources import readers
-from .queries import SENT, STOP, TOKENS, WORDS, annotated, no_lexicon, query, saved_index, sentences, table, topic_rows
+from .queries import SENT, STOP, TOKENS, WORDS, annotated, no_lexicon, query, saved_index, saved_place, sentences, table, topic_rows
+from .saved import SavedIndex
 
 FIELDS = "id string, name string, origin string, field_list array<struct<name:string,semantic:string,aiml:string>>"
 
@@ -218,6 +219,29 @@ def posting_words(spark, sf_dir):
     return saved_index(spark, sf_dir).words.read().groupBy("sentence_id").agg(F.count("*").alias("n_words"))
 
 
+SPOKEN = f"""heard AS (SELECT conv_id, turn, s, list_filter(regexp_extract_all(txt, '[ \t\r\n\x08]+|[.''"_%$#@^&*()\\[\\]{{}}<>/\\\\=+|!?,:;-]|[0-9]+|[A-Za-z]+'), lambda x: NOT regexp_matches(x, '^[ \t\r\n\x08]')) AS t FROM (SELECT conv_id, turn, unnest(generate_series(0, len(a) - 1)) AS s, unnest(a) AS txt FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?]+[.!?]*') AS a FROM conversations))),
+spoken AS (SELECT conv_id, turn, s, k, t[k] AS w, {tag_sql('t[k]')} AS tag, len(t) AS n FROM (SELECT *, unnest(generate_series(1, len(t))) AS k FROM heard)),
+telling AS (SELECT conv_id, turn, s FROM spoken GROUP BY ALL HAVING max(n) > 1 AND bool_or(starts_with(tag, 'VB')) AND NOT bool_or(k = n AND w = '?') AND NOT bool_or(tag IN ('WP', 'WDT')) AND NOT bool_or(k = 1 AND (tag IN ('VB', 'VBP') OR starts_with(tag, 'VB') AND lower(w) IN ('do', 'did', 'does', 'are', 'is', 'was', 'were', 'have', 'had'))) AND count(*) FILTER (lower(w) NOT IN ({STOP})) > 1),
+kept AS (SELECT 'conv' || spoken.conv_id % 7 AS topic, lower(w) AS word, tag FROM spoken JOIN telling USING (conv_id, turn, s) WHERE lower(w) NOT IN ({STOP}) AND spoken.turn % 4 <> 2)"""
+
+
+@query(f"WITH {SPOKEN} SELECT topic, word, tag, count(*) AS n FROM (FROM kept UNION ALL SELECT 'global', word, tag FROM kept) GROUP BY ALL")
+def taught_index(spark, sf_dir):
+    """All sentences of the conversations are taught to a stored index, each in a topic of its user and the global one; then those of every fourth turn are forgotten. What is left is read out of base and logs."""
+    saved = SavedIndex(spark, saved_place(spark, sf_dir, "taught"))
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.sentences("text")).alias("s", "txt"))
+    name = F.format_string("%d-%d-%d", "conv_id", "turn", "s")
+    told = said.select(name.alias("id"), F.format_string("conv%d", F.col("conv_id") % 7).alias("topic"), annotate_tokens(T.drop_spaces(T.raw_tokens("txt"))).alias("tokenList"), "turn")
+    # Each step gives a version; what an earlier query has done already isn't done again.
+    if not saved.exists():
+        saved.create(saved.postings.read(), saved.sentences.read())
+    if saved.sentences.version()[0] < 2:
+        saved.teach(told, no_lexicon(spark))
+    if saved.sentences.version()[0] < 3:
+        saved.forget(told.where("turn % 4 = 2").select("id"))
+    return saved.postings.read().groupBy("topic", "word", "tag").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {WORDS}, p AS (SELECT source AS topic, word, sid, s, row_number() OVER (PARTITION BY doc_id ORDER BY s, pos) - 1 AS off FROM words) SELECT topic, count(*) AS n, round(sum(CASE WHEN topic = 'src3' THEN round(0.5 ** s, 6) ELSE 1.0 END), 3) AS score FROM p WHERE word NOT IN ({STOP}) GROUP BY topic")
 def posting_replaced(spark, sf_dir):
     """The postings of one topic are written again, with other scores, in place of the old ones."""
