@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -215,3 +216,8 @@ def countable(tokens: Column, stop_words: list[str]) -> Column:
 
 def any_of(tests: list[Column]) -> Column:
     return reduce(or_, tests, F.lit(False))
+
+
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often the expression names it."""
+    return F.transform(F.array(value), of)[0]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 WINDOW = 4  #: sentences that are looked back
 # Pronouns with the classes that their noun may have, and whether it must be plural.
 SINGULAR = {"he": "male person", "him": "male person", "himself": "male person", "his": "male person", "she": "female person", "her": "female person", "herself": "female person", "hers": "female person", "it": "other", "itself": "other", "its": "other"}
@@ -13,23 +15,39 @@ SECOND, FIRST = ("you", "your", "yourself", "yours"), ("i", "my", "myself", "me"
 WEIGHTS = {"base": 100, "existential": 70, "nsubj": 80, "dobj": 50, "pobj": 40, "adverbial": 50, "head": 80}
 
 
-def tokens(sentences: DataFrame) -> DataFrame:
-    """sentences (doc_id, sentence_no, tokenList) -> a row for each token with what salience needs."""
-    rows = sentences.select("doc_id", "sentence_no", F.posexplode("tokenList").alias("pos", "token")).select("doc_id", "sentence_no", "pos", "token.text", "token.tag", "token.dep", F.coalesce("token.semantic", F.lit("")).alias("semantic"))
-    own = Window.partitionBy("doc_id", "sentence_no")
-    before, after = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1), own.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    verb = F.when(F.col("tag").startswith("VB"), F.col("pos"))
-    marks = lambda tag: F.when(F.col("tag") == tag, F.col("pos"))
-    existential = F.coalesce(F.max(F.col("tag") == "EX").over(before), F.lit(False))
-    # Back to the nearest verb there is a preposition; on to the nearest verb there is a determiner.
-    adverbial = F.coalesce(F.max(marks("IN")).over(before) > F.coalesce(F.max(verb).over(before), F.lit(-1)), F.lit(False))
-    head = F.coalesce(F.min(marks("DET")).over(after) < F.coalesce(F.min(verb).over(after), F.lit(1 << 30)), F.lit(False))
-    return rows.select("*", existential.alias("existential"), adverbial.alias("adverbial"), head.alias("head"))
+def marked(tokens: Column) -> Column:
+    """What salience needs of each token of a sentence, by one fold from each end: pos, text, tag, dep, semantic, existential (there is an EX before it), adverbial (back to the nearest verb
+    there is a preposition) and head (on to the nearest verb there is a determiner)."""
+    return bound(tokens, _marked)
+
+
+def _marked(tokens: Column) -> Column:
+    places = F.transform(tokens, lambda t, k: F.struct(k.alias("pos"), t["tag"].alias("tag")))
+    verb = lambda t, pos, old: F.when(t["tag"].startswith("VB"), pos).otherwise(old)
+    on = lambda t, tag, pos, old: F.when(t["tag"] == tag, pos).otherwise(old)
+    flags = F.array().cast("array<boolean>")
+
+    def ahead(h: Column, t: Column) -> Column:
+        return F.struct(on(t, "EX", F.lit(0), h["ex"]).alias("ex"), on(t, "IN", t["pos"], h["prep"]).alias("prep"), verb(t, t["pos"], h["verb"]).alias("verb"), F.concat(h["there"], F.array(h["ex"] >= 0)).alias("there"), F.concat(h["adverbial"], F.array(h["prep"] > h["verb"])).alias("adverbial"))
+
+    def back(h: Column, t: Column) -> Column:
+        # Places fall, so the nearest one ahead is the one that was seen last.
+        return F.struct(on(t, "DET", t["pos"], h["det"]).alias("det"), verb(t, t["pos"], h["verb"]).alias("verb"), F.concat(h["head"], F.array(h["det"] < h["verb"])).alias("head"))
+
+    none, far = F.lit(-1), F.lit(1 << 30)
+    first = F.aggregate(places, F.struct(none.alias("ex"), none.alias("prep"), none.alias("verb"), flags.alias("there"), flags.alias("adverbial")), ahead)
+    second = F.aggregate(F.reverse(places), F.struct(far.alias("det"), far.alias("verb"), flags.alias("head")), back)
+    put = lambda a, b: F.transform(tokens, lambda t, k: F.struct(
+        k.alias("pos"), t["text"].alias("text"), t["tag"].alias("tag"), t["dep"].alias("dep"), F.coalesce(t["semantic"], F.lit("")).alias("semantic"),
+        F.get(a["there"], k).alias("existential"), F.get(a["adverbial"], k).alias("adverbial"), F.get(b["head"], F.size(tokens) - 1 - k).alias("head"),
+    ))
+    return bound(F.struct(first.alias("a"), second.alias("b")), lambda x: put(x["a"], x["b"]))
 
 
-def salience() -> Column:
-    subject = F.col("dep") == "nsubj"
-    parts = {"existential": F.col("existential"), "nsubj": subject, "dobj": F.col("dep") == "dobj", "pobj": F.col("dep") == "pobj", "adverbial": subject & F.col("adverbial"), "head": subject & F.col("head")}
+def salience(token: Column) -> Column:
+    """The weight of a token of marked()."""
+    subject = token["dep"] == "nsubj"
+    parts = {"existential": token["existential"], "nsubj": subject, "dobj": token["dep"] == "dobj", "pobj": token["dep"] == "pobj", "adverbial": subject & token["adverbial"], "head": subject & token["head"]}
     total = F.lit(WEIGHTS["base"])
     for name, test in parts.items():
         total = total + F.when(test, WEIGHTS[name]).otherwise(0)
@@ -37,24 +55,34 @@ def salience() -> Column:
 
 
 def resolve(sentences: DataFrame) -> DataFrame:
-    """doc_id, sentence_no, pos, text, anaphora of every pronoun: the most salient fitting noun before it within WINDOW sentences, or "?"; ties go to the earliest.
+    """doc_id, sentence_no, pos, text, anaphora of every pronoun of sentences (doc_id, sentence_no, tokenList): the most salient fitting noun before it within WINDOW sentences, or "?"; ties go to
+    the earliest. Sentences are numbered once within a document.
 
-    Nouns meet pronouns by document and sentence: a noun is sent to the WINDOW + 1 sentences that can look back at it.
+    Weights are folds inside a sentence. Only nouns and pronouns leave it; they meet in the row of their document, so one grouping of slim rows is all that is
+    shuffled, and nothing if rows are dealt by document already. A pronoun looks at the WINDOW sentences before it, so a document costs in proportion to its length.
     """
-    rows = tokens(sentences)
-    table = {**SINGULAR, **PLURAL}
-    classes = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    word = F.lower("text")
-    pronouns = rows.where(F.col("tag").isin("PRP", "PRP$")).select("doc_id", F.col("sentence_no").alias("here"), F.col("pos").alias("at"), F.col("text").alias("pronoun"), F.split(classes[word], " ").alias("classes"), word.isin(*PLURAL).alias("plural")).where("classes is not null")
-    nouns = rows.where(F.col("tag").startswith("NN")).select("doc_id", "sentence_no", "pos", "text", "tag", "semantic", salience().alias("weight"))
-    near = nouns.withColumn("here", F.explode(F.sequence(F.col("sentence_no"), F.col("sentence_no") + WINDOW)))
-    met = pronouns.join(near, ["doc_id", "here"], "left")
-    before = (F.col("sentence_no") < F.col("here")) | (F.col("pos") < F.col("at"))
-    fits = F.array_contains("classes", F.col("semantic")) | (~F.col("semantic").isin("male", "female", "person") & F.array_contains("classes", F.lit("other")))
-    number = ~F.col("plural") | F.col("tag").isin("NNS", "NNPS")
-    weight = F.col("weight") * F.pow(F.lit(2.0), F.col("sentence_no") - F.col("here"))
-    best = F.max_by(F.when(before & fits & number, F.col("text")), F.when(before & fits & number, F.struct(weight, -F.col("sentence_no"), -F.col("pos"))))
-    return met.groupBy("doc_id", F.col("here").alias("sentence_no"), F.col("at").alias("pos"), F.col("pronoun").alias("text")).agg(F.coalesce(best, F.lit("?")).alias("anaphora"))
+    plural = F.lower("x.text").isin(*PLURAL)
+    classes = F.create_map(*(F.lit(x) for pair in {**SINGULAR, **PLURAL}.items() for x in pair))
+    known = lambda t: t["tag"].isin("PRP", "PRP$") & F.lower(t["text"]).isin(*SINGULAR, *PLURAL)
+    seen = sentences.select("doc_id", "sentence_no", marked(F.col("tokenList")).alias("m"))
+    noun = lambda t: F.struct(F.col("sentence_no").alias("sentence_no"), t["pos"].alias("pos"), t["text"].alias("text"), t["tag"].alias("tag"), t["semantic"].alias("semantic"), salience(t).alias("weight"))
+    nouns = F.transform(F.filter("m", lambda t: t["tag"].startswith("NN")), noun)
+    pronouns = F.transform(F.filter("m", known), lambda t: F.struct(t["pos"].alias("pos"), t["text"].alias("text")))
+    slim = seen.select("doc_id", "sentence_no", nouns.alias("nouns"), pronouns.alias("pronouns"))
+    # Left out while collecting: a filter would be evaluated below, together with all that it names.
+    some = F.when((F.size("nouns") > 0) | (F.size("pronouns") > 0), F.struct("sentence_no", "nouns", "pronouns"))
+    docs = slim.groupBy("doc_id").agg(F.sort_array(F.collect_list(some)).alias("all"))
+    near = lambda k: F.flatten(F.transform(F.slice("all", F.greatest(k - WINDOW + 1, F.lit(1)), F.least(k + 1, F.lit(WINDOW + 1))), lambda y: y["nouns"]))
+    each = docs.select("doc_id", F.explode(F.filter(F.transform("all", lambda x, k: F.struct(x["sentence_no"].alias("here"), x["pronouns"].alias("pronouns"), F.when(F.size(x["pronouns"]) > 0, near(k)).alias("nouns"))), lambda x: F.size(x["pronouns"]) > 0)).alias("s"))
+    each = each.select("doc_id", "s.here", "s.nouns", F.explode("s.pronouns").alias("x")).withColumn("classes", F.split(classes[F.lower("x.text")], " ")).withColumn("plural", plural)
+
+    def fits(n: Column) -> Column:
+        before = (n["sentence_no"] >= F.col("here") - WINDOW) & ((n["sentence_no"] < F.col("here")) | (n["pos"] < F.col("x.pos")))
+        meant = F.array_contains("classes", n["semantic"]) | (~n["semantic"].isin("male", "female", "person") & F.array_contains("classes", F.lit("other")))
+        return before & meant & (~F.col("plural") | n["tag"].isin("NNS", "NNPS"))
+
+    ranked = F.transform(F.filter("nouns", fits), lambda n: F.struct((n["weight"] * F.pow(F.lit(2.0), n["sentence_no"] - F.col("here"))).alias("weight"), (-n["sentence_no"]).alias("s"), (-n["pos"]).alias("p"), n["text"].alias("text")))
+    return each.select("doc_id", F.col("here").alias("sentence_no"), F.col("x.pos").alias("pos"), F.col("x.text").alias("text"), F.coalesce(F.array_max(ranked)["text"], F.lit("?")).alias("anaphora"))
 
 
 def name_persons(tokens_: Column, first: Column, second: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import bound
+
 
 # Words of closed classes with their tags. Other words are tagged by their endings.
 CLOSED = {
@@ -48,3 +50,28 @@ def surface_tokens(words: Column) -> Column:
 def annotate_tokens(words: Column) -> Column:
     """Words as tokens with tags by rule, the first of them as subject."""
     return F.transform(words, lambda w, k: _token(w, k, tag_of(w), F.when(k == 0, "nsubj").otherwise("")))
+
+
+def label(tokens: Column) -> Column:
+    """Tokens with tags, labelled by a fold that chunks them: the last noun of a run is its head, and what stands before it says its part in the sentence.
+
+    pobj if a preposition is the nearest of prepositions, verbs and heads before it, else dobj if a verb is, else nsubj if there was no verb; other tokens have no label.
+    Determiners get the tag DET, by which the test for head nouns knows them.
+    """
+    return bound(tokens, _labelled)
+
+
+def _labelled(tokens: Column) -> Column:
+    noun = lambda t: F.coalesce(t["tag"].startswith("NN"), F.lit(False))
+    items = F.transform(tokens, lambda t, k: F.struct(k.alias("k"), t.alias("t"), (noun(t) & ~F.coalesce(noun(F.get(tokens, k + 1)), F.lit(False))).alias("head")))
+
+    def step(h: Column, x: Column) -> Column:
+        tag = x["t"]["tag"]
+        part = F.when(~x["head"], "").when(h["prep"] > F.greatest(h["verb"], h["noun"]), "pobj").when(h["verb"] > h["noun"], "dobj").when(h["verb"] < 0, "nsubj").otherwise("")
+        made = x["t"].withField("dep", part).withField("tag", F.when(tag == "DT", "DET").otherwise(tag))
+        on = lambda test, old: F.when(test, x["k"]).otherwise(old)
+        return F.struct(F.concat(h["out"], F.array(made)).alias("out"), on(tag.isin("IN", "TO"), h["prep"]).alias("prep"), on(tag.startswith("VB") | (tag == "MD"), h["verb"]).alias("verb"), on(x["head"], h["noun"]).alias("noun"))
+
+    none = F.lit(-1)
+    empty = F.slice(tokens, 1, 0)
+    return F.aggregate(items, F.struct(empty.alias("out"), none.alias("prep"), none.alias("verb"), none.alias("noun")), step, lambda h: h["out"])

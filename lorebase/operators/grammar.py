@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -359,11 +359,6 @@ def may_hold(texts: Column, rules: str = RULES, kinds: list[str] | None = None)
     return F.array_join(texts, "").rlike(entity_regex(compile_rules(rules)[0], kinds)[len(BEFORE) : -len(BEHIND)])
 
 
-def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
-    """An expression of a value that is computed once."""
-    return F.transform(F.array(value), of)[0]
-
-
 def merge_tokens(tokens: Column, rules: str = RULES, kinds: list[str] | None = None) -> Column:
     """Tokens (an array of structs with text, tag and semantic among others) taken apart and merged by the rules; white space goes.
 
@@ -382,7 +377,7 @@ def merge_tokens(tokens: Column, rules: str = RULES, kinds: list[str] | None = N
         return F.transform(F.array_sort(F.concat(F.transform(found, lambda r: merged(apart, r)), rest), lambda a, b: a["at"] - b["at"]), lambda x: x["token"])
 
     taken = F.flatten(F.transform(tokens, T.retokenize))
-    every = _bound(taken, lambda apart: _bound(runs(F.transform(apart, lambda t: t["text"]), compiled), lambda found: whole(apart, found)))
+    every = T.bound(taken, lambda apart: T.bound(runs(F.transform(apart, lambda t: t["text"]), compiled), lambda found: whole(apart, found)))
     return F.when(may_hold(F.transform(tokens, lambda t: t["text"]), rules, kinds), every).otherwise(T.drop_space_tokens(taken))
 
 

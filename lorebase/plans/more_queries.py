@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import anaphora, grammar, index, knowledge, topics, trees
-from ..operators.annotate import annotate_tokens, surface_tokens
+from ..operators.annotate import annotate_tokens, label, surface_tokens
 from ..sources import readers
 from .queries import SENT, STOP, TOKENS, WORDS, annotated, no_lexicon, query, saved_index, saved_place, sentences, table, topic_rows
 from .saved import SavedIndex
@@ -118,13 +118,46 @@ met AS (SELECT p.doc_id, p.s, p.pos, n.w, row_number() OVER (PARTITION BY p.doc_
 SELECT p.doc_id, p.s AS sentence_no, CAST(p.pos AS INT) AS pos, p.w AS text, coalesce(met.w, '?') AS anaphora FROM pron p LEFT JOIN met ON met.doc_id = p.doc_id AND met.s = p.s AND met.pos = p.pos AND met.place = 1"""
 
 
+def pronoun_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sentence_no and the tokens, tagged by rule, of the sentences of documents that have the letters of a pronoun or stand so near before one that it can look back at them.
+
+    The others can decide nothing, so they aren't tokenised. Sentences are dealt by document before they are; that is the only exchange.
+    """
+    some = "(?i)(^|[^A-Za-z])(" + "|".join([*anaphora.SINGULAR, *anaphora.PLURAL]) + ")([^A-Za-z]|$)"
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(some)).select("doc_id", T.sentences("text").alias("a"))
+    docs = docs.select("doc_id", "a", F.transform("a", lambda x: x.rlike(some)).alias("held"))
+    near = lambda k: F.exists(F.slice("held", k + 1, F.lit(anaphora.WINDOW + 1)), lambda h: h)
+    kept = F.filter(F.transform("a", lambda x, k: F.struct(k.alias("sentence_no"), x.alias("txt"), near(k).alias("near"))), lambda x: x["near"])
+    rows = docs.select("doc_id", F.inline(kept)).select("doc_id", "sentence_no", "txt").repartition("doc_id")
+    return rows.select("doc_id", "sentence_no", annotate_tokens(T.drop_spaces(T.raw_tokens("txt"))).alias("tokenList"))
+
+
 @query(ANAPHORA)
 def anaphora_documents(spark, sf_dir):
     """Pronouns of all documents, resolved over tokens that the rule annotator tags. A document without the letters of any pronoun isn't tokenised."""
-    some = "(?i)(^|[^A-Za-z])(" + "|".join([*anaphora.SINGULAR, *anaphora.PLURAL]) + ")([^A-Za-z]|$)"
-    named = table(spark, sf_dir, "documents").where(F.col("text").rlike(some)).select("doc_id")
-    rows = sentences(spark, sf_dir).join(named, "doc_id", "left_semi").select("doc_id", F.col("s").alias("sentence_no"), annotate_tokens(T.drop_spaces(T.raw_tokens("txt"))).alias("tokenList"))
-    return anaphora.resolve(rows)
+    return anaphora.resolve(pronoun_sentences(spark, sf_dir))
+
+
+LABELLED = ANAPHORA[: ANAPHORA.index("pron AS (")] + """tags AS (SELECT doc_id, s, pos, w, CASE WHEN tag = 'DT' THEN 'DET' ELSE tag END AS tag, CASE WHEN tag = 'NNP' THEN CASE WHEN length(w) % 3 = 0 THEN 'male' WHEN length(w) % 3 = 1 THEN 'female' ELSE '' END ELSE '' END AS semantic,
+    tag LIKE 'NN%' AND coalesce(lead(tag) OVER own NOT LIKE 'NN%', true) AS head FROM tok WINDOW own AS (PARTITION BY doc_id, s ORDER BY pos)),
+near AS (SELECT *, coalesce(max(CASE WHEN tag IN ('IN', 'TO') THEN pos END) OVER back, -1) AS prep, coalesce(max(CASE WHEN tag LIKE 'VB%' OR tag = 'MD' THEN pos END) OVER back, -1) AS verb, coalesce(max(CASE WHEN head THEN pos END) OVER back, -1) AS noun,
+    coalesce(max(CASE WHEN tag = 'IN' THEN pos END) OVER back, -1) AS only_in, coalesce(max(CASE WHEN tag LIKE 'VB%' THEN pos END) OVER back, -1) AS only_verb, coalesce(max(CASE WHEN tag = 'EX' THEN 1 END) OVER back, 0) AS there,
+    coalesce(min(CASE WHEN tag = 'DET' THEN pos END) OVER ahead, 1000000) AS det, coalesce(min(CASE WHEN tag LIKE 'VB%' THEN pos END) OVER ahead, 1000000) AS next_verb
+    FROM tags WINDOW back AS (PARTITION BY doc_id, s ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ahead AS (PARTITION BY doc_id, s ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+labelled AS (SELECT *, CASE WHEN NOT head THEN '' WHEN prep > greatest(verb, noun) THEN 'pobj' WHEN verb > noun THEN 'dobj' WHEN verb < 0 THEN 'nsubj' ELSE '' END AS dep FROM near),
+noun AS (SELECT *, 100 + there * 70 + CASE dep WHEN 'nsubj' THEN 80 + CASE WHEN only_in > only_verb THEN 50 ELSE 0 END + CASE WHEN det < next_verb THEN 80 ELSE 0 END WHEN 'dobj' THEN 50 WHEN 'pobj' THEN 40 ELSE 0 END AS weight FROM labelled WHERE tag LIKE 'NN%'),
+pron AS (SELECT *, lower(w) IN ('they', 'them', 'themselves') AS plural, CASE WHEN lower(w) IN ('he', 'him', 'himself', 'his') THEN ['male', 'person'] WHEN lower(w) IN ('she', 'her', 'herself', 'hers') THEN ['female', 'person'] WHEN lower(w) IN ('it', 'itself', 'its') THEN ['other'] WHEN lower(w) IN ('they', 'them') THEN ['male', 'female', 'person', 'other'] WHEN lower(w) = 'themselves' THEN ['male', 'female', 'person'] END AS classes FROM tok WHERE tag IN ('PRP', 'PRP$')),
+met AS (SELECT p.doc_id, p.s, p.pos, n.w, row_number() OVER (PARTITION BY p.doc_id, p.s, p.pos ORDER BY n.weight * 2.0 ** (n.s - p.s) DESC, n.s, n.pos) AS place FROM pron p JOIN noun n ON n.doc_id = p.doc_id AND n.s BETWEEN p.s - 4 AND p.s AND (n.s < p.s OR n.pos < p.pos)
+    AND list_contains(p.classes, CASE WHEN n.semantic = '' THEN 'other' ELSE n.semantic END) AND (NOT p.plural OR n.tag IN ('NNS', 'NNPS')))
+SELECT p.doc_id, p.s AS sentence_no, CAST(p.pos AS INT) AS pos, p.w AS text, coalesce(met.w, '?') AS anaphora FROM pron p LEFT JOIN met ON met.doc_id = p.doc_id AND met.s = p.s AND met.pos = p.pos AND met.place = 1 WHERE p.classes IS NOT NULL"""
+
+
+@query(LABELLED)
+def anaphora_labelled(spark, sf_dir):
+    """The same with subjects, objects, prepositions and determiners from the chunker, and names in classes, here by their length, so that each part of the weight counts."""
+    kind = lambda t: F.when(t["tag"] == "NNP", F.get(F.array(F.lit("male"), F.lit("female"), F.lit("")), (F.length(t["text"]) % 3).cast("int"))).otherwise("")
+    rows = pronoun_sentences(spark, sf_dir)
+    return anaphora.resolve(rows.withColumn("tokenList", F.transform(label(F.col("tokenList")), lambda t: t.withField("semantic", kind(t)))))
 
 
 ADDRESS = "replace(c_name, '#', CASE WHEN c_mktsegment = 'BUILDING' THEN '#' ELSE '.' END) || '@shop.' || left(c_mktsegment, c_nationkey % 4)"

@@ -555,9 +555,9 @@ m AS (SELECT doc_id, unnest(regexp_extract_all(s, '\x01(-\x01)?[0-9]+\x01[.]\x01
 SELECT doc_id, count(*) AS n, count(*) FILTER (ends_with(e, '%')) AS n_percent FROM m GROUP BY doc_id""")
 def merged_numbers(spark, sf_dir):
     """Sentences' tokens merged by the rules for decimals and percents, and what came of it in each document."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", grammar.merge_tokens(surface_tokens(T.raw_tokens("text")), kinds=["decimal", "percent"]).alias("t"))
-    made = rows.select("doc_id", F.filter("t", lambda t: t["tag"] == "CD").alias("t")).where("size(t) > 0")
-    return made.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.filter("t", lambda t: t["semantic"].startswith("percent"))).cast("long").alias("n_percent"))
+    merged = grammar.merge_tokens(surface_tokens(T.raw_tokens("text")), kinds=["decimal", "percent"])
+    made = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(merged, lambda t: t["tag"] == "CD")).alias("t"))
+    return made.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("t.semantic").startswith("percent")).alias("n_percent"))
 
 
 #: The distinct token lists of the sentences of each turn, without white space and punctuation.
@@ -589,15 +589,6 @@ def template_corpus(spark, sf_dir):
     return templates.match(asked_sentences(spark, sf_dir), templates.compile_rules(rules)).select("query_id.*", "template", "star")
 
 
-@query()
-def anaphora_range(spark, sf_dir):
-    """Pronouns of the documents, resolved over tokens that the rule annotator tags."""
-    from ..operators.annotate import annotate_tokens
-
-    rows = sentences(spark, sf_dir).where("lang = 'en'").select("doc_id", F.col("s").alias("sentence_no"), annotate_tokens(T.drop_spaces(T.raw_tokens("txt"))).alias("tokenList"))
-    return anaphora.resolve(rows)
-
-
 @query()
 def person_resolve(spark, sf_dir):
     from ..operators.annotate import annotate_tokens
