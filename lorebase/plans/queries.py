@@ -191,6 +191,13 @@ def saved_index(spark: SparkSession, sf_dir: str) -> SavedIndex:
 
 
 PLACED = WORDS + ", placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, pos) - 1 AS INT) AS off FROM words)"
+@query(f"WITH {WORDS}, placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, pos) - 1 AS INT) AS off FROM words) SELECT sid, s, off, word FROM placed WHERE word = 'tion' AND source = 'src3'")
+def posting_scan(spark, sf_dir):
+    """The postings of a word in a topic, read out of the stored index."""
+    found = saved_index(spark, sf_dir).read(["tion"], "src3").select(F.col("sentence_id").cast("long").alias("sid"), F.col("offset").alias("off"), "word")
+    return found.select("sid", (F.col("sid") % 100000).cast("long").alias("s"), "off", "word")
+
+
 AND_SQL = f"WITH {PLACED} SELECT sid AS sentence_id, min(off) FILTER (word = 'tion') AS first_offset, max(off) FILTER (word = 'ment') AS last_offset FROM placed WHERE word IN ('tion', 'ment') GROUP BY sid HAVING count(DISTINCT word) = 2"
 
 
@@ -231,6 +238,13 @@ def bool_nested(spark, sf_dir):
     return searched(spark, sf_dir, "exact any(tion, noun) and not any(ther) or any(ment)")
 
 
+@query(f"WITH {WORDS} SELECT sid AS sentence_id, array_to_string(regexp_extract_all(txt, '[A-Za-z]+|[0-9]+'), ' ') AS text FROM sent WHERE sid IN (SELECT sid FROM posts WHERE word = 'elle')")
+def sentence_fetch(spark, sf_dir):
+    """The words of the sentences that hold a word, out of the stored index and the stored sentences."""
+    saved = saved_index(spark, sf_dir)
+    return saved.texts(saved.search([[("elle", "")]])).select(F.col("sentence_id").cast("long").alias("sentence_id"), "text")
+
+
 QUESTIONS = f"WITH {WORDS}, t AS (SELECT conv_id, turn, unnest(generate_series(0, len(a) - 1)) AS s, unnest(a) AS txt FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?]+[.!?]*') AS a FROM conversations WHERE role = 'user')), q AS (SELECT conv_id, turn, s, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(txt, '[A-Za-z]+|[0-9]+'), lambda x: lower(x)), lambda x: x NOT IN ({STOP})))) AS w FROM t), k AS (SELECT * FROM q WHERE len(w) >= 2), e AS (SELECT conv_id, turn, s, len(w) AS n, unnest(w) AS word FROM k), once AS (SELECT DISTINCT word, sid FROM posts), f AS (SELECT word, count(*) AS n FROM once GROUP BY word), rare AS (SELECT conv_id, turn, s, arg_min(e.word, coalesce(f.n, 0)) AS word FROM e LEFT JOIN f ON e.word = f.word GROUP BY ALL), near AS (SELECT conv_id, turn, s, sid FROM rare JOIN once ON rare.word = once.word), hits AS (SELECT e.conv_id, e.turn, e.s, e.n, near.sid FROM near JOIN e ON near.conv_id = e.conv_id AND near.turn = e.turn AND near.s = e.s JOIN once ON once.word = e.word AND once.sid = near.sid)"
 
 
