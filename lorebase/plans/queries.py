@@ -14,7 +14,7 @@ from ..operators import anaphora, boolean, grammar, index, knowledge, templates,
 from ..operators.annotate import surface_tokens, tag_of
 from ..sources.readers import delete, select_page, table, upsert
 from ..sources.store import shared_folder
-from .saved import SavedIndex, SavedTriples, once
+from .saved import SavedIndex, SavedTriples, once, parts_for
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -187,7 +187,7 @@ def saved_index(spark: SparkSession, sf_dir: str) -> SavedIndex:
         rows = calls(spark, sf_dir).select("topic", F.explode("sentences").alias("s")).select(F.col("s.id").alias("id"), "topic", surface_tokens(F.col("s.words")).alias("tokenList"))
         return index.build_call_postings(calls(spark, sf_dir), no_lexicon(spark), drop_off=0.98, tagger=tag_of), rows
 
-    return once(SavedIndex(spark, saved_place(spark, sf_dir, "index")), make)
+    return once(SavedIndex(spark, saved_place(spark, sf_dir, "index"), parts_for(table(spark, sf_dir, "documents").count())), make)
 
 
 PLACED = WORDS + ", placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, pos) - 1 AS INT) AS off FROM words)"
@@ -329,7 +329,7 @@ def saved_place(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 def saved_triples(spark: SparkSession, sf_dir: str) -> SavedTriples:
     """The posting lists of the facts as stored tables, written by the first query of an application."""
-    return once(SavedTriples(spark, saved_place(spark, sf_dir, "triples")), lambda: (triples.encode(facts(spark, sf_dir)),))
+    return once(SavedTriples(spark, saved_place(spark, sf_dir, "triples"), parts_for(table(spark, sf_dir, "part").count())), lambda: (triples.encode(facts(spark, sf_dir)),))
 
 
 def found_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:

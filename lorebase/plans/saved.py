@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..operators import boolean, index, triples
 from ..sources.store import Layout, Table
 from .engine import GLOBAL, teachable
 
+PARTS = 16  #: of each stored table, where no other number is given; it stays the same for the life of a table
 BLOCKS = Layout("predicate long, word long, block long, n int, least long, greatest long, offsets array<int>", ["word", "predicate", "block"], ["word"], ["word", "predicate"], sort=["word", "predicate", "block"])
 SIZES = Layout("predicate long, word long, n long", ["word", "predicate"], ["word"], ["word", "predicate"])
 POSTINGS = Layout(schema.POSTING, index.KEY, ["word"], ["word", "shard", "sentence_id"], sort=["word", "topic", "sentence_id", "offset"])
@@ -26,8 +28,8 @@ class SavedIndex:
     Forgetting a sentence looks up its words first, so that only their partitions are touched.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.postings, self.words, self.sentences = (Table(spark, f"{path}/{name}", layout) for name, layout in (("postings", POSTINGS), ("words", WORDS), ("sentences", SENTENCES)))
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
+        self.postings, self.words, self.sentences = (Table(spark, f"{path}/{name}", replace(layout, parts=parts)) for name, layout in (("postings", POSTINGS), ("words", WORDS), ("sentences", SENTENCES)))
 
     def exists(self) -> bool:
         return self.sentences.version()[0] > 0
@@ -83,8 +85,8 @@ class SavedIndex:
 class SavedTriples:
     """The posting lists of a triple store in blocks, and how long they are, laid out by word under one path."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.blocks, self.sizes = Table(spark, f"{path}/blocks", BLOCKS), Table(spark, f"{path}/sizes", SIZES)
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
+        self.blocks, self.sizes = Table(spark, f"{path}/blocks", replace(BLOCKS, parts=parts)), Table(spark, f"{path}/sizes", replace(SIZES, parts=parts))
 
     def exists(self) -> bool:
         return self.sizes.version()[0] > 0
@@ -101,6 +103,11 @@ class SavedTriples:
         return triples.find(lists, self.blocks.read_for(lists))
 
 
+def parts_for(rows: int) -> int:
+    """Partitions for an index of so many documents or facts: about 20,000 in each, at least PARTS and at most 4,096."""
+    return max(PARTS, min(4096, rows // 20_000))
+
+
 def once(saved: SavedIndex | SavedTriples, make: Callable[[], tuple[DataFrame, ...]]) -> SavedIndex | SavedTriples:
     """What is saved, made if it isn't there."""
     if not saved.exists():
