@@ -15,7 +15,7 @@ def labelled(spark, text):
 
 def test_labels(spark):
     assert labelled(spark, "the cat was at the old house") == [("the", "DET", ""), ("cat", "NN", "nsubj"), ("was", "VBD", ""), ("at", "IN", ""), ("the", "DET", ""), ("old", "NN", ""), ("house", "NN", "pobj")]
-    assert [d for *_, d in labelled(spark, "in town Peter watched stars")] == ["", "pobj", "nsubj", "", "dobj"] or labelled(spark, "in town Peter watched stars")[1][2] == ""
+    assert [d for *_, d in labelled(spark, "in town Peter watched stars")] == ["", "", "pobj", "", "dobj"]
     assert labelled(spark, "") == []
 
 
@@ -23,9 +23,6 @@ def token(k, text, tag, dep=""):
     return (k, [], tag, text, dep, -1, "")
 
 
-NOUNS = {"plain": [("a", "NN", "")], "subject": [("a", "NN", "nsubj")]}
-
-
 @pytest.mark.parametrize(
     ("first", "second", "wins"),
     [
