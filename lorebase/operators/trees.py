@@ -1,9 +1,14 @@
-"""Dependency trees: parent links, and text and DOT renderings of a sentence."""
+"""Dependency trees: parent links, binary trees with numbered subtrees, text and DOT renderings of a sentence, merging of compounds."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
+
+from ..functions.text import render_tokens
 
 
 def parents(sentences: DataFrame) -> DataFrame:
@@ -33,41 +38,146 @@ def dot(tokens: Column) -> Column:
     return F.concat(F.lit("digraph sentence { "), F.array_join(F.concat(node, edges), " "), F.lit(" }"))
 
 
+def _numbers(indexes: list[int], over: list[int | None]) -> list[list[int] | None]:
+    """at, first, last, depth of each token in the tree; None for tokens that don't hang on its root. `over` is -1 for tokens without ancestors, None for those without another."""
+    place = {x: k for k, x in enumerate(indexes)}
+    left, right, tail = {}, {}, {}
+    roots = [k for k, x in enumerate(over) if x == -1]
+    linked = {}  # whether a token's parents lead to a token without ancestors
+    for k in range(len(indexes)):
+        path, now = [], k
+        while now is not None and now not in linked:
+            linked[now] = over[now] == -1
+            path.append(now)
+            now = place.get(over[now]) if over[now] is not None and over[now] != -1 else None
+        for x in path:
+            linked[x] = linked[path[-1]] if now is None else linked[now]
+    for k, x in enumerate(indexes):
+        if place[x] != k or not linked[k] or over[k] == -1:
+            continue
+        parent = place[over[k]]
+        # If all turns of the last way down from here were right turns and it ended before x, this way begins with it.
+        now, straight = parent, True
+        if parent in tail and indexes[tail[parent]] < x:
+            now = tail[parent]
+        while now != k:
+            side = left if x < indexes[now] else right
+            straight &= side is right
+            now = side.setdefault(now, k)
+        if straight:
+            tail[parent] = k
+    out: list[list[int] | None] = [None] * len(indexes)
+    stack, n, depths = ([(roots[-1], 0, False)] if roots else []), 0, {}
+    while stack:
+        k, depth, seen = stack.pop()
+        if not seen:
+            depths[k] = depth
+            stack += [(right[k], depth + 1, False)] if k in right else []
+            stack.append((k, depth, True))
+            stack += [(left[k], depth + 1, False)] if k in left else []
+        else:
+            out[k] = [n, n, n, depth]
+            n += 1
+    for k in sorted(depths, key=depths.get, reverse=True):
+        if k in left:
+            out[k][1] = out[left[k]][1]
+        if k in right:
+            out[k][2] = out[right[k]][2]
+    return out
+
+
+@pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _numbered(indexes: pd.Series, lists: pd.Series) -> pd.Series:
+    near = lambda k, over: next((a for a in over if a != k), None) if over is not None and len(over) else -1
+    return pd.Series([None if a is None else _numbers(list(a), [near(k, over) for k, over in zip(a, b, strict=True)]) for a, b in zip(indexes, lists, strict=True)], dtype=object)
+
+
+def tree(tokens: Column) -> Column:
+    """The binary tree of a sentence, by place in it: at, first, last, depth, token of each node.
+
+    A token hangs on its nearest other ancestor: left of it if its index is smaller, right of it if it is greater, and where that side is taken, on the token there by
+    the same rule. The root is the last token without ancestors. Nodes are numbered from 0, left sides before their node and right sides behind it, so that a
+    subtree is the range from first to last, and its left side what is before at. Tokens whose parents lead to no root, or to another one, are left out; of tokens
+    with one index the last counts. Without a root, the tree is empty; null tokens give null.
+    """
+    # The arguments have no lambdas: with them, some plans did not take the call out to Python.
+    numbers = _numbered(tokens["index"], tokens["list"])
+    nodes = F.transform(F.arrays_zip(tokens.alias("token"), numbers.alias("n")), lambda x: F.struct(x["n"][0].alias("at"), x["n"][1].alias("first"), x["n"][2].alias("last"), x["n"][3].alias("depth"), x["token"].alias("token")))
+    return F.array_sort(F.filter(nodes, lambda x: x["at"].isNotNull()), lambda a, b: a["at"] - b["at"])
+
+
+def subtree(nodes: Column, index: Column) -> Column:
+    """The tokens of the subtree under the token with an index, in the order of the tree."""
+    top = F.try_element_at(F.filter(nodes, lambda x: x["token"]["index"] == index), F.lit(1))
+    return F.when(top.isNotNull(), F.transform(F.slice(nodes, top["first"] + 1, top["last"] - top["first"] + 1), lambda x: x["token"])).otherwise(F.transform(F.slice(nodes, 1, 0), lambda x: x["token"]))
+
+
+def _word(t: Column) -> Column:
+    return render_tokens(F.array(t))
+
+
+def tree_flat(nodes: Column) -> Column:
+    """[text{role}:dep] of each node; a role is a semantic, or the label of a subject or object."""
+    return F.array_join(F.transform(nodes, lambda x: F.concat(F.lit("["), _word(x["token"]), F.lit(":"), F.coalesce(x["token"]["dep"], F.lit("")), F.lit("]"))), " ")
+
+
+def tree_by_verbs(nodes: Column) -> Column:
+    """_verb{TAG}_ (left side | right side) of each verb, verbs in the sides likewise; other nodes as text{role}. A verb without a left side has no bar."""
+    verb = lambda x: F.coalesce(x["token"]["tag"].startswith("VB"), F.lit(False))
+    piece = lambda at, kind, depth, text: F.struct(at.alias("at"), F.lit(kind).alias("kind"), depth.alias("depth"), text.alias("text"))
+    # Control characters stand for brackets and bars until the spaces around them are gone.
+    opened = lambda x: piece(x["first"], 0, x["depth"], F.concat(F.lit("_"), x["token"]["text"], F.lit("{"), x["token"]["tag"], F.lit("}_ \x01")))
+    bar = lambda x: piece(x["at"], 1, F.lit(0), F.when(x["first"] < x["at"], "\x02").otherwise(""))
+    closed = lambda x: piece(x["last"], 2, -x["depth"], F.lit("\x03"))
+    pieces = F.flatten(F.transform(nodes, lambda x: F.when(verb(x), F.array(opened(x), bar(x), closed(x))).otherwise(F.array(piece(x["at"], 1, F.lit(0), F.concat(_word(x["token"]), F.lit(" ")))))))
+    text = F.array_join(F.transform(F.sort_array(pieces), lambda x: x["text"]), "")
+    for mark, said in ((r"\s*\x03", ")"), (r"\s*\x02\s*", " | "), (r"\x01\s*", "(")):
+        text = F.regexp_replace(text, mark, said)
+    return F.trim(text)
+
+
 def merge_longest(sentences: DataFrame, compounds: DataFrame, most: int = 5) -> DataFrame:
     """Merge compounds: id, tokenList with each longest run of two to `most` tokens whose text is a compound as one token, headed by its first noun. Ancestors that
     went into a compound are replaced by its head; a token is no ancestor of its own.
 
-    Candidates are joined with the compounds; of those that overlap, the one that begins first stays, and of those with one beginning the longest.
+    Of compounds that overlap, the one that begins first stays, and of those with one beginning the longest. Only words with which a compound begins are looked at,
+    with the few words behind them; the sentence itself meets its compounds once, and is put together from its runs between them. Rows may share an id or have none.
     """
-    rows = sentences.select("id", F.posexplode("tokenList").alias("pos", "token"), F.col("tokenList.text").alias("texts"))
-    sizes = rows.select("id", "pos", F.explode(F.sequence(F.lit(2), F.lit(most))).alias("n"), "texts").where("pos + n <= size(texts)")
-    keyed = sizes.select("id", "pos", "n", F.lower(F.array_join(F.slice("texts", F.col("pos") + 1, F.col("n")), " ")).alias("compound"))
-    hits = keyed.join(compounds, "compound").groupBy("id", "pos").agg(F.max("n").alias("n"))
-    spans = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("spans"))
+    known = compounds.select(F.lower("compound").alias("compound")).where("compound like '% %'").distinct()
+    starts = known.select(F.substring_index("compound", " ", 1).alias("first"), (F.length("compound") - F.length(F.replace("compound", F.lit(" "), F.lit(""))) + 1).alias("words"))
+    starts = starts.groupBy("first").agg(F.least(F.max("words"), F.lit(most)).alias("longest"))
+    keyed = sentences.withColumn("_of", F.struct(F.xxhash64(F.col("id").cast("string"), "tokenList.text").alias("a"), F.hash("tokenList.text", F.col("id").cast("string")).alias("b")))
+    ahead = F.transform(F.col("tokenList.text"), lambda t, k: F.transform(F.slice(F.col("tokenList.text"), k + 1, most), F.lower))
+    tokens = keyed.select("_of", F.posexplode(ahead).alias("pos", "words")).withColumn("first", F.substring_index(F.col("words")[0], " ", 1)).where("size(words) > 1")
+    tried = tokens.join(starts, "first").where("longest > 1").select("_of", "pos", "words", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least("longest", F.size("words"))))).alias("n"))
+    hits = tried.select("_of", "pos", "n", F.array_join(F.slice("words", F.lit(1), F.col("n")), " ").alias("compound")).join(known, "compound", "left_semi").groupBy("_of", "pos").agg(F.max("n").alias("n"))
+    spans = hits.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("spans"))
     # From left to right, drop spans that begin inside the one before.
     start = F.struct(F.array().cast("array<struct<pos:int,n:int>>").alias("out"), F.lit(0).alias("end"))
     step = lambda s, x: F.when(x["pos"] < s["end"], s).otherwise(F.struct(F.array_append(s["out"], x).alias("out"), (x["pos"] + x["n"]).alias("end")))
-    chosen = spans.select("id", F.aggregate("spans", start, step, lambda s: s["out"]).alias("spans"))
-    joined = sentences.join(chosen, "id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<pos:int,n:int>>")))
+    chosen = spans.select("_of", F.aggregate("spans", start, step, lambda s: s["out"]).alias("_spans"))
+    joined = keyed.join(chosen, "_of", "left")
+    all_tokens, spans_ = F.col("tokenList"), F.col("_spans")
 
     def part_of(span: Column) -> Column:
-        return F.slice(F.col("tokenList"), span["pos"] + 1, span["n"])
+        return F.slice(all_tokens, span["pos"] + 1, span["n"])
 
-    def head_of(span: Column) -> Column:
+    def made(span: Column) -> Column:
         part = part_of(span)
-        return F.coalesce(F.try_element_at(F.filter(part, lambda x: x["tag"].startswith("NN")), F.lit(1)), F.try_element_at(part, F.lit(1)))
+        head = F.coalesce(F.get(F.filter(part, lambda x: x["tag"].startswith("NN")), F.lit(0)), F.get(part, F.lit(0)))
+        return F.struct(head.withField("text", F.array_join(F.transform(part, lambda x: x["text"]), " ")).alias("token"), F.transform(part, lambda x: x["index"]).alias("members"), span["pos"].alias("pos"), (span["pos"] + span["n"]).alias("end"))
+
+    def upto(first: Column, end: Column) -> Column:
+        return F.slice(all_tokens, first + 1, end - first)
 
-    def merged(t: Column, k: Column) -> Column:
-        own = F.filter(F.col("spans"), lambda s: (s["pos"] <= k) & (k < s["pos"] + s["n"]))
-        span = F.try_element_at(own, F.lit(1))
-        one = head_of(span).withField("text", F.array_join(F.transform(part_of(span), lambda x: x["text"]), " "))
-        return F.when(F.size(own) == 0, F.array(t)).when(span["pos"] == k, F.array(one)).otherwise(F.slice(F.array(t), 1, 0))
+    def behind(x: Column, k: Column) -> Column:
+        return F.concat(F.array(x["token"]), upto(x["end"], F.coalesce(F.get(F.col("_made"), k + 1)["pos"], F.size(all_tokens))))
 
     def mapped(t: Column) -> Column:
-        over = F.transform(t["list"], lambda a: F.coalesce(F.element_at("heads", a), a))
+        head = lambda a: F.get(F.filter(F.col("_made"), lambda x: F.array_contains(x["members"], a)), F.lit(0))["token"]["index"]
+        over = F.transform(t["list"], lambda a: F.coalesce(head(a), a))
         return t.withField("list", F.filter(F.array_distinct(over), lambda a: a != t["index"]))
 
-    pairs = F.flatten(F.transform("spans", lambda s: F.transform(part_of(s), lambda x: F.struct(x["index"].alias("key"), head_of(s)["index"].alias("value")))))
-    heads = F.map_from_entries(F.array_distinct(pairs))
-    out = joined.withColumn("heads", heads).withColumn("tokenList", F.flatten(F.transform("tokenList", merged)))
-    return out.withColumn("tokenList", F.when(F.size("spans") > 0, F.transform("tokenList", mapped)).otherwise(F.col("tokenList"))).drop("spans", "heads")
+    put = F.concat(upto(F.lit(0), spans_[0]["pos"]), F.flatten(F.transform("_made", behind)))
+    out = joined.withColumn("_made", F.transform(spans_, made)).withColumn("_put", put)
+    return out.withColumn("tokenList", F.when(spans_.isNotNull(), F.transform("_put", mapped)).otherwise(all_tokens)).select(*sentences.columns)

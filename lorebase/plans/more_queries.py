@@ -303,6 +303,62 @@ def bool_tagged(spark, sf_dir):
     return found.select(F.col("sentence_id").cast("long").alias("sentence_id"), F.size("matches").alias("n_matches"))
 
 
+ROOTED = """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INT) AS place, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS n, first_value(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY price DESC, l_linenumber) AS top FROM l),
+t AS (SELECT *, max(CASE WHEN l_linenumber = top THEN place END) OVER (PARTITION BY l_orderkey) AS root FROM r)"""
+
+
+@query(f"{ROOTED} SELECT l_orderkey AS id, l_linenumber AS line, place AS at, CASE WHEN place <= root THEN 0 ELSE place END AS first, CASE WHEN place >= root THEN n - 1 ELSE place END AS last, abs(place - root) AS depth FROM t")
+def tree_ranges(spark, sf_dir):
+    """Lines of an order as a tree under its dearest line, the others on the line next to them on that side; each subtree is a range."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("price"))
+    orders = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list("l_linenumber")).alias("held"), F.min_by("l_linenumber", F.struct(-F.col("price"), "l_linenumber")).alias("top"))
+    toward = lambda x, k: F.when(x == F.col("top"), F.array().cast("array<int>")).when(x < F.col("top"), F.slice("held", k + 2, F.size("held"))).otherwise(F.reverse(F.slice("held", F.lit(1), k)))
+    token = lambda x, k: F.struct(x.alias("index"), toward(x, k).alias("list"), F.lit("NN").alias("tag"), F.lit("").alias("text"), F.lit("").alias("dep"), F.lit("").alias("semantic"))
+    made = orders.select("id", F.explode(trees.tree(F.transform("held", token))).alias("node"))
+    return made.select("id", F.col("node.token.index").alias("line"), "node.at", "node.first", "node.last", "node.depth")
+
+
+VERBS = f"""WITH {SENT}, w AS (SELECT sid, unnest(generate_series(0, len(x) - 1)) AS k, unnest(x) AS w FROM (SELECT sid, regexp_extract_all(txt, '[A-Za-z]+|[0-9]+') AS x FROM sent)),
+t AS (SELECT sid, k, w, {tag_sql('w')} AS tag FROM w), v AS (SELECT *, starts_with(tag, 'VB') AS is_verb, min(CASE WHEN starts_with(tag, 'VB') THEN k END) OVER (PARTITION BY sid) AS top FROM t),
+said AS (SELECT *, CASE WHEN is_verb THEN '_' || w || '{{' || tag || '}}_ (' WHEN k = 0 THEN w || '{{nsubj}} ' ELSE w || ' ' END AS said FROM v WHERE top IS NOT NULL)"""
+
+
+@query(VERBS + " SELECT sid, max(CASE WHEN k = top THEN said END) || coalesce(rtrim(string_agg(CASE WHEN k < top THEN said END, '' ORDER BY k)) || ' | ', '') || CASE WHEN max(k) > max(top) THEN rtrim(string_agg(CASE WHEN k > top THEN said END, '' ORDER BY k)) ELSE '' END || repeat(')', CAST(count(*) FILTER (WHERE is_verb) AS INT)) AS rendered FROM said GROUP BY sid")
+def tree_rendered(spark, sf_dir):
+    """Sentences as trees: a verb hangs on the verb before it, other words on the last verb before them or, at the beginning, on the first one; verbs with their sides."""
+    verb = lambda t: t["tag"].startswith("VB")
+    tagged = sentences(spark, sf_dir).select("sid", annotate_tokens(T.words("txt")).alias("t"))
+    rows = tagged.withColumn("verbs", F.transform(F.filter("t", verb), lambda t: t["index"])).where("size(verbs) > 0")
+    # The last verb before each place, by one fold.
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("now"))
+    step = lambda s, t: F.struct(F.array_append(s["out"], s["now"]).alias("out"), F.when(verb(t), t["index"]).otherwise(s["now"]).alias("now"))
+    rows = rows.withColumn("last", F.aggregate("t", start, step, lambda s: s["out"]))
+    over = lambda t, k: F.when(t["index"] == F.col("verbs")[0], F.array().cast("array<int>")).when(F.col("last")[k] < 0, F.array(F.col("verbs")[0])).otherwise(F.array(F.col("last")[k]))
+    return rows.select("sid", trees.tree_by_verbs(trees.tree(F.transform("t", lambda t, k: t.withField("list", over(t, k))))).alias("rendered"))
+
+
+STARTERS = ["the", "of", "der", "und", "la", "de"]
+FIRSTS = ", ".join(f"'{w}'" for w in STARTERS)
+PHRASES = f"""WITH {SENT}, x AS (SELECT sid, list_transform(regexp_extract_all(txt, '[A-Za-z]+|[0-9]+'), lambda w: w) AS w FROM sent), k AS (SELECT sid, w, unnest(generate_series(1, len(w))) AS k FROM x),
+l AS (SELECT sid, k, w[k] AS one, lower(w[k]) AS a, lower(w[k + 1]) AS b, lower(w[k + 2]) AS c, w FROM k),
+n AS (SELECT *, CASE WHEN a NOT IN ({FIRSTS}) OR b IS NULL OR b IN ({FIRSTS}) THEN 1 WHEN length(c) > 4 AND c NOT IN ({FIRSTS}) THEN 3 ELSE 2 END AS n FROM l)"""
+
+
+@query(PHRASES + ", m AS (SELECT *, k - coalesce(lag(CASE WHEN n > 1 THEN k + n END IGNORE NULLS) OVER (PARTITION BY sid ORDER BY k), 0) AS since FROM n) SELECT sid, string_agg(array_to_string(w[k:k + n - 1], ' '), '|' ORDER BY k) AS tokens, string_agg(CASE WHEN k = 1 THEN '' ELSE CAST(before AS VARCHAR) END, '|' ORDER BY k) AS over FROM (SELECT *, lag(k - 1) OVER (PARTITION BY sid ORDER BY k) AS before FROM m WHERE since >= 0) GROUP BY sid")
+def compound_sentences(spark, sf_dir):
+    """Articles and the like with one or two words behind them as compounds of whole sentences; each token has the one before it as ancestor, so what hung on a part hangs on the whole."""
+    rows = sentences(spark, sf_dir).select("sid", T.words("txt").alias("w")).where("size(w) > 0")
+    low = rows.select(F.transform("w", F.lower).alias("w")).select("w", F.posexplode("w").alias("k", "a"))
+    b, c = F.get("w", F.col("k") + 1), F.get("w", F.col("k") + 2)
+    begun = low.where(F.col("a").isin(STARTERS) & b.isNotNull() & ~b.isin(STARTERS))
+    pairs = F.array(F.concat_ws(" ", "a", b), F.when((F.length(c) > 4) & ~c.isin(STARTERS), F.concat_ws(" ", "a", b, c)))
+    known = begun.select(F.explode(pairs).alias("compound")).where("compound is not null").distinct()
+    token = lambda t, k: t.withField("list", F.when(k > 0, F.array(k - 1)).otherwise(F.array().cast("array<int>")))
+    merged = trees.merge_longest(rows.select(F.col("sid").alias("id"), F.transform(surface_tokens(F.col("w")), token).alias("tokenList")), known)
+    return merged.select(F.col("id").alias("sid"), F.array_join("tokenList.text", "|").alias("tokens"), F.array_join(F.transform("tokenList", lambda t: F.array_join(t["list"].cast("array<string>"), ",")), "|").alias("over"))
+
+
 @query(f"WITH {WORDS} SELECT source AS topic, count(DISTINCT (word, s)) AS n, count(DISTINCT word) AS n_words FROM words WHERE source <> 'src3' GROUP BY source")
 def topic_removed(spark, sf_dir):
     """Words of topics by sentence, and what is left when one topic goes."""
