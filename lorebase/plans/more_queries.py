@@ -14,7 +14,7 @@ from ..operators import anaphora, grammar, index, knowledge, topics, trees
 from ..operators.annotate import annotate_tokens, label, surface_tokens
 from ..sources import readers
 from .queries import SENT, STOP, TOKENS, WORDS, annotated, no_lexicon, query, saved_index, saved_place, sentences, table, topic_rows
-from .saved import SavedIndex
+from .saved import SavedIndex, SavedTopics
 
 FIELDS = "id string, name string, origin string, field_list array<struct<name:string,semantic:string,aiml:string>>"
 
@@ -303,6 +303,28 @@ def bool_tagged(spark, sf_dir):
     return found.select(F.col("sentence_id").cast("long").alias("sentence_id"), F.size("matches").alias("n_matches"))
 
 
+@query(f"WITH {WORDS} SELECT word, source AS topic, round(CAST(CAST(0.98 ** max(s) AS FLOAT) AS DOUBLE), 6) AS score FROM words WHERE source <> 'src3' OR s <= 2 GROUP BY word, source")
+def topic_increments(spark, sf_dir):
+    """A stored topic index: all words are added, one topic is forgotten, and what its texts say in their first sentences is added again."""
+    saved = SavedTopics(spark, saved_place(spark, sf_dir, "topics"))
+    rows = topic_rows(spark, sf_dir)
+    # Each step gives a version; what an earlier query has done already isn't done again.
+    if saved.scores.version()[0] < 1:
+        saved.add(rows)
+    if saved.places.version()[0] < 2:
+        saved.forget(rows.where("topic = 'src3'"))
+    if saved.scores.version()[0] < 3:
+        saved.add(rows.where("topic = 'src3' and sentence_no <= 2"))
+    return saved.index().select("word", "topic", "score")
+
+
+@query("WITH t AS (SELECT source AS topic, max(text) AS body FROM documents WHERE text IS NOT NULL GROUP BY source) SELECT topic, body FROM t WHERE topic > 'src1' ORDER BY topic LIMIT 3")
+def topic_list(spark, sf_dir):
+    """A page of topics with their texts, after a name."""
+    told = table(spark, sf_dir, "documents").where("text is not null").groupBy(F.col("source").alias("topic")).agg(F.max("text").alias("body"))
+    return topics.list_topics(told, "src1", 3)
+
+
 ROOTED = """WITH l AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INT) AS place, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS n, first_value(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY price DESC, l_linenumber) AS top FROM l),
 t AS (SELECT *, max(CASE WHEN l_linenumber = top THEN place END) OVER (PARTITION BY l_orderkey) AS root FROM r)"""

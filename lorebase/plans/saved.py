@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions.lexicon import Lexicon
-from ..operators import boolean, index, triples
+from ..operators import boolean, index, topics, triples
 from ..sources.store import Layout, Table
 from .engine import GLOBAL, teachable
 
@@ -20,6 +20,9 @@ SIZES = Layout("predicate long, word long, n long", ["word", "predicate"], ["wor
 POSTINGS = Layout(schema.POSTING, index.KEY, ["word"], ["word", "shard", "sentence_id"], sort=["word", "topic", "sentence_id", "offset"])
 WORDS = Layout("sentence_id string, word string, shard int", ["sentence_id", "word", "shard"], ["sentence_id"], ["sentence_id"])
 SENTENCES = Layout(schema.SENTENCE, ["id"], ["id"], ["id"])
+TOPIC_WORDS = Layout("word string, tag string, topic string, sentence_id string, sentence_no long", ["word", "tag", "topic", "sentence_id", "sentence_no"], ["word"], ["word", "topic"], sort=["word", "topic"])
+TOPIC_SCORES = Layout("word string, tag string, topic string, last long", ["word", "tag", "topic"], ["word"], ["word", "topic"], sort=["word", "topic"])
+TOPIC_PLACES = Layout("topic string, word string", ["topic", "word"], ["topic"], ["topic"])
 
 
 class SavedIndex:
@@ -82,6 +85,49 @@ class SavedIndex:
         return index.fetch(found, self.sentences.read_for(found.select(F.col("sentence_id").alias("id"))))
 
 
+class SavedTopics:
+    """The words of topics by sentence, the last sentence of each word in a topic, both laid out by word, and the words of each topic, laid out by topic, under one path.
+
+    Every change can be made again with the same outcome, so a batch of a stream that is run twice counts once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
+        self.words, self.scores, self.places = (Table(spark, f"{path}/{name}", replace(layout, parts=parts)) for name, layout in (("words", TOPIC_WORDS), ("scores", TOPIC_SCORES), ("places", TOPIC_PLACES)))
+
+    def add(self, rows: DataFrame) -> None:
+        """Words of topics (word, tag, topic, sentence_id, sentence_no). What is known of a word is read out of its partitions; a repeated row changes nothing."""
+        key = ["word", "tag", "topic"]
+        rows = rows.select(*key, F.col("sentence_id").cast("string").alias("sentence_id"), F.col("sentence_no").cast("long").alias("sentence_no"))
+        newest = rows.groupBy(*key).agg(F.max("sentence_no").alias("last"))
+        known = self.scores.read_for(newest)
+        self.places.upsert(rows.select("topic", "word").distinct())
+        self.words.upsert(rows)
+        self.scores.upsert(newest.unionByName(known), order="last")
+
+    def forget(self, names: DataFrame) -> None:
+        """Topics go, all their words with them; only partitions of these words are touched. The words of a topic go last, so that a broken run can be made again."""
+        gone = names.select("topic").distinct()
+        words = self.places.read_for(gone)
+        self.scores.delete(words)
+        self.words.delete(words)
+        self.places.delete(gone)
+
+    def index(self, mode: str = "last", words: Iterable[str] | None = None) -> DataFrame:
+        """word, tag, topic, score as build_topic_index gives them for all that was added; with `words`, out of their partitions only."""
+        keys = None if words is None else {"word": sorted(set(words))}
+        if mode == "last":
+            return self.scores.read(keys).select("word", "tag", "topic", topics.stored(F.pow(F.lit(topics.DROP_OFF), F.col("last"))).alias("score"))
+        return topics.build_topic_index(self.words.read(keys), mode)
+
+    def rank(self, texts: DataFrame, mode: str = "last") -> DataFrame:
+        """texts (query_id, word, tag) -> query_id, topic, score, out of the partitions of their words."""
+        if mode == "last":
+            held = self.scores.read_for(texts).select("word", "tag", "topic", topics.stored(F.pow(F.lit(topics.DROP_OFF), F.col("last"))).alias("score"))
+        else:
+            held = topics.build_topic_index(self.words.read_for(texts), mode)
+        return topics.rank_topics(texts, held)
+
+
 class SavedTriples:
     """The posting lists of a triple store in blocks, and how long they are, laid out by word under one path."""
 

@@ -9,6 +9,7 @@ second fails.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -72,6 +73,11 @@ class Table:
         rows = self.spark.createDataFrame([([{"folder": f, "parts": p} for f, p in base], logs)], COMMIT)
         rows.coalesce(1).write.mode("errorifexists").json(f"{self.path}/commits/version={number}")
 
+    @staticmethod
+    def _name(kind: str, number: int) -> str:
+        """A folder of its own for each attempt, so that what a broken one left behind is in nobody's way."""
+        return f"{kind}-{number + 1}-{uuid.uuid4().hex[:12]}"
+
     def _write(self, rows: DataFrame, folder: str) -> list[int]:
         """Write rows by partition, a large partition by several tasks; the partitions that were written."""
         laid = rows.withColumn("part", self.layout.part()).hint("rebalance", "part")
@@ -90,8 +96,8 @@ class Table:
     def create(self, rows: DataFrame) -> None:
         """The first version, of rows that have each key once."""
         number, _, _ = self.version()
-        parts = self._write(rows.select(self.columns), f"base-{number + 1}")
-        self._commit(number + 1, [(f"base-{number + 1}", parts)], [])
+        folder = self._name("base", number)
+        self._commit(number + 1, [(folder, self._write(rows.select(self.columns), folder))], [])
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> None:
         """Put rows in place of those with the same key. Of rows that share a key the one with the greatest `order` counts, else the greatest one."""
@@ -110,8 +116,9 @@ class Table:
         if len(logs) >= LOGS:
             self.compact()
             number, base, logs = self.version()
-        self._write(rows.select(*self.columns, F.lit(op).alias("op")), f"log-{number + 1}")
-        self._commit(number + 1, base, [*logs, f"log-{number + 1}"])
+        folder = self._name("log", number)
+        self._write(rows.select(*self.columns, F.lit(op).alias("op")), folder)
+        self._commit(number + 1, base, [*logs, folder])
 
     def read(self, keys: dict[str, list] | None = None) -> DataFrame:
         """The newest rows; with `keys`, values of the column by which the table is laid out, only those, out of the partitions and row groups that can hold them."""
@@ -151,7 +158,7 @@ class Table:
             return
         touched = sorted({r[0] for name in logs for r in self._folder(name, "op string").select("part").distinct().collect()})
         rows = self._merged(base, logs, lambda rows: rows.where(F.col("part").isin(touched))).drop("part")
-        folder = f"base-{number + 1}"
+        folder = self._name("base", number)
         parts = self._write(rows, folder)
         rest = [(name, [p for p in own if p not in touched]) for name, own in base]
         self._commit(number + 1, [(name, own) for name, own in rest if own] + [(folder, parts)], [])
