@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+WHOLE = 10_000  #: calls and dependencies of a conversation that is ordered in one pass
+KEPT = 16  #: rounds after which what is done is written once
 
 
 def faults(value: object, schema: dict, at: str = "$") -> list[str]:
@@ -57,18 +59,42 @@ def parsed(text: str) -> object:
     return value
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """calls (conv_id, call_id, depends_on) -> conv_id, call_id, level: 0 without dependencies, else one more than the highest of them.
-
-    Each round releases the calls whose dependencies all have levels; as many rounds as the longest chain has calls. Calls on a cycle, or behind one, are
-    never released and get no row. Dependencies on unknown calls don't hold a call back.
-    """
+def _levels_of(held: list[dict]) -> list[tuple[str, int]]:
+    """call_id, level of the calls of one conversation."""
+    needs: dict[str, set[str]] = {}
+    for r in held:
+        needs.setdefault(r["call_id"], set()).update(x for x in r["depends_on"] if x is not None)
+    behind: dict[str, list[str]] = {}
+    for call, own in needs.items():
+        own.intersection_update(needs)
+        for x in own:
+            behind.setdefault(x, []).append(call)
+    level = {call: 0 for call, own in needs.items() if not own}
+    ready = list(level)
+    for call in ready:  # grows as calls are released
+        for x in behind.get(call, []):
+            needs[x].discard(call)
+            if not needs[x]:
+                level[x] = level[call] + 1
+                ready.append(x)
+    return list(level.items())
+
+
+def _levels_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for conv, held in zip(batch.column("conv_id").to_pylist(), batch.column("held").to_pylist(), strict=True):
+            made = _levels_of(held)
+            yield pa.RecordBatch.from_arrays([pa.array([conv] * len(made), pa.int64()), pa.array([c for c, _ in made], pa.string()), pa.array([n for _, n in made], pa.int32())], ["conv_id", "call_id", "level"])
+
+
+def _levels_by_rounds(calls: DataFrame) -> DataFrame:
+    """Each round releases the calls whose dependencies all have levels; as many rounds as the longest chain has calls."""
     key = ["conv_id", "call_id"]
     edges = calls.select(*key, F.explode("depends_on").alias("needs")).distinct()
     known = calls.select("conv_id", F.col("call_id").alias("needs")).distinct()
     edges = cut(edges.join(known, ["conv_id", "needs"]))
     done = cut(calls.select(*key).distinct().join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)))
-    fresh = done
+    fresh, rounds = done, 0
     waiting = edges.groupBy(*key).agg(F.count("*").alias("left"), F.lit(0).alias("level"))
     while True:
         told = edges.join(fresh.select("conv_id", F.col("call_id").alias("needs"), F.col("level").alias("below")), ["conv_id", "needs"])
@@ -79,8 +105,24 @@ def levels(calls: DataFrame) -> DataFrame:
         fresh = waiting.where("left = 0").select(*key, "level")
         if fresh.isEmpty():
             return done
-        waiting = waiting.where("left > 0")
+        waiting, rounds = waiting.where("left > 0"), rounds + 1
         done = done.union(fresh)
+        if rounds % KEPT == 0:
+            done = cut(done)
+
+
+def levels(calls: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """calls (conv_id, call_id, depends_on) -> conv_id, call_id, level: 0 without dependencies, else one more than the highest of them.
+
+    Calls on a cycle, or behind one, get no row, nor do calls without a conversation. Dependencies on unknown calls don't hold a call back. Conversations of at most
+    `whole` calls and dependencies are ordered in one pass, each in a row of its own; larger ones, which no task should hold, in rounds over all of them, with the same outcome.
+    """
+    rows = cut(calls.where("conv_id is not null").select(F.col("conv_id").cast("long"), "call_id", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")))
+    large = rows.groupBy("conv_id").agg(F.sum(F.size("depends_on") + 1).alias("n")).where(F.col("n") > whole).select("conv_id")
+    some = not large.isEmpty()
+    small = rows.join(large, "conv_id", "left_anti") if some else rows
+    made = small.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "depends_on")).alias("held")).mapInArrow(_levels_within, "conv_id long, call_id string, level int")
+    return made.unionByName(_levels_by_rounds(rows.join(large, "conv_id", "left_semi"))) if some else made
 
 
 def _numbered(rows: DataFrame, more: list[str]) -> DataFrame:

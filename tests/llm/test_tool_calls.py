@@ -1,6 +1,7 @@
 """Tool-call linking against a plain reading of its rules."""
 
 import json
+import random
 
 import pytest
 
@@ -92,3 +93,35 @@ def test_deep_chains_and_hot_dependencies(spark):
     rows += [(3, k, f"c{k}", [f"c{(k + 1) % 3}"]) for k in range(3)] + [(3, 3, "c3", ["c0"]), (None, 0, "x", ["x"]), (4, 0, "self", ["self"])]
     got = tool_calls.levels(spark.createDataFrame(rows, "conv_id long, turn long, call_id string, depends_on array<string>")).collect()
     assert {(r.conv_id, r.call_id): r.level for r in got if r.conv_id} == {**{(1, f"c{k}"): k for k in range(8)}, **{(2, f"c{k}"): min(k, 1) for k in range(200)}}
+
+
+@pytest.mark.parametrize("whole", [0, 40, 10_000])
+def test_levels_are_the_same_by_rounds_and_in_one_pass(spark, whole):
+    """Random dependencies against a plain reading: known ones only, cycles and what is behind them left out. Conversations fall on both sides of the size in one run."""
+    draw = random.Random(3)
+    rows = []
+    for conv in range(12):
+        n = draw.randrange(1, 25)
+        for k in range(n):
+            back = k if conv % 3 else n  # every third conversation may have cycles
+            rows.append((conv, f"c{k}", None if draw.random() < 0.2 else [draw.choice([f"c{draw.randrange(max(back, 1))}", "unknown", None]) for _ in range(draw.randrange(3))]))
+    rows += [(0, "c0", ["c1"]), (None, "c0", ["c0"])]
+    want = {}
+    for conv in range(12):
+        needs = {}
+        for c, call, over in rows:
+            if c == conv:
+                needs.setdefault(call, set()).update(over or [])
+        needs = {c: {x for x in own if x in needs} for c, own in needs.items()}
+        level = {}
+        for _ in needs:
+            level.update({c: max((level[x] + 1 for x in own), default=0) for c, own in needs.items() if c not in level and own <= level.keys()})
+        want.update({(conv, c): n for c, n in level.items()})
+    got = tool_calls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>"), whole).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == want and len(got) == len(want)
+
+
+def test_a_chain_of_thousands(spark):
+    rows = [(1, f"c{k}", [f"c{k - 1}"] if k else []) for k in range(4000)]
+    got = tool_calls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")).collect()
+    assert sorted((r.level, r.call_id) for r in got) == sorted((k, f"c{k}") for k in range(4000))
