@@ -16,26 +16,37 @@ def _key(*columns: str) -> Column:
     return F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
 
 
+def _free(docs: DataFrame, name: str = "_row") -> str:
+    """A column name that docs hasn't, in either case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the rules keep. Each row is judged by its own text, whatever its doc_id, which may be null."""
-    keyed = docs.withColumn("_row", _key("doc_id", "text", "lang", "source"))
-    kept = quality_rules.judged(keyed.select(F.col("_row").alias("doc_id"), "lang", "source", "text")).where("kept")
-    return keyed.join(kept.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_semi").select(docs.columns)
+    row = _free(docs)
+    keyed = docs.withColumn(row, _key("doc_id", "text", "lang", "source"))
+    kept = quality_rules.judged(keyed.select(F.col(row).alias("doc_id"), "lang", "source", "text")).where("kept")
+    return keyed.join(kept.select(F.col("doc_id").alias(row)).distinct(), row, "left_semi").select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the least doc_id; all its texts that differ stay, identical ones once. Rows with a null doc_id are linked with nothing and all stay."""
     kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
-    one = named.withColumn("_row", _key("doc_id", "text")).dropDuplicates(["_row"]).select(docs.columns)
+    row = _free(docs)
+    one = named.withColumn(row, _key("doc_id", "text")).dropDuplicates([row]).select(docs.columns)
     return one.union(docs.where("doc_id is null"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows into whose text no benchmark item leaks, whatever their doc_id, which may be null."""
-    keyed = docs.withColumn("_row", _key("text"))
-    found = decontamination.leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keyed.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
+    row = _free(docs)
+    keyed = docs.withColumn(row, _key("text"))
+    found = decontamination.leaks(keyed.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
