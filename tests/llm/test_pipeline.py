@@ -64,3 +64,13 @@ def test_decisions_are_by_row(spark):
     mixed = spark.createDataFrame([make(rows[0], None), *(make(r, None) for r in bad)], docs.schema)
     clean = decontamination.leaks(mixed.select(F.lit(1).cast("long").alias("doc_id"), "text").limit(1), item).count() == 0
     assert corpus_pipeline.drop_leaks(spark, mixed, DIR).count() == (1 if clean else 0)
+
+
+def test_a_caller_may_have_a_column_of_any_name(spark):
+    """Columns _row and _ROW_ come out of each stage that names a column of its own as they went in."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(80).withColumn("_row", F.concat(F.lit("r"), "doc_id")).withColumn("_ROW_", F.col("doc_id"))
+    for stage in (corpus_pipeline.apply_quality_rules, corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_leaks):
+        made = stage(spark, docs, DIR)
+        rows = made.collect()
+        assert made.columns == docs.columns and rows and all(r["_row"] == f"r{r.doc_id}" and r["_ROW_"] == r.doc_id for r in rows)
+        assert stage(spark, docs.limit(0), DIR).count() == 0
