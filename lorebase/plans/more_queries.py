@@ -1,6 +1,6 @@
 """More registered queries: sentence tests, lexicon files, the saved index, users, trees, grammar and anaphora, with SQL that gives the same rows.
 
-The SQL has its own lists of words, apart from those of the code that it is held against.
+The SQL has its own lists of words for tags, pronouns and the like; the stop words and the parts of contractions are those of the code that it is held against.
 """
 
 from __future__ import annotations
