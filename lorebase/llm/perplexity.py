@@ -7,8 +7,8 @@ up from whole texts. For the counts, only documents travel whose ids fall on a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import pairwise
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,8 @@ CODES = 0x110000  #: symbols: all code points
 POOL = "\x1fpool"  #: the model of all trusted text together, for languages that have none
 CHUNK_BYTES = 128 << 20  #: of text in a chunk, whatever the number of partitions
 MARKS = 24  #: bits of a hash, for each of which the bitmap of trusted ids has a bit
-SLICE = 1 << 21  #: symbols that are looked at together in a chunk
+SLICE = 1 << 19  #: symbols that are looked at together in a chunk; only memory and speed depend on it
+SENT = 1 << 16  #: n-grams that a chunk sends together
 SHARD = 200_000  #: distinct n-grams in a shard of the model
 LEVEL = 9  #: of the compression in which texts travel
 PRIOR = 200  #: symbols at the language's median that are added to each document, so that short ones aren't judged by chance
@@ -61,11 +62,10 @@ def _pack(marked: np.ndarray | None):
             by: dict[int, list[int]] = {}
             for k, chunk in enumerate(numbers):
                 by.setdefault(chunk, []).append(k)
-            rows = []
             for chunk, ks in by.items():
                 raw = [(texts[k] or "").encode("utf-8", "surrogatepass") for k in ks]
-                rows.append({"chunk": chunk, "ids": [ids[k] for k in ks], "langs": [langs[k] for k in ks], "sizes": [len(x) for x in raw], "texts": press.compress(b"".join(raw))})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())]))
+                row = {"chunk": chunk, "ids": [ids[k] for k in ks], "langs": [langs[k] for k in ks], "sizes": [len(x) for x in raw], "texts": press.compress(b"".join(raw))}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.int32()), ("ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())]))
 
     return pack
 
@@ -73,22 +73,46 @@ def _pack(marked: np.ndarray | None):
 PACKED = "chunk int, ids array<long>, langs array<string>, sizes array<int>, texts binary"
 
 
-def _slices(packed: pa.Table) -> Iterator[tuple[str, list[int | None], list[str]]]:
-    """language, ids and texts of a chunk, a slice at a time."""
-    by: dict[str, tuple[list[int | None], list[str]]] = {}
+def _slices(packed: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, list[int | None], list[str]]]:
+    """language, ids and texts of a chunk, a slice at a time. No more texts are held than a packed row and a few slices have."""
+    held: dict[str, tuple[list[int | None], list[str]]] = {}
+    sizes: dict[str, int] = {}
     press = zstandard.ZstdDecompressor()
-    for r in packed.to_pylist():
-        raw, at = press.decompress(r["texts"], max_output_size=sum(r["sizes"])) if any(r["sizes"]) else b"", 0
-        for doc, lang, size in zip(r["ids"], r["langs"], r["sizes"], strict=True):
-            ids, texts = by.setdefault(lang or "", ([], []))
-            ids.append(doc)
-            texts.append(raw[at : at + size].decode("utf-8", "surrogatepass"))
-            at += size
-    for lang, (ids, texts) in sorted(by.items()):
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(texts)]
-        for s, e in pairwise(cuts):
-            yield lang, ids[s:e], texts[s:e]
+    for batch in packed:
+        for k in range(batch.num_rows):
+            docs, langs, lengths = (batch.column(c)[k].as_py() for c in ("ids", "langs", "sizes"))
+            raw, at = press.decompress(batch.column("texts")[k].as_buffer(), max_output_size=sum(lengths)) if any(lengths) else b"", 0
+            for doc, lang, length in zip(docs, langs, lengths, strict=True):
+                ids, texts = held.setdefault(lang or "", ([], []))
+                ids.append(doc)
+                texts.append(raw[at : at + length].decode("utf-8", "surrogatepass"))
+                at += length
+                sizes[lang or ""] = sizes.get(lang or "", 0) + len(texts[-1]) + 1
+                if sizes[lang or ""] >= SLICE:
+                    sizes.pop(lang or "")
+                    yield lang or "", *held.pop(lang or "")
+            if sum(sizes.values()) >= 4 * SLICE:
+                yield from ((lang, *x) for lang, x in sorted(held.items()))
+                held, sizes = {}, {}
+    yield from ((lang, *x) for lang, x in sorted(held.items()))
+
+
+def _strings(codes: np.ndarray) -> pa.StringArray:
+    """Rows of symbols as strings."""
+    sizes = codes.shape[1] + sum((codes > x).sum(axis=1) for x in (0x7F, 0x7FF, 0xFFFF))
+    text = codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(text))
+
+
+def _symbols_of(grams: pa.ChunkedArray) -> np.ndarray:
+    """The symbols of n-grams, a row each; no string is made for any of them."""
+    parts = [np.empty((0, ORDER), np.uint32)]
+    for part in grams.chunks:
+        if len(part):
+            ends = np.frombuffer(part.buffers()[1], np.int32)[part.offset : part.offset + len(part) + 1]
+            text = bytes(part.buffers()[2][int(ends[0]) : int(ends[-1])]).decode("utf-8", "surrogatepass")
+            parts.append(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER))
+    return np.concatenate(parts)
 
 
 COUNTED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
@@ -96,49 +120,68 @@ ASKED = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("chunk", pa.in
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("surprise", pa.float64())])
 
 
-def _gathered(packed: pa.Table, good: set[int] | None) -> Iterator[tuple[str, list[str], np.ndarray]]:
-    """By language the distinct n-grams of a chunk with their counts, of all documents or of the good ones."""
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Keys in order, symbols and counts of n-grams, each once."""
+    keys, codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    return keys, codes[first], np.bincount(number, n, len(first)).astype(np.int64)
+
+
+def _gathered(packed: Iterable[pa.RecordBatch], good: set[int] | None) -> Iterator[tuple[str, pa.StringArray, np.ndarray]]:
+    """By language the distinct n-grams of a chunk with their counts, of all documents or of the good ones. Slices add to what is known, so only the distinct ones are held."""
     found: dict[str, list[tuple[np.ndarray, ...]]] = {}
     for lang, ids, texts in _slices(packed):
         code, place, keys, _ = grams_of([t for d, t in zip(ids, texts, strict=True) if good is None or d in good])
         number, distinct = pd.factorize(keys)
         first = np.empty(len(distinct), np.int64)
         first[number[::-1]] = place[::-1]
-        found.setdefault(lang, []).append((distinct, code[first[:, None] + np.arange(ORDER)], np.bincount(number, minlength=len(distinct))))
-    for lang, parts in found.items():
-        keys, codes, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, first, number = np.unique(keys, return_index=True, return_inverse=True)
-        text = codes[first].astype("<u4").tobytes().decode("utf-32-le")
-        yield lang, [text[k : k + ORDER] for k in range(0, len(text), ORDER)], np.bincount(number, n, len(first)).astype(np.int64)
+        n = np.bincount(number, minlength=len(distinct))
+        parts = found.setdefault(lang, [(np.empty(0, np.uint64), np.empty((0, ORDER), np.uint32), np.empty(0, np.int64))])
+        known, _, counts = parts[0]
+        at = np.searchsorted(known, distinct)
+        seen = at < len(known)
+        seen[seen] = known[at[seen]] == distinct[seen]
+        counts[at[seen]] += n[seen]
+        new = ~seen
+        parts.append((distinct[new], code[first[new][:, None] + np.arange(ORDER)], n[new]))
+        if sum(len(x[0]) for x in parts[1:]) >= SLICE // 4:
+            found[lang] = [_merged(parts)]
+    for lang in sorted(found):
+        _, codes, n = _merged(found.pop(lang))
+        yield lang, _strings(codes), n
 
 
 def _counted(packed: pa.Table, trusted: pa.Table) -> pa.Table:
-    found = _gathered(packed, set(trusted["doc_id"].to_pylist())) if packed.num_rows else ()
-    return pa.concat_tables([COUNTED.empty_table(), *(pa.table([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(n)], schema=COUNTED) for lang, grams, n in found)])
+    found = _gathered(packed.to_batches(), set(trusted["doc_id"].to_pylist())) if packed.num_rows else ()
+    return pa.concat_tables([COUNTED.empty_table(), *(pa.table([pa.repeat(lang, len(grams)), grams, pa.array(n)], schema=COUNTED) for lang, grams, n in found)])
 
 
-def _asked(packed: pa.Table) -> pa.Table:
-    chunk = packed["chunk"][0].as_py()
-    return pa.concat_tables([ASKED.empty_table(), *(pa.table([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.string()), pa.array(np.full(len(grams), chunk, np.int32))], schema=ASKED) for lang, grams, _ in _gathered(packed, None))])
+def _asked(packed: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = next(packed)
+    chunk = first.column("chunk")[0].as_py()
+    for lang, grams, _ in _gathered(chain([first], packed), None):
+        for k in range(0, len(grams), SENT):
+            part = grams[k : k + SENT]
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(part)), part, pa.array(np.full(len(part), chunk, np.int32))], schema=ASKED)
 
 
 def _scored(packed: pa.Table, answers: pa.Table) -> pa.Table:
     """Each document's symbols and their surprise in nats, summed."""
-    models = answers["model"].to_numpy()
+    models = answers["model"].combine_chunks().dictionary_encode()
+    number, codes, told = models.indices.to_numpy(), _symbols_of(answers["gram"]), answers["surprise"].to_numpy()
     known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for model in set(models.tolist()):
-        own = np.flatnonzero(models == model)
-        text = "".join(answers["gram"].take(pa.array(own)).to_pylist())
-        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        keys = window_hashes(code, ORDER)[::ORDER]
+    for k, model in enumerate(models.dictionary.to_pylist()):
+        own = np.flatnonzero(number == k)
+        keys = window_hashes(codes[own].T.astype(np.uint64), ORDER)[0]
         order = np.argsort(keys)
-        known[model] = keys[order], answers["surprise"].to_numpy()[own][order].astype(np.float64)
+        known[model] = keys[order], told[own[order]]
+    del answers, models, number, codes, told
     out = [SCORED.empty_table()]
-    for lang, ids, texts in _slices(packed):
+    for lang, ids, texts in _slices(packed.to_batches()):
         keys, surprise = known[lang] if lang in known else known[POOL]
         _, _, grams, counts = grams_of(texts)
         number, distinct = pd.factorize(grams)
-        sums = np.add.reduceat(surprise[np.searchsorted(keys, distinct)][number], np.cumsum(counts) - counts)
+        sums = np.add.reduceat(surprise[np.searchsorted(keys, distinct)].astype(np.float64)[number], np.cumsum(counts) - counts)
         out.append(pa.table([pa.array(ids, pa.int64()), pa.array([lang] * len(ids), pa.string()), pa.array(counts), pa.array(sums)], schema=SCORED))
     return pa.concat_tables(out)
 
@@ -153,8 +196,7 @@ def _keyed(models: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 def _codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the models, and the symbols (rows, ORDER) of the n-grams."""
-    text = "".join(table["gram"].to_pylist())
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
+    codes = _symbols_of(table["gram"])
     place, names = pd.factorize(table["model"].to_numpy())
     return hash_words([x.encode() for x in names])[place] if len(place) else np.empty(0, np.uint64), codes
 
@@ -192,7 +234,7 @@ def _told(counts: pa.Table, asked: pa.Table) -> pa.Table:
     models, codes = _codes(counts)
     wanted, sought = _codes(asked)
     p = asked["lower"].to_numpy()
-    taken = np.stack(counts["taken"].to_numpy()) if counts.num_rows else np.empty((0, 3 * (ORDER - 1)))
+    taken = counts["taken"].combine_chunks().flatten().to_numpy().reshape(-1, 3 * (ORDER - 1))
     for order, at, ends, n in reversed(list(_tables(models, codes, counts["n"].to_numpy()))):
         d = taken[at, 3 * (order - 2) + np.minimum(n, 3) - 1]
         keys, contexts = _keyed(models[at], ends), _keyed(models[at], ends[:, :-1])

@@ -10,7 +10,9 @@ from collections import Counter, defaultdict
 from itertools import combinations
 from urllib.parse import quote
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -477,6 +479,37 @@ def test_perplexity_order_and_pooled_languages(spark):
     assert all(r.kept for r in perplexity.classified(table, trusted.limit(0)).collect())
 
 
+def packed_chunk(texts, each):
+    schema = pa.schema([(c, k) for c, k in zip(("doc_id", "lang", "chunk", "text"), (pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)])
+    batches = (pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part))), pa.array([f"l{x % 3}" for x in range(len(part))]), pa.array([0] * len(part), pa.int32()), pa.array(part)], schema=schema) for k in range(0, len(texts), each) if (part := texts[k : k + each]))
+    return pa.Table.from_batches(perplexity._pack(None)(batches))
+
+
+def test_perplexity_of_a_chunk_does_not_hold_its_texts():
+    """A chunk of 24 million symbols is counted and scored in much less memory than its texts and slices' n-grams would take together."""
+    import tracemalloc
+
+    draw = random.Random(4)
+    words = ["".join(chr(draw.randrange(0x61, 0x7B)) for _ in range(draw.randrange(2, 9))) for _ in range(3000)] + ["é中\U00020000"]
+    pages = [" ".join(draw.choices(words, k=1000)) for _ in range(400)]
+    packed = packed_chunk([pages[k % 400] for k in range(4000)], 200)
+    names = pa.table([pa.array(range(4000))], names=["doc_id"])
+    tracemalloc.start()
+    counted = perplexity._counted(packed, names)
+    counting = tracemalloc.get_traced_memory()[1]
+    answers = pa.table([counted["lang"], counted["gram"], pa.array(np.ones(counted.num_rows, np.float32))], names=["model", "gram", "surprise"])
+    tracemalloc.reset_peak()
+    scored = perplexity._scored(packed, answers)
+    scoring = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(len(t) + 1 for t in pages) * 10
+    assert sum(counted["n"].to_pylist()) == sum(scored["n_symbols"].to_pylist()) == sum(scored["surprise"].to_pylist()) == size
+    want = Counter(g for k, t in enumerate(pages) if k % 200 % 3 == 1 for x in ["\0" * 4 + t + "\0"] for g in (x[i : i + 5] for i in range(len(x) - 4)))
+    got = {g: n for lang, g, n in zip(*(counted[c].to_pylist() for c in ("lang", "gram", "n")), strict=True) if lang == "l1"}
+    assert got == {g: 10 * n for g, n in want.items()}
+    assert max(counting, scoring) < 100e6, (counting, scoring)
+
+
 def test_substring_dedup_tells_windows_of_a_hot_part_apart(spark):
     """Two windows with the same minimizer and the same upper 32 bits of their hashes, but with other last words."""
     import numpy as np
