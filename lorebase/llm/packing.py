@@ -7,9 +7,12 @@ is a list of patterns with the number of sequences of each. Documents are then n
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +25,34 @@ SEQUENCE = 2048
 END = 0  #: id that ends each document
 SPACE = "Ġ"  #: how the vocabulary writes a space
 REMEMBERED = 700_000  #: words whose ids a worker remembers; only speed depends on it
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"  #: characters that are letters in every version of Unicode
+PLAIN = re.compile(rf"[\t-\r!-~{LETTERS}]+")  #: words that PARTS cuts as the vocabulary's pattern does
+PARTS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \t-\r0-9{LETTERS}]+|[\t-\r]+(?![^ \t-\r])|[\t-\r]+")
+PATTERN = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"  #: the vocabulary's way to cut texts that PARTS follows
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit numbers, equal to those of encoding the whole text.
 
     The vocabulary's pattern never joins a space with what stands before it, so a text falls into words at single spaces
-    between other characters, and each of them is encoded once for all texts. New words are encoded in one go, and told apart by the tokens that begin with a
-    space. A text with any other space is encoded whole.
+    between other characters, and each of them is encoded once for all texts. New words are encoded many in one go, and told apart by the tokens that begin with a
+    space. Those of plain characters are cut here, as the tokenizer is slow at that, and their parts go to its model. A text with any other space is encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.cuts = self.tokenizer.normalizer is None and repr(self.tokenizer.pre_tokenizer) == PATTERN
+        self.parts = Tokenizer(self.tokenizer.model)
+        self.parts.pre_tokenizer = CharDelimiterSplit(" ")
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        # How the vocabulary writes bytes. Byte 0 is in no part and stands between them, as a space does then, which isn't used otherwise.
+        self.level = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)} | {0: " "}
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[k for token, k in vocabulary.items() if token.startswith(SPACE)]] = True
@@ -46,25 +61,35 @@ class Encoder:
         """The fast call gives the same ids, without offsets."""
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def of_plain(self, words: list[str]) -> np.ndarray:
+        """Ids of words of plain characters, each behind a space."""
+        parts = PARTS.findall(" " + " ".join(words))
+        return np.array(self.parts.encode_batch_fast(["\0".join(parts).encode().decode("latin-1").translate(self.level)], add_special_tokens=False)[0].ids, "<u4")
+
     def learn(self, words: list[str]) -> None:
         """Remember words, each as it is encoded behind a space."""
-        for k in range(0, len(words), 512):
-            part = words[k : k + 512]
-            ids = np.frombuffer(self.whole([" " + " ".join(part)])[0], "<u4")
-            starts = np.flatnonzero(self.spaced[ids])
-            if len(starts) == len(part):
-                raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
-                self.words.update(zip(part, [raw[s:e] for s, e in zip((starts * 4).tolist(), ends, strict=True)], strict=True))
-            else:
-                self.words.update(zip(part, self.whole([f" {w}" for w in part]), strict=True))
+        plain = [w for w in words if PLAIN.fullmatch(w)] if self.cuts else []
+        if any(x in "".join(plain) for x in self.added):
+            plain = [w for w in plain if not any(x in w for x in self.added)]
+        others = [*(set(words) - set(plain))] if len(plain) < len(words) else []
+        for kind, size, encoded in ((plain, 1 << 16, self.of_plain), (others, 512, lambda part: np.frombuffer(self.whole([" " + " ".join(part)])[0], "<u4"))):
+            for k in range(0, len(kind), size):
+                part = kind[k : k + size]
+                ids = encoded(part)
+                starts = np.flatnonzero(self.spaced[ids])
+                if len(starts) == len(part):
+                    raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
+                    self.words.update(zip(part, [raw[s:e] for s, e in zip((starts * 4).tolist(), ends, strict=True)], strict=True))
+                else:
+                    self.words.update(zip(part, self.whole([f" {w}" for w in part]), strict=True))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         split = [t.split(" ") for t in texts]
-        missing = {w for words in split for w in words[1:]} - self.words.keys()
+        missing = (said := set(chain.from_iterable(words[1:] for words in split))) - self.words.keys()
         if len(self.words) + len(missing) > REMEMBERED:
             self.words.clear()
-            missing = {w for words in split for w in words[1:]}
+            missing = said
         self.learn([w for w in missing if w and w == w.strip()])
         odd = []
         for k, words in enumerate(split):
@@ -83,11 +108,17 @@ class Encoder:
         return out
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each document's pieces."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)

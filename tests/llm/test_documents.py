@@ -200,6 +200,24 @@ def test_encoder_equals_the_tokenizer():
     assert encoder.batch(texts) == encoder.whole(texts)
 
 
+def test_encoder_cuts_words_as_the_tokenizer_does(monkeypatch):
+    """Words of plain characters are cut into parts for the model; none of these is left for the tokenizer."""
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    draw = random.Random(6)
+    texts = ["it's don't 'll x'll 's !'s 5's it'sx", "to.\nErsh a\n\nB c\t\r\nd.\n\n.x", "é,à çtreeau ÀÖØöøɏ×÷", "x<|endoftext|>y <|endoftext|>", "a²b ½ Ⅷ x\x1cy a\x85b \x7f c\xa0d \xad", "中文 a中b \U00020000"]
+    texts += [" ".join("".join(draw.choice("ab'stlvremdE15.,$!<|>_\n\t\x0bé×ßö\xa0²中") for _ in range(draw.randrange(1, 12))) for _ in range(20)) for _ in range(2000)]
+    assert encoder.batch(texts) == encoder.whole(texts)
+    words = [w for t in texts for w in t.split(" ")]
+    want = dict(zip(words, encoder.whole([f" {w}" for w in words]), strict=True))
+    assert all(encoder.words[w] == want[w] for w in words if w in encoder.words)
+    plain = ["plain", "words,", "it's", "to.\nErsh", "geachach", "çtreeau"]
+    want = encoder.whole([f" {w}" for w in plain])
+    encoder.words.clear()
+    monkeypatch.setattr(encoder, "whole", None)
+    encoder.learn(plain)
+    assert [encoder.words[w] for w in plain] == want
+
+
 def test_plan_uses_every_document_once():
     draw = random.Random(2)
     for _ in range(20):
