@@ -16,12 +16,14 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 FEW = 10_000  #: rows of a table of groups that are broadcast; more are joined in salted parts
 SALTS = 32  #: parts of a hot group, so that no task meets a whole one
+FILE_ROWS = 10_000  #: rows, as large as a document's facts, of a file that is cut where the number of rows is known
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Compute df once into the shared checkpoint folder, so that a lost executor costs a read and not a recomputation.
 
-    The folder is spark.checkpoint.dir. Where that is unset a local session takes one of its own; a cluster must name one that all its machines share.
+    A checkpoint has a file for each partition, empty ones too, and on a local file system Hadoop starts two processes for each file. Where `rows` says how many rows
+    to expect, no more partitions are written than these fill at FILE_ROWS each, all of df in any case. The folder is spark.checkpoint.dir. Where that is unset a local session takes one of its own; a cluster must name one that all its machines share.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -32,7 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
 def beside(rows: DataFrame, facts: DataFrame, by: str, few: bool, how: str = "inner") -> DataFrame:

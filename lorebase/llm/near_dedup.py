@@ -20,6 +20,7 @@ from .components import components
 BITS = 2048  #: of the parity bitmap of a shingle set
 BLOCK = 8192  #: shingles that are permuted at once
 SALTS = 8  #: parts of a bucket or of a hub's pairs, so that no task meets all of a large one
+GRAMS = 100  #: shingles that are as large as a document's other facts
 TILE = 256  #: documents on each side of a tile of a bucket
 
 
@@ -179,29 +180,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, bands: i
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed_docs = cut(signatures(docs, words, bands, rows))
+    n, n_grams = signed_docs.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     linkable = signed_docs.where("doc_id is not null and n_shingles > 0")
     classes = linkable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
     of_class = linkable.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "class_id").distinct()
     heads = linkable.join(classes.select(F.col("class_id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id", "set_a"])
-    heads = cut(heads.select("doc_id", "n_shingles", "bands", "bitmap"))
+    heads = cut(heads.select("doc_id", "n_shingles", "bands", "bitmap"), n)
 
     keys = heads.select("doc_id", F.posexplode("bands").alias("band", "key"))
     # The members of a bucket are dealt over SALTS parts, each of which gets a copy of the bucket's row.
     salted = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     buckets = keys.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").drop("last")
     copies = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = cut(salted.join(copies, ["band", "key", "salt"]).select("band", "key", "doc_id", "hub"))
+    members = cut(salted.join(copies, ["band", "key", "salt"]).select("band", "key", "doc_id", "hub"), n)
     ids = members.select("doc_id").distinct()
-    marks = cut(heads.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "bitmap"))
-    sets = cut(shingle_sets(docs.join(ids, "doc_id", "left_semi"), words))
+    marks = cut(heads.join(ids, "doc_id", "left_semi").select("doc_id", "n_shingles", "bitmap"), n)
+    sets = cut(shingle_sets(docs.join(ids, "doc_id", "left_semi"), words), max(n, n_grams // GRAMS))
 
     stars = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = cut(_verified(_possible(stars, marks, percent), sets, percent))
-    known = members.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    links = cut(_verified(_possible(stars, marks, percent), sets, percent), n)
+    known = members.join(components(links, n).withColumnRenamed("node", "doc_id"), "doc_id", "left")
     known = known.withColumn("component", F.coalesce("component", "doc_id"))
     more = _verified(_rest(known, marks, percent), sets, percent)
     # A document that occurs with several texts is in several classes; then its class links join them.
-    found = components(links.union(more).union(_bridges(of_class)))
+    found = components(links.union(more).union(_bridges(of_class)), n)
     by_class = of_class.join(found.select(F.col("node").alias("class_id"), F.col("component")), "class_id", "left")
     ended = by_class.groupBy("doc_id").agg(F.min(F.coalesce("component", "class_id")).alias("component_id"))
     out = signed_docs.select("doc_id", "n_shingles").join(ended, "doc_id", "left")

@@ -78,12 +78,12 @@ def _vector() -> list[Column]:
     return [F.round(x * 1024) / 1024 for x in made]
 
 
-def _grouped(stats: DataFrame) -> tuple[DataFrame, bool]:
-    """Name the group of each document: language and source, or a pool where they have too few documents. Also whether the groups are few enough to be broadcast."""
+def _grouped(stats: DataFrame, n: int) -> tuple[DataFrame, bool]:
+    """Name the group of each document: language and source, or a pool where they have too few of the n documents. Also whether the groups are few enough to be broadcast."""
     lang, source = (F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in ("lang", "source"))
     named = stats.withColumn("own", F.concat_ws("\x1f", lang, source)).withColumn("wide", F.concat(F.lit("*\x1f"), lang))
     good = F.count_if(~F.col("base_failed"))
-    sizes = cut(named.groupBy("own", "wide").agg(good.alias("n")))
+    sizes = cut(named.groupBy("own", "wide").agg(good.alias("n")), n)
     pools = sizes.where(F.col("n") < LEAST).groupBy("wide").agg(F.sum("n").alias("n_wide"))
     to = sizes.join(pools, "wide", "left").select("own", F.when(F.col("n") >= LEAST, F.col("own")).when(F.col("n_wide") >= LEAST, F.col("wide")).otherwise("*").alias("group"))
     few = sizes.count() <= FEW
@@ -131,31 +131,34 @@ def robust_estimates(vectors: DataFrame, few: bool, steps: int = STEPS) -> DataF
 
     Starts at the medians and quartile ranges of each dimension, so it needs no random subsets. Each step can only lessen the determinant.
     """
-    now = cut(_start(vectors))
+    most = FEW if few else None
+    now = cut(_start(vectors), most)
     products = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
     for _ in range(steps):
         apart = beside(vectors, now, "group", few).withColumn("apart", _logged(_distance(), 1e-9)).drop("mean", "inverse", "log_det")
         near = quantiles(apart, "group", F.col("apart"), {"bound": SUPPORT})
         core = beside(apart, near, "group", few).where("apart <= bound")
         sums = core.groupBy("group").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(SIZE)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}_{j}") for i, j in products))
+        sums = sums.coalesce(1) if few else sums
         now = cut(sums.mapInPandas(_inverted, "group string, mean array<double>, inverse array<double>, log_det double"))
     return now
 
 
-def fences(distances: DataFrame, few: bool) -> DataFrame:
-    """distances (group, distance) -> group, fence."""
-    counted = cut(distances.groupBy("group", _logged(F.col("distance"), NEAREST).alias("apart")).agg(F.count("*").alias("n")))
+def fences(distances: DataFrame, few: bool, n: int) -> DataFrame:
+    """n distances (group, distance) -> group, fence."""
+    most = FEW if few else None
+    counted = cut(distances.groupBy("group", _logged(F.col("distance"), NEAREST).alias("apart")).agg(F.count("*").alias("n")), n)
     own = Window.partitionBy("group")
 
     def quartiles(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
         ranked = rows.select("group", "apart", F.sum("n").over(own.orderBy("apart")).alias("upto"), F.sum("n").over(own).alias("all"))
         return ranked.groupBy("group").agg(*(F.min(F.when(F.col("upto") >= F.ceil(F.lit(s) * F.col("all")), F.col("apart"))).alias(name) for name, s in shares.items()))
 
-    now = cut(quartiles(counted, {"fence": SUPPORT}))
+    now = cut(quartiles(counted, {"fence": SUPPORT}), most)
     for _ in range(FENCES):
         inside = beside(counted, now, "group", few).where("apart <= fence")
         reach = F.col("high") + TUKEY * (F.col("high") - F.col("low"))
-        now = cut(quartiles(inside, {"low": 0.25, "high": 0.75}).select("group", F.greatest(reach, F.lit(float(np.log(CUTOFF)))).alias("fence")))
+        now = cut(quartiles(inside, {"low": 0.25, "high": 0.75}).select("group", F.greatest(reach, F.lit(float(np.log(CUTOFF)))).alias("fence")), most)
     return now.select("group", F.exp("fence").alias("fence"))
 
 
@@ -169,15 +172,16 @@ def judged(docs: DataFrame) -> DataFrame:
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     stats = cut(measured(docs).withColumn("base_failed", failed).withColumns({f"x{i}": x for i, x in enumerate(_vector())}))
-    grouped, few = _grouped(stats)
-    named = cut(grouped)
+    n = stats.count()
+    grouped, few = _grouped(stats, n)
+    named = cut(grouped, n)
     good = named.where("not base_failed")
     fitted = robust_estimates(good.select("group", *(f"x{i}" for i in range(SIZE))), few)
     apart = beside(good, fitted, "group", few).select("group", _logged(_distance(), 1e-9).alias("apart"))
     scale = quantiles(apart, "group", F.col("apart"), {"middle": 0.5}).join(apart.groupBy("group").agg(F.count("*").alias("fitted_on")), "group")
-    facts = cut(fitted.join(scale, "group").withColumn("middle", F.exp("middle")))
+    facts = cut(fitted.join(scale, "group").withColumn("middle", F.exp("middle")), FEW if few else None)
     far = beside(named, facts, "group", few, "left").withColumn("distance", _distance() * MEDIAN / F.greatest("middle", F.lit(MEDIAN / 4)))
-    far = cut(far.drop("mean", "inverse", "log_det", "middle", *(f"x{i}" for i in range(SIZE))))
-    fenced = beside(far, fences(far.where("not base_failed and distance is not null").select("group", "distance"), few), "group", few, "left")
+    far = cut(far.drop("mean", "inverse", "log_det", "middle", *(f"x{i}" for i in range(SIZE))), n)
+    fenced = beside(far, fences(far.where("not base_failed and distance is not null").select("group", "distance"), few, n), "group", few, "left")
     outlier = F.coalesce((F.col("fitted_on") >= 2 * SIZE) & (F.col("distance") > F.col("fence")), F.lit(False))
     return fenced.select("doc_id", *STATS[:5], "base_failed", (~F.col("base_failed") & ~outlier).alias("kept"), "group", "distance", *STATS[5:])
