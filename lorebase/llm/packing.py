@@ -23,11 +23,12 @@ from .common import cut, numbered
 
 SEQUENCE = 2048
 END = 0  #: id that ends each document
-SPACE = "Ġ"  #: how the vocabulary writes a space
-REMEMBERED = 700_000  #: words whose ids a worker remembers; only speed depends on it
+SPACE, LINE = "Ġ", "Ċ"  #: how the vocabulary writes a space and a line feed
+REMEMBERED = 700_000  #: words whose ids a worker remembers, in halves; only speed depends on it
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"  #: characters that are letters in every version of Unicode
 PLAIN = re.compile(rf"[\t-\r!-~{LETTERS}]+")  #: words that PARTS cuts as the vocabulary's pattern does
 PARTS = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \t-\r0-9{LETTERS}]+|[\t-\r]+(?![^ \t-\r])|[\t-\r]+")
+STEERING = re.compile(r"[\t\v\f\r]")  #: characters of PLAIN words that the vocabulary writes in yet another way
 PATTERN = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"  #: the vocabulary's way to cut texts that PARTS follows
 
 
@@ -37,6 +38,7 @@ class Encoder:
     The vocabulary's pattern never joins a space with what stands before it, so a text falls into words at single spaces
     between other characters, and each of them is encoded once for all texts. New words are encoded many in one go, and told apart by the tokens that begin with a
     space. Those of plain characters are cut here, as the tokenizer is slow at that, and their parts go to its model. A text with any other space is encoded whole.
+    When half of what may be remembered is full, only words that are said again until the next half is full stay.
     """
 
     def __init__(self, path: str):
@@ -46,6 +48,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cuts = self.tokenizer.normalizer is None and repr(self.tokenizer.pre_tokenizer) == PATTERN
         self.parts = Tokenizer(self.tokenizer.model)
         self.parts.pre_tokenizer = CharDelimiterSplit(" ")
@@ -63,16 +66,23 @@ class Encoder:
 
     def of_plain(self, words: list[str]) -> np.ndarray:
         """Ids of words of plain characters, each behind a space."""
-        parts = PARTS.findall(" " + " ".join(words))
-        return np.array(self.parts.encode_batch_fast(["\0".join(parts).encode().decode("latin-1").translate(self.level)], add_special_tokens=False)[0].ids, "<u4")
+        parts = "\0".join(PARTS.findall(" " + " ".join(words)))
+        if parts.isascii() and not STEERING.search(parts):
+            written = parts.replace(" ", SPACE).replace("\0", " ").replace("\n", LINE)
+        else:
+            written = parts.encode().decode("latin-1").translate(self.level)
+        return np.array(self.parts.encode_batch_fast([written], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: list[str]) -> None:
         """Remember words, each as it is encoded behind a space."""
-        plain = [w for w in words if PLAIN.fullmatch(w)] if self.cuts else []
+        plain = words if self.cuts else []
+        if plain and not PLAIN.fullmatch("".join(plain)):
+            plain = [w for w in plain if PLAIN.fullmatch(w)]
         if any(x in "".join(plain) for x in self.added):
             plain = [w for w in plain if not any(x in w for x in self.added)]
         others = [*(set(words) - set(plain))] if len(plain) < len(words) else []
-        for kind, size, encoded in ((plain, 1 << 16, self.of_plain), (others, 512, lambda part: np.frombuffer(self.whole([" " + " ".join(part)])[0], "<u4"))):
+        low, high = [w for w in plain if w.isascii()], [w for w in plain if not w.isascii()]
+        for kind, size, encoded in ((low, 1 << 16, self.of_plain), (high, 1 << 16, self.of_plain), (others, 512, lambda part: np.frombuffer(self.whole([" " + " ".join(part)])[0], "<u4"))):
             for k in range(0, len(kind), size):
                 part = kind[k : k + size]
                 ids = encoded(part)
@@ -83,13 +93,20 @@ class Encoder:
                 else:
                     self.words.update(zip(part, self.whole([f" {w}" for w in part]), strict=True))
 
+    def unknown(self, said: set[str]) -> set[str]:
+        """Of the words that are said, those that aren't remembered."""
+        missing = said.difference(self.words)  # a lookup for each word said; with keys() it is one for each word remembered
+        found = {w: self.older[w] for w in missing if w in self.older}
+        self.words.update(found)
+        return missing.difference(found)
+
     def batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         split = [t.split(" ") for t in texts]
-        missing = (said := set(chain.from_iterable(words[1:] for words in split))) - self.words.keys()
-        if len(self.words) + len(missing) > REMEMBERED:
-            self.words.clear()
-            missing = said
+        missing = self.unknown(said := set(chain.from_iterable(words[1:] for words in split)))
+        if len(self.words) + len(missing) > REMEMBERED // 2:
+            self.words, self.older = {}, self.words
+            missing = self.unknown(said)
         self.learn([w for w in missing if w and w == w.strip()])
         odd = []
         for k, words in enumerate(split):

@@ -218,6 +218,20 @@ def test_encoder_cuts_words_as_the_tokenizer_does(monkeypatch):
     assert [encoder.words[w] for w in plain] == want
 
 
+def test_encoder_remembers_words_that_are_said_again(monkeypatch):
+    """Words that every text says are learned once, however many others come and go; before, all were forgotten together."""
+    monkeypatch.setattr(packing, "REMEMBERED", 60)
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    learned, learn = Counter(), encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda words: (learned.update(words), learn(words)))
+    draw = random.Random(7)
+    for k in range(50):
+        texts = [" ".join(["to.\nErsh", *(f"{draw.choice('ab!é')}{k}{j}" for j in range(10)), "hot", "été,"]), "first hot"]
+        assert encoder.batch(texts) == encoder.whole(texts)
+    assert learned["hot"] == learned["été,"] == 1 and len(learned) > 300
+    assert len(encoder.words) + len(encoder.older) <= 60
+
+
 def test_plan_uses_every_document_once():
     draw = random.Random(2)
     for _ in range(20):
