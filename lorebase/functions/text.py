@@ -44,6 +44,11 @@ def raw_tokens(text: Column | str) -> Column:
     return F.transform(found, lambda t: F.when(t.rlike(r"^[ \t\r\n\x08]"), " ").otherwise(t))
 
 
+def pieces(text: Column | str) -> Column:
+    """A text in parts of which nothing is dropped: runs of the letters A to Z, question marks, and runs of all else, white space too."""
+    return F.regexp_extract_all(text, F.lit(r"[A-Za-z]+|[?]|[^A-Za-z?]+"), F.lit(0))
+
+
 def merge_contractions(tokens: Column) -> Column:
     """Join tokens like couldn ' t, from left to right, each token used once."""
 
