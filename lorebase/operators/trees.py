@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,27 +138,40 @@ def tree_by_verbs(nodes: Column) -> Column:
     return F.trim(text)
 
 
-def merge_longest(sentences: DataFrame, compounds: DataFrame, most: int = 5) -> DataFrame:
-    """Merge compounds: id, tokenList with each longest run of two to `most` tokens whose text is a compound as one token, headed by its first noun. Ancestors that
-    went into a compound are replaced by its head; a token is no ancestor of its own.
-
-    Of compounds that overlap, the one that begins first stays, and of those with one beginning the longest. Only words with which a compound begins are looked at,
-    with the few words behind them; the sentence itself meets its compounds once, and is put together from its runs between them. Rows may share an id or have none.
-    """
+def _spans(keyed: DataFrame, compounds: DataFrame, most: int, firsts: list[str] | None) -> DataFrame:
+    """keyed (_of, words: in lower case) -> _of, _spans: places and lengths of the compounds that stay."""
     known = compounds.select(F.lower("compound").alias("compound")).where("compound like '% %'").distinct()
     starts = known.select(F.substring_index("compound", " ", 1).alias("first"), (F.length("compound") - F.length(F.replace("compound", F.lit(" "), F.lit(""))) + 1).alias("words"))
     starts = starts.groupBy("first").agg(F.least(F.max("words"), F.lit(most)).alias("longest"))
-    keyed = sentences.withColumn("_of", F.struct(F.xxhash64(F.col("id").cast("string"), "tokenList.text").alias("a"), F.hash("tokenList.text", F.col("id").cast("string")).alias("b")))
-    ahead = F.transform(F.col("tokenList.text"), lambda t, k: F.transform(F.slice(F.col("tokenList.text"), k + 1, most), F.lower))
+    ahead = F.transform("words", lambda t, k: F.slice("words", k + 1, most))
     tokens = keyed.select("_of", F.posexplode(ahead).alias("pos", "words")).withColumn("first", F.substring_index(F.col("words")[0], " ", 1)).where("size(words) > 1")
+    if firsts is not None:
+        tokens = tokens.where(F.col("first").isin(firsts))
     tried = tokens.join(starts, "first").where("longest > 1").select("_of", "pos", "words", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least("longest", F.size("words"))))).alias("n"))
     hits = tried.select("_of", "pos", "n", F.array_join(F.slice("words", F.lit(1), F.col("n")), " ").alias("compound")).join(known, "compound", "left_semi").groupBy("_of", "pos").agg(F.max("n").alias("n"))
     spans = hits.groupBy("_of").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("spans"))
     # From left to right, drop spans that begin inside the one before.
     start = F.struct(F.array().cast("array<struct<pos:int,n:int>>").alias("out"), F.lit(0).alias("end"))
     step = lambda s, x: F.when(x["pos"] < s["end"], s).otherwise(F.struct(F.array_append(s["out"], x).alias("out"), (x["pos"] + x["n"]).alias("end")))
-    chosen = spans.select("_of", F.aggregate("spans", start, step, lambda s: s["out"]).alias("_spans"))
+    return spans.select("_of", F.aggregate("spans", start, step, lambda s: s["out"]).alias("_spans"))
+
+
+def merge_longest(sentences: DataFrame, compounds: DataFrame, most: int = 5, firsts: list[str] | None = None, token: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Merge compounds: id, tokenList with each longest run of two to `most` tokens whose text is a compound as one token, headed by its first noun. Ancestors that
+    went into a compound are replaced by its head; a token is no ancestor of its own.
+
+    Of compounds that overlap, the one that begins first stays, and of those with one beginning the longest. Only words with which a compound begins are looked at,
+    with the few words behind them; the sentence itself meets its compounds once, and is put together from its runs between them. Rows may share an id or have none.
+    A caller that knows the few words, in lower case, with which all compounds begin says them as `firsts`, so that no others are looked at. With `token`, which makes tokens out of words,
+    sentences have `words` instead of a tokenList; these travel, and become tokens behind the meeting.
+    """
+    texts = F.col("words") if token else F.col("tokenList.text")
+    keyed = sentences.withColumn("_of", F.struct(F.xxhash64(F.col("id").cast("string"), texts).alias("a"), F.hash(texts, F.col("id").cast("string")).alias("b")))
+    chosen = _spans(keyed.select("_of", F.transform(texts, F.lower).alias("words")), compounds, most, firsts)
     joined = keyed.join(chosen, "_of", "left")
+    if token:
+        joined = joined.withColumn("tokenList", token(F.col("words")))
+    columns = ["tokenList" if token and c == "words" else c for c in sentences.columns]
     all_tokens, spans_ = F.col("tokenList"), F.col("_spans")
 
     def part_of(span: Column) -> Column:
@@ -180,4 +195,4 @@ def merge_longest(sentences: DataFrame, compounds: DataFrame, most: int = 5) ->
 
     put = F.concat(upto(F.lit(0), spans_[0]["pos"]), F.flatten(F.transform("_made", behind)))
     out = joined.withColumn("_made", F.transform(spans_, made)).withColumn("_put", put)
-    return out.withColumn("tokenList", F.when(spans_.isNotNull(), F.transform("_put", mapped)).otherwise(all_tokens)).select(*sentences.columns)
+    return out.withColumn("tokenList", F.when(spans_.isNotNull(), F.transform("_put", mapped)).otherwise(all_tokens)).select(*columns)
