@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +35,46 @@ def bucket(vector: Column, size: int) -> Column:
     return F.when(place < size, place)
 
 
-def related(vectors: DataFrame, queries: DataFrame, buckets: int, distance: int) -> DataFrame:
-    """queries (query_id, vector) against vectors (text, vector) in buckets at most `distance` away: query_id, text, score, itself included."""
+def _scores(own: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The scores of all vectors of a block for all queries of a tile, some queries at a time; null where lengths differ."""
+    made = [pa.table({"query_id": wanted["query_id"].slice(0, 0), "text": own["text"].slice(0, 0), "score": pa.array([], pa.float64())})]
+    lengths = [np.asarray(pc.list_value_length(x["vector"])) for x in (own, wanted)]
+    for n in np.unique(lengths[0]):
+        rows = own.filter(pa.array(lengths[0] == n))
+        x = _matrix(rows, "vector", n)
+        for m in np.unique(lengths[1]):
+            asked = wanted.filter(pa.array(lengths[1] == m))
+            w = _matrix(asked, "vector", m)
+            for k in range(0, len(w), 64):
+                some = w[k : k + 64]
+                score = None
+                if n == m:
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        score = some @ x.T / np.outer(np.sqrt(np.sum(some * some, axis=1)), np.sqrt(np.sum(x * x, axis=1)))
+                    score = np.floor(np.cosh(score) * 1e6 + 0.5).reshape(-1) / 1e6
+                times = pa.array(np.repeat(np.arange(k, k + len(some)), len(x)))
+                made.append(pa.table({"query_id": asked["query_id"].take(times), "text": pa.chunked_array(rows["text"].chunks * len(some), rows["text"].type), "score": pa.nulls(len(times), pa.float64()) if score is None else score}))
+    return pa.concat_tables(made)
+
+
+def related(vectors: DataFrame, queries: DataFrame, buckets: int, distance: int, block: int = 4096, tile: int = 1024) -> DataFrame:
+    """queries (query_id, vector) against vectors (text, vector) in buckets at most `distance` away: query_id, text, score, itself included.
+
+    A bucket of any size is dealt over blocks of about `block` vectors, and the queries that look into it over tiles of about `tile`; each block meets each tile in a group of its own.
+    The driver sees nothing, all executors see one row for each bucket.
+    """
     near = queries.withColumn("bucket", bucket(F.col("vector"), buckets)).where("bucket is not null")
-    near = near.select("query_id", F.col("vector").alias("wanted"), F.explode(F.sequence(F.col("bucket") - distance, F.col("bucket") + distance)).alias("bucket"))
-    indexed = vectors.withColumn("bucket", bucket(F.col("vector"), buckets)).where("bucket is not null")
-    scored = indexed.join(near, "bucket").select("query_id", "text", F.round(similarity(F.col("wanted"), F.col("vector")), 6).alias("score"))
-    return scored
+    near = near.select(F.col("query_id").alias("query_id"), F.col("vector").alias("wanted"), F.explode(F.sequence(F.col("bucket") - distance, F.col("bucket") + distance)).alias("bucket"))
+    indexed = vectors.select(F.col("text").alias("text"), F.col("vector").alias("vector"), bucket(F.col("vector"), buckets).alias("bucket")).where("bucket is not null")
+    parts = lambda rows, size, name: rows.groupBy("bucket").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = F.broadcast(parts(indexed, block, "blocks").join(parts(near, tile, "tiles"), "bucket"))
+    dealt = lambda name, vector, n: F.pmod(F.xxhash64(name, vector), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = indexed.join(sizes, "bucket").select("text", "vector", "bucket", dealt("text", "vector", "blocks").alias("block"), every("tiles").alias("tile"))
+    asked = near.join(sizes, "bucket").select("query_id", F.col("wanted").alias("vector"), "bucket", every("blocks").alias("block"), dealt("query_id", "wanted", "tiles").alias("tile"))
+    text, query = dict(vectors.dtypes)["text"], dict(queries.dtypes)["query_id"]
+    place = ["bucket", "block", "tile"]
+    return own.groupBy(*place).cogroup(asked.groupBy(*place)).applyInArrow(_scores, f"query_id {query}, text {text}, score double")
 
 
 @dataclass(frozen=True)
@@ -59,10 +93,14 @@ class Clusters:
         return np.cosh(np.cos(np.maximum(angles - self.radius - 1e-9, 0)))
 
 
-def _units(batch: pa.RecordBatch | pa.Table, column: str, length: int) -> np.ndarray:
+def _matrix(batch: pa.RecordBatch | pa.Table, column: str, length: int) -> np.ndarray:
     flat = batch.column(column)
     flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-    made = np.asarray(flat.flatten(), np.float64).reshape(-1, length)
+    return np.asarray(flat.flatten(), np.float64).reshape(-1, length)
+
+
+def _units(batch: pa.RecordBatch | pa.Table, column: str, length: int) -> np.ndarray:
+    made = _matrix(batch, column, length)
     return made / np.linalg.norm(made, axis=1, keepdims=True)
 
 
