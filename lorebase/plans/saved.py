@@ -43,6 +43,13 @@ class SavedIndex:
             if not table.version()[0]:
                 table.create(rows())
 
+    def fill(self, **makers: Callable[[], tuple]) -> None:
+        """The first version of those of its tables that are named and aren't there, each as its maker gives it: rows and how they travel. What is asked of the index needs its own tables only."""
+        for name, make in makers.items():
+            table = getattr(self, name)
+            if not table.version()[0]:
+                table.create(*make())
+
     def add(self, sentences: DataFrame, postings: DataFrame) -> None:
         self.postings.upsert(postings)
         self.words.upsert(index.words_of_sentences(postings))

@@ -10,15 +10,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COMMIT = "base array<struct<folder:string,parts:array<int>>>, logs array<string>"
 LOGS = 16  #: logs after which a change compacts
+DEALS = 8  #: tasks at most over which an upsert deals the rows of a partition
+PACK_ROWS = 1 << 18  #: rows that a task packs at a time
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,6 +58,55 @@ def _same(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> Da
     return left.join(named, test, how).drop(*(f"_{c}" for c in columns))
 
 
+Pack = Callable[[Layout, DataFrame], DataFrame]  #: deals rows out by `part` and gives those of the table, with it, in order
+
+
+def unpacked(make: Callable[[DataFrame], DataFrame]) -> Pack:
+    """A pack for rows that hold those of the table in a narrower form, one for each value of what it is laid out by; `make` makes them behind the exchange and keeps `part`."""
+
+    def pack(layout: Layout, rows: DataFrame) -> DataFrame:
+        return make(rows.withColumn("part", layout.part()).hint("rebalance", "part").sortWithinPartitions("part", *layout.by))
+
+    return pack
+
+
+def compressed(layout: Layout, rows: DataFrame) -> DataFrame:
+    """A pack for many short rows: those that a task has for a partition travel as sorted and compressed blocks, each a small parquet file in a row."""
+    order = [(c, "ascending") for c in layout.sort or layout.key]
+    columns = [f.strip().split()[0] for f in layout.schema.split(", ")]
+
+    def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        all_rows = pa.Table.from_batches(held).sort_by([("part", "ascending"), *order]).combine_chunks()
+        parts = all_rows["part"].to_numpy()
+        starts = np.flatnonzero(np.diff(parts, prepend=parts[0] - 1))
+        made, bare = [], all_rows.drop_columns(["part"])
+        for start, end in zip(starts, [*starts[1:], len(parts)], strict=True):
+            sink = pa.BufferOutputStream()
+            pq.write_table(bare.slice(start, end - start), sink, compression="zstd", write_statistics=False)
+            made.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(parts[starts], pa.int32()), pa.array(made, pa.binary())], ["part", "block"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACK_ROWS:
+                yield blocks(held)
+                held, n = [], 0
+        if n:
+            yield blocks(held)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, block in zip(batch.column("part").to_pylist(), batch.column("block"), strict=True):
+                for own in pq.read_table(pa.BufferReader(block.as_buffer())).to_batches():
+                    yield own.append_column("part", pa.array(np.full(own.num_rows, part, np.int32)))
+
+    packed = rows.select(*columns).withColumn("part", layout.part()).mapInArrow(pack, "part int, block binary")
+    return packed.hint("rebalance", "part").mapInArrow(unpack, f"{layout.schema}, part int").sortWithinPartitions("part", *(c for c, _ in order))
+
+
 class Table:
     """A table of increments under a path. Every change gives a new version; the object reads the newest one."""
 
@@ -78,10 +133,17 @@ class Table:
         """A folder of its own for each attempt, so that what a broken one left behind is in nobody's way."""
         return f"{kind}-{number + 1}-{uuid.uuid4().hex[:12]}"
 
-    def _write(self, rows: DataFrame, folder: str) -> list[int]:
-        """Write rows by partition, a large partition by several tasks; the partitions that were written."""
-        laid = rows.withColumn("part", self.layout.part()).hint("rebalance", "part")
-        laid.sortWithinPartitions("part", *(self.layout.sort or self.layout.key)).write.mode("errorifexists").partitionBy("part").parquet(f"{self.path}/{folder}")
+    def _write(self, rows: DataFrame, folder: str, pack: Pack | None = None) -> list[int]:
+        """Write rows by partition, a large partition by several tasks; the partitions that were written. With `pack`, rows travel as it packs them."""
+        order = self.layout.sort or self.layout.key
+        if pack is None:
+            laid = rows.withColumn("part", self.layout.part()).hint("rebalance", "part").sortWithinPartitions("part", *order)
+        else:
+            laid = pack(self.layout, rows)
+        return self._put(laid, folder)
+
+    def _put(self, laid: DataFrame, folder: str) -> list[int]:
+        laid.write.mode("errorifexists").option("compression", "zstd").partitionBy("part").parquet(f"{self.path}/{folder}")
         return [r[0] for r in self._folder(folder, "op string").select("part").distinct().collect()]
 
     def _folder(self, folder: str, more: str = "") -> DataFrame:
@@ -93,31 +155,42 @@ class Table:
                 return self.spark.createDataFrame([], schema)
             raise
 
-    def create(self, rows: DataFrame) -> None:
-        """The first version, of rows that have each key once."""
+    def create(self, rows: DataFrame, pack: Pack | None = None) -> None:
+        """The first version, of rows that have each key once, or that `pack` makes into such."""
         number, _, _ = self.version()
         folder = self._name("base", number)
-        self._commit(number + 1, [(folder, self._write(rows.select(self.columns), folder))], [])
+        self._commit(number + 1, [(folder, self._write(rows if pack else rows.select(self.columns), folder, pack))], [])
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> None:
         """Put rows in place of those with the same key. Of rows that share a key the one with the greatest `order` counts, else the greatest one."""
         rest = [c for c in self.columns if c not in self.layout.key]
         place = [F.col(order)] if order else []
-        last = rows.groupBy(*self.layout.key).agg(F.max(F.struct(*(x.alias(f"_{k}") for k, x in enumerate(place)), *rest, F.lit(0).alias("_"))).alias("_last"))
-        self._log(last.select(*self.layout.key, *(F.col(f"_last.{c}").alias(c) for c in rest)), "put")
+
+        def once(layout: Layout, given: DataFrame) -> DataFrame:
+            """Rows with one key are in one task by their partition and a part of it, so they are dealt out once, by these, and settled there."""
+            dealt = given.withColumn("part", layout.part()).withColumn("_deal", F.pmod(F.xxhash64(*layout.key), F.lit(DEALS))).repartition("part", "_deal")
+            own = ["part", "_deal", *layout.key]
+            if rest:
+                last = dealt.groupBy(*own).agg(F.max(F.struct(*(x.alias(f"_{k}") for k, x in enumerate(place)), *rest)).alias("_last"))
+                last = last.select("part", *layout.key, *(F.col(f"_last.{c}").alias(c) for c in rest))
+            else:
+                last = dealt.select(*own).distinct().drop("_deal")
+            return last.select(*self.columns, F.lit("put").alias("op"), "part").sortWithinPartitions("part", *(layout.sort or layout.key))
+
+        self._log(rows, "put", once)
 
     def delete(self, groups: DataFrame) -> None:
         """Delete the rows of groups."""
         absent = [F.lit(None).cast(kind).alias(c) for c, kind in self.spark.createDataFrame([], self.layout.schema).dtypes if c not in self.layout.group]
         self._log(groups.select(*self.layout.group).distinct().select("*", *absent), "delete")
 
-    def _log(self, rows: DataFrame, op: str) -> None:
+    def _log(self, rows: DataFrame, op: str, pack: Pack | None = None) -> None:
         number, base, logs = self.version()
         if len(logs) >= LOGS:
             self.compact()
             number, base, logs = self.version()
         folder = self._name("log", number)
-        self._write(rows.select(*self.columns, F.lit(op).alias("op")), folder)
+        self._write(rows if pack else rows.select(*self.columns, F.lit(op).alias("op")), folder, pack)
         self._commit(number + 1, base, [*logs, folder])
 
     def read(self, keys: dict[str, list] | None = None) -> DataFrame:
