@@ -46,3 +46,10 @@ def test_packed_rows_come_back(spark):
     assert sorted(map(str, made.drop("part").collect())) == sorted(map(str, given.collect()))
     assert made.where(made["part"] != POSTINGS.part()).count() == 0
     assert compressed(POSTINGS, given.limit(0)).count() == 0
+
+
+def test_unwanted_sentences_stay(spark, tables):
+    """Before the texts meet what was found, a bitmap of it stands."""
+    made = QUERIES["sentence_fetch"](spark, tables)
+    assert "bitmap_construct_agg" in made._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count() == QUERIES["sentence_fetch"](spark, SMALL).count()
