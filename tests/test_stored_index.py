@@ -48,6 +48,15 @@ def test_packed_rows_come_back(spark):
     assert compressed(POSTINGS, given.limit(0)).count() == 0
 
 
+def test_an_upsert_deals_once(spark, tmp_path, monkeypatch):
+    """Rows of one key are settled where they are dealt to for the files."""
+    seen = []
+    monkeypatch.setattr(Table, "_put", lambda self, laid, folder: seen.append(laid) or [])
+    Table(spark, str(tmp_path / "t"), Layout("k string, n long, v string", ["k", "n"], ["k"], ["k"])).upsert(spark.range(50).selectExpr("cast(id % 5 as string) as k", "id % 3 as n", "'x' as v"))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange\b", plan)) == 1
+
+
 def test_unwanted_sentences_stay(spark, tables):
     """Before the texts meet what was found, a bitmap of it stands."""
     made = QUERIES["sentence_fetch"](spark, tables)
